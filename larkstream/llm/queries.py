@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkstream.llm import decontaminate, exact_dedup, mixing, pii, quality, sharding, token_count, url_filter
+from larkstream.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, sharding, token_count, url_filter
 from larkstream.llm.common import table
 
 SHARDS = 24
@@ -42,6 +42,11 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("record.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
