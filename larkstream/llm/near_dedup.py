@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkstream.llm.common import cut, slices, written
+from larkstream.llm.common import cut, drop_work, slices, work_path
 from larkstream.llm.textvec import UNBLANK, mix, shingles, word_hashes
 
 COORDS, MATCHES = 32, 14
@@ -98,7 +98,9 @@ class _Linker:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) whose full sets are similar enough."""
         pairs = cut(pairs)
-        texts = written(self.texts(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()), "texts")
+        path = work_path(self.docs.sparkSession, "texts")
+        self.texts(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()).write.parquet(path)
+        texts = self.docs.sparkSession.read.schema("node long, text string").parquet(path)
         both = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
         size, percent = self.size, self.percent
 
@@ -117,7 +119,9 @@ class _Linker:
                             alike.append(100 * shared >= percent * (len(u) + len(v) - shared))
                         yield b.select([0, 1]).filter(pa.array(alike))
 
-        return cut(both.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long"))
+        links = cut(both.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long"))
+        drop_work(self.docs.sparkSession, path)
+        return links
 
     def crowded_pairs(self, crowded: DataFrame, comp: DataFrame) -> DataFrame:
         """Candidates among crowded nodes (node, n) of different components, by the prefix join on shingles."""
