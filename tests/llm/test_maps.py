@@ -1,0 +1,289 @@
+"""Operators that map texts: tokens, personal data, URLs, contamination, scores."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from larkstream.llm import decontaminate, lm_score, pii, quality, textvec, token_count, url_filter
+from larkstream.llm.queries import tokenizer_path
+
+
+def lower(t):
+    return t.translate({i: i + 32 for i in range(65, 91)})
+
+
+# ---- token counts
+
+
+def library_counts(texts):
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    return [len(x) for x in p.encode([t or "" for t in texts], num_threads=1)]
+
+
+def test_token_counts_equal_the_library(make, odd_rows):
+    texts = [t for _, t in odd_rows]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {r.doc_id: r for r in token_count.count_tokens(make(rows), tokenizer_path(), limit=50).collect()}
+    for k, n in enumerate(library_counts(texts)):
+        assert (got[k].n_tokens, got[k].n_bytes, got[k].over_limit) == (n, len((texts[k] or "").encode()), n > 50)
+
+
+def test_token_counts_of_random_texts():
+    r = random.Random(2)
+    texts = ["".join(r.choice(" \n\t▁abcthe<s>/x😀\x00\r中文ñ1234") for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    c = token_count.Counter(tokenizer_path())
+    assert [c.count(t) for t in texts] == library_counts(texts)
+
+
+def test_token_counts_do_not_depend_on_what_is_remembered(monkeypatch):
+    monkeypatch.setattr(token_count, "REMEMBERED", 3)
+    c = token_count.Counter(tokenizer_path())
+    text = "many words make many more words than three"
+    assert [c.count(text) for _ in range(3)] == library_counts([text]) * 3
+
+
+def test_token_counts_of_an_empty_table(make):
+    assert token_count.count_tokens(make([]), tokenizer_path()).collect() == []
+
+
+# ---- personal data
+
+BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def base_spans(text):
+    def ok(k, s):
+        d = re.sub("[^0-9]", "", s)
+        return [True, k == 1 and all(int(x) <= 255 for x in s.split(".")), 16 <= len(d) <= 19 and pii.luhn(d), 8 <= len(d) <= 15][k]
+
+    return [[m.span() for m in re.finditer(p, text) if ok(k, m[0])] for k, p in enumerate(BASE)]
+
+
+def test_base_spans_of_random_texts():
+    r = random.Random(3)
+    f = pii.Finder()
+    for al in ("a.b@@+-0123456789  ().%1é", "0123456789.- +", "4111-1111 1111 1111 1"):
+        for _ in range(8000):
+            t = "".join(r.choice(al) for _ in range(r.randint(0, 60)))
+            assert f.spans(t)[:4] == base_spans(t), t
+
+
+def test_added_spans():
+    f = pii.Finder()
+    held = lambda t, k: [t[a:b] for a, b in f.spans(t)[pii.KINDS.index(k)]]
+    assert held('token = "b7f27643b0f8af97" x', "account") == ["b7f27643b0f8af97"]
+    assert held("IBAN: DE89370400440532013000.", "account") == ["DE89370400440532013000"]
+    assert held("IBAN: DE89370400440532013001.", "account") == []
+    assert held("Account no. 12345678, secretive 12345678", "account") == ["12345678"]
+    assert held("see ftp://me:pw@host.org/x and http://host.org/", "address") == ["me:pw@host.org"]
+    assert held("é http://10.0.0.1:80/", "address") == ["10.0.0.1:80"]
+
+
+def test_pii_rows(make):
+    texts = {1: None, 2: "", 3: "é a.b@c.de, +49 (30) 123-4567, 10.1.2.255, 4111 1111 1111 1111; 300.1.1.1", 4: "no" * 50_000}
+    got = {r.doc_id: r for r in pii.find_pii(make(list(texts.items()))).collect()}
+    assert tuple(got[3])[1:5] == (1, 1, 1, 1)
+    for k, t in texts.items():
+        spans = ",".join(f"{pii.KINDS[i]}:{a}:{b}" for i, s in enumerate(base_spans(t or "")) for a, b in s)
+        assert got[k].base_sha256 == hashlib.sha256(spans.encode()).hexdigest() and got[k].spans.startswith(spans)
+    assert pii.find_pii(make([])).count() == 0
+
+
+# ---- URLs
+
+
+def brute_judge(url):
+    rest = (url or "").partition("://")[2] if "://" in (url or "") else None
+    host = path = ""
+    if rest is not None:
+        host, path = re.match(r"(?s)([^/?#]*)([^?#]*)", rest).groups()
+        host = lower(host)
+    fit = []
+    for verdict, name in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")):
+        h, _, p = name.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
+            fit.append((len(name), name, verdict))
+    return host, path, *(max(fit)[1:] if fit else (None, None))
+
+
+def test_urls(spark):
+    hosts = ["example.net", "a.EXAMPLE.net", "notexample.net", "net", "x.net:80", "example.com", "b.example.com", "Éxample.ORG", "org", "free-bets.example.org", "spam-farm.example.com", "spamfarm.com", ""]
+    paths = ["", "/", "/en/1", "/en", "/EN/1", "/de/", "/de/x?q=/fr/", "/fr/1#x", "?a=/en/", "#top", "/x/en/"]
+    urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "net/en/", "a://b://c.net/x", "://net/", "http:/net/"] * 2
+    df = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
+    got = {r.page_id: r for r in url_filter.judge_urls(df).collect()}
+    for i, u in enumerate(urls):
+        host, path, rule, verdict = brute_judge(u)
+        assert (got[i].host, got[i].path, got[i]["rule"]) == (host, path, rule), u
+        own = [r for r in url_filter.OWN if re.match(r.pattern, host + path)]
+        assert got[i].verdict == (verdict or ("block" if own else "allow")), u
+    assert url_filter.judge_urls(df.where("false")).count() == 0
+
+
+def test_rules_are_indexed_by_their_rarest_token():
+    rules = (url_filter.host_rule("example.net/en/", "block"), url_filter.Rule("any", "block", ".*"))
+    assert url_filter.index_rules(rules, {"example": 9, "net": 5, "en": 7}) == {"net": [0], "": [1]}
+    assert url_filter.host_rule("a.b/part", "block").tokens == ("a", "b")  # "part" may go on
+
+
+# ---- contamination
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute_contamination(texts, items, window):
+    index = defaultdict(set)
+    for i, t in items:
+        w = WORDS.findall(lower(t or ""))
+        m = min(window, len(w))
+        for k in range(len(w) - m + 1 if m else 0):
+            index[tuple(w[k : k + m])].add(str(i))
+    out = []
+    for t in texts:
+        w, held = WORDS.findall(lower(t or "")), set()
+        hit = [0] * len(w)
+        for m in {len(p) for p in index}:
+            for k in range(len(w) - m + 1):
+                if found := index.get(tuple(w[k : k + m])):
+                    held |= found
+                    hit[k : k + m] = [1] * m
+        out.append((len(w), sum(hit), len(held), hashlib.sha256(",".join(sorted(held)).encode()).hexdigest(), sum(hit) > 0))
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_contamination(make, spark, monkeypatch, odd_rows, block):
+    """With a small block the items need several passes."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    r = random.Random(5)
+    say = lambda n: "".join(r.choice(["a", "b", "C ", "dé", " ", "\n", "-"]) + r.choice([" ", "", ", "]) for _ in range(r.randint(0, n)))
+    items = [(k, say(30)) for k in range(6)] + [(7, None), (8, "-- ,"), (10, "a"), (11, "one two")]
+    items += [(k, items[0][1]) for k in (20, 3)] if block > 100 else []
+    texts = [say(80) for _ in range(60)] + [None, "", "one", "ONE, two"] + [t for _, t in odd_rows]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.record.doc_id: r for r in decontaminate.find_contamination(make(list(enumerate(texts))), bench, 4).collect()}
+    for k, want in enumerate(brute_contamination(texts, items, 4)):
+        g = got[k]
+        assert (g.n_words, g.n_hit, g.n_items, g.items_sha256, g.contaminated) == want and g.record.text == texts[k]
+
+
+def test_longest_match(make, spark):
+    bench = spark.createDataFrame([(1, "zero one two three four five six seven")], "item_id long, text string")
+    docs = make([(1, "x One, two three four five y six seven"), (2, "two three")])
+    got = {r.record.doc_id: r for r in decontaminate.find_contamination(docs, bench, 3).collect()}
+    assert got[1].longest == 5 and [(m["item"], m.start, m.words) for m in got[1].matches] == [("1", 1, 5)]
+    assert not got[2].contaminated
+    kept = decontaminate.clean_rows(docs, bench, 3)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
+    assert decontaminate.clean_rows(docs, bench.where("false")).count() == 2
+    assert decontaminate.clean_rows(docs.where("false"), bench).count() == 0
+
+
+def test_word_hashes_are_those_of_each_text_alone():
+    texts = ["ab CD", None, "", "cd", "é ab", "x" * 100_000, " a", "b "]
+    whole, at = textvec.word_hashes(pa.array(texts), textvec.UNBLANK)
+    for i, t in enumerate(texts):
+        alone, _ = textvec.word_hashes(pa.array([t], pa.string()), textvec.UNBLANK)
+        assert whole[at[i] : at[i + 1]].tolist() == alone.tolist()
+    sliced, at2 = textvec.word_hashes(pa.array(texts).slice(3, 3), textvec.UNBLANK)
+    assert sliced.tolist() == whole[at[3] : at[6]].tolist() and at2.tolist() == (at[3:7] - at[3]).tolist()
+
+
+# ---- quality
+
+
+def labelled(r, n):
+    good = lambda: " ".join(r.choice(["The", "and", "of", "river", "stone", "walks"]) + r.choice(["", "", ","]) for _ in range(r.randint(20, 80))) + "."
+    bad = lambda: " ".join(r.choice(["BUY", "$$$", "###", "free!!", "%%%"]) for _ in range(r.randint(20, 80)))
+    kinds = [int(r.random() < 0.7) for _ in range(n)]
+    return [(i, good() if k else bad()) for i, k in enumerate(kinds)], kinds
+
+
+def test_quality_on_held_out_rows(make, spark, odd_rows):
+    rows, kinds = labelled(random.Random(1), 400)
+    docs = make(rows)
+    labels = spark.createDataFrame([(i, k, 0) for i, k in enumerate(kinds)] + [(0, kinds[0], 1), (None, 1, 0), (9999, 0, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    scored = quality.score_quality(docs, model)
+    got = {r.record.doc_id: r for r in scored.collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i].predicted == kinds[i] for i in held]) > 0.97
+    assert set(range(400)) == set(got)
+    assert {r.doc_id for r in docs.where(quality.held_out()).collect()} == set(held)
+    odd = quality.score_quality(make(odd_rows), model).collect()
+    assert len(odd) == len(odd_rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in odd)
+    assert quality.score_quality(make([]), model).count() == 0
+
+
+def test_quality_without_labels(make, spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = quality.train(make([(1, "a")]), labels)
+    assert [r.predicted for r in quality.score_quality(make([(1, "a"), (2, None)]), model).collect()] == [1, 1]
+
+
+def test_labels_and_ids_do_not_enter_a_score(make, spark):
+    rows, kinds = labelled(random.Random(2), 100)
+    labels = spark.createDataFrame([(i, k, 0) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    model = quality.train(make(rows), labels)
+    one = {r.record.text: r.score for r in quality.score_quality(make(rows), model).collect()}
+    two = {r.record.text: r.score for r in quality.score_quality(make([(i + 5000, t) for i, t in rows]), model).collect()}
+    assert one == two
+
+
+# ---- pseudo-likelihood
+
+
+def test_gradients_are_those_of_the_loss():
+    r = np.random.default_rng(0)
+    net = lm_score.Network([w.astype(np.float64) for w in lm_score.Network.fresh(1).weights])
+    context, target = r.integers(0, lm_score.CLASSES + 1, (7, len(lm_score.OFFSETS))), r.integers(0, lm_score.CLASSES, 7)
+    loss = lambda: -net.log_probs(context, target).mean()
+    for w, g in zip(net.weights, net.gradients(context, target), strict=True):
+        spot = np.unravel_index(np.abs(g).argmax(), g.shape)
+        w[spot] += 1e-5
+        up = loss()
+        w[spot] -= 2e-5
+        down = loss()
+        w[spot] += 1e-5
+        assert (up - down) / 2e-5 == pytest.approx(g[spot], rel=1e-3)
+
+
+def test_pseudo_likelihood_is_the_sum_over_tokens(make, odd_rows):
+    docs = make(odd_rows)
+    vocabulary = lm_score.Vocabulary.of(lm_score.frequent_words(docs))
+    net = lm_score.train(docs, vocabulary, every=2)
+    rows = [(k, t) for k, (_, t) in enumerate(odd_rows)]
+    got = {r.doc_id: r for r in lm_score.pseudo_likelihood(make(rows), net, vocabulary).collect()}
+    for k, t in rows:
+        words, _ = textvec.word_hashes(pa.array([t], pa.string()), textvec.UNBLANK)
+        c = [lm_score.CLASSES] * lm_score.SIDE + vocabulary.classes(words).tolist() + [lm_score.CLASSES] * lm_score.SIDE
+        assert got[k].n_tokens == len(words)
+        if not len(words):
+            assert got[k].pll == 0 and got[k].mean_pll is None
+            continue
+        if len(words) < 200:
+            p = sum(float(net.log_probs(np.array([[c[i + o] for o in lm_score.OFFSETS]]), np.array([c[i]]))[0]) for i in range(lm_score.SIDE, len(c) - lm_score.SIDE))
+            assert got[k].pll == pytest.approx(p, rel=1e-4)
+
+
+def test_pseudo_likelihood_prefers_what_it_has_learnt(make):
+    r = random.Random(4)
+    cycle = ["one", "two", "three", "four", "five", "six"]
+    docs = make([(i, " ".join(cycle[(i + k) % 6] for k in range(300))) for i in range(40)])
+    vocabulary = lm_score.Vocabulary.of(lm_score.frequent_words(docs))
+    net = lm_score.train(docs, vocabulary, every=2)
+    shuffled = [r.choice(cycle) for _ in range(300)]
+    got = {x.doc_id: x.mean_pll for x in lm_score.pseudo_likelihood(make([(1, " ".join(cycle * 50)), (2, " ".join(shuffled))]), net, vocabulary).collect()}
+    assert got[1] > got[2] + 0.5
+
+
+def test_pseudo_likelihood_of_an_empty_table(make):
+    assert lm_score.score_documents(make([])).count() == 0
