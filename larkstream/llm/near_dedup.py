@@ -13,7 +13,7 @@
    prefix whose length follows from their sizes. In each shingle's list only the members outside its
    largest class look for partners, so a big group of near copies meets its few strangers, not itself.
 5. Candidates are confirmed on the full sets in two rounds. First each node's best partner, and each
-   crowded node with the most central member of its lists; then, after components are built, only
+   crowded node with the most central member of its lists, the one with the fewest rare shingles; then, after components are built, only
    candidates between different components. Links inside a component cannot change it, so components
    are those of the full link graph.
 
@@ -123,8 +123,8 @@ class _Linker:
         drop_work(self.docs.sparkSession, path)
         return links
 
-    def crowded_pairs(self, crowded: DataFrame, comp: DataFrame) -> DataFrame:
-        """Candidates among crowded nodes (node, n) of different components, by the prefix join on shingles."""
+    def crowded_posts(self, crowded: DataFrame) -> DataFrame:
+        """(item, node, n, pos) for the shingles in each crowded node's prefix: pos is the shingle's place by rarity."""
         size, share = self.size, self.percent / 100
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,14 +138,21 @@ class _Linker:
         held = sets.select("node", F.size("items").cast("long").alias("n"), F.explode("items").alias("item"))
         df = held.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
         order = Window.partitionBy("node").orderBy("df", "item")
-        posts = (
-            held.join(df, "item")
-            .withColumn("pos", F.row_number().over(order) - 1)
-            .where((F.col("df") > 1) & (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * share)))
-            .join(comp, "node", "left")
-            .select("item", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
-        )
-        posts = cut(posts)
+        posts = held.join(df, "item").withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
+        return cut(posts.where((F.col("df") > 1) & (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * share))).select("item", "node", "n", "pos"))
+
+    @staticmethod
+    def toward_hubs(posts: DataFrame) -> DataFrame:
+        """Each node with the hub that most of its lists have: a list's hub is the member with the least rare shingles before the list's."""
+        hubs = posts.groupBy("item").agg(F.min(F.struct("pos", "node")).alias("h")).select("item", F.col("h.node").alias("hub"))
+        met = posts.join(hubs, "item").where("hub <> node").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("met"))
+        met = met.groupBy("node").agg(F.max(F.struct("met", "hub")).alias("best"))
+        return met.select(F.least("node", "best.hub").alias("x"), F.greatest("node", "best.hub").alias("y"))
+
+    def strangers(self, posts: DataFrame, comp: DataFrame) -> DataFrame:
+        """Candidates of different components: in each list, those outside its largest component seek partners."""
+        share = self.percent / 100
+        posts = cut(posts.join(comp, "node", "left").select("item", "node", "n", "pos", F.coalesce("comp", "node").alias("comp")))
         main = posts.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("members")).groupBy("item").agg(F.max(F.struct("members", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
         main = main.where("comps > 1").select("item", F.col("main.comp").alias("main"))
         posts = posts.join(main, "item")
@@ -177,18 +184,16 @@ class _Linker:
         crowded = cut(skipped.where(F.col("skipped") >= MATCHES).join(self.nodes.select("node", "n"), "node"))
 
         best = pairs.groupBy("y").agg(F.max(F.struct("reach", "x")).alias("best")).select(F.col("best.x").alias("x"), "y")
-        crowd = posted.where(F.col("members") > SHORT).join(crowded.select("node", "skipped"), "node")
-        centre = crowd.groupBy("key").agg(F.max(F.struct("skipped", -F.col("node"))).alias("c")).select("key", (-F.col("c.col2")).alias("hub"))
-        toward = crowd.join(centre, "key").where("hub <> node").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("met"))
-        toward = toward.groupBy("node").agg(F.max(F.struct("met", "hub")).alias("best")).select("node", F.col("best.hub").alias("hub"))
-        first = best.unionByName(toward.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y"))).distinct()
+        posts = None if crowded.isEmpty() else self.crowded_posts(crowded)
+        first = best if posts is None else best.unionByName(self.toward_hubs(posts)).distinct()
+        first = cut(first)
         sure = self.confirmed(first)
         comp = components(sure)
         cx, cy = comp.select(F.col("node").alias("x"), F.col("comp").alias("comp_x")), comp.select(F.col("node").alias("y"), F.col("comp").alias("comp_y"))
         apart = F.coalesce("comp_x", "x") != F.coalesce("comp_y", "y")
         open_pairs = pairs.select("x", "y").join(cx, "x", "left").join(cy, "y", "left").where(apart).select("x", "y")
-        if not crowded.isEmpty():
-            open_pairs = open_pairs.unionByName(self.crowded_pairs(crowded, comp)).distinct()
+        if posts is not None:
+            open_pairs = open_pairs.unionByName(self.strangers(posts, comp)).distinct()
         return sure.unionByName(self.confirmed(open_pairs.join(first, ["x", "y"], "left_anti")))
 
 
