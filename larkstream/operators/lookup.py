@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SETTINGS_DEFAULTS = {"mic": "default", "loopback_device": "default-output"}
+MAX_DEVICES = 10_000
 
 
 def find_device(devices: DataFrame, queries: DataFrame, prefix: str = "micidx:", default: str = "default") -> DataFrame:
     """For each query (query) the device (pos, id, name) that its first fitting rule names, with the rule; null if none.
 
     Rules in order: the default device, a stable id, ``micidx:N``, a bare position, the first name that
-    contains the query whatever the case. `devices` is a list of one machine's devices, so the broadcast
-    side is bounded; `queries` stays where it is.
+    contains the query whatever the case. `devices` is a list of one machine's devices, at most
+    `MAX_DEVICES`, which is checked before it is broadcast; `queries` stays where it is.
     """
+    if devices.limit(MAX_DEVICES + 1).count() > MAX_DEVICES:
+        raise ValueError(f"more than {MAX_DEVICES} devices")
     q = queries.withColumn("_q", F.trim("query")).withColumn("_n", F.regexp_extract("_q", rf"^(?:{prefix})?(\d{{1,9}})$", 1))
     d = devices.select(F.col("pos").alias("_pos"), F.col("id").alias("_id"), F.col("name").alias("_name"))
     at = (F.col("_n") != "") & (F.col("_n") == F.col("_pos").cast("string"))
