@@ -23,20 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkstream.llm.common import cut, word_count
+from larkstream.operators.order import global_rank
 
 SLOTS = 4096
 BROADCAST_SOURCES = 100_000  # rows of the plan, some 100 bytes each, up to which it is broadcast
 
 
-def with_rank(df: DataFrame, *order) -> DataFrame:
-    """df with `rank` from 0 in the given order; rows are numbered within range partitions, then shifted."""
-    ranged = cut(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    inside = Window.partitionBy("part").orderBy(*order)
-    return ranged.withColumn("own", F.row_number().over(inside) - 1).join(shift, "part").withColumn("rank", F.col("own") + F.col("shift")).drop("part", "own", "shift")
-
-
 def water_level(sources: DataFrame, max_epochs: int) -> float:
     """The level at which min(weight * level, max_epochs * size) sums to the sum of sizes."""
     total, weight = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
@@ -57,8 +49,8 @@ def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
         .groupBy("source", "slot")
         .agg(F.sum("size").alias("size"))
     )
-    sources = with_rank(by_slot.groupBy("source").agg(F.sum("size").alias("source_size")), F.col("source").isNull(), F.col("source"))
-    pick = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    sources = global_rank(by_slot.groupBy("source").agg(F.sum("size").alias("source_size")), F.col("source").isNull(), F.col("source"))
+    pick = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
     sources = cut(sources.withColumn("weight", pick))
     level = water_level(sources, max_epochs)
     target = F.least(F.col("weight") * F.lit(level), F.col("source_size").cast("double") * max_epochs)

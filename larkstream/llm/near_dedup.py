@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkstream.llm.common import cut, drop_work, slices, work_path
+from larkstream.llm.common import cut, drop_work, shared_folder, slices
 from larkstream.llm.textvec import UNBLANK, mix, shingles, word_hashes
 
 COORDS, MATCHES = 32, 14
@@ -98,7 +98,7 @@ class _Linker:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) whose full sets are similar enough."""
         pairs = cut(pairs)
-        path = work_path(self.docs.sparkSession, "texts")
+        path = shared_folder(self.docs.sparkSession, "texts")
         self.texts(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()).write.parquet(path)
         texts = self.docs.sparkSession.read.schema("node long, text string").parquet(path)
         both = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
