@@ -140,3 +140,18 @@ def merged(*by_rank: Column, default) -> Column:
 def merged_flag(in_args: Column, arg: Column, env: Column) -> Column:
     """A flag on the command line, else the environment's, else the argument's default."""
     return F.coalesce(F.when(in_args, arg), truthy(env), arg)
+
+
+def dump_name(now: Column, taken: Column, suffix: Column) -> Column:
+    """Name of an export by its time; `suffix` makes it unique where it is taken."""
+    plain = F.concat(F.lit("transcript_dump_"), F.date_format(now, "yyyy-MM-dd_HHmmss"))
+    return F.concat(plain, F.when(taken, F.concat(F.lit("_"), suffix)).otherwise(""), F.lit(".jsonl"))
+
+
+def wrapped_rows(lines: Column, width: int) -> Column:
+    """Rows that an array of lines takes when wrapped at `width`, each at least 1; 1 for no lines; unwrapped for width 0."""
+    if width == 0:
+        total = F.size(lines).cast("long")
+    else:
+        total = F.aggregate(lines, F.lit(0).cast("long"), lambda s, x: s + F.greatest(F.lit(1).cast("long"), F.ceil(F.length(x) / width)))
+    return F.greatest(F.lit(1).cast("long"), total)

@@ -41,3 +41,11 @@ def max_seq(files: DataFrame, source: str, seq: Column) -> DataFrame:
 
 def orphans(files: DataFrame, name: str = "name") -> DataFrame:
     return files.where(F.col(name).endswith(".part"))
+
+
+def dead_letters(processed: DataFrame, before: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """Segments that failed, with attempts so far and whether to try again. One aggregation with what failed before."""
+    failed = processed.where("reason = 'error'").select("seg_id", F.lit(1).alias("attempts"))
+    if before is not None:
+        failed = failed.unionByName(before.select("seg_id", F.col("attempts").cast("int").alias("attempts")))
+    return failed.groupBy("seg_id").agg(F.sum("attempts").cast("int").alias("attempts")).withColumn("again", F.col("attempts") < most)

@@ -53,3 +53,8 @@ def export_order(seg_id: str, timestamp: str, line: str) -> list[Column]:
 def export_sorted(entries: DataFrame, seg_id: str = "seg_id", timestamp: str = "timestamp", line: str = "line_no") -> DataFrame:
     """entries with their rank in the export; a range exchange, no single task."""
     return global_rank(entries, *export_order(seg_id, timestamp, line))
+
+
+def page(df: DataFrame, order: list[Column], offset: int, n: int) -> DataFrame:
+    """n rows from a place in the order."""
+    return df.orderBy(*order).offset(offset).limit(n)

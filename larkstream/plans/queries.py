@@ -463,6 +463,27 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one("click", 0).unionByName(one("view", 1))
 
 
+@query("SELECT event_id, event_type FROM events ORDER BY ts, event_id LIMIT 50 OFFSET 100")
+def log_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.page(table(spark, sf_dir, "events"), [F.col("ts"), F.col("event_id")], 100, 50).select("event_id", "event_type")
+
+
+@query(r"SELECT doc_id, greatest(1, list_sum(list_transform(string_split(text, chr(10)), lambda x: greatest(1, ceil(length(x) / 80.0)))))::BIGINT AS rows FROM documents")
+def wrapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.wrapped_rows(F.split("text", "\n"), 80).alias("rows"))
+
+
+@query("SELECT o_orderkey, concat('transcript_dump_', strftime(o_orderdate, '%Y-%m-%d_%H%M%S'), CASE WHEN o_orderkey % 2 = 0 THEN concat('_', o_custkey) ELSE '' END, '.jsonl') AS name FROM orders")
+def dump_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.dump_name(F.col("o_orderdate"), F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string")).alias("name"))
+
+
+@query("SELECT concat('src0_', user_id) AS seg_id, count(*)::INTEGER AS attempts, count(*) < 15 AS again FROM events WHERE event_type = 'error' GROUP BY user_id")
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tried = table(spark, sf_dir, "events").select(F.concat(F.lit("src0_"), F.col("user_id").cast("string")).alias("seg_id"), F.when(F.col("event_type") == "error", "error").otherwise("kept").alias("reason"))
+    return queue.dead_letters(tried, most=15)
+
+
 # ---- lookups, settings, small texts
 
 _ASKED = ["default", "Default", "id-3", "id-99", "micidx:7", "micidx:70", "12", "ation_1", "NATION_24", "nope", "", "0"]

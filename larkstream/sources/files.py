@@ -71,3 +71,37 @@ def header_duration(content: Column) -> Column:
     """Seconds by the header of a file with the usual 44 bytes of it; null where the rate is 0."""
     rate = F.conv(F.hex(F.reverse(F.substring(content, 25, 4))), 16, 10).cast("long")
     return F.when((rate > 0) & (F.length(content) >= 44), (F.length(content) - 44) / 2 / rate)
+
+
+def encode_wav(samples: Column) -> Column:
+    """Mono 16 kHz files as binary values."""
+
+    @F.pandas_udf("binary")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda x: wav_bytes(np.asarray(x, "<i2")))
+
+    return encode(samples)
+
+
+def write_wavs(segments: DataFrame, folder: str) -> DataFrame:
+    """Writes segments (seg_id, samples) as files into a folder that all executors share, each under a temporary name
+    first and then renamed, so that a reader or a second attempt never sees half a file; segments without samples
+    leave none. Returns the files (seg_id, path) and writes when that is evaluated."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+        import uuid
+
+        for f in frames:
+            out = []
+            for seg_id, samples in zip(f["seg_id"], f["samples"], strict=True):
+                if len(samples):
+                    part, path = f"{folder}/{seg_id}.{uuid.uuid4().hex}.part", f"{folder}/{seg_id}.wav"
+                    with open(part, "wb") as file:
+                        file.write(wav_bytes(np.asarray(samples, "<i2")))
+                    os.replace(part, path)
+                    out.append((seg_id, path))
+            yield pd.DataFrame(out, columns=["seg_id", "path"])
+
+    return segments.select("seg_id", "samples").mapInPandas(run, "seg_id string, path string")

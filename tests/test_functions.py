@@ -124,3 +124,14 @@ def test_labels(spark):
     assert label("mic", "mic", "", None) == "mic"
     assert one(spark, text.trimmed(F.lit("  a b \n"))) == "a b"
     assert one(spark, text.first_alternative(F.array(F.struct(F.lit("a").alias("text"))))) == "a"
+
+
+def test_wrapped_rows(spark):
+    rows = lambda x, w: one(spark, text.wrapped_rows(array(x, "string"), w))
+    assert rows([], 80) == 1 and rows(["abcdefghij"], 4) == 3 and rows(["a", "", "abcde"], 4) == 4 and rows(["a", "b"], 0) == 2
+
+
+def test_dump_name(spark):
+    now = F.lit("2026-03-01 12:00:05").cast("timestamp")
+    assert one(spark, text.dump_name(now, F.lit(False), F.lit("x"))) == "transcript_dump_2026-03-01_120005.jsonl"
+    assert one(spark, text.dump_name(now, F.lit(True), F.lit("x"))) == "transcript_dump_2026-03-01_120005_x.jsonl"

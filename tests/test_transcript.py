@@ -150,3 +150,17 @@ def test_process_segments_gives_a_reason_for_each(spark):
             raise OSError("no model")
 
     assert [r.reason for r in process_segments(df.where("seg_id = 'pass'"), asr.transcriber(Broken), F.current_timestamp()).collect()] == ["error"]
+
+
+def test_segments_are_written_as_files(spark, tmp_path):
+    df = spark.createDataFrame([("src0_000001", [1, -2, 3]), ("src0_000002", [])], "seg_id string, samples array<smallint>")
+    assert [r.seg_id for r in files.write_wavs(df, str(tmp_path)).collect()] == ["src0_000001"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["src0_000001.wav"]
+    assert [list(r.samples) for r in files.read_wav(spark, str(tmp_path)).collect()] == [[1, -2, 3]]
+    assert bytes(df.select(files.encode_wav(F.col("samples")).alias("w")).first().w) == files.wav_bytes([1, -2, 3])
+
+
+def test_dead_letters_add_up(spark):
+    now = spark.createDataFrame([("a", "error"), ("b", "kept"), ("c", "error")], "seg_id string, reason string")
+    before = spark.createDataFrame([("a", 2), ("d", 1)], "seg_id string, attempts int")
+    assert {r.seg_id: (r.attempts, r.again) for r in queue.dead_letters(now, before).collect()} == {"a": (3, False), "c": (1, True), "d": (1, True)}
