@@ -125,7 +125,7 @@ class _Linker:
 
     def crowded_posts(self, crowded: DataFrame) -> DataFrame:
         """(item, node, n, pos) for the shingles in each crowded node's prefix: pos is the shingle's place by rarity."""
-        size, share = self.size, self.percent / 100
+        size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -139,7 +139,8 @@ class _Linker:
         df = held.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
         order = Window.partitionBy("node").orderBy("df", "item")
         posts = held.join(df, "item").withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
-        return cut(posts.where((F.col("df") > 1) & (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * share))).select("item", "node", "n", "pos"))
+        prefix = F.expr(f"n - (n * {self.percent} + 99) div 100")  # whole numbers: no rounding shortens it
+        return cut(posts.where((F.col("df") > 1) & (F.col("pos") <= prefix)).select("item", "node", "n", "pos"))
 
     @staticmethod
     def toward_hubs(posts: DataFrame) -> DataFrame:
@@ -151,19 +152,19 @@ class _Linker:
 
     def strangers(self, posts: DataFrame, comp: DataFrame) -> DataFrame:
         """Candidates of different components: in each list, those outside its largest component seek partners."""
-        share = self.percent / 100
+        p = self.percent
         posts = cut(posts.join(comp, "node", "left").select("item", "node", "n", "pos", F.coalesce("comp", "node").alias("comp")))
         main = posts.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("members")).groupBy("item").agg(F.max(F.struct("members", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
         main = main.where("comps > 1").select("item", F.col("main.comp").alias("main"))
         posts = posts.join(main, "item")
         seek = posts.where("comp <> main").select("item", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "comp")])
-        need = F.ceil((F.col("n") + F.col("x_n")) * (share / (1 + share)) - 1e-9)
+        need = F.expr(f"((n + x_n) * {p} + {99 + p}) div {100 + p}")  # the least overlap that links them
         fits = (
             (F.col("comp") != F.col("x_comp"))
             & (F.col("pos") <= F.col("n") - need)
             & (F.col("x_pos") <= F.col("x_n") - need)
-            & (F.col("n") >= F.col("x_n") * share - 1e-9)
-            & (F.col("x_n") >= F.col("n") * share - 1e-9)
+            & (F.col("n") * 100 >= F.col("x_n") * p)
+            & (F.col("x_n") * 100 >= F.col("n") * p)
         )
         met = posts.join(seek, (posts["item"] == seek["item"]) & fits)
         return met.select(F.least("node", "x_node").alias("x"), F.greatest("node", "x_node").alias("y")).distinct()
