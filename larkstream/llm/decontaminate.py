@@ -32,7 +32,7 @@ from larkstream.llm.common import slices
 from larkstream.llm.textvec import ALNUM, word_hashes
 
 BLOCK_BYTES = 32 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 class TestSuffixes:
