@@ -39,7 +39,7 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=False)
-    return found.select(F.col("record.doc_id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
+    return found.select(F.col("record.doc_id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +72,62 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    """Token counts, shards, mixtures, trained scores and the spans a method adds are beyond SQL; tests hold them against brute force."""
+    return {"op5_url_filter": op5_sql(), "op7_near_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}
+
+
+def op5_sql() -> str:
+    own = " OR ".join(f"regexp_matches(host || path, '^(?:{r.pattern})')" for r in url_filter.OWN)
+    fits = " ".join(f"WHEN regexp_matches(host || path, '^(?:{r.pattern})') THEN '{r.name} {r.verdict}'" for r in sorted(url_filter.LISTED, key=lambda r: -len(r.name)))
+    return rf"""
+WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, position('://' IN url) + 3), '^[^?#]*') ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(r, '^[^/]*'), '{UPPER}', '{LOWER}') AS host, substr(r, length(regexp_extract(r, '^[^/]*')) + 1) AS path FROM rest),
+judged AS (SELECT *, CASE {fits} END AS fit, {own} AS own FROM parts)
+SELECT page_id, host, path, split_part(fit, ' ', 1) AS rule, CASE WHEN fit IS NOT NULL THEN split_part(fit, ' ', 2) WHEN own THEN 'block' ELSE 'allow' END AS verdict FROM judged
+"""
+
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP7_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), items AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') AS s FROM words, unnest(range(1, greatest(len(w) - 4, 0) + 2)) AS t(i) WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM items GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM items a JOIN items b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y
+)
+SELECT x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id, min(y) = x AS kept FROM reach LEFT JOIN sizes ON sizes.doc_id = x GROUP BY x
+"""
+
+OP9_SQL = rf"""
+WITH items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), tests AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS k
+  FROM items, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(i) WHERE len(w) > 0
+), words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), runs AS (
+  SELECT doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') AS k FROM words, (SELECT DISTINCT m FROM tests), unnest(range(1, len(w) - m + 2)) AS t(i)
+), found AS (
+  SELECT doc_id, item_id, i, m FROM runs JOIN tests USING (m, k)
+), hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM found) GROUP BY doc_id
+), held AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
 
 OP8_SQL = r"""
 WITH plain AS (
