@@ -32,6 +32,29 @@ def find_device(devices: DataFrame, queries: DataFrame, prefix: str = "micidx:",
     return met.withColumn("_k", F.row_number().over(best)).where("_k = 1").select("query", F.col("_pos").alias("pos"), F.col("_name").alias("name"), "rule")
 
 
+def find_loopback(devices: DataFrame, outputs: DataFrame, queries: DataFrame) -> DataFrame:
+    """As find_device, for loopback devices: ``lbidx:N`` counts loopback devices, a bare position counts outputs
+    (0 is the default one) and stands for the first loopback device whose name contains that output's name; where
+    none does, later rules apply."""
+    if outputs.limit(MAX_DEVICES + 1).count() > MAX_DEVICES:
+        raise ValueError(f"more than {MAX_DEVICES} outputs")
+    bare = queries.where(F.trim("query").rlike(r"^\d{1,9}$")).select("query", F.trim("query").cast("int").alias("_n"))
+    named = bare.join(F.broadcast(outputs.select(F.col("pos").alias("_n"), F.lower("name").alias("_out"))), "_n")
+    hop = named.join(F.broadcast(devices.select(F.col("pos").alias("_pos"), F.col("name").alias("_name"))), F.lower("_name").contains(F.col("_out")))
+    hop = hop.groupBy("query").agg(F.min(F.struct("_pos", "_name")).alias("hop"))
+    asked = queries.withColumn("_asked", F.when(F.lower(F.trim("query")) == "default-output", "default").otherwise(F.col("query")))
+    found = find_device(devices, asked.select(F.col("_asked").alias("query")).distinct(), "lbidx:")
+    number = F.trim("query").rlike(r"^\d{1,9}$")  # here a bare position means an output, before any part of a name
+    found = found.withColumn("rule", F.when(~number | (F.col("rule") <= 3), F.col("rule")))
+    parts = F.broadcast(devices.select(F.col("pos").alias("_pos"), F.col("name").alias("_name")))
+    sub = bare.join(parts, F.lower("_name").contains(F.trim("query"))).groupBy("query").agg(F.min(F.struct("_pos", "_name")).alias("sub"))
+    joined = asked.join(found.withColumnRenamed("query", "_asked"), "_asked").join(hop, "query", "left").join(sub, "query", "left")
+    direct = F.when(F.col("rule").isNotNull(), F.struct("pos", "name", "rule"))
+    hopped = F.when(F.col("hop").isNotNull(), F.struct(F.col("hop._pos").alias("pos"), F.col("hop._name").alias("name"), F.lit(4).alias("rule")))
+    by_part = F.when(F.col("sub").isNotNull(), F.struct(F.col("sub._pos").alias("pos"), F.col("sub._name").alias("name"), F.lit(5).alias("rule")))
+    return joined.select("query", F.coalesce(direct, hopped, by_part).alias("b")).select("query", "b.pos", "b.name", "b.rule")
+
+
 def selected_index(devices: DataFrame, queries: DataFrame) -> DataFrame:
     """As find_device, position 0 where nothing fits."""
     return find_device(devices, queries).select("query", F.coalesce("pos", F.lit(0)).alias("pos"))

@@ -49,3 +49,15 @@ def dead_letters(processed: DataFrame, before: DataFrame | None = None, most: in
     if before is not None:
         failed = failed.unionByName(before.select("seg_id", F.col("attempts").cast("int").alias("attempts")))
     return failed.groupBy("seg_id").agg(F.sum("attempts").cast("int").alias("attempts")).withColumn("again", F.col("attempts") < most)
+
+
+def seed_numbers(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """Per source the greatest number in file names (name) or transcript entries (seg_id), to go on from.
+
+    Files alone are not enough: processed ones are deleted, and a number used twice would hide new audio
+    behind an old entry.
+    """
+    bare = F.regexp_replace("name", r"\.(wav|part)$", "")
+    ids = files.select(bare.alias("seg_id")).unionByName(entries.select("seg_id"))
+    keys = ids.select(text.seg_key_strict(F.col("seg_id")).alias("k")).where("k is not null")
+    return keys.groupBy(F.col("k.source").alias("source")).agg(F.max("k.seq").alias("max_seq"))

@@ -105,3 +105,25 @@ def write_wavs(segments: DataFrame, folder: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["seg_id", "path"])
 
     return segments.select("seg_id", "samples").mapInPandas(run, "seg_id string, path string")
+
+
+def pcm_bytes(samples: Column) -> Column:
+    """16-bit samples as little-endian bytes."""
+
+    @F.pandas_udf("binary")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda x: np.asarray(x, "<i2").tobytes())
+
+    return encode(samples)
+
+
+def pcm_samples(content: Column) -> Column:
+    """Little-endian bytes as 16-bit samples; an odd last byte is dropped."""
+
+    @F.pandas_udf("array<smallint>")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda b: np.frombuffer(b[: len(b) // 2 * 2], "<i2"))
+
+    return decode(content)

@@ -164,3 +164,33 @@ def test_dead_letters_add_up(spark):
     now = spark.createDataFrame([("a", "error"), ("b", "kept"), ("c", "error")], "seg_id string, reason string")
     before = spark.createDataFrame([("a", 2), ("d", 1)], "seg_id string, attempts int")
     assert {r.seg_id: (r.attempts, r.again) for r in queue.dead_letters(now, before).collect()} == {"a": (3, False), "c": (1, True), "d": (1, True)}
+
+
+def test_loopback_lookup(spark):
+    devices = spark.createDataFrame([(0, "id-0", "Monitor of Speakers"), (1, "id-1", "Monitor of HDMI 2")], "pos int, id string, name string")
+    outputs = spark.createDataFrame([(0, "default-output"), (1, "HDMI 2"), (2, "Speakers"), (3, "Phone")], "pos int, name string")
+    asked = spark.createDataFrame([(q,) for q in ("default-output", "default", "lbidx:1", "id-1", "1", "2", "3", "hdmi", "none")], "query string")
+    got = {r.query: (r.pos, r["rule"]) for r in lookup.find_loopback(devices, outputs, asked).collect()}
+    assert got == {"default-output": (0, 1), "default": (0, 1), "lbidx:1": (1, 3), "id-1": (1, 2), "1": (1, 4), "2": (0, 4), "3": (None, None), "hdmi": (1, 5), "none": (None, None)}
+
+
+def test_numbers_go_on_from_files_and_entries(spark):
+    on_disk = spark.createDataFrame([("src0_000007.wav",), ("src0_000002.part",), ("odd.wav",)], "name string")
+    got = queue.seed_numbers(on_disk, entries(spark, ("src0_000009", "t", "x"), ("src1_000003", "t", "x"), ("bad", "t", "x")))
+    assert {r.source: r.max_seq for r in got.collect()} == {0: 9, 1: 3}
+
+
+def test_pcm_round_trip(spark):
+    df = spark.createDataFrame([([1, -2, 32767],), ([],)], "s array<smallint>")
+    rows = df.select("s", files.pcm_samples(files.pcm_bytes(F.col("s"))).alias("again")).collect()
+    assert all(list(r.s) == list(r.again) for r in rows)
+    assert bytes(df.select(files.pcm_bytes(F.col("s")).alias("b")).first().b) == b"\x01\x00\xfe\xff\xff\x7f"
+
+
+def test_a_repeated_batch_is_written_once(spark, tmp_path):
+    from larkstream.streaming.segments import append_once
+
+    for _ in range(2):
+        append_once(spark.range(3), 5, str(tmp_path / "out"))
+    append_once(spark.range(2), 6, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
