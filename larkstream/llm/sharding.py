@@ -6,9 +6,11 @@ spread like any other rows; as it is written down once, a lost executor or a sec
 change it. The written sizes (one narrow column) fix the number of buckets, so that a bucket holds
 about `bucket_bytes` however large the corpus is.
 
-Pass 2 moves each record once, to its bucket; a task holds one bucket at a time, orders it by hash,
-shuffles it with Spark's array ``shuffle`` (a seeded Fisher-Yates) and numbers it. Bucket counts
-(a few bytes per bucket) give each bucket its offset in the global order of N records.
+Pass 2 moves each record once, to its bucket, numbers the records of a bucket in hash order and gives
+each the place that the bucket's permutation has for its number. Permutations are Spark's array
+``shuffle`` (a seeded Fisher-Yates) of the numbers of each bucket; with the bucket's offset in the
+global order of N records they are a checkpointed table of four bytes a record. So a task never holds
+the records of a bucket, and sorts spill.
 
 Law ``rows``: place g of N goes to shard ``g * S div N``, so counts differ by one at most and slots are
 gapless from 0. Shards are runs of whole buckets, but for the bucket on a border.
@@ -22,9 +24,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkstream.llm.common import text_bytes, written
+from larkstream.llm.common import cut, text_bytes, written
 
 GROUP = 1024  # buckets that are numbered together
+MOST_PARTITIONS = 50_000  # of pass 2; beyond that a partition takes several buckets
 
 
 def bucket_offsets(counts: DataFrame) -> DataFrame:
@@ -51,21 +54,14 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int, seed: int = 17, bucket_b
     n, total = scattered.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = max(1, -(-total // bucket_bytes))
     placed = scattered.withColumn("bucket", F.pmod("spread", F.lit(buckets)))
-    offsets = bucket_offsets(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
-    dealt = (
-        placed.repartition(buckets, "bucket")
-        .sortWithinPartitions("bucket", "spread")
-        .groupBy("bucket")
-        .agg(F.collect_list(F.struct("record", "size", "text_crc32")).alias("held"))
-        .withColumn("held", F.shuffle("held", seed))
-        .select("bucket", F.posexplode("held").alias("pos", "held"))
-    )
-    # a row of offsets stands for bucket_bytes of corpus, so this side stays a small fraction of the input
-    place = F.col("offset") + F.col("pos")
+    counts = cut(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+    numbers = F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))
+    orders = cut(bucket_offsets(counts).join(counts, "bucket").select("bucket", "offset", F.shuffle(numbers, seed).alias("order")))
+    number = F.row_number().over(Window.partitionBy("bucket").orderBy("spread"))
+    dealt = placed.repartition(min(buckets, MOST_PARTITIONS), "bucket").withColumn("number", number).join(orders, "bucket")
     shard = F.expr(f"place * {n_shards} div {max(n, 1)}")
     return (
-        dealt.join(offsets, "bucket")
-        .select("held.*", place.alias("place"))
+        dealt.select("record", "size", "text_crc32", (F.col("offset") + F.element_at("order", F.col("number"))).alias("place"))
         .withColumn("shard", shard)
         .select("record", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.expr(f"place - (shard * {max(n, 1)} + {n_shards - 1}) div {n_shards}").cast("long").alias("slot"))
     )
