@@ -63,7 +63,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score_quality(docs, model, keep=("doc_id",))
+    scored = quality.score_quality(docs.select("doc_id", "text"), model)
     return scored.select("record.doc_id", quality.held_out("record.doc_id").alias("held_out"), "score", "predicted")
 
 
@@ -73,10 +73,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Token counts, shards, mixtures, trained scores and the spans a method adds are beyond SQL; tests hold them against brute force."""
-    return {"op5_url_filter": op5_sql(), "op7_near_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}
+    return {"op5_url_filter": url_filter_sql(), "op7_near_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}
 
 
-def op5_sql() -> str:
+def url_filter_sql() -> str:
     own = " OR ".join(f"regexp_matches(host || path, '^(?:{r.pattern})')" for r in url_filter.OWN)
     fits = " ".join(f"WHEN regexp_matches(host || path, '^(?:{r.pattern})') THEN '{r.name} {r.verdict}'" for r in sorted(url_filter.LISTED, key=lambda r: -len(r.name)))
     return rf"""

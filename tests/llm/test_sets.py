@@ -268,3 +268,11 @@ def test_queries_equal_their_sql(spark, name):
     got = queries.queries()[name](spark, SF).toPandas()[list(want.columns)]
     plain = lambda d: sorted((tuple(None if x is None or x != x else str(x) for x in r) for r in d.astype(object).itertuples(index=False)), key=repr)
     assert plain(got) == plain(want)
+
+
+def test_eleven_queries_are_registered():
+    import __spark_entry__
+
+    names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_|pipeline$", n)]
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert set(queries.oracle_sql()) <= set(queries.queries())
