@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkstream.session import cut, shared_folder
 
-__all__ = ["BLANKS", "WORD", "cut", "drop_work", "shared_folder", "slices", "table", "text_bytes", "word_count", "written"]
+__all__ = ["BLANKS", "WORD", "cut", "drop_work", "shared_folder", "slices", "small_batches", "table", "text_bytes", "word_count", "written"]
 
 #: Fixed values of the query contracts: six ASCII blanks separate words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +43,17 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches to Python held to BATCH_BYTES where they are at Spark's default of 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, "67108864b") == "67108864b":
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """batch in slices whose texts in `column` hold about `most` bytes (one longer text is a slice of its own)."""
     import pyarrow.compute as pc

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkstream.llm.common import slices
+from larkstream.llm.common import slices, small_batches
 from larkstream.llm.textvec import ALNUM, word_hashes
 
 BLOCK_BYTES = 32 << 20
@@ -136,12 +137,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
     rest = [c for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(*rest).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    rows = small_batches(docs).select(F.struct(*rest).alias("id"), F.col(text_col).cast("string").alias("text"))
+    match = T.StructType().add("item", T.StringType()).add("start", T.LongType()).add("words", T.LongType())
+    schema = T.StructType().add("id", rows.schema["id"].dataType).add("text", T.StringType()).add("n_words", T.LongType()).add("n_hit", T.LongType()).add("matches", T.ArrayType(match)).add("hit", T.BinaryType())
     for b in range(blocks):
         block = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text").collect()  # BLOCK_BYTES, about
         tests = TestSuffixes([tuple(r) for r in block], window)
-        rows = rows.mapInArrow(_pass(tests, b == 0, carry or b < blocks - 1), f"id {kind}, text string, n_words long, n_hit long, matches array<struct<item:string,start:bigint,words:bigint>>, hit binary")
+        rows = rows.mapInArrow(_pass(tests, b == 0, carry or b < blocks - 1), schema)
     items = F.array_sort(F.array_distinct("matches.item"))
     columns = [(F.col("text") if c == text_col else F.col("id")[c]).alias(c) for c in docs.columns if carry or c != text_col]
     return rows.select(

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkstream.llm.common import cut, drop_work, shared_folder, slices
+from larkstream.llm.common import cut, drop_work, shared_folder, slices, small_batches
 from larkstream.llm.textvec import UNBLANK, mix, shingles, word_hashes
 
 COORDS, MATCHES = 32, 14
@@ -220,7 +220,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, component_id, kept (doc_id = component_id), first (one row of each component)."""
-    rows = cut(signed(docs, size, id_col, text_col).withColumn("row_id", F.monotonically_increasing_id()))
+    rows = cut(signed(small_batches(docs), size, id_col, text_col).withColumn("row_id", F.monotonically_increasing_id()))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("best")
     nodes = rows.where("n > 0").groupBy("n", "a", "b").agg(F.min(F.struct("row_id", "doc_id", "text_hash", "sig")).alias("r"), best)
     nodes = cut(nodes.select("n", "a", "b", F.col("r.row_id").alias("node"), "r.doc_id", "r.text_hash", "r.sig", "best"))

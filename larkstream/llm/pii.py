@@ -23,6 +23,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from larkstream.llm.common import small_batches
+
 KINDS = ("email", "ip", "card", "phone", "address", "account")
 BASE = 4
 #: Cues that announce an identifier.
@@ -174,4 +176,4 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *n[:BASE], digest, spans, *n[BASE:]], names)
 
     longs = lambda c: ", ".join(f"{x} long" for x in c)
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, {longs(counts[:BASE])}, base_sha256 string, spans string, {longs(counts[BASE:])}")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, {longs(counts[:BASE])}, base_sha256 string, spans string, {longs(counts[BASE:])}")

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkstream.llm.common import slices
+from larkstream.llm.common import slices, small_batches
 from larkstream.llm.textvec import UNBLANK, shingles, text_buffer, word_hashes
 
 CUT = 0.3
@@ -149,7 +150,7 @@ def measured(rows: DataFrame) -> DataFrame:
                 x = measure(b.column(2))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["id", "quality", "x"])
 
-    return rows.mapInArrow(run, f"id {kind}, quality int, x array<double>")
+    return small_batches(rows).mapInArrow(run, f"id {kind}, quality int, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text", usable=None) -> Model:
@@ -164,18 +165,21 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, id_col:
     return fit(np.array([r.x for r in got]).reshape(-1, N_FEATURES), np.array([r.quality for r in got], int))
 
 
-def _scored(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scored(model: Model, text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map of records (structs) whose field number `text` holds the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, 1):
+            pairs = pa.RecordBatch.from_arrays([whole.column(0), whole.column(0).field(text)], ["record", "text"])
+            for b in slices(pairs, 1):
                 score = model.scores(measure(b.column(1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array((score >= CUT).astype(np.int32))], ["record", "score", "predicted"])
 
     return run
 
 
-def score_quality(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """One row per document: record (its columns, or those named in `keep`), score, predicted."""
-    record = F.struct(*keep) if keep else F.struct("*")
-    rows = docs.select(record.alias("record"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scored(model), f"record {rows.schema['record'].dataType.simpleString()}, score double, predicted int")
+def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """One row per document: record (all its columns), score, predicted. The text crosses to Python once, within its record."""
+    rows = small_batches(docs).select(F.struct("*").alias("record"))
+    schema = T.StructType().add("record", rows.schema["record"].dataType).add("score", T.DoubleType()).add("predicted", T.IntegerType())
+    return rows.mapInArrow(_scored(model, docs.columns.index(text_col)), schema)

@@ -21,6 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from larkstream.llm.common import small_batches
+
 BLANK = "▁"
 REMEMBERED, LONGEST = 400_000, 48  # words that a worker remembers, and how long they may be
 
@@ -104,4 +106,4 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([ids, size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkstream.llm.common import small_batches
+
 MAX_RULES = 100_000
 TOKEN = re.compile("[a-z0-9]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -106,4 +108,4 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = LISTED + OWN, default
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in cols[:5]), pa.array(cols[5], pa.int32())], ["page_id", "host", "path", "rule", "verdict", "pattern", "n_tried"])
 
-    return pages.select(id_col, url_col).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, pattern string, n_tried int")
+    return small_batches(pages).select(id_col, url_col).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, pattern string, n_tried int")
