@@ -3,14 +3,21 @@
 Every token of a text is predicted from the `SIDE` tokens on both sides of it; the sum of the logs of
 these conditional probabilities scores the document. Tokens are words (A-Z lower-cased): the `KNOWN`
 most frequent ones of the whole corpus have classes of their own, the others share hashed classes.
+The network predicts the class, the counts of the whole corpus the word in it:
+log P(word) = log P(class | context) + log share of the word in its class. Of the N tokens and T
+distinct words of a shared class a word that occurs n times has the share n / (N + T); the T shares
+that remain stand for words never seen, which have 1 / (N + T) each (Witten-Bell).
 
 1. Counts: each task counts its words, one shuffle adds them up over the whole corpus (it grows with
-   the number of distinct words), and the most frequent ones come to the driver.
+   the number of distinct words) into a table of all words; the `KNOWN` most frequent ones come to the
+   driver, and so do the sums of the classes.
 2. Training in numpy: starting from the same weights, each task runs Adam over a seeded share
    (1 in `every`) of the positions of all its documents; the weights are averaged, each by its number
    of positions, first within groups of tasks and then over groups, for `rounds` rounds. So what is
    gathered grows with the corpus, and the driver gets some weights of fixed size.
-3. Scoring is a narrow map over whole texts, in blocks of positions, so memory is bounded.
+3. Scoring is a narrow map over whole texts, in blocks of positions, so memory is bounded. It holds the
+   counts of at most `HEAD` words; the other words of each text are joined with the table of all words
+   (words there that occur once add log 1 = 0), in whole numbers, so sums do not depend on their order.
 
 Edge cases: null, empty and wordless texts have 0 tokens, pll 0 and a null mean; the context beyond
 either end of a text is a padding class; repeated rows have equal scores; extra columns are ignored;
@@ -25,16 +32,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkstream.llm.common import slices, small_batches
+from larkstream.llm.common import slices, small_batches, written
 from larkstream.llm.textvec import UNBLANK, word_hashes
 
 KNOWN, SHARED, SIDE, WIDTH = 192, 64, 3, 24
 CLASSES = KNOWN + SHARED  # class CLASSES is the padding
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 SHAPES = [(len(OFFSETS), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,)]
+HEAD = 65536  # words whose counts each task holds
+UNIT = 1 << 24  # logs of counts are added up as whole multiples of 1 / UNIT
 BLOCK = 4096  # positions scored at once
 GROUPS = (256, 16)  # tasks' weights are added up in so many groups, then in fewer; as many reach the driver
 
@@ -105,6 +114,48 @@ class Trainer:
                 w -= self.rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-6)
 
 
+@dataclass(frozen=True)
+class Shares:
+    """What tasks need to know of the counts of words: sums of the shared classes and the head of the table."""
+
+    sums: np.ndarray  # log of tokens and distinct words of each shared class
+    head: np.ndarray  # hashes, sorted
+    logs: np.ndarray  # logs of their counts, in units
+
+    @classmethod
+    def of(cls, counts: DataFrame, known: list[int]) -> Shares:
+        counts = counts.where(~F.col("word").isin(known)) if known else counts
+        total = np.ones(SHARED)
+        for r in counts.groupBy(F.col("word").bitwiseAND(SHARED - 1).alias("class")).agg((F.sum("n") + F.count("*")).alias("n")).collect():
+            total[r["class"]] = r.n
+        step = F.floor(F.log2("n") * 8)
+        room, least = HEAD, None
+        for r in counts.where("n > 1").groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+            room -= r["count"]
+            if room < 0:
+                break
+            least = r.step
+        held = counts.where("n > 1").where(step >= least if least is not None else F.lit(False)).select("word", log_units().alias("u")).toArrow()
+        head, logs = held["word"].to_numpy().view(np.uint64), held["u"].to_numpy()
+        order = np.argsort(head)
+        return cls(np.log(total), head[order], logs[order])
+
+    def of_words(self, words: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logs of the shares as far as they are known here, and which words the table of all words may add to."""
+        shared = classes >= KNOWN
+        out = np.where(shared, -self.sums[np.maximum(classes - KNOWN, 0)], 0.0)
+        if not len(self.head):
+            return out, shared
+        near = np.minimum(np.searchsorted(self.head, words), len(self.head) - 1)
+        here = shared & (self.head[near] == words)
+        out[here] += self.logs[near[here]] / UNIT
+        return out, shared & ~here
+
+
+def log_units() -> Column:
+    return F.round(F.log("n") * UNIT).cast("long")
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     known: np.ndarray  # hashes, sorted
@@ -124,22 +175,22 @@ class Vocabulary:
         return out
 
 
-def padded(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all texts with SIDE paddings around each, the places of real tokens, and where each text's tokens begin."""
+def padded(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all texts with SIDE paddings around each, the places of real tokens, where each text's tokens begin, and the words."""
     words, at = word_hashes(texts, UNBLANK)
     n = np.diff(at)
     places = np.arange(len(words)) + SIDE * (np.repeat(np.arange(len(n)), n) + 1)
     line = np.full(len(words) + SIDE * (len(n) + 1), CLASSES, np.int64)
     line[places] = vocabulary.classes(words)
-    return line, places, at
+    return line, places, at, words
 
 
 def around(line: np.ndarray, places: np.ndarray) -> np.ndarray:
     return line[places[:, None] + np.array(OFFSETS)]
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", most: int = KNOWN) -> list[int]:
-    """Hashes of the most frequent words of all texts, most frequent first."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Hash and count of every word of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -148,8 +199,16 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = KNOWN) -
             n = np.bincount(at, np.concatenate([n for _, n in parts]), len(h)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
 
-    counted = small_batches(docs).select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return small_batches(docs).select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, most: int = KNOWN) -> list[int]:
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def frequent_words(docs: DataFrame, text_col: str = "text", most: int = KNOWN) -> list[int]:
+    """Hashes of the most frequent words of all texts, most frequent first."""
+    return most_frequent(word_counts(docs, text_col), most)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", every: int = 16, rounds: int = 2, rate: float = 0.01, seed: int = 3) -> Network:
@@ -165,7 +224,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", every
             rng = np.random.default_rng((seed, turn, part))
             for whole in batches:
                 for batch in slices(whole, 0):
-                    line, places, _ = padded(batch.column(0), vocabulary)
+                    line, places, _, _ = padded(batch.column(0), vocabulary)
                     some = places[rng.random(len(places)) < 1 / every]
                     trainer.learn(around(line, some), line[some])
             if trainer.seen:
@@ -187,28 +246,43 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", every
     return net
 
 
-def pseudo_likelihood(docs: DataFrame, net: Network, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens, pll (sum of log-probabilities), mean_pll, perplexity."""
+def pseudo_likelihood(docs: DataFrame, net: Network, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """One row per document: doc_id, n_tokens, pll (sum of log-probabilities), mean_pll, perplexity.
+
+    With the counts of all words these are of words, without them of classes.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
+    shares = Shares.of(counts, vocabulary.known.view(np.int64).tolist()) if counts is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1, 1 << 20):
-                line, places, at = padded(batch.column(1), vocabulary)
+                line, places, at, words = padded(batch.column(1), vocabulary)
                 logs = np.zeros(len(places) + 1)
+                more = np.zeros(len(places), bool)
                 for k in range(0, len(places), BLOCK):
                     p = places[k : k + BLOCK]
                     logs[k : k + len(p)] = net.log_probs(around(line, p), line[p])
+                    if shares:
+                        known, more[k : k + len(p)] = shares.of_words(words[k : k + len(p)], line[p])
+                        logs[k : k + len(p)] += known
                 n = np.diff(at)
                 total = np.where(n > 0, np.add.reduceat(logs, at[:-1]), 0.0)
-                mean = np.where(n > 0, total / np.maximum(n, 1), 0.0)
-                none = pa.array(n == 0)
-                columns = [pa.array(x, pa.float64(), mask=none.to_numpy(zero_copy_only=False)) for x in (mean, np.exp(-mean))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), *columns], ["doc_id", "n_tokens", "pll", "mean_pll", "perplexity"])
+                begin = np.concatenate([[0], np.cumsum(more)])[at].astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(begin), pa.array(words[more].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), rest], ["doc_id", "n_tokens", "pll", "rest"])
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, pll double, mean_pll double, perplexity double")
+    scored = small_batches(docs).select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, pll double, rest array<long>")
+    if counts is not None:
+        scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scores")
+        rest = scored.select("row", F.explode("rest").alias("word"))
+        added = rest.join(counts.where("n > 1"), "word").groupBy("row").agg(F.sum(log_units()).alias("added"))
+        scored = scored.drop("rest").join(added, "row", "left").withColumn("pll", F.col("pll") + F.coalesce(F.col("added") / UNIT, F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))
+    return scored.select("doc_id", "n_tokens", "pll", mean.alias("mean_pll"), F.exp(-mean).alias("perplexity"))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    vocabulary = Vocabulary.of(frequent_words(docs, text_col))
-    return pseudo_likelihood(docs, train(docs, vocabulary, text_col), vocabulary, id_col, text_col)
+    counts = written(word_counts(docs, text_col), "words")
+    vocabulary = Vocabulary.of(most_frequent(counts))
+    return pseudo_likelihood(docs, train(docs, vocabulary, text_col), vocabulary, id_col, text_col, counts)

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -287,3 +287,31 @@ def test_pseudo_likelihood_prefers_what_it_has_learnt(make):
 
 def test_pseudo_likelihood_of_an_empty_table(make):
     assert lm_score.score_documents(make([])).count() == 0
+
+
+@pytest.mark.parametrize("head", [lm_score.HEAD, 5])
+def test_words_of_one_class_are_scored_apart(make, monkeypatch, head):
+    """log P(word) is the log of its class and of its share by whole-corpus counts; words never seen have a term."""
+    monkeypatch.setattr(lm_score, "HEAD", head)
+    rows = [(i, " ".join(f"w{k}" for k in range(0, 600, 1 + i % 7))) for i in range(30)]
+    docs = make(rows)
+    counts = lm_score.word_counts(docs).cache()
+    vocabulary = lm_score.Vocabulary.of(lm_score.most_frequent(counts))
+    net = lm_score.Network.fresh(1)
+    n = Counter(w for _, t in rows for w in t.split())
+    hashes = textvec.word_hashes(pa.array([" ".join(n)]), textvec.UNBLANK)[0]
+    of = dict(zip(n, vocabulary.classes(hashes).tolist(), strict=True))
+    total = Counter()
+    for w, c in of.items():
+        total[c] += n[w] + 1
+    share = lambda w: 0.0 if of[w] < lm_score.KNOWN else np.log(n[w] / total[of[w]])
+    texts = dict(rows) | {100: "w1 never-seen w2", 101: None}
+    made = make(list(texts.items()), 4)
+    whole = {r.doc_id: r for r in lm_score.pseudo_likelihood(made, net, vocabulary, counts=counts).collect()}
+    part = {r.doc_id: r for r in lm_score.pseudo_likelihood(made, net, vocabulary).collect()}
+    for i, t in rows:
+        assert whole[i].pll == pytest.approx(part[i].pll + sum(map(share, t.split())), abs=1e-3)
+        assert whole[i].mean_pll == pytest.approx(whole[i].pll / len(t.split()))
+    unseen = int(vocabulary.classes(textvec.word_hashes(pa.array(["never-seen"]), textvec.UNBLANK)[0])[0])
+    assert whole[100].pll == pytest.approx(part[100].pll + share("w1") + share("w2") - np.log(total[unseen]), abs=1e-3)
+    assert whole[101].pll == 0 and whole[101].mean_pll is None
