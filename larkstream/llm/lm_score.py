@@ -11,8 +11,8 @@ that remain stand for words never seen, which have 1 / (N + T) each (Witten-Bell
 1. Counts: each task counts its words, one shuffle adds them up over the whole corpus (it grows with
    the number of distinct words) into a table of all words; the `KNOWN` most frequent ones come to the
    driver, and so do the sums of the classes.
-2. Training in numpy: starting from the same weights, each task runs Adam over a seeded share
-   (1 in `every`) of the positions of all its documents; the weights are averaged, each by its number
+2. Training in numpy: starting from the same weights, each task runs Adam over all positions
+   of its documents (or a seeded share of 1 in `every`); the weights are averaged, each by its number
    of positions, first within groups of tasks and then over groups, for `rounds` rounds. So what is
    gathered grows with the corpus, and the driver gets some weights of fixed size.
 3. Scoring is a narrow map over whole texts, in blocks of positions, so memory is bounded. It holds the
@@ -83,15 +83,20 @@ class Network:
     def gradients(self, context: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
         c, _, o, ob = self.weights
         h = self.hidden(context)
-        logits = h @ o + ob
-        p = np.exp(logits - logits.max(1)[:, None])
+        p = h @ o
+        p += ob
+        p -= p.max(1)[:, None]
+        np.exp(p, out=p)
         p /= p.sum(1)[:, None]
         p[np.arange(len(target)), target] -= 1
         p /= len(target)
         back = (p @ o.T) * (1 - h * h)
         gc = np.zeros_like(c)
         for k in range(len(OFFSETS)):
-            np.add.at(gc[k], context[:, k], back)
+            order = np.argsort(context[:, k], kind="stable")
+            held = context[order, k]
+            first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+            gc[k][held[first]] = np.add.reduceat(back[order], first)
         return [gc, back.sum(0), h.T @ p, p.sum(0)]
 
 
@@ -211,7 +216,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = KNOWN) -
     return most_frequent(word_counts(docs, text_col), most)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", every: int = 16, rounds: int = 2, rate: float = 0.01, seed: int = 3) -> Network:
+def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", every: int = 1, rounds: int = 2, rate: float = 0.01, seed: int = 3) -> Network:
     net = Network.fresh(seed)
     for turn in range(rounds):
         start = net.flat()

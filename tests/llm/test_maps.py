@@ -315,3 +315,11 @@ def test_words_of_one_class_are_scored_apart(make, monkeypatch, head):
     unseen = int(vocabulary.classes(textvec.word_hashes(pa.array(["never-seen"]), textvec.UNBLANK)[0])[0])
     assert whole[100].pll == pytest.approx(part[100].pll + share("w1") + share("w2") - np.log(total[unseen]), abs=1e-3)
     assert whole[101].pll == 0 and whole[101].mean_pll is None
+
+
+def test_training_uses_every_position(make):
+    r = random.Random(6)
+    docs = make([(i, " ".join(r.choice("abcdef") for _ in range(50))) for i in range(4)], 1)
+    vocabulary = lm_score.Vocabulary.of(lm_score.frequent_words(docs))
+    default, whole, share = [lm_score.train(docs, vocabulary, **k).flat() for k in ({}, {"every": 1}, {"every": 16})]
+    assert np.allclose(default, whole, atol=1e-5) and not np.allclose(default, share, atol=1e-3)
