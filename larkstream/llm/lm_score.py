@@ -11,10 +11,13 @@ that remain stand for words never seen, which have 1 / (N + T) each (Witten-Bell
 1. Counts: each task counts its words, one shuffle adds them up over the whole corpus (it grows with
    the number of distinct words) into a table of all words; the `KNOWN` most frequent ones come to the
    driver, and so do the sums of the classes.
-2. Training in numpy: starting from the same weights, each task runs Adam over all positions
-   of its documents (or a seeded share of 1 in `every`); the weights are averaged, each by its number
-   of positions, first within groups of tasks and then over groups, for `rounds` rounds. So what is
-   gathered grows with the corpus, and the driver gets some weights of fixed size.
+2. Training in numpy: texts are cut into pieces of `PIECE` tokens (with their context), and these are
+   dealt into units of about `STEPS * BATCH` tokens by the hash of what they hold, copies each for itself.
+   Starting from the same weights, each unit runs Adam over all its positions (or a seeded share of 1 in
+   `every`), a small one so often that it takes some `STEPS` steps; the weights are averaged, each by its
+   number of positions, first within groups of units and then over groups. So what is learnt does not
+   depend on how the table is cut into partitions, what is gathered grows with the corpus, and the driver
+   gets some weights of fixed size.
 3. Scoring is a narrow map over whole texts, in blocks of positions, so memory is bounded. It holds the
    counts of at most `HEAD` words; the other words of each text are joined with the table of all words
    (words there that occur once add log 1 = 0), in whole numbers, so sums do not depend on their order.
@@ -26,7 +29,7 @@ an empty table trains nothing and gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,8 +47,10 @@ OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 SHAPES = [(len(OFFSETS), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,)]
 HEAD = 65536  # words whose counts each task holds
 UNIT = 1 << 24  # logs of counts are added up as whole multiples of 1 / UNIT
+PIECE = 4096  # tokens of a text that stay together in training
+BATCH, STEPS = 1024, 1024  # positions of a training step, and steps of a unit
 BLOCK = 4096  # positions scored at once
-GROUPS = (256, 16)  # tasks' weights are added up in so many groups, then in fewer; as many reach the driver
+GROUPS = (256, 16)  # units' weights are added up in so many groups, then in fewer; as many reach the driver
 
 
 @dataclass
@@ -101,9 +106,9 @@ class Network:
 
 
 class Trainer:
-    """Adam over one task's positions, in batches."""
+    """Adam over one unit's positions, in batches."""
 
-    def __init__(self, net: Network, rate: float, batch: int = 512):
+    def __init__(self, net: Network, rate: float, batch: int = BATCH):
         self.net, self.rate, self.batch, self.steps, self.seen = net, rate, batch, 0, 0
         self.m, self.v = [[np.zeros_like(w) for w in net.weights] for _ in range(2)]
 
@@ -216,36 +221,69 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = KNOWN) -
     return most_frequent(word_counts(docs, text_col), most)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", every: int = 1, rounds: int = 2, rate: float = 0.01, seed: int = 3) -> Network:
+def pieces(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
+    """Classes of all texts in pieces of PIECE tokens with SIDE more on either side, and how often each piece occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 0):
+                line, places, at, _ = padded(batch.column(0), vocabulary)
+                small = line.astype(np.uint16)
+                held = []
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    held += [small[places[k] - SIDE : places[min(k + PIECE, b) - 1] + SIDE + 1].tobytes() for k in range(a, b, PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["line"])
+
+    return small_batches(docs).select(text_col).mapInArrow(run, "line binary").groupBy("line").agg(F.count("*").alias("copies"))
+
+
+def learning(start: np.ndarray, turn: int, every: int, rate: float, seed: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Trains one unit from `start`."""
+
+    def run(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+        trainer = Trainer(Network.of(start), rate)
+        rng = np.random.default_rng((seed, turn, key[0]))
+        lines = [np.frombuffer(x, np.uint16) for x in held.sort_values(["place", "line"])["line"]]
+        line = np.concatenate(lines)
+        inner = np.ones(len(line), bool)
+        ends = np.cumsum([len(x) for x in lines])
+        for k in range(SIDE):
+            inner[ends - 1 - k] = False
+            inner[np.concatenate([[0], ends[:-1]]) + k] = False
+        places = np.flatnonzero(inner)
+        share = -(-len(places) // every)
+        times = max(1, round(STEPS / -(-share // BATCH)))
+        for k in range(times):
+            some = rng.permutation(places)[:share]
+            for b in range(0, share, BATCH):
+                trainer.rate = rate / (1 + turn) * (1 - 0.9 * (k + b / share) / times)
+                p = some[b : b + BATCH]
+                trainer.learn(around(line, p).astype(np.int64), line[p].astype(np.int64))
+        flat = trainer.net.flat().astype(np.float64) * len(places)
+        return pd.DataFrame({"grp": [key[0]], "n": [len(places)], "w": [flat.tobytes()]})
+
+    return run
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", every: int = 1, rounds: int = 1, rate: float = 0.01, seed: int = 3) -> Network:
     net = Network.fresh(seed)
+    dealt = written(pieces(docs, vocabulary, text_col), "pieces")
+    tokens = dealt.agg(F.sum((F.octet_length("line") / 2 - 2 * SIDE) * F.col("copies"))).first()[0]
+    units = max(1, round((tokens or 0) / (STEPS * BATCH)))
+    dealt = dealt.select("line", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("line", F.xxhash64("line", "copy").alias("place"))
+    dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("place"), F.lit(units))).repartition(2 * units, "grp")
     for turn in range(rounds):
-        start = net.flat()
-
-        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            trainer = Trainer(Network.of(start), rate / (1 + turn))
-            part = TaskContext.get().partitionId()
-            rng = np.random.default_rng((seed, turn, part))
-            for whole in batches:
-                for batch in slices(whole, 0):
-                    line, places, _, _ = padded(batch.column(0), vocabulary)
-                    some = places[rng.random(len(places)) < 1 / every]
-                    trainer.learn(around(line, some), line[some])
-            if trainer.seen:
-                flat = trainer.net.flat().astype(np.float64) * trainer.seen
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([trainer.seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["grp", "n", "w"])
 
         def added(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
             total = np.zeros(len(held["w"].iloc[0]) // 8)
-            for w in held["w"]:
+            for w in held.sort_values("grp")["w"]:
                 total += np.frombuffer(w)
             return pd.DataFrame({"grp": [key[0]], "n": [int(held["n"].sum())], "w": [total.tobytes()]})
 
-        learnt = small_batches(docs).select(text_col).mapInArrow(run, "grp long, n long, w binary")
+        learnt = dealt.groupBy("grp").applyInPandas(learning(net.flat(), turn, every, rate, seed), "grp long, n long, w binary")
         for groups in GROUPS:
             learnt = learnt.groupBy((F.col("grp") % groups).alias("grp")).applyInPandas(added, "grp long, n long, w binary")
-        sums = learnt.collect()
+        sums = sorted(learnt.collect(), key=lambda r: r.grp)
         if sums:
             net = Network.of(sum(np.frombuffer(r.w) for r in sums) / sum(r.n for r in sums))
     return net

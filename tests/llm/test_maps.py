@@ -323,3 +323,19 @@ def test_training_uses_every_position(make):
     vocabulary = lm_score.Vocabulary.of(lm_score.frequent_words(docs))
     default, whole, share = [lm_score.train(docs, vocabulary, **k).flat() for k in ({}, {"every": 1}, {"every": 16})]
     assert np.allclose(default, whole, atol=1e-5) and not np.allclose(default, share, atol=1e-3)
+
+
+def test_training_does_not_depend_on_partitions(make, monkeypatch):
+    """Several units, with copies and texts of more than one piece."""
+    for name, n in (("PIECE", 64), ("BATCH", 16), ("STEPS", 128)):
+        monkeypatch.setattr(lm_score, name, n)
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["a", "b", "c d", "e f g"]) for _ in range(r.randint(1, 200)))) for i in range(40)] + [(50 + i, "copy of a text") for i in range(9)] + [(None, None)]
+    docs = make(rows)
+    vocabulary = lm_score.Vocabulary.of(lm_score.frequent_words(docs))
+    few, many = [lm_score.train(make(rows, n), vocabulary).flat() for n in (1, 30)]
+    assert np.allclose(few, many, atol=1e-4)
+    learnt = lm_score.pseudo_likelihood(make([(1, "e f g e f g e f g")], 30), lm_score.Network.of(many), vocabulary).first()
+    assert learnt.mean_pll > -3  # uniform: -5.5
+    cut = lm_score.pieces(make([(1, " ".join("abc"[i % 3] for i in range(150))), (2, "a"), (3, "A")]), vocabulary).collect()
+    assert sorted((len(c.line) // 2 - 2 * lm_score.SIDE, c.copies) for c in cut) == [(1, 2), (22, 1), (64, 1), (64, 1)]
