@@ -36,9 +36,9 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_AUTHORITY = re.compile(r"[^\s/?#\"'<>]{1,255}")
-_AFTER_CUE = re.compile(r"[\x20\t]{0,3}(?:no\.?|number|nr\.?|id)?[\x20\t]{0,3}[:=#]?[\x20\t]{0,3}[\"']?(?=[A-Za-z0-9])", re.I)
-_IDENTIFIER = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{4,62})[A-Za-z0-9](?![A-Za-z0-9])")
+_AUTHORITY = re.compile(r"[^\s/?#\"'<>]+")
+_AFTER_CUE = re.compile(r"[\x20\t]*+(?:no\.?|number|nr\.?|id)?[\x20\t]*+[:=#]?[\x20\t]*+[\"']?(?=[A-Za-z0-9])", re.I)
+_IDENTIFIER = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{4,})[A-Za-z0-9](?![A-Za-z0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 
 

@@ -87,6 +87,17 @@ def test_added_spans():
     assert held("é http://10.0.0.1:80/", "address") == ["10.0.0.1:80"]
 
 
+def test_added_spans_have_no_length_caps():
+    f = pii.Finder()
+    held = lambda t, k: [t[a:b] for a, b in f.spans(t)[pii.KINDS.index(k)]]
+    for n in (64, 128, 100_000):
+        assert held(f"secret: {'a1' * (n // 2)}.", "account") == ["a1" * (n // 2)]
+        assert held(f"see ftp://user:{'t' * n}@host/x", "address") == [f"user:{'t' * n}@host"]
+        assert held(f"u@{'h' * n}".join(["://", "/"]), "address") == [f"u@{'h' * n}"]
+        assert held(f"Account:{' ' * n}12345678", "account") == ["12345678"]
+    assert held("token: ab123, token: ab1234--", "account") == ["ab1234"]
+
+
 def test_pii_rows(make):
     texts = {1: None, 2: "", 3: "é a.b@c.de, +49 (30) 123-4567, 10.1.2.255, 4111 1111 1111 1111; 300.1.1.1", 4: "no" * 50_000}
     got = {r.doc_id: r for r in pii.find_pii(make(list(texts.items()))).collect()}
