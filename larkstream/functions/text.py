@@ -90,6 +90,18 @@ def percent(ratio: Column) -> Column:
     return F.format_string("%.0f%%", ratio * 100)
 
 
+def gate_detail(action: Column, ratio: Column, kept_sec: Column) -> Column:
+    """What the gate did: passed, or trimmed to so many seconds, at which share of speech; null for drops."""
+    share = F.concat(F.lit("speech "), percent(ratio))
+    return F.when(action == "pass", F.concat(F.lit("pass "), share)).when(action == "trim", F.concat(F.format_string("trim → %.1fs ", kept_sec), share))
+
+
+def asr_detail(text: Column, error: Column, segment_sec: Column) -> Column:
+    """The preview of a recognised text with the length of its segment, where that is known, or the error."""
+    hint = F.coalesce(F.format_string(" pipeline_seg=%.2fs", segment_sec), F.lit(""))
+    return F.when(error.isNotNull(), F.concat(F.lit("ERROR: "), error)).otherwise(F.concat(preview(text), F.when(segment_sec.isNotNull(), hint).otherwise("")))
+
+
 def row_height(time: Column, source: Column, text: Column, width: int) -> Column:
     """Lines that time, label and text take when wrapped at `width`; at least 1."""
     if width == 0:
@@ -142,6 +154,11 @@ def merged_flag(in_args: Column, arg: Column, env: Column) -> Column:
     return F.coalesce(F.when(in_args, arg), truthy(env), arg)
 
 
+def loopback_on(told_on: Column, told_off: Column, saved: Column) -> Column:
+    """Whether to record what is played: told to, or saved so, unless told not to."""
+    return (F.coalesce(told_on, F.lit(False)) | F.coalesce(saved, F.lit(False))) & ~F.coalesce(told_off, F.lit(False))
+
+
 def dump_name(now: Column, taken: Column, suffix: Column) -> Column:
     """Name of an export by its time; `suffix` makes it unique where it is taken."""
     plain = F.concat(F.lit("transcript_dump_"), F.date_format(now, "yyyy-MM-dd_HHmmss"))

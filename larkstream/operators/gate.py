@@ -22,18 +22,25 @@ def gate_ratio(frames: DataFrame, key: str, speech: Column, gate: float = GATE)
 
 
 def dilate(frames: DataFrame, key: str, order: list[str], speech: Column, pad: int) -> DataFrame:
-    """frames with `keep`: whether a speech frame lies within `pad` frames."""
+    """frames with `keep`: whether a speech frame lies within `pad` frames. A key's frames are sorted in one task (they spill)."""
     near = Window.partitionBy(key).orderBy(*order).rowsBetween(-pad, pad)
     return frames.withColumn("keep", F.max(speech).over(near))
 
 
 def compact(frames: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Kept frames with their new position from 0."""
+    """Kept frames with their new position from 0; sorted by key as in `dilate`."""
     return frames.where("keep").withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
 
 
 def whole_frames(samples: DataFrame, key: str, order: list[str], width: int) -> DataFrame:
-    """samples with the number of their frame of `width`; a partial last frame is dropped."""
-    run = Window.partitionBy(key).orderBy(*order)
-    numbered = samples.withColumn("frame", F.floor((F.row_number().over(run) - 1) / width))
-    return numbered.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(key, "frame"))).where(F.col("_size") == width).drop("_size")
+    """samples with the number of their frame of `width`; a partial last frame is dropped.
+
+    Rows are numbered in a key's order, sorted in one task; the size of the last frame follows from the
+    key's count, an aggregate that is summed up before it moves. Rows travel as a struct, so no name but
+    `frame` is replaced.
+    """
+    rows = samples.select(F.struct("*").alias("record"), F.col(key).alias("k"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    run = Window.partitionBy("k").orderBy(*[f"o{i}" for i in range(len(order))])
+    numbered = rows.withColumn("at", F.row_number().over(run) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k")))
+    whole = numbered.where(F.expr(f"at < n - n % {width}"))
+    return whole.select(*[F.col("record")[c].alias(c) for c in samples.columns if c != "frame"], F.expr(f"at div {width}").alias("frame"))

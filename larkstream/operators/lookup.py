@@ -1,63 +1,150 @@
-"""Ranked lookups (device by query) and settings merges."""
+"""Ranked lookups: the device that a query names.
+
+The form of a query picks its rule, and that rule alone decides: an index or id that is not there is an
+error, and later rules are not tried. Rules: 1 the default device, 2 a stable id, 3 a prefixed position,
+4 a bare position, 5 the first device whose name contains the query in any case (an empty query is part
+of every name). Results have one row per distinct query: query, pos, name, rule and error; where error
+is set, pos and name are null.
+
+Rules 1 to 4 are equality joins. For rule 5 the queries that look for parts of names meet the devices in
+blocks of `BLOCK` devices by position, each of them broadcast, so no list is too long.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEVICES = 10_000
+BLOCK = 10_000  # devices
+#: What stable ids begin with.
+ID = r"^(?:alsa|asio|coreaudio|id|jack|wasapi):.+$"
+NUMBER = r"^\+?[0-9]+$"
 
 
-def find_device(devices: DataFrame, queries: DataFrame, prefix: str = "micidx:", default: str = "default") -> DataFrame:
-    """For each query (query) the device (pos, id, name) that its first fitting rule names, with the rule; null if none.
+def _number(text: Column) -> Column:
+    """A position: digits with an optional plus sign; leading zeros do not matter."""
+    return F.when(text.rlike(NUMBER), F.regexp_replace(text, r"^\+?0*(?=[0-9])", "").try_cast("bigint"))
 
-    Rules in order: the default device, a stable id, ``micidx:N``, a bare position, the first name that
-    contains the query whatever the case. `devices` is a list of one machine's devices, at most
-    `MAX_DEVICES`, which is checked before it is broadcast; `queries` stays where it is.
-    """
-    if devices.limit(MAX_DEVICES + 1).count() > MAX_DEVICES:
-        raise ValueError(f"more than {MAX_DEVICES} devices")
-    q = queries.withColumn("_q", F.trim("query")).withColumn("_n", F.regexp_extract("_q", rf"^(?:{prefix})?(\d{{1,9}})$", 1))
-    d = devices.select(F.col("pos").alias("_pos"), F.col("id").alias("_id"), F.col("name").alias("_name"))
-    at = (F.col("_n") != "") & (F.col("_n") == F.col("_pos").cast("string"))
-    rule = (
-        F.when((F.lower("_q") == default) & (F.col("_pos") == 0), 1)
-        .when(F.col("_q") == F.col("_id"), 2)
-        .when(F.col("_q").startswith(prefix) & at, 3)
-        .when(~F.col("_q").startswith(prefix) & at, 4)
-        .when((F.col("_q") != "") & F.lower("_name").contains(F.lower("_q")), 5)
+
+def _listed(devices: DataFrame) -> DataFrame:
+    """pos, id, name and input (whether it can record) of the devices."""
+    one = lambda c, other: F.col(c) if c in devices.columns else other
+    return devices.select(F.col("pos").cast("long").alias("_pos"), one("id", F.lit(None).cast("string")).alias("_id"), F.col("name").alias("_name"), one("input", F.lit(True)).alias("_input"))
+
+
+def _first_with_part(parts: DataFrame, devices: DataFrame) -> DataFrame:
+    """parts (_part) with the first device whose name contains it, as `_hit`; parts that none contains are left out."""
+    top = devices.agg(F.max("_pos")).first()[0]
+    found = None
+    for k in range(0, (top or 0) + 1, BLOCK):
+        block = F.broadcast(devices.where(F.col("_pos").between(k, k + BLOCK - 1)).select("_pos", "_name"))
+        met = parts.join(block, F.lower("_name").contains(F.lower("_part"))).groupBy("_part").agg(F.min(F.struct("_pos", "_name")).alias("_hit"))
+        found = met if found is None else found.unionByName(met)
+    return found.groupBy("_part").agg(F.min("_hit").alias("_hit"))
+
+
+def _asked(queries: DataFrame, prefix: str | None, defaults: tuple[str, ...], ids: bool, trim: bool) -> DataFrame:
+    """Distinct queries with their rule, the text that rule looks for (_q) and the position it names (_n)."""
+    q = queries.select("query").distinct().withColumn("_q", F.regexp_replace("query", r"^\s+|\s+$", "") if trim else F.col("query"))
+    prefixed = F.col("_q").startswith(prefix) if prefix else F.lit(False)
+    rule = F.when(F.lower("_q").isin(*defaults), 1)
+    by_id, by_prefix = F.col("_q").rlike(ID), prefixed
+    rule = rule.when(by_id, 2).when(by_prefix, 3) if ids else rule
+    q = q.withColumn("rule", rule.when(_number(F.col("_q")).isNotNull(), 4).otherwise(5))
+    rest = F.substr("_q", F.lit(len(prefix or "") + 1))
+    return q.withColumn("_n", F.when(F.col("rule") == 3, _number(rest)).when(F.col("rule") == 4, _number(F.col("_q"))))
+
+
+def _result(rows: DataFrame, error: Column) -> DataFrame:
+    ok = F.col("pos").isNotNull()
+    return rows.select("query", "pos", F.when(ok, F.col("name")).alias("name"), "rule", F.when(~ok, error).alias("error"))
+
+
+def find_device(devices: DataFrame, queries: DataFrame) -> DataFrame:
+    """For each query the recording device of devices (pos, name, and id and input where there are such columns)."""
+    d = _listed(devices)
+    q = _asked(queries, "micidx:", ("default",), True, True)
+    first = d.where("_input").agg(F.min(F.struct("_pos", "_name")).alias("_hit"))
+    hit = F.struct("_pos", "_name").alias("_hit")
+    one = q.where("rule = 1").crossJoin(F.broadcast(first))  # one row
+    two = q.where("rule = 2").join(d.withColumnRenamed("_id", "_q"), "_q", "left").withColumn("_hit", F.when(F.col("_input"), F.struct("_pos", "_name")))
+    three = q.where("rule in (3, 4)").join(d.select(F.col("_pos").alias("_n"), hit), "_n", "left")
+    five = q.where("rule = 5").withColumn("_part", F.col("_q"))
+    five = five.join(_first_with_part(five.select("_part").distinct(), d), "_part", "left")
+    columns = ["query", "rule", F.col("_hit._pos").alias("pos"), F.col("_hit._name").alias("name")]
+    rows = one.select(*columns, F.lit(False).alias("_deaf"), "_n").unionByName(two.select(*columns, F.coalesce(~F.col("_input"), F.lit(False)).alias("_deaf"), "_n"))
+    rows = rows.unionByName(three.select(*columns, F.lit(False).alias("_deaf"), "_n")).unionByName(five.select(*columns, F.lit(False).alias("_deaf"), "_n"))
+    return _result(rows, _errors())
+
+
+def _errors() -> Column:
+    rule = F.col("rule")
+    return (
+        F.when(rule == 1, "no default device")
+        .when((rule == 2) & F.col("_deaf"), "not an input")
+        .when(rule == 2, "no such id")
+        .when((rule == 3) & F.col("_n").isNull(), "not a number")
+        .when(rule.isin(3, 4), "no such position")
+        .otherwise("no such name")
     )
-    met = q.join(F.broadcast(d), rule.isNotNull(), "left").withColumn("rule", rule)
-    best = Window.partitionBy("query").orderBy("rule", "_pos")
-    return met.withColumn("_k", F.row_number().over(best)).where("_k = 1").select("query", F.col("_pos").alias("pos"), F.col("_name").alias("name"), "rule")
 
 
 def find_loopback(devices: DataFrame, outputs: DataFrame, queries: DataFrame) -> DataFrame:
-    """As find_device, for loopback devices: ``lbidx:N`` counts loopback devices, a bare position counts outputs
-    (0 is the default one) and stands for the first loopback device whose name contains that output's name; where
-    none does, later rules apply."""
-    if outputs.limit(MAX_DEVICES + 1).count() > MAX_DEVICES:
-        raise ValueError(f"more than {MAX_DEVICES} outputs")
-    bare = queries.where(F.trim("query").rlike(r"^\d{1,9}$")).select("query", F.trim("query").cast("int").alias("_n"))
-    named = bare.join(F.broadcast(outputs.select(F.col("pos").alias("_n"), F.lower("name").alias("_out"))), "_n")
-    hop = named.join(F.broadcast(devices.select(F.col("pos").alias("_pos"), F.col("name").alias("_name"))), F.lower("_name").contains(F.col("_out")))
-    hop = hop.groupBy("query").agg(F.min(F.struct("_pos", "_name")).alias("hop"))
-    asked = queries.withColumn("_asked", F.when(F.lower(F.trim("query")) == "default-output", "default").otherwise(F.col("query")))
-    found = find_device(devices, asked.select(F.col("_asked").alias("query")).distinct(), "lbidx:")
-    number = F.trim("query").rlike(r"^\d{1,9}$")  # here a bare position means an output, before any part of a name
-    found = found.withColumn("rule", F.when(~number | (F.col("rule") <= 3), F.col("rule")))
-    parts = F.broadcast(devices.select(F.col("pos").alias("_pos"), F.col("name").alias("_name")))
-    sub = bare.join(parts, F.lower("_name").contains(F.trim("query"))).groupBy("query").agg(F.min(F.struct("_pos", "_name")).alias("sub"))
-    joined = asked.join(found.withColumnRenamed("query", "_asked"), "_asked").join(hop, "query", "left").join(sub, "query", "left")
-    direct = F.when(F.col("rule").isNotNull(), F.struct("pos", "name", "rule"))
-    hopped = F.when(F.col("hop").isNotNull(), F.struct(F.col("hop._pos").alias("pos"), F.col("hop._name").alias("name"), F.lit(4).alias("rule")))
-    by_part = F.when(F.col("sub").isNotNull(), F.struct(F.col("sub._pos").alias("pos"), F.col("sub._name").alias("name"), F.lit(5).alias("rule")))
-    return joined.select("query", F.coalesce(direct, hopped, by_part).alias("b")).select("query", "b.pos", "b.name", "b.rule")
+    """As find_device, for loopback devices: ``lbidx:N`` and ids name one of devices, which need not record.
+
+    A bare position counts outputs (pos, name; 0 is the default one) and stands for the first loopback device,
+    if that output is the default one, or for the first whose name contains the output's. Where it names none,
+    and only there, rule 5 follows.
+    """
+    d = _listed(devices)
+    q = _asked(queries, "lbidx:", ("default", "default-output"), True, True)
+    first = d.agg(F.min(F.struct("_pos", "_name")).alias("_hit"))
+    hit = F.struct("_pos", "_name").alias("_hit")
+    one = q.where("rule = 1").crossJoin(F.broadcast(first))  # one row
+    two = q.where("rule = 2").join(d.select(F.col("_id").alias("_q"), hit), "_q", "left")
+    three = q.where("rule = 3").join(d.select(F.col("_pos").alias("_n"), hit), "_n", "left")
+    named = q.where("rule = 4").join(outputs.select(F.col("pos").cast("long").alias("_n"), F.col("name").alias("_part")), "_n")
+    head = named.where(F.lower("_part") == "default-output").crossJoin(F.broadcast(first)).select("query", "_hit")
+    others = named.where(F.lower("_part") != "default-output")
+    hop = others.join(_first_with_part(others.select("_part").distinct(), d), "_part").select("query", "_hit").unionByName(head)
+    hop = hop.where(F.col("_hit").isNotNull()).withColumnRenamed("_hit", "_hop")
+    five = q.where("rule in (4, 5)").withColumn("_part", F.col("_q")).join(hop, "query", "left")
+    five = five.join(_first_with_part(five.select("_part").distinct(), d), "_part", "left")
+    five = five.withColumn("rule", F.when(F.col("_hop").isNotNull(), 4).otherwise(5)).withColumn("_hit", F.coalesce("_hop", "_hit"))
+    columns = ["query", "rule", "_n", F.col("_hit._pos").alias("pos"), F.col("_hit._name").alias("name"), F.lit(False).alias("_deaf")]
+    return _result(one.select(*columns).unionByName(two.select(*columns)).unionByName(three.select(*columns)).unionByName(five.select(*columns)), _errors())
+
+
+def find_output(outputs: DataFrame, queries: DataFrame) -> DataFrame:
+    """As find_device, for outputs (pos from 0, name) and queries that are taken as they are, untrimmed.
+
+    Position 0 is the default output, N is the output at N - 1; there are no ids and no prefix. The default
+    output is the first of the list.
+    """
+    d = _listed(outputs)
+    q = _asked(queries, None, ("default", "default-output"), False, False)
+    first = d.agg(F.min(F.struct("_pos", "_name")).alias("_hit"))
+    hit = F.struct("_pos", "_name").alias("_hit")
+    default = (F.col("rule") == 1) | ((F.col("rule") == 4) & (F.col("_n") == 0))
+    one = q.where(default).crossJoin(F.broadcast(first))  # one row
+    four = q.where((F.col("rule") == 4) & (F.col("_n") > 0)).join(d.select((F.col("_pos") + 1).alias("_n"), hit), "_n", "left")
+    five = q.where("rule = 5").withColumn("_part", F.col("_q"))
+    five = five.join(_first_with_part(five.select("_part").distinct(), d), "_part", "left")
+    columns = ["query", "rule", "_n", F.col("_hit._pos").alias("pos"), F.col("_hit._name").alias("name"), F.lit(False).alias("_deaf")]
+    return _result(one.select(*columns).unionByName(four.select(*columns)).unionByName(five.select(*columns)), _errors())
 
 
 def selected_index(devices: DataFrame, queries: DataFrame) -> DataFrame:
-    """As find_device, position 0 where nothing fits."""
-    return find_device(devices, queries).select("query", F.coalesce("pos", F.lit(0)).alias("pos"))
+    """The place to show as chosen: a token (id) equal to the query, else its position (``micidx:N``, then bare), else
+    the first name that contains it, else 0. Here each rule gives way to the next, and queries are not trimmed."""
+    d = _listed(devices)
+    q = queries.select("query").distinct()
+    q = q.withColumn("_n", F.coalesce(F.when(F.col("query").startswith("micidx:"), _number(F.substr("query", F.lit(8)))), _number(F.col("query"))))
+    token = d.groupBy(F.col("_id").alias("query")).agg(F.min("_pos").alias("_token")).where("query is not null")
+    q = q.join(token, "query", "left").join(d.select(F.col("_pos").alias("_n"), F.col("_pos").alias("_at")), "_n", "left")
+    part = _first_with_part(q.select(F.col("query").alias("_part")).distinct(), d)
+    q = q.withColumn("_part", F.col("query")).join(part, "_part", "left")
+    return q.select("query", F.coalesce("_token", "_at", "_hit._pos", F.lit(0).cast("long")).alias("pos"))
 
 
 def loopback_monitors(devices: DataFrame) -> DataFrame:

@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """df with its rank from 1 in the given order, which should have no ties.
 
-    The range-partitioned rows are checkpointed, so that both readings see the same partitions; the
-    shift of each partition comes from one count per partition.
+    The sort keys are computed once, beside the record, and the range-partitioned rows are checkpointed, so
+    that both readings see the same partitions; the shift of each partition comes from one count per
+    partition. The record travels as a struct, so no name of df can clash, but that a column called `name`
+    is replaced.
     """
     from larkstream.session import cut
 
-    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    return ranged.withColumn("_own", F.row_number().over(inside)).join(F.broadcast(shift), "_part").withColumn(name, F.col("_own") + F.col("_shift")).drop("_part", "_own", "_shift")
+    keys = [f"k{i}" for i in range(len(order))]
+    keyed = df.select(F.struct("*").alias("record"), *[c.alias(k) for c, k in zip(order, keys, strict=True)])
+    ranged = cut(keyed.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    shift = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*keys))
+    placed = ranged.withColumn("own", inside).join(F.broadcast(shift), "part")
+    return placed.select(*[F.col("record")[c].alias(c) for c in df.columns if c != name], (F.col("own") + F.col("shift")).alias(name))

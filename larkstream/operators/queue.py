@@ -51,6 +51,24 @@ def dead_letters(processed: DataFrame, before: DataFrame | None = None, most: in
     return failed.groupBy("seg_id").agg(F.sum("attempts").cast("int").alias("attempts")).withColumn("again", F.col("attempts") < most)
 
 
+def to_retry(letters: DataFrame, files: DataFrame) -> DataFrame:
+    """The files of failed segments that are to be tried again, with their attempts: the next run's input."""
+    return files.join(letters.where("again").select("seg_id", "attempts"), "seg_id")
+
+
+def still_there(pending: DataFrame, files: DataFrame, key: str = "seg_id") -> DataFrame:
+    """Pending segments whose file has not vanished since; a semi-join with a new listing."""
+    return pending.join(files.select(key), key, "left_semi")
+
+
+def acknowledged(processed: DataFrame, files: DataFrame) -> DataFrame:
+    """Files (seg_id, path) of segments that are done with: written to the transcript, or without anything to hear.
+
+    Give them to `sources.files.delete_files` after the transcript is written; those of failed segments stay.
+    """
+    return files.join(processed.where(F.col("reason").isin("kept", "empty", "silent", "no_text")).select("seg_id"), "seg_id", "left_semi")
+
+
 def seed_numbers(files: DataFrame, entries: DataFrame) -> DataFrame:
     """Per source the greatest number in file names (name) or transcript entries (seg_id), to go on from.
 

@@ -1,69 +1,99 @@
 """Cutting keyed streams into segments by silence, least and greatest length.
 
-Per key, in order, a unit (a chunk of samples, or any row with a length and a verdict) is added to the
-open segment. It closes after a unit when the silence run has reached its limit and the segment its
-least length, or when the segment has its greatest length; the closing unit belongs to it, and the
-next segment is open at once. The very first unit of a key opens a segment and so can't close it. What
-is open at the end is the tail.
-
-This is a fold with resets, which no window can express. Two forms give the same rows:
-
-* `segment_fold`: ``aggregate`` over each key's ordered array, in the JVM; for keys that fit an array.
-* `segment_runs`: rows are dealt by key and sorted within partitions, and one pass in Arrow batches
-  carries the state on from batch to batch; its memory does not grow with a key.
-
-`segment` counts the largest key first and picks the form.
+Per key, in order, a unit (a chunk of samples, or any row with a length) is added to the open segment;
+its verdicts, one per frame that ends in it, set the silence run in their order: speech sets it to 0,
+silence adds 1 (a missing verdict is speech), and only the run after the unit's last frame counts. The
+segment closes after a unit when that run has reached its limit and the segment its least length, or
+when the segment has its greatest length; the closing unit belongs to it, and the next segment is open
+at once. The first unit after the start or a pause opens a segment and so can't close it.
+
+Opening a segment consumes a number. ``pause`` drops the open segment for good, so its number is not
+used again, and units up to ``resume`` are ignored; ``eof``, or the end of the rows, closes what is open
+as the tail, unless it has no units. `seeds` are the greatest numbers already used, by key.
+
+This is a fold with resets, which no window can express. Two batch forms give the same rows; the
+stream in `larkstream.streaming.segments` is the third:
+
+* `segment_runs` (the default, `segment`): rows are dealt by key and sorted within partitions, and one
+  pass in Arrow batches carries the state on from batch to batch; its memory does not grow with a key.
+* `segment_fold`: ``aggregate`` over each key's ordered array, in the JVM, for keys that surely fit one.
+
+A key's units pass through one task in all forms: each cut depends on the one before. Ties of the order
+columns are broken by kind, length and verdicts; null lengths are 0, units of a null key are one key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-FOLD_LIMIT = 100_000  # units of a key
+CONTROLS = ("pause", "resume", "eof")
 
 
-def segment(units: DataFrame, key: str, order: list[str], length: Column, speech: Column, silence_limit: int, least: float, greatest: float) -> DataFrame:
-    """One row per segment: key, seq (from 1), n_units, length, reason (silence, max or tail)."""
-    largest = units.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    form = segment_fold if largest <= FOLD_LIMIT else segment_runs
-    return form(units, key, order, length, speech, silence_limit, least, greatest)
+def known_sources(units: DataFrame, source: str = "source_id", most: int = 1) -> DataFrame:
+    """The units of sources 0 to `most`; others are dropped."""
+    return units.where(F.col(source).between(0, most))
 
 
-def segment_fold(units: DataFrame, key: str, order: list[str], length: Column, speech: Column, silence_limit: int, least: float, greatest: float) -> DataFrame:
-    rows = units.select(F.col(key).alias("key"), F.struct(*order, length.cast("double").alias("_len"), F.coalesce(speech, F.lit(True)).alias("_speech")).alias("u"))
-    start = F.struct(
-        F.lit(False).alias("open"),
-        F.lit(0).alias("silent"),
-        F.lit(0).cast("long").alias("n"),
-        F.lit(0.0).alias("length"),
-        F.array().cast("array<struct<n_units:bigint,length:double,reason:string>>").alias("done"),
+def _rows(units: DataFrame, key: str, order: list[str], length: Column, speech: Column, kind: Column | None, seeds: DataFrame | None) -> DataFrame:
+    """Columns _key, _o0.., _kind, _len, _verdicts and _seed of the units."""
+    verdicts = speech if isinstance(units.select(speech).schema[0].dataType, T.ArrayType) else F.array(speech)
+    rows = units.select(
+        F.col(key).alias("_key"),
+        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+        F.coalesce(kind if kind is not None else F.lit("data"), F.lit("data")).alias("_kind"),
+        F.coalesce(length.cast("double"), F.lit(0.0)).alias("_len"),
+        F.transform(F.coalesce(verdicts, F.array().cast("array<boolean>")), lambda v: F.coalesce(v, F.lit(True))).alias("_verdicts"),
     )
+    if seeds is None:
+        return rows.withColumn("_seed", F.lit(0).cast("long"))
+    name, number = seeds.columns
+    last = seeds.select(F.col(name).alias("_of"), F.col(number).cast("long").alias("_last"))
+    return rows.join(last, F.col("_key").eqNullSafe(F.col("_of")), "left").withColumn("_seed", F.coalesce("_last", F.lit(0).cast("long"))).drop("_of", "_last")
+
+
+def segment_fold(units: DataFrame, key: str, order: list[str], length: Column, speech: Column, silence_limit: int, least: float, greatest: float, kind: Column | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """One row per segment: key, seq, n_units, length, reason (silence, max or tail)."""
+    rows = _rows(units, key, order, length, speech, kind, seeds)
+    state = "open boolean, paused boolean, silent int, n bigint, length double, seq bigint, done array<struct<seq:bigint,n_units:bigint,length:double,reason:string>>"
+    names = [f.split()[0] for f in state.split(", ")]
+
+    def made(**fields: Column) -> Column:
+        return F.struct(*[fields[n].alias(n) for n in names])
+
+    def one(seq: Column, n: Column, total: Column, reason: Column) -> Column:
+        return F.array(F.struct(seq.alias("seq"), n.alias("n_units"), total.alias("length"), reason.alias("reason")))
+
+    zero, none, no = F.lit(0).cast("long"), F.lit(0.0), F.lit(False)
+
+    def with_tail(s: Column) -> Column:
+        return F.when(s["open"] & (s["n"] > 0), F.concat(s["done"], one(s["seq"], s["n"], s["length"], F.lit("tail")))).otherwise(s["done"])
 
     def step(s: Column, u: Column) -> Column:
-        silent = F.when(u["_speech"], 0).otherwise(s["silent"] + 1)
+        k = u["_kind"]
+        silent = F.aggregate(u["_verdicts"], s["silent"], lambda r, v: F.when(v, 0).otherwise(r + 1))
         total, n = s["length"] + u["_len"], s["n"] + 1
         by_silence = (silent >= silence_limit) & (total >= least)
         cut = s["open"] & (by_silence | (total >= greatest))
-        reason = F.when(by_silence, "silence").otherwise("max")
-        closed = F.array(F.struct(n.alias("n_units"), total.alias("length"), reason.alias("reason")))
-        return F.struct(
-            F.lit(True).alias("open"),
-            F.when(cut, 0).otherwise(silent).alias("silent"),
-            F.when(cut, F.lit(0).cast("long")).otherwise(n).alias("n"),
-            F.when(cut, F.lit(0.0)).otherwise(total).alias("length"),
-            F.when(cut, F.concat(s["done"], closed)).otherwise(s["done"]).alias("done"),
-        )
-
-    def finish(s: Column) -> Column:
-        tail = F.array(F.struct(s["n"].alias("n_units"), s["length"].alias("length"), F.lit("tail").alias("reason")))
-        return F.when(s["n"] > 0, F.concat(s["done"], tail)).otherwise(s["done"])
-
-    folded = rows.groupBy("key").agg(F.array_sort(F.collect_list("u")).alias("units")).select("key", F.aggregate("units", start, step, finish).alias("done"))
-    return folded.select(F.col("key").alias(key), F.posexplode("done").alias("i", "s")).select(key, (F.col("i") + 1).cast("long").alias("seq"), "s.n_units", "s.length", "s.reason")
+        closed = F.concat(s["done"], one(s["seq"], n, total, F.when(by_silence, "silence").otherwise("max")))
+        data = made(
+            open=F.lit(True), paused=no, silent=F.when(cut, 0).otherwise(silent), n=F.when(cut, zero).otherwise(n), length=F.when(cut, none).otherwise(total),
+            seq=s["seq"] + F.when(cut | ~s["open"], 1).otherwise(0), done=F.when(cut, closed).otherwise(s["done"]),
+        )
+        shut = dict(open=no, silent=F.lit(0), n=zero, length=none, seq=s["seq"])
+        paused = made(paused=F.lit(True), done=s["done"], **shut)
+        resumed = made(**{n: F.lit(False) if n == "paused" else s[n] for n in names})
+        return F.when(k == "pause", paused).when(k == "resume", resumed).when(k == "eof", made(paused=s["paused"], done=with_tail(s), **shut)).when(s["paused"], s).otherwise(data)
+
+    u = F.struct(*[c for c in rows.columns if c not in ("_key", "_seed")])
+    start = made(open=no, paused=no, silent=F.lit(0), n=zero, length=none, seq=F.col("_seed"), done=F.array().cast("array<struct<seq:bigint,n_units:bigint,length:double,reason:string>>"))
+    grouped = rows.groupBy("_key").agg(F.array_sort(F.collect_list(u)).alias("units"), F.first("_seed").alias("_seed"))
+    folded = grouped.select("_key", F.aggregate("units", start, step, with_tail).alias("done"))
+    return folded.select(F.col("_key").alias(key), F.explode("done").alias("s")).select(key, "s.seq", "s.n_units", "s.length", "s.reason")
 
 
 class Cutter:
@@ -74,57 +104,84 @@ class Cutter:
         self.begin()
 
     def begin(self, seq: int = 0) -> None:
-        self.open, self.silent, self.n, self.length, self.seq = False, 0, 0, 0.0, seq
+        """Forgets all; `seq` is the last number used."""
+        self.open, self.paused, self.silent, self.n, self.length, self.seq = False, False, 0, 0, 0.0, seq
+
+    def take(self, kind: str, length: float, verdicts: Iterable[bool]) -> tuple[int, int, float, str] | None:
+        """The segment (seq, units, length, reason) that this row closes."""
+        if kind == "pause":
+            self.pause()
+        elif kind == "resume":
+            self.paused = False
+        elif kind == "eof":
+            return self.tail()
+        elif not self.paused:
+            return self.add(length, verdicts)
+        return None
 
-    def add(self, length: float, speech: bool) -> tuple[int, int, float, str] | None:
-        """The segment (seq, units, length, reason) that this unit closes."""
+    def add(self, length: float, verdicts: Iterable[bool]) -> tuple[int, int, float, str] | None:
         limit, least, greatest = self.limits
-        self.silent = 0 if speech else self.silent + 1
+        for speech in verdicts:
+            self.silent = 0 if speech else self.silent + 1
         self.n, self.length = self.n + 1, self.length + length
         by_silence = self.silent >= limit and self.length >= least
-        if self.open and (by_silence or self.length >= greatest):
-            self.seq += 1
-            done = self.seq, self.n, self.length, "silence" if by_silence else "max"
-            self.silent, self.n, self.length = 0, 0, 0.0
-            return done
-        self.open = True
-        return None
+        if not self.open:
+            self.open, self.seq = True, self.seq + 1
+            return None
+        if not by_silence and self.length < greatest:
+            return None
+        done = self.seq, self.n, self.length, "silence" if by_silence else "max"
+        self.silent, self.n, self.length, self.seq = 0, 0, 0.0, self.seq + 1
+        return done
 
-    def pause(self) -> None:
-        """The open segment goes, and its number is used again."""
+    def _shut(self) -> None:
         self.open, self.silent, self.n, self.length = False, 0, 0, 0.0
 
+    def pause(self) -> None:
+        """The open segment goes, and its number with it."""
+        self._shut()
+        self.paused = True
+
     def tail(self) -> tuple[int, int, float, str] | None:
-        if not self.n:
-            return None
-        self.seq += 1
-        return self.seq, self.n, self.length, "tail"
+        done = (self.seq, self.n, self.length, "tail") if self.open and self.n else None
+        self._shut()
+        return done
+
+
+def sorted_by_key(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows dealt by _key and sorted by it and `order` within partitions; an external sort, so it spills."""
+    return rows.repartition("_key").sortWithinPartitions("_key", *order)
 
 
-def segment_runs(units: DataFrame, key: str, order: list[str], length: Column, speech: Column, silence_limit: int, least: float, greatest: float) -> DataFrame:
-    rows = units.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], length.cast("double").alias("_len"), F.coalesce(speech, F.lit(True)).alias("_speech"))
-    rows = rows.repartition("_key").sortWithinPartitions("_key", *[f"_o{i}" for i in range(len(order))]).select("_key", "_len", "_speech")
-    kind = rows.schema["_key"].dataType.simpleString()
+def segment_runs(units: DataFrame, key: str, order: list[str], length: Column, speech: Column, silence_limit: int, least: float, greatest: float, kind: Column | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """As segment_fold, for keys of any length."""
+    rows = _rows(units, key, order, length, speech, kind, seeds)
+    by = [c for c in rows.columns if c not in ("_key", "_seed")]
+    rows = sorted_by_key(rows, by).select("_key", "_kind", "_len", "_verdicts", "_seed")
+    of = rows.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, at, begun = Cutter(silence_limit, least, greatest), None, False
         key_type = None
         for batch in batches:
             key_type, out = batch.schema.field(0).type, []
-            for k, n, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, kind, n, verdicts, seed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not begun or k != at:
                     if begun and (t := cutter.tail()):
                         out.append((at, *t))
-                    cutter.begin()
+                    cutter.begin(seed)
                     at, begun = k, True
-                if done := cutter.add(n, s):
+                if done := cutter.take(kind, n, verdicts):
                     out.append((k, *done))
             if out:
                 yield _batch(out, key_type)
         if begun and (t := cutter.tail()):
             yield _batch([(at, *t)], key_type)
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, seq long, n_units long, length double, reason string").withColumnRenamed("_key", key)
+    return rows.mapInArrow(run, f"`{key}` {of}, seq long, n_units long, length double, reason string")
+
+
+segment = segment_runs
 
 
 def _batch(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
@@ -133,7 +190,10 @@ def _batch(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
 
 
 def island_runs(df: DataFrame, key: str, order: list[str], flag: Column) -> DataFrame:
-    """df with `run`: how many rows in a row, up to this one, have the flag set (0 where it is not)."""
+    """df with `run`: how many rows in a row, up to this one, have the flag set (0 where it is not).
+
+    A running window: a key's rows are sorted in one task (they spill, they are not held).
+    """
     from pyspark.sql import Window
 
     upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

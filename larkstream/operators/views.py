@@ -1,4 +1,8 @@
-"""Views over transcripts, logs and control events: history, scrolling, latest values, running flags, exports."""
+"""Views over transcripts, logs and control events: history, scrolling, latest values, running flags, exports.
+
+Running views (`running_height`, `edges`, `while_on`, `configured`) depend on all rows of a key before each row:
+a key's rows are sorted in one task, where they spill and are not held.
+"""
 
 from __future__ import annotations
 
@@ -58,3 +62,41 @@ def export_sorted(entries: DataFrame, seg_id: str = "seg_id", timestamp: str = "
 def page(df: DataFrame, order: list[Column], offset: int, n: int) -> DataFrame:
     """n rows from a place in the order."""
     return df.orderBy(*order).offset(offset).limit(n)
+
+
+def scroll_view(heights: DataFrame, key: str, height: str, wanted: Column, rows: int, follow: Column | None = None) -> DataFrame:
+    """Per key: total height, greatest offset for a window of `rows`, and the offset shown: `wanted`, no further than that,
+    or the greatest where `follow` is true. `wanted` and `follow` are aggregates, or constants, of a key."""
+    total = F.coalesce(F.sum(height), F.lit(0)).cast("long")
+    sums = heights.groupBy(F.col(key)).agg(total.alias("total"), wanted.cast("long").alias("_wanted"), (follow if follow is not None else F.lit(False)).alias("_follow"))
+    sums = sums.withColumn("most", F.greatest(F.col("total") - rows, F.lit(0).cast("long")))
+    shown = F.when(F.col("_follow"), F.col("most")).otherwise(F.greatest(F.lit(0).cast("long"), F.least("_wanted", "most")))
+    return sums.select(key, "total", "most", shown.alias("offset"))
+
+
+def throttled(df: DataFrame, keys: list[str], ts: str, value: str, arrival: list[str], millis: int) -> DataFrame:
+    """The last value of each key in each slot of `millis`: what a screen that is drawn so often shows."""
+    slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (millis * 1000)).cast("long")
+    return latest(df.withColumn("slot", slot), [*keys, "slot"], value, arrival).drop("at")
+
+
+def configured(df: DataFrame, key: str, order: list[str], change: Column, setting: Column, at_first: Column) -> DataFrame:
+    """Rows, but not the changes themselves, with the setting in force (config) and how many changes came before (generation).
+
+    What was begun under one generation ends where the next one begins, so (key, generation) is a run.
+    """
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    changed = F.coalesce(change, F.lit(False))
+    rows = df.withColumn("config", F.coalesce(F.last(F.when(changed, setting), ignorenulls=True).over(w), at_first)).withColumn("generation", F.count_if(changed).over(w))
+    return rows.withColumn("_change", changed).where("not _change").drop("_change")
+
+
+def replace_snapshot(rows: DataFrame, name: str, path: str) -> DataFrame:
+    """The view `name` shows these rows from now on, and no earlier ones: a new folder under `path`, then the view."""
+    import uuid
+
+    spark, where = rows.sparkSession, f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+    rows.write.parquet(where)
+    held = spark.read.schema(rows.schema).parquet(where)
+    held.createOrReplaceTempView(name)
+    return held

@@ -69,30 +69,45 @@ def max_seq_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SILENCE, LEAST, GREATEST = 2, 30.0, 200.0
 
-_FOLD = f"""
+
+def _fold(kind: str = "'data'", first: str = "event_type <> 'error'", second: str = "NULL::BOOLEAN", seed: str = "0") -> str:
+    """The fold row by row: state after each unit, with what the unit closed. A null verdict here is no frame."""
+    return f"""
 WITH RECURSIVE e AS (
-  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, value AS len, event_type <> 'error' AS speech,
-         count(*) OVER (PARTITION BY user_id) AS total
-  FROM events
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS total,
+         {kind} AS kind, value AS len, {first} AS a, {second} AS b, {seed} AS seed FROM events
 ), f AS (
-  SELECT user_id, i, total, CASE WHEN speech THEN 0 ELSE 1 END AS silent, 1::BIGINT AS n, len AS length, 0::BIGINT AS seq, false AS cut, '' AS reason, 1::BIGINT AS out_n, len AS out_length
-  FROM e WHERE i = 1
+  SELECT DISTINCT user_id, 0::BIGINT AS i, total, false AS is_open, false AS paused, 0 AS silent, 0::BIGINT AS n, 0.0::DOUBLE AS length, seed::BIGINT AS seq,
+         NULL::BIGINT AS out_seq, 0::BIGINT AS out_n, 0.0::DOUBLE AS out_length, '' AS reason FROM e
   UNION ALL
-  SELECT user_id, i, total, CASE WHEN closes THEN 0 ELSE s END, CASE WHEN closes THEN 0 ELSE n END, CASE WHEN closes THEN 0.0::DOUBLE ELSE l END,
-         CASE WHEN closes THEN seq + 1 ELSE seq END, closes, CASE WHEN by_silence THEN 'silence' ELSE 'max' END, n, l
-  FROM (SELECT *, s >= {SILENCE} AND l >= {LEAST} AS by_silence, (s >= {SILENCE} AND l >= {LEAST}) OR l >= {GREATEST} AS closes
-        FROM (SELECT f.user_id, e.i, f.total, CASE WHEN e.speech THEN 0 ELSE f.silent + 1 END AS s, f.n + 1 AS n, f.length + e.len AS l, f.seq FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+  SELECT user_id, i, total,
+         CASE WHEN kind = 'pause' THEN false WHEN idle THEN is_open ELSE true END,
+         CASE kind WHEN 'pause' THEN true WHEN 'resume' THEN false ELSE paused END,
+         CASE WHEN kind = 'pause' OR closes THEN 0 WHEN idle THEN silent ELSE s END,
+         CASE WHEN kind = 'pause' OR closes THEN 0 WHEN idle THEN n ELSE n + 1 END,
+         CASE WHEN kind = 'pause' OR closes THEN 0.0::DOUBLE WHEN idle THEN length ELSE l END,
+         CASE WHEN NOT idle AND (closes OR NOT is_open) THEN seq + 1 ELSE seq END,
+         CASE WHEN closes THEN seq END, n + 1, l, CASE WHEN s >= {SILENCE} AND l >= {LEAST} THEN 'silence' ELSE 'max' END
+  FROM (SELECT *, kind <> 'data' OR paused AS idle, kind = 'data' AND NOT paused AND is_open AND ((s >= {SILENCE} AND l >= {LEAST}) OR l >= {GREATEST}) AS closes
+        FROM (SELECT f.user_id, e.i, f.total, f.is_open, f.paused, f.silent, f.n, f.length, f.seq, e.kind, f.length + e.len AS l,
+                     CASE WHEN e.b THEN 0 WHEN NOT e.b THEN 1 + CASE WHEN e.a THEN 0 WHEN NOT e.a THEN f.silent + 1 ELSE f.silent END
+                          WHEN e.a THEN 0 WHEN NOT e.a THEN f.silent + 1 ELSE f.silent END AS s
+              FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
 ), segments AS (
-  SELECT user_id, seq, out_n AS n_units, out_length AS length, reason FROM f WHERE cut
+  SELECT user_id, out_seq AS seq, out_n AS n_units, out_length AS length, reason FROM f WHERE out_seq IS NOT NULL
   UNION ALL
-  SELECT user_id, seq + 1, n, length, 'tail' FROM f WHERE i = total AND n > 0
+  SELECT user_id, seq, n, length, 'tail' FROM f WHERE i = total AND is_open AND n > 0
 )
 SELECT user_id, seq, n_units, length, reason FROM segments
 """
 
 
+_FOLD = _fold()
+_ORDER = ["ts", "event_id"]
+
+
 def _segments(spark: SparkSession, sf_dir: str, form=segment.segment) -> DataFrame:
-    return form(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("value"), F.col("event_type") != "error", SILENCE, LEAST, GREATEST)
+    return form(table(spark, sf_dir, "events"), "user_id", _ORDER, F.col("value"), F.col("event_type") != "error", SILENCE, LEAST, GREATEST)
 
 
 @query(_FOLD)
@@ -101,9 +116,9 @@ def segment_by_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_FOLD)
-def segment_long_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form for keys that fit no array."""
-    return _segments(spark, sf_dir, segment.segment_runs)
+def segment_in_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for keys that fit an array."""
+    return _segments(spark, sf_dir, segment.segment_fold)
 
 
 @query(_FOLD + " WHERE reason = 'tail'")
@@ -111,25 +126,93 @@ def segment_tail_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir).where("reason = 'tail'")
 
 
+_TWO = {"first": "CASE WHEN event_id % 3 > 0 THEN event_type <> 'error' END", "second": "CASE WHEN event_id % 3 = 2 THEN event_id % 2 = 0 END"}
+
+
+def _two_verdicts():
+    """No, one or two frames end in a unit."""
+    return F.slice(F.array(F.col("event_type") != "error", F.col("event_id") % 2 == 0), 1, (F.col("event_id") % 3).cast("int"))
+
+
+@query(_fold(**_TWO))
+def segment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units in which several frames end."""
+    return segment.segment(table(spark, sf_dir, "events"), "user_id", _ORDER, F.col("value"), _two_verdicts(), SILENCE, LEAST, GREATEST)
+
+
+@query(_fold(kind="CASE event_type WHEN 'signup' THEN 'pause' WHEN 'click' THEN 'resume' ELSE 'data' END", seed="user_id % 5 * 10", **_TWO))
+def segment_pause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control rows in the stream, and numbers that go on from those already used."""
+    events = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "signup", "pause").when(F.col("event_type") == "click", "resume").otherwise("data")
+    seeds = events.select("user_id", (F.col("user_id") % 5 * 10).alias("max_seq")).distinct()
+    return segment.segment(events, "user_id", _ORDER, F.col("value"), _two_verdicts(), SILENCE, LEAST, GREATEST, kind, seeds)
+
+
+@query("SELECT event_id, event_id % 4 AS source_id FROM events WHERE event_id % 4 <= 1")
+def known_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.known_sources(table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4).alias("source_id")))
+
+
 @query(_FOLD)
 def stream_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows from a stream in several micro-batches, the last one of control rows."""
+    """The same rows from a stream that is stopped half-way and goes on from its checkpoint."""
     from larkstream.session import shared_folder
     from larkstream.streaming.segments import replay, run_to_end, segment_stream
 
     folder = shared_folder(spark, "stream")
     events = table(spark, sf_dir, "events")
-    units = events.select(F.col("user_id").alias("key"), F.struct(F.col("ts"), "event_id").alias("ord"), F.col("value").alias("length"), (F.col("event_type") != "error").alias("speech"), F.lit("data").alias("kind"))
-    units = units.withColumn("ord", F.format_string("%s %020d", F.date_format("ord.ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "ord.event_id"))
+    place = F.format_string("%s %020d", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "event_id")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
-    for k in range(3 if low else 0):
-        at, to = (F.date_format(F.lit(low + (high - low) * f / 3), "yyyy-MM-dd HH:mm:ss.SSSSSS") for f in (k, k + 1))
-        part = units.where((F.col("ord") >= at) & ((F.col("ord") < to) if k < 2 else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")  # one file is one micro-batch of this replay
-    ends = units.select("key").distinct().select("key", F.lit("9").alias("ord"), F.lit(0.0).alias("length"), F.lit(True).alias("speech"), F.lit("eof").alias("kind"))
-    ends.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = segment_stream(replay(spark, f"{folder}/in", "key bigint, ord string, length double, speech boolean, kind string"), SILENCE, LEAST, GREATEST)
-    return run_to_end(stream, f"{folder}/out", f"{folder}/checkpoint").withColumnRenamed("key", "user_id")
+    middle = low + (high - low) / 2 if low else None
+
+    def feed(part: DataFrame) -> None:
+        part.write.mode("append").parquet(f"{folder}/in")
+
+    def rows(part: DataFrame) -> DataFrame:
+        return part.select(F.col("user_id").alias("key"), place.alias("ord"), F.col("value").alias("length"), F.array(F.col("event_type") != "error").alias("verdicts"), F.lit("data").alias("kind"))
+
+    def run() -> DataFrame:
+        stream = replay(spark, f"{folder}/in", "key bigint, ord string, length double, verdicts array<boolean>, kind string", None)
+        return run_to_end(segment_stream(stream, SILENCE, LEAST, GREATEST), f"{folder}/out", f"{folder}/checkpoint")
+
+    feed(rows(events.where(F.col("ts") < F.lit(middle))))
+    run()
+    ends = events.select(F.col("user_id").alias("key")).distinct().select("key", F.lit("9").alias("ord"), F.lit(0.0).alias("length"), F.array().cast("array<boolean>").alias("verdicts"), F.lit("eof").alias("kind"))
+    feed(rows(events.where(F.col("ts") >= F.lit(middle))).unionByName(ends))
+    return run().withColumnRenamed("key", "user_id")
+
+
+@query("SELECT event_id, value FROM events")
+def stream_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream whose batches are each written once, though one view of them always fails."""
+    from larkstream.session import shared_folder
+    from larkstream.streaming.segments import append_once, fan_out
+
+    folder = shared_folder(spark, "delivery")
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+
+    def gone(batch: DataFrame, batch_id: int) -> None:
+        raise OSError("no screen")
+
+    act = fan_out(lambda b, i: append_once(b, i, f"{folder}/out"), gone)
+    stream.writeStream.foreachBatch(act).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch", "batch_id")
+
+
+@query("""
+WITH d AS (SELECT doc_id, source, n_chars, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 0 ELSE 1 END AS phase FROM documents)
+SELECT doc_id, phase, row_number() OVER (ORDER BY phase, cast(substr(source, 4) AS BIGINT), doc_id) AS place FROM d
+""")
+def backlog_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents stand for the backlog."""
+    from larkstream.streaming.segments import backlog_then_live
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("source", 4, 9).cast("long").alias("src"))
+    ids = table(spark, sf_dir, "labels").select("doc_id")
+    both = backlog_then_live(docs.join(ids, "doc_id", "left_semi"), docs.join(ids, "doc_id", "left_anti"), [F.col("src"), F.col("doc_id")])
+    return both.select("doc_id", "phase", F.col("place").cast("long").alias("place"))
 
 
 _RUNS = """
@@ -436,18 +519,28 @@ SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'not json' WHEN 1 THEN concat('{"
 """
 
 
-@query(f"""
+_VALID = f"""
 WITH l AS ({_LINES})
 SELECT event_id, CASE WHEN event_id % 8 = 3 THEN 's' ELSE concat('src0_', event_id) END AS seg_id, (CASE WHEN event_id % 8 = 3 THEN 200 + event_id % 100 ELSE event_id % 2 END)::BIGINT AS source_id,
   (CASE WHEN event_id % 8 = 3 THEN 1 ELSE event_id END)::DOUBLE AS duration_sec
 FROM l WHERE event_id % 8 > 3 OR (event_id % 8 = 3 AND 200 + event_id % 100 <= 255)
-""")
+"""
+
+
+@query(_VALID)
 def jsonl_decode_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    e.createOrReplaceTempView("_lines_of")
-    lines = spark.sql(_LINES.replace("FROM events", "FROM _lines_of").replace("VARCHAR", "STRING"))
-    decoded = lines.select("event_id", transcript.decode_native(F.col("line")).alias("e")).where("e is not null")
-    return decoded.select("event_id", "e.seg_id", F.col("e.source_id").cast("long").alias("source_id"), "e.duration_sec")
+    return _decoded(spark, sf_dir, False)
+
+
+@query(_VALID)
+def jsonl_decode_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict decoder, outside the JVM."""
+    return _decoded(spark, sf_dir, True)
+
+
+def _decoded(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
+    lines = spark.sql(_LINES.replace("FROM events", "FROM {events}").replace("concat('{", "concat('{{").replace("}')", "}}')").replace("VARCHAR", "STRING"), events=table(spark, sf_dir, "events"))
+    return transcript.decoded(lines, "line", exact).select("event_id", "seg_id", F.col("source_id").cast("long").alias("source_id"), "duration_sec")
 
 
 @query("SELECT conv_id, turn, to_json({'seg_id': concat('src', turn % 2, '_', conv_id), 'source_id': turn % 2, 'text': text})::VARCHAR AS line FROM conversations")
@@ -486,19 +579,103 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- lookups, settings, small texts
 
-_ASKED = ["default", "Default", "id-3", "id-99", "micidx:7", "micidx:70", "12", "ation_1", "NATION_24", "nope", "", "0"]
+_ASKED = ["default", " Default", "id:3", "id:9", "id:99", "micidx:7", "micidx:70", "micidx:x", "12", "012", "+3", "70", "ation_1", "NATION_24", "nope", "", "0", "default-output", "lbidx:2", "lbidx:9", "8"]
 
 
-@query(f"""
-WITH q AS (SELECT unnest({_ASKED!r}) AS query), d AS (SELECT n_nationkey AS pos, concat('id-', n_nationkey) AS id, n_name AS name FROM nation),
-r AS (SELECT query, pos, name, CASE WHEN lower(query) = 'default' AND pos = 0 THEN 1 WHEN query = id THEN 2 WHEN query = concat('micidx:', pos) THEN 3 WHEN query = cast(pos AS VARCHAR) THEN 4
-  WHEN query <> '' AND contains(lower(name), lower(query)) THEN 5 END AS rule FROM q, d)
-SELECT query, b.pos, b.name, b.rule FROM q LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rule, pos) AS k FROM r WHERE rule IS NOT NULL) b USING (query) WHERE k = 1 OR k IS NULL
+def _devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations stand for devices; every fifth one cannot record."""
+    k = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(k.alias("pos"), F.concat(F.lit("id:"), k.cast("string")).alias("id"), F.col("n_name").alias("name"), (k % 5 != 4).alias("input"))
+
+
+def _queries(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*[F.lit(q) for q in _ASKED])).alias("query"))
+
+
+#: Written from the rules: what each form of a query means, and the error where that is not there.
+_FORMS = f"""
+WITH q AS (SELECT unnest({_ASKED!r}) AS query), f AS (
+  SELECT query, trim(query) AS t, lower(trim(query)) AS low,
+         CASE WHEN regexp_full_match(trim(query), '[+]?[0-9]+') THEN trim(query)::BIGINT END AS num,
+         CASE WHEN starts_with(trim(query), 'micidx:') OR starts_with(trim(query), 'lbidx:') THEN split_part(trim(query), ':', 2) END AS rest FROM q
+), d AS (SELECT n_nationkey::BIGINT AS pos, concat('id:', n_nationkey) AS id, n_name AS name, n_nationkey % 5 <> 4 AS records FROM nation)
+"""
+
+
+@query(_FORMS + """
+, found AS (
+  SELECT query, 1::BIGINT AS rule, (SELECT min(pos) FROM d WHERE records) AS pos, 'no default device' AS error FROM f WHERE low = 'default'
+  UNION ALL SELECT query, 2, (SELECT pos FROM d WHERE d.id = t AND records), CASE WHEN t IN (SELECT id FROM d) THEN 'not an input' ELSE 'no such id' END FROM f WHERE starts_with(t, 'id:')
+  UNION ALL SELECT query, 3, (SELECT pos FROM d WHERE d.pos = try_cast(rest AS BIGINT)), CASE WHEN try_cast(rest AS BIGINT) IS NULL THEN 'not a number' ELSE 'no such position' END FROM f WHERE starts_with(t, 'micidx:')
+  UNION ALL SELECT query, 4, (SELECT pos FROM d WHERE d.pos = num), 'no such position' FROM f WHERE num IS NOT NULL
+  UNION ALL SELECT query, 5, (SELECT min(pos) FROM d WHERE contains(lower(name), low)), 'no such name' FROM f WHERE num IS NULL AND low <> 'default' AND NOT starts_with(t, 'id:') AND NOT starts_with(t, 'micidx:')
+)
+SELECT query, pos, (SELECT name FROM d WHERE d.pos = found.pos) AS name, rule, CASE WHEN pos IS NULL THEN error END AS error FROM found
 """)
 def device_lookup_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    devices = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.concat(F.lit("id-"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"))
-    asked = spark.range(1).select(F.explode(F.array(*[F.lit(q) for q in _ASKED])).alias("query"))
-    return lookup.find_device(devices, asked)
+    return lookup.find_device(_devices(spark, sf_dir), _queries(spark)).withColumn("rule", F.col("rule").cast("long"))
+
+
+#: Regions are the outputs; loopback devices are the nations with an even key, counted among themselves.
+_LOOP = """
+, lb AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, id, concat('Monitor of ', CASE WHEN d.pos = 6 THEN 'ASIA 5' ELSE name END) AS name FROM d WHERE d.pos % 2 = 0),
+o AS (SELECT 0 AS pos, 'default-output' AS name UNION ALL SELECT r_regionkey + 1, r_name FROM region)
+"""
+
+
+@query(_FORMS + _LOOP + """
+, hop AS (SELECT query, CASE WHEN o.name = 'default-output' THEN (SELECT min(pos) FROM lb) ELSE (SELECT min(lb.pos) FROM lb WHERE contains(lower(lb.name), lower(o.name))) END AS pos FROM f JOIN o ON o.pos = f.num),
+found AS (
+  SELECT query, 1::BIGINT AS rule, (SELECT min(pos) FROM lb) AS pos, 'no default device' AS error FROM f WHERE low IN ('default', 'default-output')
+  UNION ALL SELECT query, 2, (SELECT pos FROM lb WHERE lb.id = t), 'no such id' FROM f WHERE starts_with(t, 'id:')
+  UNION ALL SELECT query, 3, (SELECT pos FROM lb WHERE lb.pos = try_cast(rest AS BIGINT)), CASE WHEN try_cast(rest AS BIGINT) IS NULL THEN 'not a number' ELSE 'no such position' END FROM f WHERE starts_with(t, 'lbidx:')
+  UNION ALL SELECT f.query, CASE WHEN hop.pos IS NOT NULL THEN 4 ELSE 5 END, coalesce(hop.pos, (SELECT min(lb.pos) FROM lb WHERE contains(lower(lb.name), low))), 'no such name'
+    FROM f LEFT JOIN hop ON hop.query = f.query WHERE low NOT IN ('default', 'default-output') AND NOT starts_with(t, 'id:') AND NOT starts_with(t, 'lbidx:')
+)
+SELECT query, pos, (SELECT name FROM lb WHERE lb.pos = found.pos) AS name, rule, CASE WHEN pos IS NULL THEN error END AS error FROM found
+""")
+def loopback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = _devices(spark, sf_dir).where("pos % 2 = 0")
+    loop = even.select((F.col("pos") / 2).cast("long").alias("pos"), "id", F.concat(F.lit("Monitor of "), F.when(F.col("pos") == 6, "ASIA 5").otherwise(F.col("name"))).alias("name"))
+    outputs = lookup.with_default_output(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("pos"), F.col("r_name").alias("name")))
+    return lookup.find_loopback(lookup.loopback_monitors(loop), outputs, _queries(spark)).withColumn("rule", F.col("rule").cast("long"))
+
+
+@query(f"""
+WITH q AS (SELECT unnest({_ASKED!r}) AS query), d AS (SELECT n_nationkey::BIGINT AS pos, n_name AS name FROM nation),
+f AS (SELECT query, lower(query) AS low, CASE WHEN regexp_full_match(query, '[+]?[0-9]+') THEN query::BIGINT END AS num FROM q),
+found AS (
+  SELECT query, 1::BIGINT AS rule, (SELECT min(pos) FROM d) AS pos, 'no default device' AS error FROM f WHERE low IN ('default', 'default-output')
+  UNION ALL SELECT query, 4, CASE WHEN num = 0 THEN (SELECT min(pos) FROM d) ELSE (SELECT pos FROM d WHERE d.pos = num - 1) END, 'no such position' FROM f WHERE num IS NOT NULL
+  UNION ALL SELECT query, 5, (SELECT min(pos) FROM d WHERE contains(lower(name), low)), 'no such name' FROM f WHERE num IS NULL AND low NOT IN ('default', 'default-output')
+)
+SELECT query, pos, (SELECT name FROM d WHERE d.pos = found.pos) AS name, rule, CASE WHEN pos IS NULL THEN error END AS error FROM found
+""")
+def output_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.find_output(_devices(spark, sf_dir).select("pos", "name"), _queries(spark)).withColumn("rule", F.col("rule").cast("long"))
+
+
+@query(f"""
+WITH q AS (SELECT unnest({_ASKED!r}) AS query), d AS (SELECT n_nationkey::BIGINT AS pos, concat('id:', n_nationkey) AS id, n_name AS name FROM nation)
+SELECT query, coalesce((SELECT min(pos) FROM d WHERE d.id = query),
+  (SELECT pos FROM d WHERE starts_with(query, 'micidx:') AND d.pos = try_cast(substr(query, 8) AS BIGINT)),
+  (SELECT pos FROM d WHERE regexp_full_match(query, '[+]?[0-9]+') AND d.pos = try_cast(query AS BIGINT)),
+  (SELECT min(pos) FROM d WHERE contains(lower(name), lower(query))), 0) AS pos FROM q
+""")
+def selected_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.selected_index(_devices(spark, sf_dir), _queries(spark))
+
+
+@query("SELECT 0::BIGINT AS pos, 'default-output' AS name UNION ALL SELECT r_regionkey + 1, r_name FROM region")
+def output_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = lookup.with_default_output(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("pos"), F.col("r_name").alias("name")))
+    return listed.select(F.col("pos").cast("long").alias("pos"), "name")
+
+
+@query("SELECT s_suppkey, name FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN concat('MONITOR of ', s_name) ELSE s_name END AS name FROM supplier) WHERE contains(lower(name), 'monitor')")
+def loopback_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("MONITOR of "), "s_name")).otherwise(F.col("s_name")).alias("name"))
+    return lookup.loopback_monitors(named)
 
 
 _GIVEN = "CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END"
@@ -550,21 +727,25 @@ def device_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, concat(n, ' samples') AS text FROM (SELECT doc_id, length(regexp_replace(text, '[^a-z]', '', 'g')) AS n FROM documents) WHERE n > 0")
 def stub_transcribe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The recogniser interface with a stand-in engine: letters are the samples."""
-    letters = F.regexp_replace("text", "[^a-z]", "")
-    samples = F.transform(F.filter(F.split(letters, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("smallint"))
-    heard = table(spark, sf_dir, "documents").where(letters != "").select("doc_id", asr.transcriber(asr.CountingEngine)(samples).alias("asr"))
-    return heard.where("asr.text <> ''").select("doc_id", "asr.text")
+    """The recogniser interface with a stand-in engine: letters, as 16-bit numbers, are the samples."""
+    letters = F.encode(F.regexp_replace("text", "[^a-z]", ""), "UTF-16LE")
+    return asr.transcripts(table(spark, sf_dir, "documents").select("doc_id", letters.alias("pcm")), "pcm", asr.CountingEngine).select("doc_id", "text")
 
 
-@query("""
-WITH s AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase' AND value > 300) AS spoken FROM events GROUP BY user_id)
-SELECT concat('src0_', user_id) AS seg_id, CASE WHEN spoken = 0 THEN 'silent' ELSE 'kept' END AS reason, CASE WHEN spoken = 0 THEN 'drop' WHEN spoken / n < 0.15 THEN 'trim' ELSE 'pass' END AS action FROM s
+PART = 500  # frames of a segment, at most
+
+@query(f"""
+WITH f AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // {PART} AS part FROM events),
+s AS (SELECT user_id, part, count(*) AS n, count(*) FILTER (event_type = 'purchase' AND value > 300) AS spoken FROM f GROUP BY ALL)
+SELECT concat('src0_', user_id, '_', part) AS seg_id, CASE WHEN spoken = 0 THEN 'silent' ELSE 'kept' END AS reason, CASE WHEN spoken = 0 THEN 'drop' WHEN spoken / n < 0.15 THEN 'trim' ELSE 'pass' END AS action FROM s
 """)
 def process_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole way of a segment; a user's events are its frames, each of 320 equal samples."""
+    """The whole way of a segment; a user's events are frames of 320 equal samples, cut into segments of bounded length."""
     loud = (F.col("event_type") == "purchase") & (F.col("value") > 300)
-    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", loud.alias("loud")))), lambda x: x["loud"]).alias("flags"))
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy(*_ORDER)) - 1
+    frames = table(spark, sf_dir, "events").withColumn("part", F.floor(number / PART))
+    parts = frames.groupBy("user_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", loud.alias("loud")))), lambda x: x["loud"]).alias("flags"))
     samples = F.flatten(F.transform("flags", lambda f: F.array_repeat(F.when(f, 1000).otherwise(1).cast("smallint"), audio.FRAME)))
-    segments = users.select(F.concat(F.lit("src0_"), F.col("user_id").cast("string")).alias("seg_id"), F.lit(0).cast("smallint").alias("source_id"), samples.alias("samples"), "flags")
+    seg_id = F.concat(F.lit("src0_"), F.col("user_id").cast("string"), F.lit("_"), F.col("part").cast("string"))
+    segments = parts.select(seg_id.alias("seg_id"), F.lit(0).cast("smallint").alias("source_id"), samples.alias("samples"), "flags")
     return process_segments(segments, asr.transcriber(asr.CountingEngine), F.lit("2024-01-01 00:00:00").cast("timestamp")).select("seg_id", "reason", "action")

@@ -3,15 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which executors share; a local session without one gets a folder of its own.
+
+    On a cluster a folder of one machine would be read by others in vain, so there the setting must be given.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: give it a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="larkstream-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(top)
+    return top
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the folder of spark.checkpoint.dir."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larkstream-"))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -31,10 +45,9 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one in spark.checkpoint.dir, which executors share."""
-    import uuid
+    return f"{checkpoint_dir(spark).rstrip('/')}/larkstream/{name}-{uuid.uuid4().hex}"
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = tempfile.mkdtemp(prefix="larkstream-")
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/larkstream/{name}-{uuid.uuid4().hex}"
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

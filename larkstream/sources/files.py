@@ -25,6 +25,11 @@ def segment_files(files: DataFrame) -> DataFrame:
     return files.where(F.col("name").endswith(".wav")).withColumn("seg_id", text.stem(F.col("name"))).withColumn("source_id", text.source_of_file(F.col("name")))
 
 
+def with_samples(files: DataFrame) -> DataFrame:
+    """Files longer than a header of 44 bytes."""
+    return files.where(F.col("length") > 44)
+
+
 def wav_bytes(samples: np.ndarray, rate: int = 16_000) -> bytes:
     """A mono 16-bit file."""
     data = np.asarray(samples, "<i2").tobytes()
@@ -84,29 +89,64 @@ def encode_wav(samples: Column) -> Column:
     return encode(samples)
 
 
+def make_folder(spark: SparkSession, folder: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+
+
+def store(path: str):
+    """File system and bare path of a path or URI, as executors see it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 def write_wavs(segments: DataFrame, folder: str) -> DataFrame:
-    """Writes segments (seg_id, samples) as files into a folder that all executors share, each under a temporary name
-    first and then renamed, so that a reader or a second attempt never sees half a file; segments without samples
+    """Writes segments (seg_id, samples) as files into a folder or URI that all executors share, each under a temporary
+    name first and then renamed, so that a reader or a second attempt never sees half a file; segments without samples
     leave none. Returns the files (seg_id, path) and writes when that is evaluated."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
         import uuid
 
+        system, root = store(folder)
         for f in frames:
             out = []
             for seg_id, samples in zip(f["seg_id"], f["samples"], strict=True):
-                if len(samples):
-                    part, path = f"{folder}/{seg_id}.{uuid.uuid4().hex}.part", f"{folder}/{seg_id}.wav"
-                    with open(part, "wb") as file:
+                if samples is not None and len(samples):
+                    part = f"{root}/{seg_id}.{uuid.uuid4().hex}.part"
+                    with system.open_output_stream(part) as file:
                         file.write(wav_bytes(np.asarray(samples, "<i2")))
-                    os.replace(part, path)
-                    out.append((seg_id, path))
+                    system.move(part, f"{root}/{seg_id}.wav")
+                    out.append((seg_id, f"{folder}/{seg_id}.wav"))
             yield pd.DataFrame(out, columns=["seg_id", "path"])
 
     return segments.select("seg_id", "samples").mapInPandas(run, "seg_id string, path string")
 
 
+def delete_files(files: DataFrame) -> DataFrame:
+    """Deletes the files at `path`, where the rows are; path, gone and error of each, when that is evaluated.
+
+    A file that is not there any more counts as gone; any other failure is a row, not a failed job.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            out = []
+            for path in f["path"]:
+                try:
+                    system, bare = store(path)
+                    system.delete_file(bare)
+                    out.append((path, True, None))
+                except FileNotFoundError:
+                    out.append((path, True, None))
+                except OSError as e:
+                    out.append((path, False, str(e)))
+            yield pd.DataFrame(out, columns=["path", "gone", "error"])
+
+    return files.select("path").mapInPandas(run, "path string, gone boolean, error string")
+
+
 def pcm_bytes(samples: Column) -> Column:
     """16-bit samples as little-endian bytes."""
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkstream.operators.views import export_order
 from larkstream.schemas import TRANSCRIPT
@@ -18,20 +22,47 @@ _TYPES = {"seg_id": "STRING", "text": "STRING", "timestamp": "STRING"}
 def decode_native(line: Column) -> Column:
     """A struct of the five fields, or null for a line that is no valid entry; JVM only.
 
-    Differs from `decode_exact` in accepting two objects on one line (the first counts).
+    Differs from `decode_exact` in accepting two objects on one line (the first counts). The line is parsed
+    once and named by a lambda, so that no rule of the optimiser repeats the parsing for each field.
     """
-    v = F.try_parse_json(line)
-    of_type = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
-    source = F.try_variant_get(v, "$.source_id", "bigint")
-    numeric = of_type("duration_sec")
-    ok = (
-        line.rlike(r"^\s*\{") & line.rlike(r"\}\s*$")
-        & (of_type("seg_id") == "STRING") & (of_type("text") == "STRING") & (of_type("timestamp") == "STRING")
-        & (of_type("source_id") == "BIGINT") & source.between(0, 255)
-        & (numeric.isin("BIGINT", "DOUBLE") | numeric.startswith("DECIMAL"))
-    )
-    fields = [F.try_variant_get(v, "$.seg_id", "string").alias("seg_id"), source.cast("smallint").alias("source_id"), F.try_variant_get(v, "$.text", "string").alias("text"), F.try_variant_get(v, "$.duration_sec", "double").alias("duration_sec"), F.try_variant_get(v, "$.timestamp", "string").alias("timestamp")]
-    return F.when(ok, F.struct(*fields))
+
+    def entry(v: Column) -> Column:
+        of_type = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+        source = F.try_variant_get(v, "$.source_id", "bigint")
+        numeric = of_type("duration_sec")
+        ok = (
+            (of_type("seg_id") == "STRING") & (of_type("text") == "STRING") & (of_type("timestamp") == "STRING")
+            & (of_type("source_id") == "BIGINT") & source.between(0, 255)
+            & (numeric.isin("BIGINT", "DOUBLE") | numeric.startswith("DECIMAL"))
+        )
+        fields = [F.try_variant_get(v, "$.seg_id", "string").alias("seg_id"), source.cast("smallint").alias("source_id"), F.try_variant_get(v, "$.text", "string").alias("text"), F.try_variant_get(v, "$.duration_sec", "double").alias("duration_sec"), F.try_variant_get(v, "$.timestamp", "string").alias("timestamp")]
+        return F.when(ok, F.struct(*fields))
+
+    parsed = F.when(line.rlike(r"(?s)^\s*\{.*\}\s*$"), F.try_parse_json(line))
+    return F.get(F.transform(F.array(parsed), entry), F.lit(0))
+
+
+def decoded(lines: DataFrame, line: str, exact: bool = False) -> DataFrame:
+    """lines without `line`, with the fields of the entry it holds; lines that hold none are dropped.
+
+    Rows are dropped by an explode or a map, not by a filter, which would decode each line a second time.
+    """
+    rest = [c for c in lines.columns if c != line]
+    if not exact:
+        return lines.select(F.struct(*rest).alias("r"), F.explode(F.filter(F.array(decode_native(F.col(line))), lambda e: e.isNotNull())).alias("e")).select("r.*", "e.*")
+    rows = lines.select(F.struct(*rest).alias("record"), F.col(line).alias("line"))
+    fields = [f.split() for f in TRANSCRIPT.split(", ")]
+    schema = T.StructType([rows.schema["record"], *T.StructType.fromDDL(TRANSCRIPT).fields])
+    types = {"string": pa.string(), "smallint": pa.int16(), "double": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [_entry(x or "") for x in b.column(1).to_pylist()]
+            kept = [e for e in held if e]
+            columns = [pa.array([e[name] for e in kept], types[kind]) for name, kind in fields]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array([bool(e) for e in held], pa.bool_())), *columns], ["record", *[n for n, _ in fields]])
+
+    return rows.mapInArrow(run, schema).select("record.*", *[n for n, _ in fields])
 
 
 def _entry(line: str) -> dict | None:
@@ -75,8 +106,7 @@ def read_entries(spark: SparkSession, path: str, exact: bool = True) -> DataFram
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], f"{TRANSCRIPT}, line_no long")
     lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"))
-    decoded = lines.select((decode_exact if exact else decode_native)(F.col("value")).alias("e"), "line_no")
-    return decoded.where("e.seg_id is not null").select("e.*", "line_no")
+    return decoded(lines, "value", exact).select(*[f.split()[0] for f in TRANSCRIPT.split(", ")], "line_no")
 
 
 def encode(entries: DataFrame) -> DataFrame:
@@ -93,9 +123,47 @@ def truncate(spark: SparkSession, path: str) -> None:
 
 
 def export(entries: DataFrame, path: str) -> int:
-    """Writes all entries in export order; the number of rows. No rows are an error."""
+    """Writes all entries in export order, as part files in that order; the number of rows. No rows are an error."""
     n = entries.count()
     if not n:
         raise ValueError("the transcript has no entries")
-    encode(entries.orderBy(*export_order("seg_id", "timestamp", "line_no"))).write.text(path)  # part files in order
+    encode(entries.orderBy(*export_order("seg_id", "timestamp", "line_no"))).write.text(path)
     return n
+
+
+ONE_FILE_BYTES = 1 << 30
+
+
+def export_file(entries: DataFrame, folder: str, now: datetime) -> tuple[str, int]:
+    """The export as one file transcript_dump_<time>.jsonl in `folder`; its path and the number of rows.
+
+    An empty folder name and no rows are errors; a name that is taken gets a random suffix. Rows are sorted
+    and written in parts; the driver then copies the parts through a small buffer into a ``.part`` file and
+    renames it. One file is one writer: above ONE_FILE_BYTES use `export`, whose parts hold the same lines.
+    """
+    if not folder:
+        raise ValueError("the export folder has no name")
+    spark = entries.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    name = f"transcript_dump_{now:%Y-%m-%d_%H%M%S}"
+    system = place(name).getFileSystem(conf)
+    if system.exists(place(name + ".jsonl")):
+        name += f"_{uuid.uuid4().hex[:8]}"
+    parts = f"{folder.rstrip('/')}/.{name}"
+    try:
+        n = export(entries, parts)
+        held = sorted((f.getPath() for f in system.listStatus(place("." + name)) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+        size = sum(system.getFileStatus(p).getLen() for p in held)
+        if size > ONE_FILE_BYTES:
+            raise ValueError(f"{size} bytes are too many for one file; use export")
+        out = system.create(place(name + ".part"))
+        for p in held:
+            source = system.open(p)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+            source.close()
+        out.close()
+        system.rename(place(name + ".part"), place(name + ".jsonl"))
+    finally:
+        system.delete(place("." + name), True)
+    return f"{folder.rstrip('/')}/{name}.jsonl", n

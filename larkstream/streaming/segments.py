@@ -1,18 +1,21 @@
 """Streaming segmentation: the fold of operators.segment with its state kept per key between micro-batches.
 
-A stream has no end and no order of its own, so control rows travel in it: ``kind`` is data, pause
-(drops the open segment; its number is used again), resume, or eof (emits the tail). Within a
-micro-batch rows are sorted by their order columns; across batches a source must deliver in order,
-which a file source does by modification time. Any split into micro-batches gives the batch result.
+A stream has no end and no order of its own, so control rows travel in it: ``kind`` is data, pause,
+resume or eof (see `larkstream.operators.segment`). Within a micro-batch rows are sorted by their order
+column; across batches a source must deliver in order. Any split into micro-batches, and any restart
+from the checkpoint, gives the batch result. A key's rows of one micro-batch are held at once, so their
+number is bounded by the source's maxFilesPerTrigger or maxBytesPerTrigger.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from larkstream.operators.segment import Cutter
@@ -22,64 +25,110 @@ OUT = ["seq", "n_units", "length", "reason"]
 
 
 class SegmentProcessor(StatefulProcessor):
-    """Input: key, ord (one sortable column), length, speech, kind."""
+    """Input: key, ord (one sortable column), length, verdicts, kind."""
 
-    def __init__(self, silence_limit: int, least: float, greatest: float, first_seq: int = 0):
-        self.limits, self.first_seq = (silence_limit, least, greatest), first_seq
+    def __init__(self, silence_limit: int, least: float, greatest: float):
+        self.limits = silence_limit, least, greatest
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("segment", STATE)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """The greatest number that a source has already used."""
+        self.state.update((False, 0, 0, 0.0, int(initialState["max_seq"].max()), False))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        c, paused = Cutter(*self.limits), False
+        c = Cutter(*self.limits)
         if self.state.exists():
-            c.open, c.silent, c.n, c.length, c.seq, paused = self.state.get()
-        else:
-            c.begin(self.first_seq)
+            c.open, c.silent, c.n, c.length, c.seq, c.paused = self.state.get()
         out = []
         held = pd.concat(list(rows)).sort_values("ord", kind="stable")
-        for kind, length, speech in zip(held["kind"], held["length"], held["speech"], strict=True):
-            done = None
-            if kind == "eof":
-                done = c.tail()
-                c.pause()
-            elif kind == "pause":
-                paused = True
-                c.pause()
-            elif kind == "resume":
-                paused = False
-            elif not paused:
-                done = c.add(float(length), bool(speech))
-            if done:
+        for kind, length, verdicts in zip(held["kind"], held["length"], held["verdicts"], strict=True):
+            if done := c.take(kind, 0.0 if pd.isna(length) else float(length), [True if v is None else bool(v) for v in (verdicts if verdicts is not None else ())]):
                 out.append((key[0], *done))
-        self.state.update((bool(c.open), int(c.silent), int(c.n), float(c.length), int(c.seq), bool(paused)))
+        self.state.update((bool(c.open), int(c.silent), int(c.n), float(c.length), int(c.seq), bool(c.paused)))
         yield pd.DataFrame(out, columns=["key", *OUT])
 
     def close(self) -> None:
         pass
 
 
-def segment_stream(units: DataFrame, silence_limit: int, least: float, greatest: float, first_seq: int = 0) -> DataFrame:
-    """units (key, ord, length, speech, kind) as a stream of closed segments."""
-    units.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def segment_stream(units: DataFrame, silence_limit: int, least: float, greatest: float, seeds: DataFrame | None = None) -> DataFrame:
+    """units (key, ord, length, verdicts or speech, kind) as a stream of closed segments.
+
+    `seeds` (key, max_seq) is a batch table of numbers already used, as `operators.queue.seed_numbers`
+    gives it; a source goes on from its own. Start the query within `rocksdb_state`, as `run_to_end` does.
+    """
+    if "speech" in units.columns:
+        units = units.withColumn("verdicts", F.array("speech")).drop("speech")
     kind = units.schema["key"].dataType.simpleString()
-    return units.groupBy("key").transformWithStateInPandas(
-        SegmentProcessor(silence_limit, least, greatest, first_seq), f"key {kind}, seq long, n_units long, length double, reason string", "append", "none"
+    first = seeds.select(F.col(seeds.columns[0]).cast(kind).alias("key"), F.col(seeds.columns[1]).cast("long").alias("max_seq")).groupBy("key") if seeds is not None else None
+    return units.select("key", "ord", "length", "verdicts", "kind").groupBy("key").transformWithStateInPandas(
+        SegmentProcessor(silence_limit, least, greatest), f"key {kind}, seq long, n_units long, length double, reason string", "append", "none", first
     )
 
 
-def replay(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
-    """A recorded stream: Parquet files in order of their writing."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries started within keep their state in RocksDB, which keyed state needs; the session's setting comes back after."""
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def replay(spark: SparkSession, folder: str, schema: str, files_per_batch: int | None = 1) -> DataFrame:
+    """A recorded stream: Parquet files in order of their writing; without a number all new files are one batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(folder)
 
 
 def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Writes all there is to a Parquet sink (exactly once by its checkpoint) and reads it back."""
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Writes all there is to a Parquet sink (exactly once by its checkpoint) and reads it back.
+
+    A stopped or failed query goes on from the same checkpoint: what it had not committed is done again.
+    """
+    with rocksdb_state(stream.sparkSession):
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
+def every(stream: DataFrame, seconds: float, act: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """A running query that hands what has arrived to `act` every so many seconds; stop() ends it between two batches."""
+    with rocksdb_state(stream.sparkSession):
+        return stream.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def append_once(batch: DataFrame, batch_id: int, folder: str) -> None:
     """A foreachBatch writer that a repeated batch cannot double: each batch has its own folder, replaced whole."""
     batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+
+def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer that hands each batch to the first sink, which must succeed, and to views, whose errors are dropped."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sinks[0](batch, batch_id)
+        for view in sinks[1:]:
+            try:
+                view(batch, batch_id)
+            except Exception:  # a view that is gone must not stop the stream
+                continue
+
+    return write
+
+
+def backlog_then_live(backlog: DataFrame, live: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows of both with `phase` (0: backlog, 1: live) and `place`, their rank by phase and order.
+
+    Every backlog row comes before every live one. In a stream the same is a first batch: write the backlog
+    to the folder that `replay` reads before the live rows.
+    """
+    from larkstream.operators.order import global_rank
+
+    both = backlog.withColumn("phase", F.lit(0)).unionByName(live.withColumn("phase", F.lit(1)))
+    return global_rank(both, F.col("phase"), *order, name="place")

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from larkstream.plans.queries import QUERIES, SQL
+from larkstream.plans.catalogue import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -103,13 +103,43 @@ def test_global_rank_spreads(spark):
 
 
 def test_lookup(spark):
-    devices = spark.createDataFrame([(0, "id-0", "Built-in"), (1, "id-1", "USB Mic"), (2, "id-2", "Monitor of USB")], "pos int, id string, name string")
-    asked = spark.createDataFrame([(q,) for q in ("default", "id-2", "micidx:1", "2", "usb", "nope", "")], "query string")
-    assert {r.query: (r.pos, r["rule"]) for r in lookup.find_device(devices, asked).collect()} == {"default": (0, 1), "id-2": (2, 2), "micidx:1": (1, 3), "2": (2, 4), "usb": (1, 5), "nope": (None, None), "": (None, None)}
-    assert [r.pos for r in lookup.loopback_monitors(devices).collect()] == [2]
+    """A form that names what is not there is an error; only its own rule is tried."""
+    rows = [(0, "id:0", "Built-in", True), (1, "id:1", "USB Mic", True), (2, "id:2", "HDMI 2", False)]
+    devices = spark.createDataFrame(rows, "pos int, id string, name string, input boolean")
+    want = {
+        "default": (0, 1, None), " DEFAULT ": (0, 1, None), "id:1": (1, 2, None), "id:2": (None, 2, "not an input"), "id:7": (None, 2, "no such id"),
+        "micidx:1": (1, 3, None), "micidx:01": (1, 3, None), "micidx:9": (None, 3, "no such position"), "micidx:": (None, 3, "not a number"), "micidx: 1": (None, 3, "not a number"),
+        "2": (2, 4, None), "01": (1, 4, None), "+1": (1, 4, None), "3": (None, 4, "no such position"), "99999999999999999999": (None, 5, "no such name"),
+        "usb": (1, 5, None), "hdmi 2": (2, 5, None), "": (0, 5, None), "-1": (None, 5, "no such name"), "nope": (None, 5, "no such name"),
+    }
+    asked = spark.createDataFrame([(q,) for q in [*want, "usb"]], "query string")
+    assert {r.query: (r.pos, r["rule"], r.error) for r in lookup.find_device(devices, asked).collect()} == want
+    names = {r.query: r.name for r in lookup.find_device(devices, asked).collect()}
+    assert names["usb"] == "USB Mic" and names["3"] is None
+    none = lookup.find_device(devices.where("false"), asked).collect()
+    assert len(none) == len(want) and all(r.pos is None and r.error for r in none)
+    assert [r.pos for r in lookup.loopback_monitors(devices.withColumn("name", F.concat("name", F.lit(" Monitor"))).where("pos = 2")).collect()] == [2]
     assert {(r.pos, r.name) for r in lookup.with_default_output(devices).collect()} >= {(0, "default-output"), (1, "Built-in")}
 
 
+def test_parts_of_names_are_sought_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BLOCK", 7)
+    devices = spark.range(40).selectExpr("id AS pos", "concat('dev-', id, '.') AS name")
+    asked = spark.createDataFrame([("-9.",), ("-39.",), ("DEV",), ("-40.",)], "query string")
+    assert {r.query: r.pos for r in lookup.find_device(devices, asked).collect()} == {"-9.": 9, "-39.": 39, "DEV": 0, "-40.": None}
+
+
+def test_output_lookup_and_shown_choice(spark):
+    outputs = spark.createDataFrame([(0, "Speakers"), (1, "HDMI 2")], "pos int, name string")
+    want = {"default": (0, 1), "Default-Output": (0, 1), "0": (0, 4), "1": (0, 4), "2": (1, 4), "3": (None, 4), " 2": (1, 5), "hdmi": (1, 5), "x": (None, 5)}
+    asked = spark.createDataFrame([(q,) for q in want], "query string")
+    assert {r.query: (r.pos, r["rule"]) for r in lookup.find_output(outputs, asked).collect()} == want
+    devices = spark.createDataFrame([(0, "id:0", "Built-in"), (1, "id:1", "USB 7")], "pos int, id string, name string")
+    want = {"id:1": 1, "micidx:1": 1, "micidx:9": 0, "1": 1, "7": 1, "usb": 1, "none": 0}
+    asked = spark.createDataFrame([(q,) for q in want], "query string")
+    assert {r.query: r.pos for r in lookup.selected_index(devices, asked).collect()} == want
+
+
 def test_settings(tmp_path, monkeypatch):
     from larkstream.sources import settings
 
@@ -118,6 +148,9 @@ def test_settings(tmp_path, monkeypatch):
     assert settings.DeviceSettings.load(str(tmp_path / "c.json")) == s
     (tmp_path / "d.json").write_text('{"mic":"0","loopback":false,"x":1}')
     assert settings.DeviceSettings.load(str(tmp_path / "d.json")).loopback_device == "default-output"
+    (tmp_path / "e.json").write_text('{"mic":7}')
+    with pytest.raises(ValueError):
+        settings.DeviceSettings.load(str(tmp_path / "e.json"))
     monkeypatch.setenv("LARKSTREAM_CONFIG", "env.json")
     assert settings.settings_path("arg.json") == "arg.json" and settings.settings_path(None) == "env.json"
     monkeypatch.delenv("LARKSTREAM_CONFIG")
@@ -132,6 +165,61 @@ def test_settings(tmp_path, monkeypatch):
     assert settings.model_fault(str(tmp_path)) is None
 
 
+def test_environment_by_rank(tmp_path):
+    from larkstream.sources import settings
+
+    (tmp_path / ".env").write_text("A=file\nB=file\n")
+    given = {"A": "system", "C": "system"}
+    assert settings.environment(str(tmp_path / ".env"), True, given) == {"A": "file", "B": "file", "C": "system"}
+    assert settings.environment(str(tmp_path / ".env"), False, given) == {"A": "system", "B": "file", "C": "system"}
+    assert settings.environment(str(tmp_path / "none"), True, given) == given
+    saved = settings.DeviceSettings("2", True, "")
+    merged = lambda *a, **k: vars(settings.device_settings(*a, **k))
+    assert merged(None) == {"mic": "default", "loopback": False, "loopback_device": "default-output"}
+    assert merged(saved) == {"mic": "2", "loopback": True, "loopback_device": "default-output"}
+    assert merged(saved, mic="", no_loopback=True, loopback=True, loopback_device="x") == {"mic": "", "loopback": False, "loopback_device": "x"}
+
+
+def test_export_to_one_file(spark, tmp_path):
+    from datetime import datetime
+
+    rows = entries(spark, *[(f"src0_{k:06d}", f"t{k}", f"2026-01-01T00:{59 - k:02d}:00Z") for k in range(50)]).withColumn("line_no", F.lit(0).cast("long")).repartition(5)
+    now = datetime(2026, 3, 1, 12, 0, 5)
+    path, n = transcript.export_file(rows, str(tmp_path / "d"), now)
+    assert path.endswith("/transcript_dump_2026-03-01_120005.jsonl") and n == 50
+    lines = open(path).read().splitlines()
+    assert [x.split('"text":"')[1].split('"')[0] for x in lines] == [f"t{k}" for k in range(49, -1, -1)]
+    again, _ = transcript.export_file(rows, str(tmp_path / "d"), now)
+    assert again != path and len([p for p in (tmp_path / "d").iterdir() if p.suffix == ".jsonl"]) == 2
+    assert not [p for p in (tmp_path / "d").iterdir() if "part" in p.name or p.is_dir()]
+    for none, folder in ((rows.where("false"), "d"), (rows, "")):
+        with pytest.raises(ValueError):
+            transcript.export_file(none, folder and str(tmp_path / folder), now)
+
+
+def test_finished_files_are_deleted(spark, tmp_path):
+    done = spark.createDataFrame([("src0_000001", "kept"), ("src0_000002", "error"), ("src0_000003", "silent")], "seg_id string, reason string")
+    segments = done.select("seg_id", F.array(F.lit(1).cast("smallint")).alias("samples"))
+    files.write_wavs(segments, str(tmp_path)).count()
+    listed = files.segment_files(files.listing(spark, str(tmp_path)))
+    gone = files.delete_files(queue.acknowledged(done, listed)).collect()
+    assert len(gone) == 2 and all(r.gone and r.error is None for r in gone)
+    assert [p.name for p in tmp_path.iterdir()] == ["src0_000002.wav"]
+    assert all(r.gone for r in files.delete_files(spark.createDataFrame([(str(tmp_path / "none"),)], "path string")).collect())
+    assert [r.seg_id for r in queue.still_there(done, files.segment_files(files.listing(spark, str(tmp_path)))).collect()] == ["src0_000002"]
+
+
+def test_names_of_a_table_do_not_clash(spark):
+    df = spark.createDataFrame([(3, 1, 2), (1, 5, 6)], "v int, part int, record int").withColumnsRenamed({"part": "part"})
+    df = df.selectExpr("*", "1 AS own", "2 AS n", "3 AS shift", "4 AS k0")
+    got = global_rank(df, F.col("v"))
+    assert got.columns == [*df.columns, "rank"] and {r.v: (r["rank"], r.part) for r in got.collect()} == {3: (2, 1), 1: (1, 5)}
+    from larkstream.operators import gate
+
+    framed = gate.whole_frames(df.withColumn("frame", F.lit("x")), "n", ["v"], 2)
+    assert {(r.v, r.frame, r.own) for r in framed.collect()} == {(1, 0, 1), (3, 0, 1)}
+
+
 def test_process_segments_gives_a_reason_for_each(spark):
     from larkstream.operators import asr
     from larkstream.plans.process import process_segments
@@ -167,11 +255,14 @@ def test_dead_letters_add_up(spark):
 
 
 def test_loopback_lookup(spark):
-    devices = spark.createDataFrame([(0, "id-0", "Monitor of Speakers"), (1, "id-1", "Monitor of HDMI 2")], "pos int, id string, name string")
+    devices = spark.createDataFrame([(0, "id:0", "Monitor of Speakers"), (1, "id:1", "Monitor of HDMI 2")], "pos int, id string, name string")
     outputs = spark.createDataFrame([(0, "default-output"), (1, "HDMI 2"), (2, "Speakers"), (3, "Phone")], "pos int, name string")
-    asked = spark.createDataFrame([(q,) for q in ("default-output", "default", "lbidx:1", "id-1", "1", "2", "3", "hdmi", "none")], "query string")
-    got = {r.query: (r.pos, r["rule"]) for r in lookup.find_loopback(devices, outputs, asked).collect()}
-    assert got == {"default-output": (0, 1), "default": (0, 1), "lbidx:1": (1, 3), "id-1": (1, 2), "1": (1, 4), "2": (0, 4), "3": (None, None), "hdmi": (1, 5), "none": (None, None)}
+    want = {
+        "default-output": (0, 1), "default": (0, 1), "lbidx:1": (1, 3), "lbidx:7": (None, 3), "id:1": (1, 2), "id:5": (None, 2), "1": (1, 4), "2": (0, 4), "0": (0, 4),
+        "02": (0, 4), "3": (None, 5), "9": (None, 5), "hdmi": (1, 5), "none": (None, 5),
+    }
+    asked = spark.createDataFrame([(q,) for q in want], "query string")
+    assert {r.query: (r.pos, r["rule"]) for r in lookup.find_loopback(devices, outputs, asked).collect()} == want
 
 
 def test_numbers_go_on_from_files_and_entries(spark):
