@@ -3,7 +3,8 @@
 Every token of a text is predicted from the `SIDE` tokens on both sides of it; the sum of the logs of
 these conditional probabilities scores the document. Tokens are words (A-Z lower-cased): the `KNOWN`
 most frequent ones of the whole corpus have classes of their own, the others share hashed classes.
-The network predicts the class, the counts of the whole corpus the word in it:
+The network predicts the class, by a softmax of two levels (its cluster, and the class in it), the counts
+of the whole corpus the word in the class:
 log P(word) = log P(class | context) + log share of the word in its class. Of the N tokens and T
 distinct words of a shared class a word that occurs n times has the share n / (N + T); the T shares
 that remain stand for words never seen, which have 1 / (N + T) each (Witten-Bell).
@@ -15,9 +16,9 @@ that remain stand for words never seen, which have 1 / (N + T) each (Witten-Bell
    dealt into units of about `STEPS * BATCH` tokens by the hash of what they hold, copies each for itself.
    Starting from the same weights, each unit runs Adam over all its positions (or a seeded share of 1 in
    `every`), a small one so often that it takes some `STEPS` steps; the weights are averaged, each by its
-   number of positions, first within groups of units and then over groups. So what is learnt does not
-   depend on how the table is cut into partitions, what is gathered grows with the corpus, and the driver
-   gets some weights of fixed size.
+   number of positions, within groups of units and then over groups. So what is learnt does not depend
+   on how the table is cut into partitions, what is gathered grows with the corpus, and the driver gets
+   some weights of fixed size. Rounds end when the loss has all but stopped falling.
 3. Scoring is a narrow map over whole texts, in blocks of positions, so memory is bounded. It holds the
    counts of at most `HEAD` words; the other words of each text are joined with the table of all words
    (words there that occur once add log 1 = 0), in whole numbers, so sums do not depend on their order.
@@ -41,28 +42,52 @@ from pyspark.sql import functions as F
 from larkstream.llm.common import slices, small_batches, written
 from larkstream.llm.textvec import UNBLANK, word_hashes
 
-KNOWN, SHARED, SIDE, WIDTH = 192, 64, 3, 24
-CLASSES = KNOWN + SHARED  # class CLASSES is the padding
+CLUSTERS, MEMBERS = 32, 32  # the softmax has two levels: the cluster of a class, and the class in it
+CLASSES = CLUSTERS * MEMBERS  # class CLASSES is the padding
+SHARED = 128
+KNOWN = CLASSES - SHARED
+SIDE, WIDTH = 3, 24
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
-SHAPES = [(len(OFFSETS), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,)]
-HEAD = 65536  # words whose counts each task holds
+SHAPES = [(len(OFFSETS), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLUSTERS), (CLUSTERS,), (CLUSTERS, WIDTH, MEMBERS), (CLUSTERS, MEMBERS)]
+HEAD = 1 << 18  # words whose counts each task holds
 UNIT = 1 << 24  # logs of counts are added up as whole multiples of 1 / UNIT
 PIECE = 4096  # tokens of a text that stay together in training
-BATCH, STEPS = 1024, 1024  # positions of a training step, and steps of a unit
-BLOCK = 4096  # positions scored at once
+BATCH, STEPS = 8192, 256  # positions of a training step, and steps of a unit
+BLOCK = 8192  # positions scored at once
+LEARNT = "grp long, n long, w binary, loss double"
 GROUPS = (256, 16)  # units' weights are added up in so many groups, then in fewer; as many reach the driver
 
 
+_ONES = np.ones(max(CLUSTERS, MEMBERS), np.float32)
+
+
+def _softmax(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Makes probabilities of the logits (held to +-60) in place; the logs of the own ones."""
+    np.clip(logits, -60, 60, out=logits)
+    held = logits[np.arange(len(own)), own]
+    np.exp(logits, out=logits)
+    total = logits @ _ONES[: logits.shape[1]]
+    logits *= (1 / total)[:, None]
+    return held - np.log(total)
+
+
+def _by_cluster(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of positions by cluster, and where each cluster that occurs lies in it."""
+    cluster = (target // MEMBERS).astype(np.uint8)
+    ends = np.cumsum(np.bincount(cluster, minlength=CLUSTERS)).tolist()
+    return np.argsort(cluster, kind="stable"), [(g, slice(a, b)) for g, a, b in zip(range(CLUSTERS), [0, *ends[:-1]], ends, strict=True) if b > a]
+
+
 @dataclass
 class Network:
-    """context[o][class] sums to the hidden layer, which gives the logits of the masked token."""
+    """context[o][class] sums to the hidden layer, which gives the logits of the masked token's cluster, and of its class in the cluster."""
 
     weights: list[np.ndarray]
 
     @classmethod
     def fresh(cls, seed: int) -> Network:
         rng = np.random.default_rng(seed)
-        return cls([(rng.standard_normal(s) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for s in SHAPES])
+        return cls([(rng.standard_normal(s) * (0.1 if i in (0, 2, 4) else 0)).astype(np.float32) for i, s in enumerate(SHAPES)])
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Network:
@@ -73,55 +98,76 @@ class Network:
         return np.concatenate([w.ravel() for w in self.weights])
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        c, b, _, _ = self.weights
+        c, b = self.weights[:2]
         h = c[0][context[:, 0]]
         for k in range(1, len(OFFSETS)):
             h += c[k][context[:, k]]
         return np.tanh(h + b)
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        logits = self.hidden(context) @ self.weights[2] + self.weights[3]
-        own = logits[np.arange(len(target)), target]
-        top = logits.max(1)
-        return own - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        _, _, top, top_b, inner, inner_b = self.weights
+        order, clusters = _by_cluster(target)
+        h, own = self.hidden(context[order]), target[order]
+        cluster, member = np.divmod(own, MEMBERS)
+        logs = _softmax(h @ top + top_b, cluster)
+        for g, at in clusters:
+            logs[at] += _softmax(h[at] @ inner[g] + inner_b[g], member[at])
+        out = np.empty_like(logs)
+        out[order] = logs
+        return out
 
-    def gradients(self, context: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
-        c, _, o, ob = self.weights
+    def gradients(self, context: np.ndarray, target: np.ndarray) -> tuple[list[np.ndarray], float]:
+        """Of the mean loss, and its value."""
+        c, _, top, top_b, inner, inner_b = self.weights
+        n = len(target)
+        order, clusters = _by_cluster(target)
+        context, target = context[order], target[order]
         h = self.hidden(context)
-        p = h @ o
-        p += ob
-        p -= p.max(1)[:, None]
-        np.exp(p, out=p)
-        p /= p.sum(1)[:, None]
-        p[np.arange(len(target)), target] -= 1
-        p /= len(target)
-        back = (p @ o.T) * (1 - h * h)
+        cluster, member = np.divmod(target, MEMBERS)
+        p = h @ top + top_b
+        loss = -_softmax(p, cluster).sum(dtype=np.float64)
+        p[np.arange(n), cluster] -= 1
+        p *= 1 / n
+        back = p @ top.T
+        g_inner, g_inner_b = np.zeros_like(inner), np.zeros_like(inner_b)
+        for g, at in clusters:
+            q = h[at] @ inner[g] + inner_b[g]
+            loss -= _softmax(q, member[at]).sum(dtype=np.float64)
+            q[np.arange(len(q)), member[at]] -= 1
+            q *= 1 / n
+            back[at] += q @ inner[g].T
+            g_inner[g], g_inner_b[g] = h[at].T @ q, q.sum(0)
+        back *= 1 - h * h
         gc = np.zeros_like(c)
         for k in range(len(OFFSETS)):
             order = np.argsort(context[:, k], kind="stable")
             held = context[order, k]
             first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
             gc[k][held[first]] = np.add.reduceat(back[order], first)
-        return [gc, back.sum(0), h.T @ p, p.sum(0)]
+        return [gc, back.sum(0), h.T @ p, p.sum(0), g_inner, g_inner_b], float(loss) / n
 
 
 class Trainer:
-    """Adam over one unit's positions, in batches."""
+    """Adam over one unit's positions, in batches; `loss` adds up the loss of each position before it is learnt."""
 
-    def __init__(self, net: Network, rate: float, batch: int = BATCH):
-        self.net, self.rate, self.batch, self.steps, self.seen = net, rate, batch, 0, 0
+    def __init__(self, net: Network, rate: float, batch: int = 0):
+        self.net, self.rate, self.batch, self.steps, self.seen, self.loss = net, rate, batch or BATCH, 0, 0, 0.0
         self.m, self.v = [[np.zeros_like(w) for w in net.weights] for _ in range(2)]
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
         for k in range(0, len(target), self.batch):
+            own = target[k : k + self.batch]
             self.steps += 1
-            self.seen += len(target[k : k + self.batch])
-            for w, g, m, v in zip(self.net.weights, self.net.gradients(context[k : k + self.batch], target[k : k + self.batch]), self.m, self.v, strict=True):
+            self.seen += len(own)
+            gradients, loss = self.net.gradients(context[k : k + self.batch], own)
+            self.loss += loss * len(own)
+            step = self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
+            for w, g, m, v in zip(self.net.weights, gradients, self.m, self.v, strict=True):
                 m *= 0.9
                 m += 0.1 * g
                 v *= 0.99
-                v += 0.01 * g * g
-                w -= self.rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-6)
+                v += 0.01 * (g * g)
+                w -= step * m / (np.sqrt(v) + 1e-6)
 
 
 @dataclass(frozen=True)
@@ -258,34 +304,45 @@ def learning(start: np.ndarray, turn: int, every: int, rate: float, seed: int) -
             for b in range(0, share, BATCH):
                 trainer.rate = rate / (1 + turn) * (1 - 0.9 * (k + b / share) / times)
                 p = some[b : b + BATCH]
-                trainer.learn(around(line, p).astype(np.int64), line[p].astype(np.int64))
-        flat = trainer.net.flat().astype(np.float64) * len(places)
-        return pd.DataFrame({"grp": [key[0]], "n": [len(places)], "w": [flat.tobytes()]})
+                trainer.learn(around(line, p), line[p])
+        return pd.DataFrame({"grp": [key[0]], "n": [len(places)], "w": [trainer.net.flat().tobytes()], "loss": [trainer.loss / max(trainer.seen, 1)]})
 
     return run
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", every: int = 1, rounds: int = 2, rate: float = 0.01, seed: int = 3) -> Network:
+def averaged(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+    """The mean of several units' weights and losses, each by its number of positions; summed in order of the units."""
+    held = held.sort_values("grp")
+    total, n = 0.0, int(held["n"].sum())
+    for w, k in zip(held["w"], held["n"], strict=True):
+        total = total + np.frombuffer(w, np.float32).astype(np.float64) * (k / n)
+    return pd.DataFrame({"grp": [key[0]], "n": [n], "w": [total.astype(np.float32).tobytes()], "loss": [float((held["loss"] * held["n"]).sum() / n)]})
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", every: int = 1, rounds: int = 2, rate: float = 0.03, seed: int = 3, gain: float = 0.01) -> Network:
+    """A network from all positions of all texts (1 in `every`), after `rounds` rounds, or as soon as one lowers the loss by less than `gain` of it.
+
+    The loss of a round is that of each position before it is learnt.
+    """
     net = Network.fresh(seed)
     dealt = written(pieces(docs, vocabulary, text_col), "pieces")
     tokens = dealt.agg(F.sum((F.octet_length("line") / 2 - 2 * SIDE) * F.col("copies"))).first()[0]
     units = max(1, round((tokens or 0) / (STEPS * BATCH)))
     dealt = dealt.select("line", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("line", F.xxhash64("line", "copy").alias("place"))
     dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("place"), F.lit(units))).repartition(2 * units, "grp")
+    before = float("inf")
     for turn in range(rounds):
-
-        def added(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
-            total = np.zeros(len(held["w"].iloc[0]) // 8)
-            for w in held.sort_values("grp")["w"]:
-                total += np.frombuffer(w)
-            return pd.DataFrame({"grp": [key[0]], "n": [int(held["n"].sum())], "w": [total.tobytes()]})
-
-        learnt = dealt.groupBy("grp").applyInPandas(learning(net.flat(), turn, every, rate, seed), "grp long, n long, w binary")
+        learnt = dealt.groupBy("grp").applyInPandas(learning(net.flat(), turn, every, rate, seed), LEARNT)
         for groups in GROUPS:
-            learnt = learnt.groupBy((F.col("grp") % groups).alias("grp")).applyInPandas(added, "grp long, n long, w binary")
-        sums = sorted(learnt.collect(), key=lambda r: r.grp)
-        if sums:
-            net = Network.of(sum(np.frombuffer(r.w) for r in sums) / sum(r.n for r in sums))
+            learnt = learnt.groupBy((F.col("grp") % groups).alias("grp")).applyInPandas(averaged, LEARNT)
+        some = learnt.toPandas()
+        if some.empty:
+            break
+        last = averaged((0,), some).iloc[0]
+        net = Network.of(np.frombuffer(last.w, np.float32))
+        if last.loss > before * (1 - gain):
+            break
+        before = last.loss
     return net
 
 

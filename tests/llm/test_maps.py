@@ -254,10 +254,12 @@ def test_labels_and_ids_do_not_enter_a_score(make, spark):
 
 def test_gradients_are_those_of_the_loss():
     r = np.random.default_rng(0)
-    net = lm_score.Network([w.astype(np.float64) for w in lm_score.Network.fresh(1).weights])
+    net = lm_score.Network([w.astype(np.float64) + r.normal(0, 0.05, w.shape) for w in lm_score.Network.fresh(1).weights])
     context, target = r.integers(0, lm_score.CLASSES + 1, (7, len(lm_score.OFFSETS))), r.integers(0, lm_score.CLASSES, 7)
     loss = lambda: -net.log_probs(context, target).mean()
-    for w, g in zip(net.weights, net.gradients(context, target), strict=True):
+    gradients, value = net.gradients(context, target)
+    assert value == pytest.approx(loss())
+    for w, g in zip(net.weights, gradients, strict=True):
         spot = np.unravel_index(np.abs(g).argmax(), g.shape)
         w[spot] += 1e-5
         up = loss()
@@ -267,6 +269,31 @@ def test_gradients_are_those_of_the_loss():
         assert (up - down) / 2e-5 == pytest.approx(g[spot], rel=1e-3)
 
 
+def test_class_probabilities_add_up():
+    """Over all classes, and each as the plain product of its two levels."""
+    r = np.random.default_rng(1)
+    net = lm_score.Network([w.astype(np.float64) + r.normal(0, 0.3, w.shape) for w in lm_score.Network.fresh(1).weights])
+    context = np.repeat(r.integers(0, lm_score.CLASSES + 1, (1, len(lm_score.OFFSETS))), lm_score.CLASSES, 0)
+    logs = net.log_probs(context, np.arange(lm_score.CLASSES))
+    assert np.exp(logs).sum() == pytest.approx(1)
+    c, b, top, top_b, inner, inner_b = net.weights
+    h = np.tanh(sum(c[k][context[0, k]] for k in range(len(lm_score.OFFSETS))) + b)
+    share = lambda x: np.exp(x) / np.exp(x).sum()
+    for k in (0, 77, lm_score.CLASSES - 1):
+        g, m = divmod(k, lm_score.MEMBERS)
+        assert logs[k] == pytest.approx(np.log(share(h @ top + top_b)[g] * share(h @ inner[g] + inner_b[g])[m]))
+
+
+def test_weights_are_averaged_by_positions():
+    import pandas as pd
+
+    w = np.random.default_rng(2).normal(size=(3, 5)).astype(np.float32)
+    held = pd.DataFrame({"grp": [2, 0, 1], "n": [1, 3, 6], "w": [x.tobytes() for x in w], "loss": [1.0, 2.0, 4.0]})
+    got = lm_score.averaged((7,), held).iloc[0]
+    assert (got.grp, got.n, got.loss) == (7, 10, pytest.approx(3.1))
+    assert np.frombuffer(got.w, np.float32) == pytest.approx((w[0] * 0.1 + w[1] * 0.3 + w[2] * 0.6), rel=1e-5)
+
+
 def test_pseudo_likelihood_is_the_sum_over_tokens(make, odd_rows):
     docs = make(odd_rows)
     vocabulary = lm_score.Vocabulary.of(lm_score.frequent_words(docs))
@@ -296,6 +323,24 @@ def test_pseudo_likelihood_prefers_what_it_has_learnt(make):
     assert got[1] > got[2] + 0.5
 
 
+def test_unseen_texts_are_scored_better_than_by_word_counts(make, spark):
+    """Held-out loss a token lies below that of the words' own frequencies."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    some, rest = docs.where("doc_id % 5 > 0"), docs.where("doc_id % 5 = 0")
+    counts = lm_score.word_counts(some).cache()
+    vocabulary = lm_score.Vocabulary.of(lm_score.most_frequent(counts))
+    net = lm_score.train(some, vocabulary)
+    got = lm_score.pseudo_likelihood(rest, net, vocabulary, counts=counts).collect()
+    n = {c.word: c.n for c in counts.collect()}
+    total, kinds, plain, tokens = sum(n.values()), len(n), 0.0, 0
+    for t in rest.collect():
+        words, _ = textvec.word_hashes(pa.array([t.text], pa.string()), textvec.UNBLANK)
+        plain += sum(np.log(n.get(w, 1) / (total + kinds)) for w in words.view(np.int64).tolist())
+        tokens += len(words)
+    assert tokens == sum(r.n_tokens for r in got)
+    assert sum(r.pll for r in got) / tokens > plain / tokens + 0.1
+
+
 def test_pseudo_likelihood_of_an_empty_table(make):
     assert lm_score.score_documents(make([])).count() == 0
 
@@ -324,7 +369,7 @@ def test_words_of_one_class_are_scored_apart(make, monkeypatch, head):
         assert whole[i].pll == pytest.approx(part[i].pll + sum(map(share, t.split())), abs=1e-3)
         assert whole[i].mean_pll == pytest.approx(whole[i].pll / len(t.split()))
     unseen = int(vocabulary.classes(textvec.word_hashes(pa.array(["never-seen"]), textvec.UNBLANK)[0])[0])
-    assert whole[100].pll == pytest.approx(part[100].pll + share("w1") + share("w2") - np.log(total[unseen]), abs=1e-3)
+    assert whole[100].pll == pytest.approx(part[100].pll + share("w1") + share("w2") - np.log(total[unseen] or 1), abs=1e-3)
     assert whole[101].pll == 0 and whole[101].mean_pll is None
 
 
@@ -347,6 +392,6 @@ def test_training_does_not_depend_on_partitions(make, monkeypatch):
     few, many = [lm_score.train(make(rows, n), vocabulary).flat() for n in (1, 30)]
     assert np.allclose(few, many, atol=1e-4)
     learnt = lm_score.pseudo_likelihood(make([(1, "e f g e f g e f g")], 30), lm_score.Network.of(many), vocabulary).first()
-    assert learnt.mean_pll > -3  # uniform: -5.5
+    assert learnt.mean_pll > -3  # uniform: -6.9
     cut = lm_score.pieces(make([(1, " ".join("abc"[i % 3] for i in range(150))), (2, "a"), (3, "A")]), vocabulary).collect()
     assert sorted((len(c.line) // 2 - 2 * lm_score.SIDE, c.copies) for c in cut) == [(1, 2), (22, 1), (64, 1), (64, 1)]
