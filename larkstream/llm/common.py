@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkstream.session import cut, shared_folder
+from larkstream.session import cut, drop_folder, shared_folder
 
-__all__ = ["BLANKS", "WORD", "cut", "drop_work", "shared_folder", "slices", "small_batches", "table", "text_bytes", "word_count", "written"]
+__all__ = ["BLANKS", "WORD", "cut", "drop_folder", "shared_folder", "sized", "slices", "small_batches", "table", "text_bytes", "word_count", "written"]
 
 #: Fixed values of the query contracts: six ASCII blanks separate words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,12 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def drop_work(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder (smaller than a checkpoint where rows hold texts)."""
     spark = df.sparkSession
@@ -35,6 +29,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 300_000  # of narrow rows, some 40 bytes each
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast where it has few enough rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def text_bytes(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
 

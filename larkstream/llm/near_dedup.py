@@ -35,12 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkstream.llm.common import cut, drop_work, shared_folder, slices, small_batches
+from larkstream.llm.common import cut, drop_folder, shared_folder, sized, slices, small_batches
 from larkstream.llm.textvec import UNBLANK, mix, shingles, word_hashes
 
 COORDS, MATCHES = 32, 14
 SHORT = 16
-BROADCAST_ROWS = 300_000  # of some 40 bytes
 
 _RNG = np.random.default_rng(97)
 _MUL = _RNG.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,11 +76,6 @@ def signed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, a long, b long, sig array<int>")
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast where it has few enough rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 class _Linker:
     """The search for links between nodes (node, doc_id, text_hash, n, sig) of documents docs."""
 
@@ -120,7 +114,7 @@ class _Linker:
                         yield b.select([0, 1]).filter(pa.array(alike))
 
         links = cut(both.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long"))
-        drop_work(self.docs.sparkSession, path)
+        drop_folder(self.docs.sparkSession, path)
         return links
 
     def crowded_posts(self, crowded: DataFrame) -> DataFrame:

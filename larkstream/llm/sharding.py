@@ -1,16 +1,19 @@
 """Two-pass external shuffle into shards (DataFrame functions only).
 
-Pass 1 scatters: every record gets a uniform seeded hash of its place in the scan and is written with
-it to the shared folder. The hash does not look at the record, so copies, null ids or a hot source
-spread like any other rows; as it is written down once, a lost executor or a second reading cannot
-change it. The written sizes (one narrow column) fix the number of buckets, so that a bucket holds
-about `bucket_bytes` however large the corpus is.
-
-Pass 2 moves each record once, to its bucket, numbers the records of a bucket in hash order and gives
-each the place that the bucket's permutation has for its number. Permutations are Spark's array
-``shuffle`` (a seeded Fisher-Yates) of the numbers of each bucket; with the bucket's offset in the
-global order of N records they are a checkpointed table of four bytes a record. So a task never holds
-the records of a bucket, and sorts spill.
+Pass 1 reads the corpus once for its narrow statistics: each record's `spread`, a seeded hash of all its
+columns (but maps, which have no hash), and its size. Totals fix the number of buckets, so that a bucket
+holds about `bucket_bytes` however large the corpus is; a record's bucket is its spread modulo that number,
+so it depends on the record alone and not on how the scan is cut. Records that are equal in all columns
+share a spread: where they hold more than a quarter of a bucket, they are written down with their place
+in the scan and spread by that as well (they can't be told apart, so only their share of each bucket
+depends on the scan).
+
+Pass 2 scatters: an exchange by bucket moves each record once, into the shuffle files of its bucket. The
+records of a bucket are numbered in the order of their spread, and each goes to the place that the
+bucket's permutation has for its number. Permutations are Spark's array ``shuffle`` (a seeded
+Fisher-Yates), one for each bucket; with the bucket's offset in the global order of N records
+they are a checkpointed table of four bytes a record. So a task never holds the records of a bucket, and
+sorts spill. Each bucket is then written to its shard, and what is returned is read from there.
 
 Law ``rows``: place g of N goes to shard ``g * S div N``, so counts differ by one at most and slots are
 gapless from 0. Shards are runs of whole buckets, but for the bucket on a border.
@@ -21,10 +24,10 @@ an empty table gives no rows; all input columns travel in the struct `record`, s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkstream.llm.common import cut, text_bytes, written
+from larkstream.llm.common import cut, shared_folder, sized, text_bytes, written
 
 GROUP = 1024  # buckets that are numbered together
 MOST_PARTITIONS = 50_000  # of pass 2; beyond that a partition takes several buckets
@@ -39,34 +42,63 @@ def bucket_offsets(counts: DataFrame) -> DataFrame:
     return grouped.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(tops, "grp").select("bucket", (F.col("own") + F.col("base")).alias("offset"))
 
 
-def shuffle_into_shards(docs: DataFrame, n_shards: int, seed: int = 17, bucket_bytes: int = 16 << 20, text_col: str = "text") -> DataFrame:
-    """One row per record: record (all input columns), size, text_crc32, shard, slot."""
+def scattered(docs: DataFrame, seed: int, bucket_bytes: int, text_col: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """Records with their spread, how many records and bytes each spread has, and both totals."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    scattered = written(
-        docs.select(
-            F.struct("*").alias("record"),
-            (text_bytes(text) + 8).alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("spread"),
-        ),
-        "scatter",
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = docs.select(
+        F.struct("*").alias("record"),
+        (text_bytes(text) + 8).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(F.lit(seed), *hashed).alias("spread"),
     )
-    n, total = scattered.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    by_spread = cut(rows.groupBy("spread").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")))
+    n, total, most = by_spread.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.max(F.when(F.col("n") > 1, F.col("bytes")))).first()
+    if (most or 0) <= bucket_bytes / 4:
+        return rows, by_spread, n, total
+    heavy = by_spread.where((F.col("n") > 1) & (F.col("bytes") > bucket_bytes / 4)).select("spread")  # at most 4 a bucket
+    copies = rows.join(sized(heavy), "spread", "left_semi")
+    copies = written(copies.withColumn("spread", F.xxhash64("spread", F.monotonically_increasing_id())), "copies")
+    rows = rows.join(sized(heavy), "spread", "left_anti").unionByName(copies)
+    by_spread = by_spread.join(sized(heavy), "spread", "left_anti").unionByName(copies.groupBy("spread").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")))
+    return rows, by_spread, n, total
+
+
+def permutations(spark: SparkSession, counts: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """For each bucket a permutation (order) of as many numbers as the fullest bucket has; less the ones beyond its own it is one of its own.
+
+    Spark seeds ``shuffle`` by partition, so the rows come from a range cut in a fixed way, and nothing but the
+    seed and the numbers of buckets and records decides.
+    """
+    most = counts.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    numbers = F.sequence(F.lit(0), F.lit(int(most) - 1))
+    return spark.range(0, buckets, 1, -(-buckets // 64)).select(F.col("id").alias("bucket"), F.shuffle(numbers, seed).alias("order"))
+
+
+def shuffle_into_shards(docs: DataFrame, n_shards: int, seed: int = 17, bucket_bytes: int = 16 << 20, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """One row per record: record (all input columns), size, text_crc32, slot, shard; read from the shards in `path`.
+
+    Without a path they are written to a new folder below spark.checkpoint.dir. Each shard is a folder
+    ``shard=K`` whose files hold its records in slot order within each file.
+    """
+    rows, by_spread, n, total = scattered(docs, seed, bucket_bytes, text_col)
     buckets = max(1, -(-total // bucket_bytes))
-    placed = scattered.withColumn("bucket", F.pmod("spread", F.lit(buckets)))
-    counts = cut(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
-    numbers = F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))
-    orders = cut(bucket_offsets(counts).join(counts, "bucket").select("bucket", "offset", F.shuffle(numbers, seed).alias("order")))
+    bucket = F.pmod("spread", F.lit(buckets)).alias("bucket")
+    counts = cut(by_spread.groupBy(bucket).agg(F.sum("n").alias("n")))
+    orders = cut(bucket_offsets(counts).join(counts, "bucket").join(permutations(docs.sparkSession, counts, buckets, seed), "bucket"))
+    orders = orders.select("bucket", "offset", F.filter("order", lambda k: k < F.col("n")).alias("order"))
     number = F.row_number().over(Window.partitionBy("bucket").orderBy("spread"))
-    dealt = placed.repartition(min(buckets, MOST_PARTITIONS), "bucket").withColumn("number", number).join(orders, "bucket")
+    dealt = rows.select("*", bucket).repartition(min(buckets, MOST_PARTITIONS), "bucket").withColumn("number", number).join(orders, "bucket")
     shard = F.expr(f"place * {n_shards} div {max(n, 1)}")
-    return (
+    placed = (
         dealt.select("record", "size", "text_crc32", (F.col("offset") + F.element_at("order", F.col("number"))).alias("place"))
         .withColumn("shard", shard)
-        .select("record", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.expr(f"place - (shard * {max(n, 1)} + {n_shards - 1}) div {n_shards}").cast("long").alias("slot"))
+        .select("record", "size", "text_crc32", F.expr(f"place - (shard * {max(n, 1)} + {n_shards - 1}) div {n_shards}").cast("long").alias("slot"), F.col("shard").cast("int").alias("shard"))
     )
+    return write_shards(placed, path or shared_folder(docs.sparkSession, "shards"))
 
 
-def write_shards(shards: DataFrame, path: str) -> None:
-    """One folder per shard, records in slot order within each file; files are written where the records lie."""
-    shards.select("shard", "slot", "record").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(placed: DataFrame, path: str) -> DataFrame:
+    """The shards as written: each bucket's records go to files where the bucket lies."""
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return placed.sparkSession.read.schema(placed.schema).parquet(path)

@@ -67,11 +67,28 @@ def test_shards(make, odd_rows, bucket_bytes):
 
 
 def test_shards_of_few_and_no_rows(make, tmp_path):
-    got = sharding.shuffle_into_shards(make([(1, "a"), (2, "b")]), 24)
+    got = sharding.shuffle_into_shards(make([(1, "a"), (2, "b")]), 24, path=str(tmp_path / "out"))
     assert got.count() == 2 and {r.slot for r in got.collect()} == {0}
-    assert sharding.shuffle_into_shards(make([]), 24).count() == 0
-    sharding.write_shards(got, str(tmp_path / "out"))
     assert len(list((tmp_path / "out").glob("shard=*"))) == 2
+    assert sharding.shuffle_into_shards(make([]), 24).count() == 0
+
+
+def test_shards_do_not_depend_on_the_scan(make, odd_rows):
+    """Rows of equal id and text keep their places among themselves only."""
+    placed = lambda n: Counter((r.record.doc_id, r.record.text, r.shard, r.slot) for r in sharding.shuffle_into_shards(make(odd_rows, n), 5, bucket_bytes=20_000).collect())
+    assert placed(1) == placed(3) == placed(17)
+
+
+def test_shards_of_equal_records(spark):
+    """Copies that would fill a bucket are spread over all of them."""
+    docs = spark.createDataFrame([(None, "the same text")] * 600 + [(k, f"text {k}") for k in range(600)], "doc_id long, text string").repartition(4)
+    rows, by_spread, n, total = sharding.scattered(docs, 17, 1000, "text")
+    assert n == 1200 and by_spread.agg({"bytes": "max"}).first()[0] < 250 and rows.count() == 1200
+    got = sharding.shuffle_into_shards(docs, 6, bucket_bytes=1000).collect()
+    assert Counter((r.record.doc_id, r.record.text) for r in got) == Counter(map(tuple, docs.collect()))
+    by = Counter(r.shard for r in got)
+    same = Counter(r.shard for r in got if r.record.doc_id is None)
+    assert set(by.values()) == {200} and max(same.values()) < 160
 
 
 def test_bucket_offsets(spark):
@@ -105,9 +122,14 @@ def water(sizes, weights, epochs):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_mixture(spark, seed):
+@pytest.mark.parametrize("bits", [12, 2])
+def test_mixture(spark, monkeypatch, seed, bits):
+    """With few slots and ranked places the border is refined several times."""
     import random
 
+    monkeypatch.setattr(mixing, "BITS", bits)
+    monkeypatch.setattr(mixing, "RANKED", 10_000 if bits > 2 else 3)
+
     r = random.Random(seed)
     names = [None, "é", "z", "B", "a", "中", "empty"]
     rows = []
@@ -134,6 +156,29 @@ def test_mixture(spark, seed):
     assert whole.columns == docs.columns and whole.count() == sum(x.copies for x in got)
 
 
+def test_mixture_of_equal_rows(spark, monkeypatch):
+    """Of rows equal in id and text as many are taken as the target asks for, in salted groups; many sources are joined in two parts."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    rows = [(1, "a b c", "x")] * 900 + [(k, "d e", f"s{k % 8}") for k in range(300)] + [(None, "f", None)] * 90
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(docs).collect()
+    assert Counter((x.record.doc_id, x.record.text, x.record.source) for x in got) == Counter(rows)
+    order = sorted({s for _, _, s in rows if s}) + [None]
+    size = {s: sum(n_words(t) for _, t, x in rows if x == s) for s in order}
+    target = dict(zip(order, water([size[s] for s in order], [k % 3 + 1 for k in range(len(order))], 3), strict=True))
+    taken = Counter()
+    for x in got:
+        taken[x.record.source] += x.taken
+    assert all(abs(taken[s] - target[s]) <= 1.5 for s in order), (taken, target)
+
+
+def test_mixture_ranks_no_records(spark):
+    """The cut of a source is found on (source, place, size); texts are in no window and no exchange."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+
+
 def test_mixture_of_nothing(make):
     assert mixing.mix(make([])).count() == 0
     assert [r.taken for r in mixing.mix(make([(1, None)])).collect()] == [0]
