@@ -16,9 +16,10 @@ that remain stand for words never seen, which have 1 / (N + T) each (Witten-Bell
    dealt into units of about `STEPS * BATCH` tokens by the hash of what they hold, copies each for itself.
    Starting from the same weights, each unit runs Adam over all its positions (or a seeded share of 1 in
    `every`), a small one so often that it takes some `STEPS` steps; the weights are averaged, each by its
-   number of positions, within groups of units and then over groups. So what is learnt does not depend
-   on how the table is cut into partitions, what is gathered grows with the corpus, and the driver gets
-   some weights of fixed size. Rounds end when the loss has all but stopped falling.
+   number of positions, within groups of units and then over groups. A first round over few units gives
+   the weights from which the others start, so each position is learnt once. What is learnt does not
+   depend on how the table is cut into partitions, what is gathered grows with the corpus, and the
+   driver gets some weights of fixed size.
 3. Scoring is a narrow map over whole texts, in blocks of positions, so memory is bounded. It holds the
    counts of at most `HEAD` words; the other words of each text are joined with the table of all words
    (words there that occur once add log 1 = 0), in whole numbers, so sums do not depend on their order.
@@ -46,7 +47,7 @@ CLUSTERS, MEMBERS = 32, 32  # the softmax has two levels: the cluster of a class
 CLASSES = CLUSTERS * MEMBERS  # class CLASSES is the padding
 SHARED = 128
 KNOWN = CLASSES - SHARED
-SIDE, WIDTH = 3, 24
+SIDE, WIDTH = 3, 16
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 SHAPES = [(len(OFFSETS), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLUSTERS), (CLUSTERS,), (CLUSTERS, WIDTH, MEMBERS), (CLUSTERS, MEMBERS)]
 HEAD = 1 << 18  # words whose counts each task holds
@@ -54,6 +55,7 @@ UNIT = 1 << 24  # logs of counts are added up as whole multiples of 1 / UNIT
 PIECE = 4096  # tokens of a text that stay together in training
 BATCH, STEPS = 8192, 256  # positions of a training step, and steps of a unit
 BLOCK = 8192  # positions scored at once
+FIRST = 8
 LEARNT = "grp long, n long, w binary, loss double"
 GROUPS = (256, 16)  # units' weights are added up in so many groups, then in fewer; as many reach the driver
 
@@ -302,7 +304,7 @@ def learning(start: np.ndarray, turn: int, every: int, rate: float, seed: int) -
         for k in range(times):
             some = rng.permutation(places)[:share]
             for b in range(0, share, BATCH):
-                trainer.rate = rate / (1 + turn) * (1 - 0.9 * (k + b / share) / times)
+                trainer.rate = rate / (1 + turn / 2) * (1 - 0.9 * (k + b / share) / times)
                 p = some[b : b + BATCH]
                 trainer.learn(around(line, p), line[p])
         return pd.DataFrame({"grp": [key[0]], "n": [len(places)], "w": [trainer.net.flat().tobytes()], "loss": [trainer.loss / max(trainer.seen, 1)]})
@@ -319,30 +321,36 @@ def averaged(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"grp": [key[0]], "n": [n], "w": [total.astype(np.float32).tobytes()], "loss": [float((held["loss"] * held["n"]).sum() / n)]})
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", every: int = 1, rounds: int = 2, rate: float = 0.03, seed: int = 3, gain: float = 0.01) -> Network:
-    """A network from all positions of all texts (1 in `every`), after `rounds` rounds, or as soon as one lowers the loss by less than `gain` of it.
+def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", every: int = 1, epochs: int = 1, rate: float = 0.03, seed: int = 3, gain: float = 0.01) -> Network:
+    """A network from all positions of all texts (1 in `every`), each learnt once in an epoch.
 
-    The loss of a round is that of each position before it is learnt.
+    An epoch has two rounds: a few units, 1 in `FIRST`, give the weights from which all the others start. After
+    the first one, `epochs` end early where one lowers the loss by less than `gain` of it; the loss is that of
+    each position before it is learnt.
     """
     net = Network.fresh(seed)
     dealt = written(pieces(docs, vocabulary, text_col), "pieces")
     tokens = dealt.agg(F.sum((F.octet_length("line") / 2 - 2 * SIDE) * F.col("copies"))).first()[0]
     units = max(1, round((tokens or 0) / (STEPS * BATCH)))
     dealt = dealt.select("line", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("line", F.xxhash64("line", "copy").alias("place"))
-    dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("place"), F.lit(units))).repartition(2 * units, "grp")
+    dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("place"), F.lit(units)))
+    early = -(-units // FIRST)
+    shares = [F.col("grp") < early, F.col("grp") >= early] if units > 1 else [F.lit(True)] * 2
     before = float("inf")
-    for turn in range(rounds):
-        learnt = dealt.groupBy("grp").applyInPandas(learning(net.flat(), turn, every, rate, seed), LEARNT)
-        for groups in GROUPS:
-            learnt = learnt.groupBy((F.col("grp") % groups).alias("grp")).applyInPandas(averaged, LEARNT)
-        some = learnt.toPandas()
-        if some.empty:
+    for epoch in range(epochs):
+        loss = n = 0
+        for turn, share in enumerate(shares, 2 * epoch):
+            learnt = dealt.where(share).repartition(2 * units, "grp").groupBy("grp").applyInPandas(learning(net.flat(), turn, every, rate, seed), LEARNT)
+            for groups in GROUPS:
+                learnt = learnt.groupBy((F.col("grp") % groups).alias("grp")).applyInPandas(averaged, LEARNT)
+            some = learnt.toPandas()
+            if not some.empty:
+                last = averaged((0,), some).iloc[0]
+                net = Network.of(np.frombuffer(last.w, np.float32))
+                loss, n = loss + last.loss * last.n, n + last.n
+        if not n or loss / n > before * (1 - gain):
             break
-        last = averaged((0,), some).iloc[0]
-        net = Network.of(np.frombuffer(last.w, np.float32))
-        if last.loss > before * (1 - gain):
-            break
-        before = last.loss
+        before = loss / n
     return net
 
 
