@@ -17,9 +17,12 @@
    candidates between different components. Links inside a component cannot change it, so components
    are those of the full link graph.
 
-Components come from alternating large-star and small-star steps. Links, labels and signatures stay
-in tables; only counts reach the driver. Long lists are aggregated before they are shuffled, and
-nothing gathers a group into one task but lists of at most `SHORT` nodes.
+Sets of the nodes that occur in a candidate or are crowded are read once and written down; pairs meet
+them by joins on the node, and are compared in the JVM. Components come from alternating large-star and
+small-star steps. Links, labels and signatures stay in tables; only counts reach the driver. Wherever a
+key (a hub, a shingle's list, the centre of a star, a set with many copies) has more than `FAN` rows,
+these are dealt over parts and the other side is repeated for each; lists are aggregated before they are
+shuffled, and nothing gathers a group into one task but lists of at most `SHORT` nodes.
 
 Edge cases: null, empty and wordless texts have no shingles and are linked with nothing; shorter texts
 than a shingle are one shingle; a null id is never the smallest unless all are null; repeated rows
@@ -40,6 +43,7 @@ from larkstream.llm.textvec import UNBLANK, mix, shingles, word_hashes
 
 COORDS, MATCHES = 32, 14
 SHORT = 16
+FAN = 1024  # rows of one key, above which they are dealt over several tasks
 
 _RNG = np.random.default_rng(97)
 _MUL = _RNG.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,49 +80,35 @@ def signed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, a long, b long, sig array<int>")
 
 
+def hot_keys(counted: DataFrame, key: str, n: str) -> DataFrame | None:
+    """The keys of counted (key, n) that stand for more than FAN rows, and in how many parts these are dealt; None if there are none."""
+    hot = cut(counted.where(F.col(n) > FAN).select(F.col(key).alias("hot"), F.ceil(F.col(n) / FAN).cast("int").alias("parts")))
+    return None if hot.isEmpty() else sized(hot)
+
+
+def fanned(left: DataFrame, right: DataFrame, key: str, spread: str, hot: DataFrame | None) -> DataFrame:
+    """left joined with right on `key`; rows of left under a hot key are dealt over its parts by `spread`, and right's are repeated for each part."""
+    if hot is None:
+        return left.join(right, key)
+    dealt = left.join(hot, F.col(key).eqNullSafe(F.col("hot")), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("parts")), F.lit(0).cast("long"))).drop("hot", "parts")
+    copies = right.join(hot, F.col(key).eqNullSafe(F.col("hot")), "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0)).cast("long")))).drop("hot", "parts")
+    return dealt.join(copies, [key, "part"]).drop("part")
+
+
+def by_key(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """As `fanned`, with the hot keys counted first."""
+    return fanned(left, right, key, spread, hot_keys(left.groupBy(key).agg(F.count(F.lit(1)).alias("n_")), key, "n_"))
+
+
 class _Linker:
     """The search for links between nodes (node, doc_id, text_hash, n, sig) of documents docs."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, size: int, percent: int, id_col: str, text_col: str):
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-        self.nodes, self.size, self.percent = nodes, size, percent
-
-    def texts(self, wanted: DataFrame) -> DataFrame:
-        """(node, text) for the nodes in wanted."""
-        keys = sized(cut(self.nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))))
-        met = self.docs.join(keys, (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
-        return met.groupBy("node").agg(F.first("text").alias("text"))
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) whose full sets are similar enough."""
-        pairs = cut(pairs)
-        path = shared_folder(self.docs.sparkSession, "texts")
-        self.texts(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()).write.parquet(path)
-        texts = self.docs.sparkSession.read.schema("node long, text string").parquet(path)
-        both = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
-        size, percent = self.size, self.percent
+        self.nodes, self.size, self.percent, self.folder = nodes, size, percent, None
 
-        def sets(texts: pa.Array) -> list[np.ndarray]:
-            words, at = word_hashes(texts, UNBLANK)
-            return [np.unique(shingles(words[at[i] : at[i + 1]], size)) for i in range(len(texts))]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in slices(whole, 2, 2 << 20):
-                    for k in range(0, batch.num_rows, 256):
-                        b = batch.slice(k, 256)
-                        alike = []
-                        for u, v in zip(sets(b.column(2)), sets(b.column(3)), strict=True):
-                            shared = len(np.intersect1d(u, v, assume_unique=True))
-                            alike.append(100 * shared >= percent * (len(u) + len(v) - shared))
-                        yield b.select([0, 1]).filter(pa.array(alike))
-
-        links = cut(both.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long"))
-        drop_folder(self.docs.sparkSession, path)
-        return links
-
-    def crowded_posts(self, crowded: DataFrame) -> DataFrame:
-        """(item, node, n, pos) for the shingles in each crowded node's prefix: pos is the shingle's place by rarity."""
+    def read_sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, items: hashes of all shingles) of the nodes in wanted; the corpus is read once for it, and the sets are written down."""
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +118,29 @@ class _Linker:
                     own = [np.unique(shingles(words[at[i] : at[i + 1]], size)).view(np.int64) for i in range(batch.num_rows)]
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "items"])
 
-        sets = cut(self.texts(crowded.select("node")).mapInArrow(run, "node long, items array<bigint>"))
-        held = sets.select("node", F.size("items").cast("long").alias("n"), F.explode("items").alias("item"))
-        df = held.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+        keys = sized(cut(self.nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))))
+        met = self.docs.join(keys, (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+        spark, self.folder = self.docs.sparkSession, shared_folder(self.docs.sparkSession, "sets")
+        met.mapInArrow(run, "node long, items array<bigint>").dropDuplicates(["node"]).write.parquet(self.folder)
+        return spark.read.schema("node long, items array<bigint>").parquet(self.folder)
+
+    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (x, y) whose full sets are similar enough."""
+        pairs = cut(pairs.select("x", "y"))
+        hot = {c: hot_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("k")), c, "k") for c in ("x", "y")}
+        left = fanned(pairs, sets.select(F.col("node").alias("x"), F.col("items").alias("ix")), "x", "y", hot["x"])
+        both = fanned(left, sets.select(F.col("node").alias("y"), F.col("items").alias("iy")), "y", "x", hot["y"])
+        shared = F.size(F.array_intersect("ix", "iy"))
+        alike = shared * 100 >= (F.size("ix") + F.size("iy") - shared) * self.percent
+        near = (F.size("ix") * 100 >= F.size("iy") * self.percent) & (F.size("iy") * 100 >= F.size("ix") * self.percent)
+        return cut(both.where(near & alike).select("x", "y"))
+
+    def crowded_posts(self, crowded: DataFrame, sets: DataFrame) -> DataFrame:
+        """(item, node, n, pos) for the shingles in each crowded node's prefix: pos is the shingle's place by rarity."""
+        held = sets.join(crowded.select("node"), "node", "left_semi").select("node", F.size("items").cast("long").alias("n"), F.explode("items").alias("item"))
+        df = cut(held.groupBy("item").agg(F.count(F.lit(1)).alias("df")))
         order = Window.partitionBy("node").orderBy("df", "item")
-        posts = held.join(df, "item").withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
+        posts = fanned(held, df, "item", "node", hot_keys(df, "item", "df")).withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
         prefix = F.expr(f"n - (n * {self.percent} + 99) div 100")  # whole numbers: no rounding shortens it
         return cut(posts.where((F.col("df") > 1) & (F.col("pos") <= prefix)).select("item", "node", "n", "pos"))
 
@@ -140,7 +148,7 @@ class _Linker:
     def toward_hubs(posts: DataFrame) -> DataFrame:
         """Each node with the hub that most of its lists have: a list's hub is the member with the least rare shingles before the list's."""
         hubs = posts.groupBy("item").agg(F.min(F.struct("pos", "node")).alias("h")).select("item", F.col("h.node").alias("hub"))
-        met = posts.join(hubs, "item").where("hub <> node").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("met"))
+        met = by_key(posts, hubs, "item", "node").where("hub <> node").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("met"))
         met = met.groupBy("node").agg(F.max(F.struct("met", "hub")).alias("best"))
         return met.select(F.least("node", "best.hub").alias("x"), F.greatest("node", "best.hub").alias("y"))
 
@@ -148,9 +156,10 @@ class _Linker:
         """Candidates of different components: in each list, those outside its largest component seek partners."""
         p = self.percent
         posts = cut(posts.join(comp, "node", "left").select("item", "node", "n", "pos", F.coalesce("comp", "node").alias("comp")))
-        main = posts.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("members")).groupBy("item").agg(F.max(F.struct("members", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-        main = main.where("comps > 1").select("item", F.col("main.comp").alias("main"))
-        posts = posts.join(main, "item")
+        members = cut(posts.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("members")))
+        main = cut(members.groupBy("item").agg(F.max(F.struct("members", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("members").alias("all")).where("comps > 1"))
+        hot = hot_keys(main, "item", "all")
+        posts = cut(fanned(posts, main.select("item", F.col("main.comp").alias("main")), "item", "node", hot))
         seek = posts.where("comp <> main").select("item", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "comp")])
         need = F.expr(f"((n + x_n) * {p} + {99 + p}) div {100 + p}")  # the least overlap that links them
         fits = (
@@ -160,7 +169,7 @@ class _Linker:
             & (F.col("n") * 100 >= F.col("x_n") * p)
             & (F.col("x_n") * 100 >= F.col("n") * p)
         )
-        met = posts.join(seek, (posts["item"] == seek["item"]) & fits)
+        met = fanned(posts, seek, "item", "node", hot).where(fits)
         return met.select(F.least("node", "x_node").alias("x"), F.greatest("node", "x_node").alias("y")).distinct()
 
     def links(self) -> DataFrame:
@@ -172,24 +181,28 @@ class _Linker:
         skipped = cut(posted.where(F.col("members") > SHORT).groupBy("node").agg(F.count(F.lit(1)).alias("skipped")))
         short = posted.where(F.col("members") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("in"))
         pairs = short.select(F.posexplode("in").alias("i", "x"), "in").select("x", F.explode(F.expr("slice(in, i + 2, size(in))")).alias("y"))
-        pairs = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= F.lit(1))
+        pairs = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("met"))
         sx, sy = skipped.select(F.col("node").alias("x"), F.col("skipped").alias("skipped_x")), skipped.select(F.col("node").alias("y"), F.col("skipped").alias("skipped_y"))
         reach = F.col("met") + F.least(F.coalesce("skipped_x", F.lit(0)), F.coalesce("skipped_y", F.lit(0)))
         pairs = cut(pairs.join(sx, "x", "left").join(sy, "y", "left").where(reach >= MATCHES).select("x", "y", reach.alias("reach")))
         crowded = cut(skipped.where(F.col("skipped") >= MATCHES).join(self.nodes.select("node", "n"), "node"))
 
+        wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).unionByName(crowded.select("node")).distinct()
+        sets = self.read_sets(wanted)
         best = pairs.groupBy("y").agg(F.max(F.struct("reach", "x")).alias("best")).select(F.col("best.x").alias("x"), "y")
-        posts = None if crowded.isEmpty() else self.crowded_posts(crowded)
+        posts = None if crowded.isEmpty() else self.crowded_posts(crowded, sets)
         first = best if posts is None else best.unionByName(self.toward_hubs(posts)).distinct()
         first = cut(first)
-        sure = self.confirmed(first)
+        sure = self.confirmed(first, sets)
         comp = components(sure)
         cx, cy = comp.select(F.col("node").alias("x"), F.col("comp").alias("comp_x")), comp.select(F.col("node").alias("y"), F.col("comp").alias("comp_y"))
         apart = F.coalesce("comp_x", "x") != F.coalesce("comp_y", "y")
         open_pairs = pairs.select("x", "y").join(cx, "x", "left").join(cy, "y", "left").where(apart).select("x", "y")
         if posts is not None:
             open_pairs = open_pairs.unionByName(self.strangers(posts, comp)).distinct()
-        return sure.unionByName(self.confirmed(open_pairs.join(first, ["x", "y"], "left_anti")))
+        more = self.confirmed(open_pairs.join(first, ["x", "y"], "left_anti"), sets)
+        drop_folder(self.docs.sparkSession, self.folder)
+        return sure.unionByName(more)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,11 +212,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour is linked to the smallest of the neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("k")))
+        large = fanned(both.where("v > u"), least.select("u", "m"), "u", "v", hot_keys(least, "u", "k"))
+        large = cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: every smaller neighbour and the node itself
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")))
+        small = fanned(large, least.select("u", "m"), "u", "v", hot_keys(least, "u", "k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
@@ -214,16 +228,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, component_id, kept (doc_id = component_id), first (one row of each component)."""
-    rows = cut(signed(small_batches(docs), size, id_col, text_col).withColumn("row_id", F.monotonically_increasing_id()))
+    rows = signed(small_batches(docs), size, id_col, text_col).withColumn("row_id", F.monotonically_increasing_id()).withColumn("set", F.struct("n", "a", "b"))
+    rows = cut(rows.drop("a", "b"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("best")
-    nodes = rows.where("n > 0").groupBy("n", "a", "b").agg(F.min(F.struct("row_id", "doc_id", "text_hash", "sig")).alias("r"), best)
-    nodes = cut(nodes.select("n", "a", "b", F.col("r.row_id").alias("node"), "r.doc_id", "r.text_hash", "r.sig", "best"))
+    nodes = rows.where("n > 0").groupBy("set").agg(F.min(F.struct("row_id", "doc_id", "text_hash", "sig")).alias("r"), best, F.count(F.lit(1)).alias("copies"))
+    nodes = cut(nodes.select("set", "set.n", F.col("r.row_id").alias("node"), "r.doc_id", "r.text_hash", "r.sig", "best", "copies"))
     comp = components(_Linker(docs, nodes, size, percent, id_col, text_col).links())
-    named = nodes.select("n", "a", "b", "node", "best").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = cut(named)
-    least = named.groupBy("comp").agg(F.min("best").alias("least"))
-    named = named.join(least, "comp").select(F.col("n").alias("k_n"), F.col("a").alias("k_a"), F.col("b").alias("k_b"), "least")
-    met = rows.drop("sig").join(named, (F.col("n") == F.col("k_n")) & (F.col("a") == F.col("k_a")) & (F.col("b") == F.col("k_b")), "left")
+    named = cut(nodes.select("set", "node", "best").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    least = named.groupBy("comp").agg(F.min("best").alias("least"), F.count(F.lit(1)).alias("k"))
+    named = by_key(named.select("set", "node", "comp"), least.select("comp", "least"), "comp", "node").select("set", "least")
+    met = fanned(rows.where("n > 0").drop("sig"), named, "set", "row_id", hot_keys(nodes, "set", "copies"))
+    alone = rows.where("n = 0").drop("sig").withColumn("least", F.lit(None).cast(named.schema["least"].dataType))
+    met = met.unionByName(alone)
     component = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
     return met.select(
         "doc_id",
@@ -236,16 +252,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, less all but the first of each component."""
+    """The rows of docs, with all columns, less all but the first of each component; edge cases as above.
+
+    Records travel as a struct, so no column name can clash.
+    """
     found = cut(near_duplicates(docs, size, percent, id_col, text_col))
-    same = lambda a, b: docs[id_col].eqNullSafe(a) & (F.xxhash64(docs[text_col]) == b)
     per_key = found.groupBy("doc_id", "text_hash").agg(F.count_if("first").alias("stay"), F.count(F.lit(1)).alias("rows"))
-    per_key = cut(per_key.where("stay < rows").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "stay"))
-    gone = per_key.where("stay = 0")
-    kept = docs.join(sized(gone), same(F.col("id_"), F.col("hash_")), "left_anti")
+    per_key = cut(per_key.where("stay < rows").select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"), "stay"))
+    rows = docs.select(F.struct("*").alias("record"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("key_id")) & (F.col("hash") == F.col("key_hash"))
     partly = per_key.where("stay > 0")  # rows that repeat id and text: as many stay as are first
     if partly.isEmpty():
-        return kept
-    whole = kept.join(sized(partly), same(F.col("id_"), F.col("hash_")), "left_anti")
-    repeated = docs.join(sized(partly), same(F.col("id_"), F.col("hash_"))).groupBy("id_", "hash_").agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("r"))
-    return whole.unionByName(repeated.select("r.*"))
+        return rows.join(sized(per_key), same, "left_anti").select("record.*")
+    repeated = rows.join(sized(partly), same).groupBy("key_id", "key_hash").agg(F.first("record").alias("record"))
+    return rows.join(sized(per_key), same, "left_anti").select("record.*").unionByName(repeated.select("record.*"))
