@@ -5,19 +5,21 @@ hold as whole tokens. One pass counts, over all URLs, how many hold each of the
 is indexed under the rarest of its own. A second pass cuts each URL into tokens, fetches the rules
 indexed under them, and runs only those expressions; rules without a sure token are always run.
 
-The index is built from the rules given by the caller, at most `MAX_RULES`, so what each task holds is
-bounded by that and not by the pages. Both passes are maps; the only shuffle adds up token counts.
+Rules are taken in blocks of `BLOCK`, each a pass of the same map over what the blocks before it found, so
+what a task holds is bounded whatever the number of rules; an expression is compiled when a URL first
+fetches it. Token counts are added up by the only shuffle.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path and gets the default verdict;
 an empty path fits only rules without a path; longest fitting rule wins, the first given on a tie;
-repeated rows are judged each for itself; extra columns are ignored.
+repeated rows are judged each for itself; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from larkstream.llm.common import small_batches
 
-MAX_RULES = 100_000
+BLOCK = 100_000  # rules of a pass
 TOKEN = re.compile("[a-z0-9]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -54,10 +56,25 @@ def host_word(word: str) -> Rule:
     return Rule(word, "block", rf"(?:[^/]*[.-])?{re.escape(word)}(?:[.-]|/|$)", tuple(TOKEN.findall(word)), listed=False)
 
 
+def path_word(word: str) -> Rule:
+    """Blocks paths that hold `word` between slashes, dots, hyphens or underscores."""
+    return Rule(f"/{word}", "block", rf"[^/]*/(?:.*[/._-])?{re.escape(word)}(?:[/._-]|$)", tuple(TOKEN.findall(word)), listed=False)
+
+
+def file_kind(kind: str) -> Rule:
+    """Blocks paths that end in a file of this kind."""
+    return Rule(f".{kind}", "block", rf"[^/]*/.*\.(?i:{re.escape(kind)})$", (kind,), listed=False)
+
+
 #: Fixed values of the query contract.
 LISTED = (host_rule("net/", "block"), host_rule("example.net/en/", "allow"), host_rule("example.com/de/", "block"), host_rule("org/fr/", "allow"))
-#: Words of hosts that this method blocks by itself.
-OWN = tuple(host_word(w) for w in ("adult", "bets", "casino", "free-bets", "malware", "phishing", "porn", "spam", "spam-farm", "torrent", "warez", "xxx"))
+#: What this method blocks by itself: words of hosts and paths, programs, numeric hosts and hosts in disguised letters.
+WORDS = ("adult", "bets", "casino", "malware", "phishing", "porn", "spam", "torrent", "warez", "xxx")
+PATH_WORDS = ("casino", "malware", "phishing", "porn", "torrent", "warez")
+KINDS = ("apk", "exe", "msi", "scr")
+NUMERIC = Rule("numeric host", "block", r"(?:[^/]*@)?[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]*)?(?:/|$)", listed=False)
+PUNYCODE = Rule("xn--", "block", r"(?:[^/]*\.)?xn--", ("xn",), listed=False)
+OWN = (*map(host_word, WORDS), *map(path_word, PATH_WORDS), *map(file_kind, KINDS), NUMERIC, PUNYCODE)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -80,32 +97,56 @@ def token_counts(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url"
 
 def index_rules(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, list[int]]:
     """Numbers of rules by their rarest token; those without one under the empty token."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the index holds {MAX_RULES}")
     index = defaultdict(list)
     for i, r in enumerate(rules):
         index[min(r.tokens, key=lambda t: (counts.get(t, 0), t), default="")].append(i)
     return dict(index)
 
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = LISTED + OWN, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, pattern (the rule that decided, listed or own), n_tried."""
-    index = index_rules(rules, token_counts(pages, rules, url_col))
-    kind = pages.schema[id_col].dataType.simpleString()
+def _rank(rule: Rule, number: int) -> tuple[bool, int, int]:
+    return rule.listed, len(rule.name), -number
+
+
+def _pass(rules: tuple[Rule, ...], index: dict[str, list[int]], first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map of id, url, host, path, best (listed, length, -number, name, verdict) and n_tried that tries one block of rules."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [re.compile(r.pattern) for r in rules]
+        compiled: dict[int, re.Pattern] = {}
+
+        def fits(i: int, whole: str) -> bool:
+            if i not in compiled:
+                compiled[i] = re.compile(rules[i].pattern)
+            return compiled[i].match(whole) is not None
+
         for batch in batches:
-            out = []
-            for url in batch.column(1).to_pylist():
+            hosts, paths, best, tried = [], [], batch["best"].to_pylist(), batch["n_tried"].to_pylist()
+            for k, url in enumerate(batch["url"].to_pylist()):
                 host, path = split_url(url)
+                hosts.append(host)
+                paths.append(path)
                 whole = host + path
                 near = {i for t in {*TOKEN.findall(whole.lower()), ""} for i in index.get(t, ())}
-                fit = [i for i in near if compiled[i].match(whole)]
-                best = max(fit, key=lambda i: (rules[i].listed, len(rules[i].name), -i), default=None)
-                r = None if best is None else rules[best]
-                out.append((host, path, r.name if r and r.listed else None, r.verdict if r else default, r and r.name, len(near)))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in cols[:5]), pa.array(cols[5], pa.int32())], ["page_id", "host", "path", "rule", "verdict", "pattern", "n_tried"])
-
-    return small_batches(pages).select(id_col, url_col).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, pattern string, n_tried int")
+                tried[k] += len(near)
+                held = best[k] and (best[k]["listed"], best[k]["length"], best[k]["order"])
+                for i in near:
+                    rank = _rank(rules[i], first + i)
+                    if (held is None or rank > held) and fits(i, whole):
+                        held = rank
+                        best[k] = {"listed": rank[0], "length": rank[1], "order": rank[2], "name": rules[i].name, "verdict": rules[i].verdict}
+            columns = [batch["id"], batch["url"], pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(best, batch["best"].type), pa.array(tried, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "url", "host", "path", "best", "n_tried"])
+
+    return run
+
+
+def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = LISTED + OWN, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, pattern (the rule that decided, listed or own), n_tried."""
+    kind = pages.schema[id_col].dataType.simpleString()
+    best = "struct<listed:boolean,length:int,order:long,name:string,verdict:string>"
+    rows = small_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.lit("").alias("host"), F.lit("").alias("path"), F.lit(None).cast(best).alias("best"), F.lit(0).alias("n_tried"))
+    for first in range(0, max(len(rules), 1), BLOCK):
+        block = rules[first : first + BLOCK]
+        index = index_rules(block, token_counts(pages, block, url_col))
+        rows = rows.mapInArrow(_pass(block, index, first), f"id {kind}, url string, host string, path string, best {best}, n_tried int")
+    listed = F.when(F.col("best.listed"), F.col("best.name")).alias("rule")
+    return rows.select(F.col("id").alias("page_id"), "host", "path", listed, F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.col("best.name").alias("pattern"), "n_tried")
