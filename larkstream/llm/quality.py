@@ -6,14 +6,15 @@ one labelled 0) teach a linear worth by the logistic loss on the difference of t
 are cut at the quantile of the training documents that separates their labels best, and mapped by a
 logistic curve so that the cut has score 0.3.
 
-The fit takes at most `sample_rows` labelled rows, spread by hash over all of them (a documented
-bound); measuring, scoring and labelling cover every document. Measuring is a narrow map; the only
-shuffle is the join of labels with document ids for the fit, whose text side is filtered first.
-
-Edge cases: null and empty texts have a vector of zeros but for their constant terms, and so a score;
-without two kinds of labels the worths are 0 and every document has the score of the cut or above;
-repeated rows and repeated labels (one per id is used: the lowest) are harmless; extra columns are
-ignored.
+The fit takes at most `sample_rows` labelled ids (a documented bound), the first ones by a hash of the id,
+so the same ones at any cut of the tables; measuring, scoring and labelling cover every document. Measuring
+is a narrow map; the only shuffles pick the labels and one text per id for the fit.
+
+Edge cases: null and empty texts have a vector of zeros but for their constant terms, and so a score; very
+long texts are measured whole; without two kinds of labels the worths are 0 and every document has the score
+of the cut or above; rows that repeat an id give one of their texts (the first by hash) to the fit, repeated
+labels the lowest; null ids are in no fit; an empty table gives no rows; columns of the input travel in the
+struct `record`, so no name can clash.
 """
 
 from __future__ import annotations
@@ -115,8 +116,7 @@ def fit(features: np.ndarray, labels: np.ndarray, rounds: int = 400, pairs: int
         return Model(center, scale, w, 0.0, 1.0)
     rng, m, v = np.random.default_rng(seed), np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        d = x[rng.choice(good, pairs)] - x[rng.choice(bad, pairs)]
-        g = -(d * (1 / (1 + np.exp(np.clip(d @ w, -60, 60))))[:, None]).mean(0) + l2 * w
+        g = pair_gradient(x[rng.choice(good, pairs)] - x[rng.choice(bad, pairs)], w, l2)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - 0.03 * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     worth = x @ w
@@ -128,6 +128,11 @@ def fit(features: np.ndarray, labels: np.ndarray, rounds: int = 400, pairs: int
     return Model(center, scale, w, float(cut), slope_for(worth - cut, labels))
 
 
+def pair_gradient(d: np.ndarray, w: np.ndarray, l2: float) -> np.ndarray:
+    """Of the mean of log(1 + exp(-d w)) over the differences d, with l2 / 2 times the square of w."""
+    return -(d * (1 / (1 + np.exp(np.clip(d @ w, -60, 60))))[:, None]).mean(0) + l2 * w
+
+
 def slope_for(worth: np.ndarray, labels: np.ndarray) -> float:
     """Steepness of the logistic curve through the cut under which the labels are likeliest."""
     base = np.log(CUT / (1 - CUT))
@@ -157,11 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, id_col:
     """A model from at most `sample_rows` labelled documents (their features, some 200 bytes each, come to the driver)."""
     ids = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"))
     ids = ids.where(~held_out("id") if usable is None else usable)
-    n = ids.count()
-    # a hash below the share that gives about nine tenths of the bound; limit only guards against chance
-    ids = ids.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) <= F.lit(int(min(1.0, 0.9 * sample_rows / max(n, 1)) * (1 << 30)))).limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "quality", "text")
-    got = measured(rows).select("quality", "x").limit(2 * sample_rows).collect()
+    ids = F.broadcast(ids.orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(sample_rows))  # a top-k: each task keeps sample_rows
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id")
+    rows = rows.groupBy("id", "quality").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one")).select("id", "quality", "one.text")
+    got = sorted(measured(rows).collect(), key=lambda r: r.id)  # at most sample_rows
     return fit(np.array([r.x for r in got]).reshape(-1, N_FEATURES), np.array([r.quality for r in got], int))
 
 
