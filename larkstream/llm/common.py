@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkstream.session import cut, drop_folder, shared_folder
 
-__all__ = ["BLANKS", "WORD", "cut", "drop_folder", "shared_folder", "sized", "slices", "small_batches", "table", "text_bytes", "word_count", "written"]
+__all__ = ["BLANKS", "WORD", "cut", "drop_folder", "shared_folder", "sized", "slices", "stored", "small_batches", "table", "text_bytes", "word_count", "written"]
 
 #: Fixed values of the query contracts: six ASCII blanks separate words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,12 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder (smaller than a checkpoint where rows hold texts)."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its path; the caller drops the folder when it is read."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder (smaller than a checkpoint where rows hold texts).
+
+    What is returned reads from there lazily, so the folder stays, as a checkpoint does: it goes with the one
+    in spark.checkpoint.dir, which is the caller's to clean.
+    """
+    return stored(df, name)[0]
 
 
 BROADCAST_ROWS = 300_000  # of narrow rows, some 40 bytes each
@@ -49,7 +58,10 @@ BATCH_BYTES = 8 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches to Python held to BATCH_BYTES where they are at Spark's default of 64 MB."""
+    """df, with the session's Arrow batches to Python held to BATCH_BYTES where they are at Spark's default of 64 MB.
+
+    The setting is read when a query runs, so it stays for the session; a size that the caller has set is kept.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if df.sparkSession.conf.get(name, "67108864b") == "67108864b":
         df.sparkSession.conf.set(name, str(BATCH_BYTES))

@@ -56,5 +56,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns; edge cases as for `exact_dedup`."""
     return exact_dedup(docs, id_col, text_col, support, carry=True).where("kept").select("record.*")

@@ -7,8 +7,11 @@ vocabulary holds U+2581 after another character, nor a character outside it, so
 the start of a word: texts are counted word by word, and a worker remembers the counts of recent
 words (a bounded memory, which changes speed only).
 
+Models must take texts as they are, with one blank put in front; others are refused.
+
 Edge cases: null and empty texts have 0 tokens; special strings are ordinary text; texts are counted
-whole, however long; a vocabulary with pieces across words is counted in one piece per text.
+whole, however long; a vocabulary with pieces across words is counted in one piece per text; repeated
+rows are counted each for itself; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from larkstream.llm.common import small_batches
 
 BLANK = "▁"
+PROBE = " Ａﬁ①  e\u0301 Ab\t\n"  # what usual normalisers change: widths, ligatures, runs of blanks, marks, ends
 REMEMBERED, LONGEST = 400_000, 48  # words that a worker remembers, and how long they may be
 
 
@@ -32,6 +36,8 @@ def merge_ranks(model_file: str) -> dict[str, float]:
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    if p.normalize(PROBE) != BLANK + PROBE.replace(" ", BLANK):
+        raise ValueError(f"{model_file} changes texts before it cuts them")
     return {p.id_to_piece(i): -p.get_score(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))}
 
 

@@ -271,21 +271,111 @@ def test_a_true_pair_is_hardly_missed():
 # ---- the pipeline and the queries
 
 
-def test_pipeline(spark):
+EXTRA = "1 AS id_", "2 AS hash_", "3 AS stay", "'r' AS record", "4 AS key_id", "5 AS part", "'f' AS `from`", "6 AS place", "7 AS n", "8 AS node", "'s' AS spread", "9 AS bucket"
+
+
+def odd_documents(spark):
+    """The small table with null, empty and very long texts, null ids and sources, repeated rows, near copies and extra columns."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = [r.text for r in docs.orderBy("doc_id").limit(12).collect()]
+    odd = [(9000, None, "src1"), (9001, "", "src1"), (9002, " \n ", None), (None, some[0], "src2"), (None, some[0], "src2"), (9003, " ".join(some * 40), None)]
+    odd += [(9010 + k, t.replace(" ", "  ") + " end", "src9") for k, t in enumerate(some)] + [(9010, some[0].replace(" ", "  ") + " end", "src9")]
+    more = spark.createDataFrame(odd, "doc_id long, text string, source string").selectExpr("doc_id", "text", "'xx' AS lang", "source", "length(text)::long AS n_chars")
+    return docs.unionByName(more.select(docs.columns)).selectExpr("*", *EXTRA)
+
+
+def rows_of(df):
+    return Counter((r.doc_id, r.text, r.source) for r in df.collect())
+
+
+def test_each_stage_equals_its_brute_force_version(spark):
+    import numpy as np
+    import pyarrow as pa
+    from tests.llm.test_maps import brute_contamination, plain_measures
+
+    import corpus_pipeline
+    from larkstream.llm import quality
+
+    docs = odd_documents(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    # quality: the stage keeps what a model fitted on the same labelled rows, with measures made word by word, accepts
+    good = stages["quality"](spark, docs, SF)
+    labels = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality is not null").collect():
+        labels[r.doc_id].append(r.quality)
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    texts = {i: t for i, t, _ in rows if i is not None}
+    fit_ids = sorted(i for i in labels if i in texts and zlib.crc32(str(i).encode()) % 5)
+    model = quality.fit(np.array([plain_measures(texts[i]) for i in fit_ids]), np.array([min(labels[i]) for i in fit_ids]))
+    want = Counter(r for r in rows if model.scores(np.array([plain_measures(r[1])]))[0] >= 0.3)
+    assert rows_of(good) == want and good.columns == docs.columns and 0 < sum(want.values()) < len(rows)
+
+    def again(df):
+        return spark.createDataFrame(df.collect(), docs.schema).repartition(3)
+
+    # near copies: from each component of all survivors the row with the smallest id
+    good = again(good)
+    left = list(rows_of(good).elements())
+    parts = brute_components([(i, t) for i, t, _ in left], 5)
+    groups = defaultdict(list)
+    for k, (row, (_, n, comp)) in enumerate(zip(left, parts, strict=True)):
+        groups[("alone", k) if not n else ("in", comp)].append(row)
+    want = Counter(min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values())
+    near = stages["near_dedup"](spark, good, SF)
+    assert rows_of(near) == want and near.columns == docs.columns and sum(want.values()) < len(left)
+    # decontamination
+    near = again(near)
+    left = list(rows_of(near).elements())
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    found = brute_contamination([t for _, t, _ in left], items, 10)
+    clean = stages["decontamination"](spark, near, SF)
+    assert rows_of(clean) == Counter(r for r, f in zip(left, found, strict=True) if not f[-1]) and any(f[-1] for f in found)
+    # mixture: each source comes near its target, and each document out as often as any rule allows
+    clean = again(clean)
+    left = rows_of(clean)
+    mixed = stages["mixing"](spark, clean, SF)
+    order = sorted({s for _, _, s in left if s is not None}) + ([None] if any(s is None for _, _, s in left) else [])
+    size = {s: sum(n_words(t) * n for (_, t, x), n in left.items() if x == s) for s in order}
+    target = dict(zip(order, water([size[s] for s in order], [k % 3 + 1 for k in range(len(order))], 3), strict=True))
+    taken = Counter()
+    for (i, t, s), n in rows_of(mixed).items():
+        times, whole = n / left[i, t, s], target[s] // size[s] if size[s] else 0
+        assert times in (whole, whole + 1) and times <= 3
+        taken[s] += n * n_words(t)
+    assert all(abs(taken[s] - target[s]) <= max((n_words(t) for _, t, x in left if x == s), default=0) / 2 + 1 for s in order)
+    # shards
+    mixed = again(mixed)
+    placed = stages["sharding"](spark, mixed, SF)
+    assert rows_of(placed) == rows_of(mixed)
+    by = defaultdict(list)
+    for r in placed.collect():
+        by[r.shard].append(r.slot)
+        assert r["size"] == len((r.text or "").encode()) + 8 and r.text_crc32 == zlib.crc32((r.text or "").encode())
+    assert all(sorted(x) == list(range(len(x))) for x in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    measured = quality.measure(pa.array([t for _, t, _ in rows], pa.string()))
+    assert np.allclose(measured, [plain_measures(t) for _, t, _ in rows])
+
+
+def test_pipeline_of_the_whole_table(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    at, sizes = docs, [docs.count()]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    out = corpus_pipeline.run(spark, SF).collect()
+    at = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
         at = stage(spark, at, SF)
-        at = spark.createDataFrame(at.toPandas(), docs.schema)
-        assert at.columns == docs.columns
-        sizes.append(at.count())
-    assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > 0
-    out = corpus_pipeline.run(spark, SF).collect()
-    assert len(out) == sizes[4] and {r.shard for r in out} <= set(range(24))
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    assert all(r.text == texts[r.doc_id] for r in out)
+    assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in at.collect())
+    assert all(r.text == texts[r.doc_id] for r in out) and {r.shard for r in out} <= set(range(24))
+
+
+def test_pipeline_of_an_empty_table(spark):
+    import corpus_pipeline
+
+    at = odd_documents(spark).where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, SF)
+    assert at.count() == 0 and set(at.columns) >= {"id_", "record", "shard", "slot"}
 
 
 def test_queries_give_the_contract_columns(spark):
