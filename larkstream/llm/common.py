@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkstream.session import cut, drop_folder, shared_folder
+from larkstream.session import cut, drop_folder, measured_cut, shared_folder
 
-__all__ = ["BLANKS", "WORD", "cut", "drop_folder", "shared_folder", "sized", "slices", "stored", "small_batches", "table", "text_bytes", "word_count", "written"]
+__all__ = ["BLANKS", "WORD", "cut", "drop_folder", "measured_cut", "shared_folder", "sized", "slices", "stored", "small_batches", "table", "text_bytes", "word_count", "written"]
 
 #: Fixed values of the query contracts: six ASCII blanks separate words.
 WORD = r"[^\x20\x09-\x0D]+"

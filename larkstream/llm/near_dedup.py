@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkstream.llm.common import cut, drop_folder, shared_folder, sized, slices, small_batches
+from larkstream.llm.common import BROADCAST_ROWS, cut, drop_folder, measured_cut, shared_folder, sized, slices, small_batches
 from larkstream.llm.textvec import UNBLANK, mix, shingles, word_hashes
 
 COORDS, MATCHES = 32, 14
@@ -81,9 +81,16 @@ def signed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
 
 
 def hot_keys(counted: DataFrame, key: str, n: str) -> DataFrame | None:
-    """The keys of counted (key, n) that stand for more than FAN rows, and in how many parts these are dealt; None if there are none."""
-    hot = cut(counted.where(F.col(n) > FAN).select(F.col(key).alias("hot"), F.ceil(F.col(n) / FAN).cast("int").alias("parts")))
-    return None if hot.isEmpty() else sized(hot)
+    """The keys of counted (key, n) that stand for more than FAN rows, and in how many parts these are dealt; None if there are none.
+
+    Beyond BROADCAST_ROWS of them only those with at least one in BROADCAST_ROWS of all their rows are dealt, which
+    cannot be more; so the table may be broadcast at any size of the corpus.
+    """
+    many, seen = measured_cut(counted.where(F.col(n) > FAN).select(F.col(key).alias("hot"), F.col(n).cast("long").alias("of")), keys=F.count(F.lit(1)), rows=F.sum(F.col("of")))
+    if not seen["keys"]:
+        return None
+    fan = FAN if seen["keys"] <= BROADCAST_ROWS else max(FAN, seen["rows"] // BROADCAST_ROWS)
+    return F.broadcast(many.where(F.col("of") > fan).select("hot", F.ceil(F.col("of") / fan).cast("int").alias("parts")))
 
 
 def fanned(left: DataFrame, right: DataFrame, key: str, spread: str, hot: DataFrame | None) -> DataFrame:
@@ -156,7 +163,7 @@ class _Linker:
         """Candidates of different components: in each list, those outside its largest component seek partners."""
         p = self.percent
         posts = cut(posts.join(comp, "node", "left").select("item", "node", "n", "pos", F.coalesce("comp", "node").alias("comp")))
-        members = cut(posts.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("members")))
+        members = posts.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("members"))
         main = cut(members.groupBy("item").agg(F.max(F.struct("members", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("members").alias("all")).where("comps > 1"))
         hot = hot_keys(main, "item", "all")
         posts = cut(fanned(posts, main.select("item", F.col("main.comp").alias("main")), "item", "node", hot))
@@ -172,8 +179,8 @@ class _Linker:
         met = fanned(posts, seek, "item", "node", hot).where(fits)
         return met.select(F.least("node", "x_node").alias("x"), F.greatest("node", "x_node").alias("y")).distinct()
 
-    def links(self) -> DataFrame:
-        """Confirmed links (x, y) that connect all that full comparison would connect."""
+    def classes(self) -> DataFrame:
+        """(node, comp) of all nodes that are linked, as full comparison would link them."""
         posted = self.nodes.select("node", F.posexplode("sig").alias("coord", "value"))
         posted = posted.select("node", (F.shiftleft(F.col("coord").cast("long"), 32) + F.col("value").cast("long")).alias("key"))
         lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -194,7 +201,7 @@ class _Linker:
         first = best if posts is None else best.unionByName(self.toward_hubs(posts)).distinct()
         first = cut(first)
         sure = self.confirmed(first, sets)
-        comp = components(sure)
+        comp = cut(components(sure))
         cx, cy = comp.select(F.col("node").alias("x"), F.col("comp").alias("comp_x")), comp.select(F.col("node").alias("y"), F.col("comp").alias("comp_y"))
         apart = F.coalesce("comp_x", "x") != F.coalesce("comp_y", "y")
         open_pairs = pairs.select("x", "y").join(cx, "x", "left").join(cy, "y", "left").where(apart).select("x", "y")
@@ -202,30 +209,39 @@ class _Linker:
             open_pairs = open_pairs.unionByName(self.strangers(posts, comp)).distinct()
         more = self.confirmed(open_pairs.join(first, ["x", "y"], "left_anti"), sets)
         drop_folder(self.docs.sparkSession, self.folder)
-        return sure.unionByName(more)
+        if more.isEmpty():
+            return comp
+        # what is left to connect are components, each standing for its nodes
+        between = more.join(cx, "x", "left").join(cy, "y", "left").select(F.coalesce("comp_x", "x").alias("x"), F.coalesce("comp_y", "y").alias("y"))
+        joint = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("joint"))
+        nodes = comp.unionByName(joint.join(comp, joint["comp"] == comp["node"], "left_anti").select(F.col("comp").alias("node"), "comp"))
+        return nodes.join(joint, "comp", "left").select("node", F.coalesce("joint", "comp").alias("comp"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of the links (x, y): comp is the smallest node it is connected with."""
-    edges = cut(edges.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    seen = None
-    while True:
+    sums = {"n": F.count(F.lit(1)), "all": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    edges, seen = measured_cut(edges.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), **sums)
+    while seen["n"]:
         # large star: every larger neighbour is linked to the smallest of the neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("k")))
-        large = fanned(both.where("v > u"), least.select("u", "m"), "u", "v", hot_keys(least, "u", "k"))
-        large = cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut(toward_least(both, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("k")), "v > u").distinct())
         # small star: every smaller neighbour and the node itself
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")))
-        small = fanned(large, least.select("u", "m"), "u", "v", hot_keys(least, "u", "k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+        small = toward_least(large, least, "v <> m").unionByName(least.select("u", F.col("m").alias("v")))
+        edges, now = measured_cut(small.distinct(), **sums)
         if now == seen:
             break
         seen = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def toward_least(pairs: DataFrame, least: DataFrame, which: str) -> DataFrame:
+    """(u, v) from each neighbour v in pairs (u, v) that `which` picks to m of its u in least (u, m, k: pairs of u)."""
+    met = fanned(pairs, least.select("u", "m"), "u", "v", hot_keys(least, "u", "k"))
+    return met.where(which).select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, component_id, kept (doc_id = component_id), first (one row of each component)."""
     rows = signed(small_batches(docs), size, id_col, text_col).withColumn("row_id", F.monotonically_increasing_id()).withColumn("set", F.struct("n", "a", "b"))
@@ -233,7 +249,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("best")
     nodes = rows.where("n > 0").groupBy("set").agg(F.min(F.struct("row_id", "doc_id", "text_hash", "sig")).alias("r"), best, F.count(F.lit(1)).alias("copies"))
     nodes = cut(nodes.select("set", "set.n", F.col("r.row_id").alias("node"), "r.doc_id", "r.text_hash", "r.sig", "best", "copies"))
-    comp = components(_Linker(docs, nodes, size, percent, id_col, text_col).links())
+    comp = _Linker(docs, nodes, size, percent, id_col, text_col).classes()
     named = cut(nodes.select("set", "node", "best").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     least = named.groupBy("comp").agg(F.min("best").alias("least"), F.count(F.lit(1)).alias("k"))
     named = by_key(named.select("set", "node", "comp"), least.select("comp", "least"), "comp", "node").select("set", "least")
