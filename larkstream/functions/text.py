@@ -16,26 +16,29 @@ RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2
 
 
 def _number(text: Column, most: int) -> Column:
-    """A decimal number (with an optional plus sign) from 0 to most; else null."""
-    n = F.when(text.rlike(r"^\+?[0-9]{1,20}$"), F.expr("try_cast('0' AS decimal(20,0))") + F.regexp_replace(text, r"^\+", "").cast("decimal(20,0)"))
-    return F.when(n <= most, n.cast("long"))
+    """A decimal number (with an optional plus sign) from 0 to most; else null. The pattern runs once a text."""
+    n = F.regexp_extract(text, r"^\+?([0-9]{1,20})\z", 1).try_cast("decimal(20,0)")
+    return F.get(F.filter(F.array(n), lambda x: x <= most), F.lit(0)).cast("long")
+
+
+def _parts(seg_id: Column) -> tuple[Column, Column, Column]:
+    """Whether there are two parts after the prefix, and both: up to the first underscore, and after it."""
+    rest = F.substring(seg_id, 4, 1 << 30)
+    return seg_id.startswith("src") & rest.contains("_"), F.substring_index(rest, "_", 1), F.substr(rest, F.instr(rest, "_") + 1)
 
 
 def seg_key_lenient(seg_id: Column) -> Column:
     """struct(source, seq); each part that cannot be read is the last one of its range."""
-    rest = F.regexp_replace(seg_id, "^src", "")
-    ok = seg_id.startswith("src") & rest.contains("_")
-    source = F.when(ok, _number(F.regexp_extract(rest, r"(?s)^([^_]*)_(.*)$", 1), U8))
-    seq = F.when(ok, _number(F.regexp_extract(rest, r"(?s)^([^_]*)_(.*)$", 2), U32))
+    ok, source, seq = _parts(seg_id)
+    source, seq = F.when(ok, _number(source, U8)), F.when(ok, _number(seq, U32))
     return F.struct(F.coalesce(source, F.lit(U8).cast("long")).alias("source"), F.coalesce(seq, F.lit(U32)).alias("seq"))
 
 
 def seg_key_strict(seg_id: Column) -> Column:
     """struct(source, seq), or null where any part cannot be read."""
-    rest = F.regexp_replace(seg_id, "^src", "")
-    source = _number(F.regexp_extract(rest, r"(?s)^([^_]*)_(.*)$", 1), U8)
-    seq = _number(F.regexp_extract(rest, r"(?s)^([^_]*)_(.*)$", 2), U32)
-    return F.when(seg_id.startswith("src") & rest.contains("_") & source.isNotNull() & seq.isNotNull(), F.struct(source.alias("source"), seq.alias("seq")))
+    ok, source, seq = _parts(seg_id)
+    both = F.when(ok, F.struct(_number(source, U8).alias("source"), _number(seq, U32).alias("seq")))
+    return F.get(F.filter(F.array(both), lambda k: k["source"].isNotNull() & k["seq"].isNotNull()), F.lit(0))
 
 
 def source_of_file(name: Column) -> Column:

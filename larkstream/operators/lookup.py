@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 BLOCK = 10_000  # devices
 #: What stable ids begin with.
 ID = r"^(?:alsa|asio|coreaudio|id|jack|wasapi):.+$"
-NUMBER = r"^\+?[0-9]+$"
+NUMBER = r"^\+?[0-9]+\z"
 
 
 def _number(text: Column) -> Column:

@@ -115,6 +115,12 @@ def segment_by_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir)
 
 
+@query(_FOLD)
+def segment_long_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for keys that fit no array, by its own name."""
+    return _segments(spark, sf_dir, segment.segment_runs)
+
+
 @query(_FOLD)
 def segment_in_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form for keys that fit an array."""

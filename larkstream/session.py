@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -29,6 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def measured_cut(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """df cut as by `cut`, and the values of aggregates over it, which are observed while it is written: no second job."""
+    seen = Observation()
+    return cut(df.observe(seen, *[c.alias(name) for name, c in metrics.items()])), seen.get
+
+
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (
