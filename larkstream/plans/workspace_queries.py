@@ -119,7 +119,7 @@ def acknowledged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = files.segment_files(files.listing(spark, folder)).select("seg_id", "path")
     counts = files.delete_files(queue.acknowledged(done, listed)).agg(F.count_if("gone").alias("deleted"), F.count_if(~F.col("gone")).alias("failed"))
     deleted, failed = counts.first()
-    return files.listing(spark, folder).agg(F.lit(deleted).alias("deleted"), F.lit(failed).alias("failed"), F.count(F.lit(1)).alias("left_over"))
+    return files.listing(spark, folder).agg(F.lit(deleted).cast("long").alias("deleted"), F.lit(failed).cast("long").alias("failed"), F.count(F.lit(1)).alias("left_over"))
 
 
 @query("SELECT concat('src0_', user_id) AS seg_id, count(*)::INTEGER AS attempts FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) < 15")
