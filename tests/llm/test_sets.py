@@ -121,8 +121,7 @@ def water(sizes, weights, epochs):
     return target
 
 
-@pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("bits", [12, 2])
+@pytest.mark.parametrize("bits,seed", [(12, 1), (2, 0), (2, 2)])
 def test_mixture(spark, monkeypatch, seed, bits):
     """With few slots and ranked places the border is refined several times."""
     import random
