@@ -11,13 +11,13 @@ floor(2,000,000 * a / (l + r)), and one that lies inside a longer candidate four
    collisions. By Apriori it can only reach LEAST where its first and its last k - 1 words do. Among those,
    a screen of hashed counters (bincount of each batch, tree-summed) leaves what shares a counter of LEAST or
    more; nothing frequent is lost.
-3. The screened candidates get a minimal perfect hash in blocks of BLOCK keys, made by tasks. Mappers find
+3. The screened candidates get a minimal perfect hash in blocks of `Sizes.block` keys, made by tasks. Mappers find
    slots (the stored key decides), bincount them, and the arrays are tree-summed: exact counts by slot. An id
-   is a block's first number plus the slot. `AT_ONCE` blocks are broadcast at a time, a bounded size; more
+   is a block's first number plus the slot. A few blocks are broadcast at a time, a bounded size; more
    candidates mean more passes over the coded chunks.
 4. Cuts read the counts of their two parts by these ids, in equality joins.
 
-Arrays travel sparse, as places and counts within slices of WIDTH, so what moves grows with the text alone.
+Arrays travel sparse, as places and counts within slices, so what moves grows with the text alone.
 The screen has a counter for every fourth word up to 2^30 counters (128 MB as bits); far above that, some 100 GB of
 text, it lets more candidates through, which then cost passes, not results.
 
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,19 @@ from larkstream.llm.perfect_hash import PerfectHash, mixed
 from larkstream.operators.order import global_rank
 
 LEAST, LONGEST, TOP = 30, 4, 2000
-CHUNK = 1 << 19  # words
-WIDTH = 1 << 16  # places of a slice
-BLOCK = 1 << 20  # candidates
-AT_ONCE = 4  # blocks
-COUNTERS = 1 << 30  # of the screen at most
-BATCH = 1 << 22  # coded words a mapper sums up at once
+
+
+class Sizes(NamedTuple):
+    """What bounds memory; results do not depend on it."""
+
+    chunk: int = 1 << 19  # words of a chunk
+    width: int = 1 << 16  # places of a slice, 2^16 at most
+    batch: int = 1 << 22  # coded words that a mapper sums up at once
+    block: int = 1 << 20  # candidates of a perfect hash
+    at_once: int = 4  # blocks that are broadcast together
+    counters: int = 1 << 30  # of the screen, at most
+
+
 #: Fixed values of the query contract: what ends a piece; words are separated by blanks and tabs.
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 
@@ -81,7 +89,7 @@ class _Coder:
         return {"chunk": chunk, "lang": lang, "words": [w.decode() for w in self.numbers], "counts": counts.tolist(), "codes": codes.astype("<i4").tobytes()}
 
 
-def _chunks(docs: DataFrame, text: str, lang: str) -> DataFrame:
+def _chunks(docs: DataFrame, text: str, lang: str, sizes: Sizes) -> DataFrame:
     rows = small_batches(docs).select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +103,10 @@ def _chunks(docs: DataFrame, text: str, lang: str) -> DataFrame:
             for of, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 coder = coders.setdefault(of, _Coder())
                 coder.take(t)
-                if len(coder.codes) >= CHUNK:
+                if len(coder.codes) >= sizes.chunk:
                     made += 1
                     yield flushed(of)
-            while sum(len(c.codes) for c in coders.values()) > 4 * CHUNK:  # many languages, each with little
+            while sum(len(c.codes) for c in coders.values()) > 4 * sizes.chunk:  # many languages, each with little
                 made += 1
                 yield flushed(max(coders, key=lambda of: len(coders[of].codes)))
         for of in list(coders):
@@ -147,14 +155,14 @@ def _keys(codes: np.ndarray, grams: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return at, head[at].astype(np.int64) << 32 | last[at].astype(np.int64), tail[at].astype(np.int64)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of some BATCH words at a time; chunks are kept apart by -1."""
+def _read(batches: Iterator[pa.RecordBatch], batch: int) -> Iterator[list[np.ndarray]]:
+    """The columns of some `batch` words at a time; chunks are kept apart by -1."""
     held, n = [], 0
     for b in batches:
         for i in range(b.num_rows):
             held.append([np.frombuffer(c[i].as_py(), "<i4") for c in b.columns])
             n += len(held[-1][0]) + 1
-            if n >= BATCH:
+            if n >= batch:
                 yield _merged(held)
                 held, n = [], 0
     if held:
@@ -171,13 +179,13 @@ def _merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
 _PARTS = "slice long, lane int, at binary, n binary"
 
 
-def _parts(places: np.ndarray, counts: np.ndarray, lane: int) -> Iterator[pa.RecordBatch]:
+def _parts(places: np.ndarray, counts: np.ndarray, lane: int, width: int) -> Iterator[pa.RecordBatch]:
     """Ascending places with their counts, cut into slices."""
     if len(places):
-        of = places // WIDTH
+        of = places // width
         cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(places)]
         spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        at = (places % WIDTH).astype("<u2")
+        at = (places % width).astype("<u2")
         columns = [
             pa.array(of[cuts[:-1]], pa.int64()), pa.array([lane] * len(spans), pa.int32()),
             pa.array([at[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([counts[i:j].astype("<i8").tobytes() for i, j in spans], pa.binary()),
@@ -189,7 +197,7 @@ def _parts(places: np.ndarray, counts: np.ndarray, lane: int) -> Iterator[pa.Rec
 LANES = 8
 
 
-def tree_sum(parts: DataFrame) -> DataFrame:
+def tree_sum(parts: DataFrame, width: int) -> DataFrame:
     """slice, at and n: the sums of all parts of each slice. Each lane of a slice is summed first, then its lanes: no task reads all parts of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +213,7 @@ def tree_sum(parts: DataFrame) -> DataFrame:
                 if (s, lane) != now:
                     if now:
                         yield made()
-                    now, total = (s, lane), np.zeros(WIDTH, np.int64)
+                    now, total = (s, lane), np.zeros(width, np.int64)
                 total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")  # places of a part are distinct
         if now:
             yield made()
@@ -219,33 +227,33 @@ def tree_sum(parts: DataFrame) -> DataFrame:
 # ---- candidates
 
 
-def _screened(coded: DataFrame, k: int, counters: int) -> DataFrame:
+def _screened(coded: DataFrame, k: int, counters: int, sizes: Sizes) -> DataFrame:
     """key and tail of phrases of k words that share a counter of LEAST or more."""
     spark = coded.sparkSession
     places = lambda keys: (mixed(keys, 77) & np.uint64(counters - 1)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lane = TaskContext.get().partitionId() % LANES
-        for codes, grams in _read(batches):
+        for codes, grams in _read(batches, sizes.batch):
             at, n = np.unique(places(_keys(codes, grams, k)[1]), return_counts=True)
-            yield from _parts(at, n, lane)
+            yield from _parts(at, n, lane, sizes.width)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                bits = np.zeros(WIDTH, bool)
+                bits = np.zeros(sizes.width, bool)
                 bits[np.frombuffer(at, "<u2")[np.frombuffer(n, "<i8") >= LEAST]] = True
                 if bits.any():
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["slice", "bits"])
 
-    sums = tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS)).mapInArrow(full, "slice long, bits binary")
+    sums = tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS), sizes.width).mapInArrow(full, "slice long, bits binary")
     bits = np.zeros(counters // 8, np.uint8)
-    for at, cut in zip(*(c.to_pylist() for c in sums.toArrow().columns), strict=True):  # COUNTERS bits at most
-        bits[at * WIDTH // 8 : (at + 1) * WIDTH // 8] = np.frombuffer(cut, np.uint8)
+    for at, cut in zip(*(c.to_pylist() for c in sums.toArrow().columns), strict=True):  # sizes.counters bits at most
+        bits[at * sizes.width // 8 : (at + 1) * sizes.width // 8] = np.frombuffer(cut, np.uint8)
     held = spark.sparkContext.broadcast(bits)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes, grams in _read(batches):
+        for codes, grams in _read(batches, sizes.batch):
             _, keys, tails = _keys(codes, grams, k)
             at = places(keys)
             hit = (held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
@@ -257,9 +265,9 @@ def _screened(coded: DataFrame, k: int, counters: int) -> DataFrame:
     return coded.select("codes", "grams").mapInArrow(pick, "key long, tail long").distinct()
 
 
-def _blocks(candidates: DataFrame, n: int) -> DataFrame:
+def _blocks(candidates: DataFrame, n: int, most: int) -> DataFrame:
     """block, levels, keys and tails: the perfect hash of each block, its keys and their tails in the order of slots."""
-    blocks = -(-n * 5 // (BLOCK * 4))  # dealt by hash, so they are planned a little under BLOCK
+    blocks = -(-n * 5 // (most * 4))  # dealt by hash, so they are planned a little under that many keys
     rows = candidates.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
     rows = rows.repartition("block").sortWithinPartitions("block")
 
@@ -292,29 +300,29 @@ def _blocks(candidates: DataFrame, n: int) -> DataFrame:
 
 
 def _loaded(blocks: DataFrame, group: list[int], bases: dict[int, int]):
-    """The tables of AT_ONCE blocks, some 9 MB each, for all tasks."""
+    """The tables of these blocks, some 9 MB each, for all tasks."""
     rows = blocks.where(F.col("block").isin(group)).select("block", "levels", "keys").collect()
     return blocks.sparkSession.sparkContext.broadcast([(bases[r["block"]], [bytes(x) for x in r["levels"]], bytes(r["keys"])) for r in rows])
 
 
-def _level(coded: DataFrame, k: int, counters: int, kept: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _level(coded: DataFrame, k: int, counters: int, sizes: Sizes, kept: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases of k words (id, head, word, tail, f), and the chunks with their ids as grams."""
-    candidates = kept(_screened(coded, k, counters), "candidates")
+    candidates = kept(_screened(coded, k, counters, sizes), "candidates")
     n = candidates.count()
-    blocks = kept(_blocks(candidates, n), "blocks")
-    sizes = sorted((r["block"], r["n"]) for r in blocks.select("block", (F.length("keys") / 8).cast("long").alias("n")).collect())
+    blocks = kept(_blocks(candidates, n, sizes.block), "blocks")
+    blocks_of = sorted((r["block"], r["n"]) for r in blocks.select("block", (F.length("keys") / 8).cast("long").alias("n")).collect())
     bases, base = {}, 0
-    for block, size in sizes:
+    for block, size in blocks_of:
         bases[block], base = base, base + size
     if base >= 1 << 31:
         raise ValueError(f"{base} candidates of {k} words do not fit 31 bits")
     counted = coded.sparkSession.createDataFrame([], "id long, f long")
-    for i in range(0, len(sizes), AT_ONCE):
-        tables = _loaded(blocks, [block for block, _ in sizes[i : i + AT_ONCE]], bases)
-        found = kept(_counts(coded, k, tables), "counts")
+    for i in range(0, len(blocks_of), sizes.at_once):
+        tables = _loaded(blocks, [block for block, _ in blocks_of[i : i + sizes.at_once]], bases)
+        found = kept(_counts(coded, k, tables, sizes), "counts")
         counted = found if not i else counted.unionByName(found)
         if k < LONGEST:
-            coded = kept(_recoded(coded, k, tables, found, not i), "coded")
+            coded = kept(_recoded(coded, k, tables, found, not i, sizes), "coded")
     return _phrases(blocks, bases, counted), coded.select("codes", F.col("found").alias("grams"), "found")
 
 
@@ -322,37 +330,37 @@ def _opened(tables) -> list[tuple[int, PerfectHash]]:
     return [(base, PerfectHash.unpacked(levels, keys)) for base, levels, keys in tables.value]
 
 
-def _counts(coded: DataFrame, k: int, tables) -> DataFrame:
+def _counts(coded: DataFrame, k: int, tables, sizes: Sizes) -> DataFrame:
     """id and f of the phrases in these blocks with at least LEAST occurrences."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lane, opened = TaskContext.get().partitionId() % LANES, _opened(tables)
-        for codes, grams in _read(batches):
+        for codes, grams in _read(batches, sizes.batch):
             keys = _keys(codes, grams, k)[1]
             for base, table in opened:
                 slots = table.find(keys)
                 n = np.bincount(slots[slots >= 0], minlength=len(table.keys))
                 at = np.flatnonzero(n)
-                yield from _parts(at + base, n[at], lane)
+                yield from _parts(at + base, n[at], lane, sizes.width)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 f = np.frombuffer(n, "<i8")
                 hit = f >= LEAST
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(at, "<u2")[hit].astype(np.int64) + s * WIDTH, pa.int64()), pa.array(f[hit], pa.int64())], ["id", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(at, "<u2")[hit].astype(np.int64) + s * sizes.width, pa.int64()), pa.array(f[hit], pa.int64())], ["id", "f"])
 
-    return tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS)).mapInArrow(rows, "id long, f long")
+    return tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS), sizes.width).mapInArrow(rows, "id long, f long")
 
 
-def _recoded(coded: DataFrame, k: int, tables, counted: DataFrame, first: bool) -> DataFrame:
+def _recoded(coded: DataFrame, k: int, tables, counted: DataFrame, first: bool, sizes: Sizes) -> DataFrame:
     """The chunks with the ids of frequent phrases of k words in these blocks as `found`, beside those found before."""
-    known = np.sort(counted.select("id").toArrow()["id"].to_numpy())  # of AT_ONCE blocks
+    known = np.sort(counted.select("id").toArrow()["id"].to_numpy())  # of sizes.at_once blocks
     held = coded.sparkSession.sparkContext.broadcast(np.append(known, -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, ids_known = _opened(tables), held.value[:-1]
-        for codes, grams, found in _read(batches):
+        for codes, grams, found in _read(batches, sizes.batch):
             at, keys, _ = _keys(codes, grams, k)
             ids = np.full(len(codes), -1, np.int32) if first else found.copy()
             for base, table in opened:
@@ -424,23 +432,23 @@ def _not_inside(phrases: DataFrame, longer: DataFrame | None) -> DataFrame:
     return phrases.join(most, "id", "left").where(F.col("over").isNull() | (big("over", 100) < big("f", 80))).drop("over")
 
 
-def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", sizes: Sizes = Sizes()) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's TOP phrases."""
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         return stored(df, name)[0]
 
-    chunks = kept(_chunks(docs, text, lang), "chunks")
+    chunks = kept(_chunks(docs, text, lang, sizes), "chunks")
     totals = kept(chunks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     listed = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
     frequent = listed.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).where(F.col("f") >= LEAST)
     words = kept(global_rank(frequent, F.col("lang"), F.col("word")).select("lang", "word", "f", (F.col("rank") - 1).cast("int").alias("id")), "words")
     n = totals.agg(F.sum("n")).first()[0] or 0
-    counters = max(WIDTH, min(COUNTERS, 1 << max(0, n // 4 - 1).bit_length()))
+    counters = max(sizes.width, min(sizes.counters, 1 << max(0, n // 4 - 1).bit_length()))
     coded = kept(_coded(chunks, words), "coded")
     levels = []
     for k in range(2, LONGEST + 1):
-        level, coded = _level(coded, k, counters, kept)
+        level, coded = _level(coded, k, counters, sizes, kept)
         levels.append(kept(level, "phrases"))
     scored = _scored(words, levels, kept)
     parts = [_not_inside(s, longer).select("lang", "ids", "f", "cut") for s, longer in zip(scored, [*levels[1:], None], strict=True)]

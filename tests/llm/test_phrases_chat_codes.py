@@ -52,14 +52,11 @@ def talk(seed, n):
     return [*rows, (None, "en"), ("", None), (" \t\n", "fr"), (" ".join(r.choices(words, k=30_000)), "en"), *[("same old same old same old", "en")] * 40]
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_phrases_equal_brute_force(spark, monkeypatch, small):
-    if small:  # many chunks, slices, batches, blocks and passes
-        for name, value in (("CHUNK", 300), ("WIDTH", 256), ("BATCH", 900), ("BLOCK", 40), ("AT_ONCE", 2)):
-            monkeypatch.setattr(phrases, name, value)
+@pytest.mark.parametrize("sizes", [phrases.Sizes(), phrases.Sizes(300, 256, 900, 40, 2)])  # the latter: many chunks, slices, batches, blocks and passes
+def test_phrases_equal_brute_force(spark, sizes):
     rows = talk(3, 120)
     docs = spark.createDataFrame([(t, g, 1, "k", "w") for t, g in rows], "text string, lang string, n long, chunk string, words string").repartition(5)
-    assert sorted(map(tuple, phrases.mine_phrases(docs).collect())) == brute_phrases(rows)
+    assert sorted(map(tuple, phrases.mine_phrases(docs, sizes=sizes).collect())) == brute_phrases(rows)
 
 
 def test_no_phrases(spark):
