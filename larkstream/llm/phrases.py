@@ -48,9 +48,9 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 class Sizes(NamedTuple):
     """What bounds memory; results do not depend on it."""
 
-    chunk: int = 1 << 19  # words of a chunk
+    chunk: int = 1 << 18  # words of a chunk
     width: int = 1 << 16  # places of a slice, 2^16 at most
-    batch: int = 1 << 22  # coded words that a mapper sums up at once
+    batch: int = 1 << 19  # coded words that a mapper sums up at once
     block: int = 1 << 20  # candidates of a perfect hash
     at_once: int = 4  # blocks that are broadcast together
     counters: int = 1 << 30  # of the screen, at most
