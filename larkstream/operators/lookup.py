@@ -6,8 +6,11 @@ error, and later rules are not tried. Rules: 1 the default device, 2 a stable id
 of every name). Results have one row per distinct query: query, pos, name, rule and error; where error
 is set, pos and name are null.
 
-Rules 1 to 4 are equality joins. For rule 5 the queries that look for parts of names meet the devices in
-blocks of `BLOCK` devices by position, each of them broadcast, so no list is too long.
+A microphone is looked for among the devices that can record, and positions count those alone; only an id may
+name another device, which is an error then. `pos` is the device's place in the list of all. Of devices
+with one id or position the first counts.
+
+Rules 1 to 4 are equality joins, rule 5 is `operators.names`.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 10_000  # devices
+from larkstream.operators.names import first_with_part
+from larkstream.operators.order import global_rank
+
 #: What stable ids begin with.
 ID = r"^(?:alsa|asio|coreaudio|id|jack|wasapi):.+$"
 NUMBER = r"^\+?[0-9]+\z"
@@ -29,18 +34,20 @@ def _number(text: Column) -> Column:
 def _listed(devices: DataFrame) -> DataFrame:
     """pos, id, name and input (whether it can record) of the devices."""
     one = lambda c, other: F.col(c) if c in devices.columns else other
-    return devices.select(F.col("pos").cast("long").alias("_pos"), one("id", F.lit(None).cast("string")).alias("_id"), F.col("name").alias("_name"), one("input", F.lit(True)).alias("_input"))
+    return devices.select(F.col("pos").cast("long").alias("_pos"), one("id", F.lit(None).cast("string")).alias("_id"), F.col("name").alias("_name"), F.coalesce(one("input", F.lit(True)), F.lit(False)).alias("_input"))
+
+
+def _recording(devices: DataFrame, listed: DataFrame) -> DataFrame:
+    """The devices that can record, with their place among themselves as _nth."""
+    if "input" not in devices.columns:
+        return listed.withColumn("_nth", F.col("_pos"))
+    return global_rank(listed.where("_input"), F.col("_pos"), F.col("_name"), name="_nth").withColumn("_nth", (F.col("_nth") - 1).cast("long"))
 
 
-def _first_with_part(parts: DataFrame, devices: DataFrame) -> DataFrame:
-    """parts (_part) with the first device whose name contains it, as `_hit`; parts that none contains are left out."""
-    top = devices.agg(F.max("_pos")).first()[0]
-    found = None
-    for k in range(0, (top or 0) + 1, BLOCK):
-        block = F.broadcast(devices.where(F.col("_pos").between(k, k + BLOCK - 1)).select("_pos", "_name"))
-        met = parts.join(block, F.lower("_name").contains(F.lower("_part"))).groupBy("_part").agg(F.min(F.struct("_pos", "_name")).alias("_hit"))
-        found = met if found is None else found.unionByName(met)
-    return found.groupBy("_part").agg(F.min("_hit").alias("_hit"))
+def _by(devices: DataFrame, key: str, name: str, *more: str) -> DataFrame:
+    """The first device of each `key`, as `name` and _hit, and more of its columns."""
+    first = devices.groupBy(F.col(key).alias(name)).agg(F.min(F.struct("_pos", "_name", *more)).alias("_first"))
+    return first.where(F.col(name).isNotNull()).select(name, F.struct("_first._pos", "_first._name").alias("_hit"), *[F.col(f"_first.{c}").alias(c) for c in more])
 
 
 def _asked(queries: DataFrame, prefix: str | None, defaults: tuple[str, ...], ids: bool, trim: bool) -> DataFrame:
@@ -63,14 +70,14 @@ def _result(rows: DataFrame, error: Column) -> DataFrame:
 def find_device(devices: DataFrame, queries: DataFrame) -> DataFrame:
     """For each query the recording device of devices (pos, name, and id and input where there are such columns)."""
     d = _listed(devices)
+    can = _recording(devices, d)
     q = _asked(queries, "micidx:", ("default",), True, True)
-    first = d.where("_input").agg(F.min(F.struct("_pos", "_name")).alias("_hit"))
-    hit = F.struct("_pos", "_name").alias("_hit")
+    first = can.agg(F.min(F.struct("_pos", "_name")).alias("_hit"))
     one = q.where("rule = 1").crossJoin(F.broadcast(first))  # one row
-    two = q.where("rule = 2").join(d.withColumnRenamed("_id", "_q"), "_q", "left").withColumn("_hit", F.when(F.col("_input"), F.struct("_pos", "_name")))
-    three = q.where("rule in (3, 4)").join(d.select(F.col("_pos").alias("_n"), hit), "_n", "left")
+    two = q.where("rule = 2").join(_by(d, "_id", "_q", "_input"), "_q", "left").withColumn("_hit", F.when(F.col("_input"), F.col("_hit")))
+    three = q.where("rule in (3, 4)").join(_by(can, "_nth", "_n"), "_n", "left")
     five = q.where("rule = 5").withColumn("_part", F.col("_q"))
-    five = five.join(_first_with_part(five.select("_part").distinct(), d), "_part", "left")
+    five = five.join(first_with_part(five.select("_part"), can), "_part", "left")
     columns = ["query", "rule", F.col("_hit._pos").alias("pos"), F.col("_hit._name").alias("name")]
     rows = one.select(*columns, F.lit(False).alias("_deaf"), "_n").unionByName(two.select(*columns, F.coalesce(~F.col("_input"), F.lit(False)).alias("_deaf"), "_n"))
     rows = rows.unionByName(three.select(*columns, F.lit(False).alias("_deaf"), "_n")).unionByName(five.select(*columns, F.lit(False).alias("_deaf"), "_n"))
@@ -99,17 +106,16 @@ def find_loopback(devices: DataFrame, outputs: DataFrame, queries: DataFrame) ->
     d = _listed(devices)
     q = _asked(queries, "lbidx:", ("default", "default-output"), True, True)
     first = d.agg(F.min(F.struct("_pos", "_name")).alias("_hit"))
-    hit = F.struct("_pos", "_name").alias("_hit")
     one = q.where("rule = 1").crossJoin(F.broadcast(first))  # one row
-    two = q.where("rule = 2").join(d.select(F.col("_id").alias("_q"), hit), "_q", "left")
-    three = q.where("rule = 3").join(d.select(F.col("_pos").alias("_n"), hit), "_n", "left")
+    two = q.where("rule = 2").join(_by(d, "_id", "_q"), "_q", "left")
+    three = q.where("rule = 3").join(_by(d, "_pos", "_n"), "_n", "left")
     named = q.where("rule = 4").join(outputs.select(F.col("pos").cast("long").alias("_n"), F.col("name").alias("_part")), "_n")
     head = named.where(F.lower("_part") == "default-output").crossJoin(F.broadcast(first)).select("query", "_hit")
     others = named.where(F.lower("_part") != "default-output")
-    hop = others.join(_first_with_part(others.select("_part").distinct(), d), "_part").select("query", "_hit").unionByName(head)
+    hop = others.join(first_with_part(others.select("_part"), d), "_part").select("query", "_hit").unionByName(head)
     hop = hop.where(F.col("_hit").isNotNull()).withColumnRenamed("_hit", "_hop")
     five = q.where("rule in (4, 5)").withColumn("_part", F.col("_q")).join(hop, "query", "left")
-    five = five.join(_first_with_part(five.select("_part").distinct(), d), "_part", "left")
+    five = five.join(first_with_part(five.select("_part"), d), "_part", "left")
     five = five.withColumn("rule", F.when(F.col("_hop").isNotNull(), 4).otherwise(5)).withColumn("_hit", F.coalesce("_hop", "_hit"))
     columns = ["query", "rule", "_n", F.col("_hit._pos").alias("pos"), F.col("_hit._name").alias("name"), F.lit(False).alias("_deaf")]
     return _result(one.select(*columns).unionByName(two.select(*columns)).unionByName(three.select(*columns)).unionByName(five.select(*columns)), _errors())
@@ -124,12 +130,11 @@ def find_output(outputs: DataFrame, queries: DataFrame) -> DataFrame:
     d = _listed(outputs)
     q = _asked(queries, None, ("default", "default-output"), False, False)
     first = d.agg(F.min(F.struct("_pos", "_name")).alias("_hit"))
-    hit = F.struct("_pos", "_name").alias("_hit")
     default = (F.col("rule") == 1) | ((F.col("rule") == 4) & (F.col("_n") == 0))
     one = q.where(default).crossJoin(F.broadcast(first))  # one row
-    four = q.where((F.col("rule") == 4) & (F.col("_n") > 0)).join(d.select((F.col("_pos") + 1).alias("_n"), hit), "_n", "left")
+    four = q.where((F.col("rule") == 4) & (F.col("_n") > 0)).join(_by(d.withColumn("_nth", F.col("_pos") + 1), "_nth", "_n"), "_n", "left")
     five = q.where("rule = 5").withColumn("_part", F.col("_q"))
-    five = five.join(_first_with_part(five.select("_part").distinct(), d), "_part", "left")
+    five = five.join(first_with_part(five.select("_part"), d), "_part", "left")
     columns = ["query", "rule", "_n", F.col("_hit._pos").alias("pos"), F.col("_hit._name").alias("name"), F.lit(False).alias("_deaf")]
     return _result(one.select(*columns).unionByName(four.select(*columns)).unionByName(five.select(*columns)), _errors())
 
@@ -141,8 +146,8 @@ def selected_index(devices: DataFrame, queries: DataFrame) -> DataFrame:
     q = queries.select("query").distinct()
     q = q.withColumn("_n", F.coalesce(F.when(F.col("query").startswith("micidx:"), _number(F.substr("query", F.lit(8)))), _number(F.col("query"))))
     token = d.groupBy(F.col("_id").alias("query")).agg(F.min("_pos").alias("_token")).where("query is not null")
-    q = q.join(token, "query", "left").join(d.select(F.col("_pos").alias("_n"), F.col("_pos").alias("_at")), "_n", "left")
-    part = _first_with_part(q.select(F.col("query").alias("_part")).distinct(), d)
+    q = q.join(token, "query", "left").join(d.select(F.col("_pos").alias("_n"), F.col("_pos").alias("_at")).distinct(), "_n", "left")
+    part = first_with_part(q.select(F.col("query").alias("_part")), d)
     q = q.withColumn("_part", F.col("query")).join(part, "_part", "left")
     return q.select("query", F.coalesce("_token", "_at", "_hit._pos", F.lit(0).cast("long")).alias("pos"))
 

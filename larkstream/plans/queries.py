@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkstream.functions import audio, text
 from larkstream.operators import asr, gate, lookup, queue, segment, views
+from larkstream.operators.names import first_with_part
 from larkstream.operators.order import global_rank
 from larkstream.plans.process import process_segments
 from larkstream.sources import transcript
@@ -609,16 +610,17 @@ WITH q AS (SELECT unnest({_ASKED!r}) AS query), f AS (
 
 
 @query(_FORMS + """
-, found AS (
-  SELECT query, 1::BIGINT AS rule, (SELECT min(pos) FROM d WHERE records) AS pos, 'no default device' AS error FROM f WHERE low = 'default'
+, can AS (SELECT pos, name, row_number() OVER (ORDER BY pos) - 1 AS nth FROM d WHERE records), found AS (
+  SELECT query, 1::BIGINT AS rule, (SELECT min(pos) FROM can) AS pos, 'no default device' AS error FROM f WHERE low = 'default'
   UNION ALL SELECT query, 2, (SELECT pos FROM d WHERE d.id = t AND records), CASE WHEN t IN (SELECT id FROM d) THEN 'not an input' ELSE 'no such id' END FROM f WHERE starts_with(t, 'id:')
-  UNION ALL SELECT query, 3, (SELECT pos FROM d WHERE d.pos = try_cast(rest AS BIGINT)), CASE WHEN try_cast(rest AS BIGINT) IS NULL THEN 'not a number' ELSE 'no such position' END FROM f WHERE starts_with(t, 'micidx:')
-  UNION ALL SELECT query, 4, (SELECT pos FROM d WHERE d.pos = num), 'no such position' FROM f WHERE num IS NOT NULL
-  UNION ALL SELECT query, 5, (SELECT min(pos) FROM d WHERE contains(lower(name), low)), 'no such name' FROM f WHERE num IS NULL AND low <> 'default' AND NOT starts_with(t, 'id:') AND NOT starts_with(t, 'micidx:')
+  UNION ALL SELECT query, 3, (SELECT pos FROM can WHERE nth = try_cast(rest AS BIGINT)), CASE WHEN try_cast(rest AS BIGINT) IS NULL THEN 'not a number' ELSE 'no such position' END FROM f WHERE starts_with(t, 'micidx:')
+  UNION ALL SELECT query, 4, (SELECT pos FROM can WHERE nth = num), 'no such position' FROM f WHERE num IS NOT NULL
+  UNION ALL SELECT query, 5, (SELECT min(pos) FROM can WHERE contains(lower(name), low)), 'no such name' FROM f WHERE num IS NULL AND low <> 'default' AND NOT starts_with(t, 'id:') AND NOT starts_with(t, 'micidx:')
 )
 SELECT query, pos, (SELECT name FROM d WHERE d.pos = found.pos) AS name, rule, CASE WHEN pos IS NULL THEN error END AS error FROM found
 """)
 def device_lookup_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Microphones among the devices that record; an id may name another one, which is an error."""
     return lookup.find_device(_devices(spark, sf_dir), _queries(spark)).withColumn("rule", F.col("rule").cast("long"))
 
 
@@ -672,6 +674,19 @@ def selected_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.selected_index(_devices(spark, sf_dir), _queries(spark))
 
 
+@query("""
+WITH q AS (SELECT DISTINCT lower(substr(p_name, p_partkey % 5 + 1, p_partkey % 9)) AS part FROM part UNION SELECT lower(substr(c_name, 6, 3 + c_custkey % 9)) FROM customer)
+SELECT part, min(p_partkey) AS pos FROM q JOIN part ON contains(lower(p_name), part) GROUP BY part
+""")
+def name_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first part whose name contains a text, by the index whatever the sizes."""
+    part, customer = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
+    texts = part.select(F.lower(F.substr("p_name", (F.col("p_partkey") % 5 + 1).cast("int"), (F.col("p_partkey") % 9).cast("int"))).alias("_part"))
+    texts = texts.unionByName(customer.select(F.lower(F.substr("c_name", F.lit(6), (3 + F.col("c_custkey") % 9).cast("int"))).alias("_part")))
+    names = part.select(F.col("p_partkey").alias("_pos"), F.col("p_name").alias("_name"))
+    return first_with_part(texts, names, (0, 0)).select(F.col("_part").alias("part"), F.col("_hit._pos").alias("pos"))
+
+
 @query("SELECT 0::BIGINT AS pos, 'default-output' AS name UNION ALL SELECT r_regionkey + 1, r_name FROM region")
 def output_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lookup.with_default_output(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("pos"), F.col("r_name").alias("name")))

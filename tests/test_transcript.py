@@ -109,8 +109,8 @@ def test_lookup(spark):
     want = {
         "default": (0, 1, None), " DEFAULT ": (0, 1, None), "id:1": (1, 2, None), "id:2": (None, 2, "not an input"), "id:7": (None, 2, "no such id"),
         "micidx:1": (1, 3, None), "micidx:01": (1, 3, None), "micidx:9": (None, 3, "no such position"), "micidx:": (None, 3, "not a number"), "micidx: 1": (None, 3, "not a number"),
-        "2": (2, 4, None), "01": (1, 4, None), "+1": (1, 4, None), "3": (None, 4, "no such position"), "99999999999999999999": (None, 5, "no such name"),
-        "usb": (1, 5, None), "hdmi 2": (2, 5, None), "": (0, 5, None), "-1": (None, 5, "no such name"), "nope": (None, 5, "no such name"),
+        "2": (None, 4, "no such position"), "01": (1, 4, None), "+1": (1, 4, None), "3": (None, 4, "no such position"), "99999999999999999999": (None, 5, "no such name"),
+        "usb": (1, 5, None), "hdmi 2": (None, 5, "no such name"), "": (0, 5, None), "-1": (None, 5, "no such name"), "nope": (None, 5, "no such name"),
     }
     asked = spark.createDataFrame([(q,) for q in [*want, "usb"]], "query string")
     assert {r.query: (r.pos, r["rule"], r.error) for r in lookup.find_device(devices, asked).collect()} == want
@@ -122,11 +122,37 @@ def test_lookup(spark):
     assert {(r.pos, r.name) for r in lookup.with_default_output(devices).collect()} >= {(0, "default-output"), (1, "Built-in")}
 
 
-def test_parts_of_names_are_sought_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(lookup, "BLOCK", 7)
-    devices = spark.range(40).selectExpr("id AS pos", "concat('dev-', id, '.') AS name")
-    asked = spark.createDataFrame([("-9.",), ("-39.",), ("DEV",), ("-40.",)], "query string")
-    assert {r.query: r.pos for r in lookup.find_device(devices, asked).collect()} == {"-9.": 9, "-39.": 39, "DEV": 0, "-40.": None}
+def test_microphones_are_counted_among_inputs(spark):
+    """Places and parts of names look among devices that record; an id names any device, and the first of equal ones counts."""
+    rows = [(0, "id:0", "Speakers", False), (1, "id:1", "USB Mic", True), (2, "id:2", "HDMI", False), (3, "id:3", "Line speak", True), (3, "id:3", "Line speak", True), (4, "id:1", "Twin", None)]
+    devices = spark.createDataFrame(rows, "pos int, id string, name string, input boolean")
+    want = {"default": 1, "0": 1, "1": 3, "speak": 3, "micidx:2": 3, "micidx:3": None, "hdmi": None, "twin": None, "id:0": None, "id:1": 1, "id:3": 3}
+    asked = spark.createDataFrame([(q,) for q in want], "query string")
+    got = lookup.find_device(devices, asked).collect()
+    assert len(got) == len(want) and {r.query: r.pos for r in got} == want
+    outputs = devices.select("pos", "name")
+    assert lookup.find_output(outputs, spark.createDataFrame([("4",)], "query string")).count() == 1
+
+
+def test_names_are_found_by_their_rarest_gram(spark, monkeypatch):
+    import random
+
+    from larkstream.operators import names
+
+    monkeypatch.setattr(names, "STEP", 2)
+    r = random.Random(4)
+    held = [(i, "".join(r.choices("abÄ1 ", k=r.randint(0, 9))) if i % 50 else None) for i in range(400)] + [(7, "aab"), (900, "aaaaaaaaaa"), (901, "aaaaaaaaaab")]
+    parts = ["", "a", "ab", "AB", "ä", "aaa", "aaaaaaaaaab", "zz", "abz", "11111111", "b" * 40, None] + ["".join(r.choices("abä1 ", k=r.randint(1, 7))) for _ in range(200)]
+    devices = spark.createDataFrame(held, "_pos long, _name string")
+    texts = spark.createDataFrame([(p,) for p in parts], "_part string")
+    want = {}
+    for p in parts:
+        fits = [(i, n) for i, n in held if p is not None and n is not None and p.lower() in n.lower()]
+        if fits:
+            want[p] = min(fits)
+    for few in ((0, 0), (1000, 1000)):
+        assert {x._part: tuple(x._hit) for x in names.first_with_part(texts, devices, few).collect()} == want
+    assert names.first_with_part(texts, devices.where("false"), (0, 0)).count() == 0
 
 
 def test_output_lookup_and_shown_choice(spark):
