@@ -56,15 +56,19 @@ def segment_name(source: Column, seq: Column, suffix: str = "") -> Column:
 
 
 def rfc3339(text: Column) -> Column:
-    """Timestamp (microseconds) of an RFC 3339 text; null for any other."""
-    t = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(t.rlike(RFC3339), F.upper(t).try_cast("timestamp"))
+    """Timestamp (microseconds) of an RFC 3339 text; null for any other. A leap second is the last microsecond before it."""
+    t = trimmed(text)
+    plain = F.regexp_replace(F.upper(t), r"(?<=^.{17})60(\.\d+)?", "59.999999")
+    return F.when(t.rlike(RFC3339), plain.try_cast("timestamp"))
 
 
 def rfc3339_nanos(text: Column) -> Column:
-    """Digits 7 to 9 of the fraction as a number, which timestamps do not hold; 0 where there are none."""
-    digits = F.rpad(F.regexp_extract(text, r"\.(\d+)", 1), 9, "0")
-    return F.when(rfc3339(text).isNotNull(), F.substring(digits, 7, 3).cast("int")).otherwise(0)
+    """Digits 7 to 9 of the fraction as a number, which timestamps do not hold; 0 where there are none. In a leap second
+    1,000 and the nanoseconds of its fraction, so that it comes after the second before it and before the next."""
+    t = trimmed(text)
+    digits = F.rpad(F.regexp_extract(t, r"\.(\d+)", 1), 9, "0")
+    leap = F.lit(1000) + F.coalesce(F.substring(digits, 1, 9).try_cast("int"), F.lit(0))
+    return F.when(rfc3339(text).isNotNull(), F.when(t.rlike(r"^.{17}60"), leap).otherwise(F.substring(digits, 7, 3).cast("int"))).otherwise(0)
 
 
 def to_rfc3339(ts: Column) -> Column:
@@ -126,9 +130,9 @@ def truthy(value: Column) -> Column:
 
 def unquoted(path: Column) -> Column:
     """Trimmed, without one pair of equal quotes, and trimmed again."""
-    t = F.regexp_replace(path, r"^\s+|\s+$", "")
+    t = trimmed(path)
     bare = F.when((F.length(t) >= 2) & (t.rlike(r'(?s)^".*"$') | t.rlike(r"(?s)^'.*'$")), F.expr("null")).otherwise(t)
-    return F.coalesce(bare, F.regexp_replace(F.regexp_replace(t, r"""^["']|["']$""", ""), r"^\s+|\s+$", ""))
+    return F.coalesce(bare, trimmed(F.regexp_replace(t, r"""^["']|["']$""", "")))
 
 
 def device_label(name: Column, maker: Column, device_id: Column, extra: Column) -> Column:

@@ -385,9 +385,12 @@ def segment_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SOURCE = "CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END"
 
 
+def _with_source(talk: DataFrame) -> DataFrame:
+    return talk.withColumn("source_id", F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2))
+
+
 def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)
-    return table(spark, sf_dir, "conversations").withColumn("source_id", source).withColumn("time", F.format_string("%02d:00:00", F.col("turn") % 24))
+    return _with_source(table(spark, sf_dir, "conversations")).withColumn("time", F.format_string("%02d:00:00", F.col("turn") % 24))
 
 
 @query(f"SELECT conv_id, turn, CASE {_SOURCE} WHEN 0 THEN 'mic ' WHEN 1 THEN 'sys ' ELSE '' END AS label, CASE WHEN starts_with(concat('src', {_SOURCE}, '_x'), 'src1_') THEN 1 ELSE 0 END AS file_source FROM conversations")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from larkstream.functions import audio, text
 from larkstream.operators import frames, queue, views
-from larkstream.plans.queries import _I16, _i16, _talk, query, table
+from larkstream.operators.order import global_rank
+from larkstream.plans.queries import _I16, _i16, _with_source, query, table
 from larkstream.session import shared_folder
 from larkstream.sources import files, transcript
 
@@ -149,17 +150,17 @@ def seed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.seed_numbers(names, entries)
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _entries(talk: DataFrame) -> DataFrame:
     seg = F.concat(F.lit("src"), (F.col("turn") % 2).cast("string"), F.lit("_"), F.col("conv_id").cast("string"))
     stamp = F.format_string("2024-01-01T%02d:00:00Z", F.col("turn") % 24)
-    return _talk(spark, sf_dir).select(seg.alias("seg_id"), F.col("source_id").cast("smallint").alias("source_id"), "text", F.col("turn").cast("double").alias("duration_sec"), stamp.alias("timestamp"))
+    return _with_source(talk).select(seg.alias("seg_id"), F.col("source_id").cast("smallint").alias("source_id"), "text", F.col("turn").cast("double").alias("duration_sec"), stamp.alias("timestamp"))
 
 
 @query("SELECT concat('src', turn % 2, '_', conv_id) AS seg_id, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS source_id, text, turn::DOUBLE AS duration_sec, printf('2024-01-01T%02d:00:00Z', turn % 24) AS timestamp FROM conversations")
 def transcript_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appended, emptied, appended again in two parts, and read back."""
     path = shared_folder(spark, "transcript")
-    entries = _entries(spark, sf_dir)
+    entries = _entries(table(spark, sf_dir, "conversations"))
     transcript.append(entries, path)
     transcript.truncate(spark, path)
     transcript.append(entries.where("source_id = 0"), path)
@@ -167,11 +168,24 @@ def transcript_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcript.read_entries(spark, path).drop("line_no").withColumn("source_id", F.col("source_id").cast("int"))
 
 
+@query("""
+WITH e AS (SELECT *, CASE WHEN conv_id % 7 = 0 THEN 0 WHEN conv_id % 7 < 3 THEN 1 ELSE 2 END AS part FROM conversations)
+SELECT concat('src', turn % 2, '_', conv_id) AS seg_id, turn::DOUBLE AS duration_sec, row_number() OVER (ORDER BY part, conv_id, turn) AS line FROM e
+""")
+def transcript_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of three appends of unequal size, numbered as they were written."""
+    path, talk = shared_folder(spark, "transcript"), table(spark, sf_dir, "conversations")
+    k = F.col("conv_id") % 7
+    for mine in (k == 0, (k > 0) & (k < 3), k >= 3):
+        transcript.append(_entries(talk.where(mine).repartitionByRange("conv_id").sortWithinPartitions("conv_id", "turn")), path)
+    return global_rank(transcript.read_entries(spark, path), F.col("line_no"), name="line").select("seg_id", "duration_sec", F.col("line").cast("long").alias("line"))
+
+
 @query("SELECT count(*) AS n, count(DISTINCT concat('src', turn % 2, '_', conv_id)) AS ids FROM conversations")
 def export_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from datetime import datetime
 
-    path, n = transcript.export_file(_entries(spark, sf_dir).withColumn("line_no", F.monotonically_increasing_id()), shared_folder(spark, "dumps"), datetime(2024, 1, 1))
+    path, n = transcript.export_file(_entries(table(spark, sf_dir, "conversations")).withColumn("line_no", F.monotonically_increasing_id()), shared_folder(spark, "dumps"), datetime(2024, 1, 1))
     read = transcript.read_entries(spark, path)
     return read.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seg_id").alias("ids")).where(F.col("n") == n)
 

@@ -1,4 +1,13 @@
-"""The append-only transcript in JSON Lines: strict reading, appending, truncating, exporting."""
+"""The append-only transcript in JSON Lines: strict reading, appending, truncating, exporting.
+
+A transcript is a folder. Each append writes its rows as part files of a folder of its own, hidden from other
+readers, and then takes the next number in ``_appends``, a log with one small file for each append that names
+the folder. So an append is there wholly or not at all, appends have a total order, and with the number of the
+part file, the place of its block and the row within that, lines have one too: `line_no`, a struct that sorts as
+the lines were written. Truncating takes a number as well; what was appended before it is not read any more.
+
+A plain file, or a folder of part files without such a log, is read in the order of file names.
+"""
 
 from __future__ import annotations
 
@@ -99,14 +108,68 @@ def decode_exact(line: Column) -> Column:
     return decode(line)
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system and a function that makes paths below `path`."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = lambda *names: jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *names]))
+    return place().getFileSystem(conf), place
+
+
+LOG, DATA, CUT = "_appends", "_data", "truncated"
+#: append: number in the log; file: number of the part file, then its name; block and row: place in it.
+LINE_NO = "struct<append:bigint,file:bigint,name:string,block:bigint,row:bigint>"
+
+
+def _take_number(spark: SparkSession, path: str, what: str) -> int:
+    """Writes `what` as the next entry of the log; another writer may take a number first, then the one after it is tried."""
+    system, place = _files(spark, path)
+    system.mkdirs(place(LOG))
+    n = max([int(f.getPath().getName()) for f in system.listStatus(place(LOG)) if f.getPath().getName().isdigit()], default=0)
+    while True:
+        n += 1
+        try:
+            out = system.create(place(LOG, f"{n:020d}"), False)
+        except Exception as e:
+            if "AlreadyExists" not in str(e):
+                raise
+            continue
+        out.write(bytearray(f"{what}\n".encode()))
+        out.close()
+        return n
+
+
+def appends(spark: SparkSession, path: str) -> DataFrame:
+    """append and folder of the appends that count, those after the last truncation."""
+    log = spark.read.text(f"{path.rstrip('/')}/{LOG}/*").select(F.element_at(F.split("_metadata.file_path", "/"), -1).cast("long").alias("append"), F.col("value").alias("folder"))
+    last = log.agg(F.coalesce(F.max(F.when(F.col("folder") == CUT, F.col("append"))), F.lit(0)).alias("last"))
+    return log.crossJoin(F.broadcast(last)).where("append > last").select("append", "folder")  # one row
+
+
+def _lines(spark: SparkSession, path: str, numbered: bool) -> DataFrame:
+    """value and line_no; line_no is taken where the file is read, and nothing moves."""
+    meta = F.col("_metadata")
+    name = meta["file_name"]
+    part = F.coalesce(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("bigint"), F.lit(0))
+    place = [part.alias("file"), name.alias("name"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row")]
+    if not numbered:
+        return spark.read.text(path).select("value", F.struct(F.lit(0).cast("long").alias("append"), *place).alias("line_no"))
+    known = appends(spark, path)
+    if known.limit(BROADCAST_APPENDS + 1).count() <= BROADCAST_APPENDS:
+        known = F.broadcast(known)
+    lines = spark.read.text(f"{path.rstrip('/')}/{DATA}/*").select("value", F.element_at(F.split(meta["file_path"], "/"), -2).alias("folder"), *place)
+    return lines.join(known, "folder").select("value", F.struct("append", "file", "name", "block", "row").alias("line_no"))
+
+
+BROADCAST_APPENDS = 100_000
+
+
 def read_entries(spark: SparkSession, path: str, exact: bool = True) -> DataFrame:
-    """Valid entries of a transcript, with line_no; empty if there is no such file."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], f"{TRANSCRIPT}, line_no long")
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"))
-    return decoded(lines, "value", exact).select(*[f.split()[0] for f in TRANSCRIPT.split(", ")], "line_no")
+    """Valid entries of a transcript, with line_no, which sorts as they were written; empty if there is nothing."""
+    system, place = _files(spark, path)
+    numbered = system.exists(place(LOG))
+    if not system.exists(place()) or numbered and not system.exists(place(DATA)):
+        return spark.createDataFrame([], f"{TRANSCRIPT}, line_no {LINE_NO}")
+    return decoded(_lines(spark, path, numbered), "value", exact).select(*[f.split()[0] for f in TRANSCRIPT.split(", ")], "line_no")
 
 
 def encode(entries: DataFrame) -> DataFrame:
@@ -114,12 +177,27 @@ def encode(entries: DataFrame) -> DataFrame:
     return entries.select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def append(entries: DataFrame, path: str) -> None:
-    encode(entries).write.mode("append").text(path)
+def append(entries: DataFrame, path: str) -> int:
+    """Appends the rows in their order; the number of the append. Rows are seen when the log names them, all at once."""
+    folder = uuid.uuid4().hex
+    encode(entries).write.text(f"{path.rstrip('/')}/{DATA}/{folder}")
+    return _take_number(entries.sparkSession, path, folder)
 
 
 def truncate(spark: SparkSession, path: str) -> None:
-    spark.createDataFrame([], "value string").write.mode("overwrite").text(path)
+    """Empties the transcript. What was appended is first hidden, by an entry of the log, and then deleted."""
+    system, place = _files(spark, path)
+    n = _take_number(spark, path, CUT)
+    if not system.exists(place(DATA)):
+        return
+    for entry in system.listStatus(place(LOG)):
+        if entry.getPath().getName().isdigit() and int(entry.getPath().getName()) < n:
+            stream = system.open(entry.getPath())
+            folder = bytes(stream.readAllBytes()).decode().strip()
+            stream.close()
+            if folder and folder != CUT:
+                system.delete(place(DATA, folder), True)
+            system.delete(entry.getPath(), False)
 
 
 def export(entries: DataFrame, path: str) -> int:
@@ -131,39 +209,47 @@ def export(entries: DataFrame, path: str) -> int:
     return n
 
 
-ONE_FILE_BYTES = 1 << 30
-
-
 def export_file(entries: DataFrame, folder: str, now: datetime) -> tuple[str, int]:
     """The export as one file transcript_dump_<time>.jsonl in `folder`; its path and the number of rows.
 
     An empty folder name and no rows are errors; a name that is taken gets a random suffix. Rows are sorted
-    and written in parts; the driver then copies the parts through a small buffer into a ``.part`` file and
-    renames it. One file is one writer: above ONE_FILE_BYTES use `export`, whose parts hold the same lines.
+    and written in parts by all executors; one task then streams the parts into a ``.part`` file in their order,
+    and that is renamed. One file has one writer, but of any size, and nothing passes through the driver.
     """
     if not folder:
         raise ValueError("the export folder has no name")
     spark = entries.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    system, place = _files(spark, folder)
     name = f"transcript_dump_{now:%Y-%m-%d_%H%M%S}"
-    system = place(name).getFileSystem(conf)
     if system.exists(place(name + ".jsonl")):
         name += f"_{uuid.uuid4().hex[:8]}"
     parts = f"{folder.rstrip('/')}/.{name}"
     try:
         n = export(entries, parts)
-        held = sorted((f.getPath() for f in system.listStatus(place("." + name)) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
-        size = sum(system.getFileStatus(p).getLen() for p in held)
-        if size > ONE_FILE_BYTES:
-            raise ValueError(f"{size} bytes are too many for one file; use export")
-        out = system.create(place(name + ".part"))
-        for p in held:
-            source = system.open(p)
-            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
-            source.close()
-        out.close()
+        listed = [f.getPath() for f in system.listStatus(place("." + name)) if f.getPath().getName().startswith("part-")]
+        listed.sort(key=lambda p: (int(p.getName().split("-")[1]), p.getName()))
+        _join_files(spark, [p.toString() for p in listed], place(name + ".part").toString() if "://" in folder else f"{folder.rstrip('/')}/{name}.part")
         system.rename(place(name + ".part"), place(name + ".jsonl"))
     finally:
         system.delete(place("." + name), True)
+        system.delete(place(name + ".part"), False)
     return f"{folder.rstrip('/')}/{name}.jsonl", n
+
+
+def _join_files(spark: SparkSession, parts: list[str], out: str) -> None:
+    """One task copies the parts, one after another, through a buffer; a second attempt begins the file anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from larkstream.sources.files import store
+
+        paths = [p for b in batches for p in b.column(0).to_pylist()]
+        system, bare = store(out)
+        with system.open_output_stream(bare) as to:
+            for p in paths:
+                source, name = store(p)
+                with source.open_input_stream(name) as held:
+                    while data := held.read(1 << 20):
+                        to.write(data)
+        yield pa.RecordBatch.from_arrays([pa.array([len(paths)], pa.int64())], ["n"])
+
+    spark.createDataFrame([(p,) for p in parts], "path string").coalesce(1).mapInArrow(run, "n long").collect()

@@ -72,6 +72,56 @@ def test_export_order(spark, tmp_path):
         transcript.export(read.where("false"), str(tmp_path / "none"))
 
 
+def test_lines_come_back_in_the_order_of_appends(spark, tmp_path, monkeypatch):
+    """Appends of unequal size, in several parts and, read, in several blocks."""
+    path, want = str(tmp_path / "t"), []
+    for k, n in enumerate([3, 400, 1, 60, 0, 900, 2]):
+        rows = [(f"src0_{k:06d}", f"{k} {i} " + "x" * (i % 50), "soon") for i in range(n)]
+        want += [r[1] for r in rows]
+        part = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, seg_id string, text string, timestamp string").repartitionByRange(4, "i").sortWithinPartitions("i")
+        assert transcript.append(part.select("seg_id", F.lit(0).cast("smallint").alias("source_id"), "text", F.lit(1.0).alias("duration_sec"), "timestamp"), path) == k + 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4k", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            read = transcript.read_entries(spark, path)
+            assert [r.text for r in read.orderBy("line_no").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    read = transcript.read_entries(spark, path)
+    ranked = [r.text for r in views.export_sorted(read).orderBy("rank").collect()]  # equal times and keys: as written
+    assert ranked == want
+    assert len(want) == read.select("line_no").distinct().count()
+
+
+def test_an_append_is_there_when_the_log_says_so(spark, tmp_path):
+    path = str(tmp_path / "t")
+    transcript.append(entries(spark, ("src0_000001", "a", "x")), path)
+    transcript.encode(entries(spark, ("src0_000002", "lost", "x"))).write.text(f"{path}/_data/unfinished")  # a writer that died
+    assert [r.text for r in transcript.read_entries(spark, path).collect()] == ["a"]
+    taken = transcript._take_number(spark, path, transcript.CUT)
+    assert transcript.append(entries(spark, ("src0_000003", "b", "x")), path) == taken + 1  # cut, but not yet deleted
+    assert [r.text for r in transcript.read_entries(spark, path).collect()] == ["b"]
+    transcript.truncate(spark, path)
+    assert transcript.read_entries(spark, path).count() == 0
+    assert sorted(p.name for p in (tmp_path / "t" / "_data").iterdir() if not p.name.startswith(".")) == ["unfinished"]
+    transcript.append(entries(spark, ("src0_000004", "c", "x")), path)
+    assert [r.text for r in transcript.read_entries(spark, path).collect()] == ["c"]
+
+
+def test_edges_of_times(spark):
+    from larkstream.functions import text
+
+    valid = ["\u00a02026-01-01T00:00:00Z\u2003", "2016-12-31T23:59:60Z", "2016-12-31T23:59:60.25+00:00", "2026-01-01t00:00:00.5z", "2026-01-01 00:00:00+03:00"]
+    bad = ["2016-12-31T23:59:61Z", "2026-01-01", "", "2026-01-01T00:00:00", "2026-01-01T24:00:00Z", "x2026-01-01T00:00:00Z"]
+    df = spark.createDataFrame([(t,) for t in valid + bad], "t string").select("t", text.rfc3339(F.col("t")).isNotNull().alias("ok"))
+    assert {r.t: r.ok for r in df.collect()} == {t: t in valid for t in valid + bad}
+    times = ["2016-12-31T23:59:59.999999999Z", "2016-12-31T23:59:60Z", "2016-12-31T23:59:60.000000001Z", "2016-12-31T23:59:60.9Z", "2017-01-01T00:00:00Z"]
+    rows = spark.createDataFrame([(f"src0_{9 - k:06d}", t, 0) for k, t in enumerate(times)], "seg_id string, timestamp string, line_no int")
+    assert [r.timestamp for r in views.export_sorted(rows).orderBy("rank").collect()] == times
+    assert spark.createDataFrame([("\u00a0'a b'\u2003",)], "t string").select(text.unquoted(F.col("t"))).first()[0] == "a b"
+
+
 def test_queue(spark, tmp_path):
     for name in ("src0_000003.wav", "src0_000001.wav", "src1_000001.wav", "odd.wav", "orphan.part"):
         (tmp_path / name).write_bytes(b"x" * 100)
