@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkstream.functions import audio, text
-from larkstream.operators import asr, gate, lookup, queue, segment, views
+from larkstream.operators import asr, gate, lookup, queue, scan, segment, segment_hot, views
 from larkstream.operators.names import first_with_part
 from larkstream.operators.order import global_rank
 from larkstream.plans.process import process_segments
@@ -71,25 +71,25 @@ def max_seq_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 SILENCE, LEAST, GREATEST = 2, 30.0, 200.0
 
 
-def _fold(kind: str = "'data'", first: str = "event_type <> 'error'", second: str = "NULL::BOOLEAN", seed: str = "0") -> str:
+def _fold(kind: str = "'data'", first: str = "event_type <> 'error'", second: str = "NULL::BOOLEAN", seed: str = "0", key: str = "user_id", length: str = "value", whole: str = "DOUBLE", least: str = str(LEAST), greatest: str = str(GREATEST)) -> str:
     """The fold row by row: state after each unit, with what the unit closed. A null verdict here is no frame."""
     return f"""
 WITH RECURSIVE e AS (
-  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS total,
-         {kind} AS kind, value AS len, {first} AS a, {second} AS b, {seed} AS seed FROM events
+  SELECT {key} AS user_id, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY {key}) AS total,
+         {kind} AS kind, {length} AS len, {first} AS a, {second} AS b, {seed} AS seed FROM events
 ), f AS (
-  SELECT DISTINCT user_id, 0::BIGINT AS i, total, false AS is_open, false AS paused, 0 AS silent, 0::BIGINT AS n, 0.0::DOUBLE AS length, seed::BIGINT AS seq,
-         NULL::BIGINT AS out_seq, 0::BIGINT AS out_n, 0.0::DOUBLE AS out_length, '' AS reason FROM e
+  SELECT DISTINCT user_id, 0::BIGINT AS i, total, false AS is_open, false AS paused, 0 AS silent, 0::BIGINT AS n, 0::{whole} AS length, seed::BIGINT AS seq,
+         NULL::BIGINT AS out_seq, 0::BIGINT AS out_n, 0::{whole} AS out_length, '' AS reason FROM e
   UNION ALL
   SELECT user_id, i, total,
          CASE WHEN kind = 'pause' THEN false WHEN idle THEN is_open ELSE true END,
          CASE kind WHEN 'pause' THEN true WHEN 'resume' THEN false ELSE paused END,
          CASE WHEN kind = 'pause' OR closes THEN 0 WHEN idle THEN silent ELSE s END,
          CASE WHEN kind = 'pause' OR closes THEN 0 WHEN idle THEN n ELSE n + 1 END,
-         CASE WHEN kind = 'pause' OR closes THEN 0.0::DOUBLE WHEN idle THEN length ELSE l END,
+         CASE WHEN kind = 'pause' OR closes THEN 0::{whole} WHEN idle THEN length ELSE l END,
          CASE WHEN NOT idle AND (closes OR NOT is_open) THEN seq + 1 ELSE seq END,
-         CASE WHEN closes THEN seq END, n + 1, l, CASE WHEN s >= {SILENCE} AND l >= {LEAST} THEN 'silence' ELSE 'max' END
-  FROM (SELECT *, kind <> 'data' OR paused AS idle, kind = 'data' AND NOT paused AND is_open AND ((s >= {SILENCE} AND l >= {LEAST}) OR l >= {GREATEST}) AS closes
+         CASE WHEN closes THEN seq END, n + 1, l, CASE WHEN s >= {SILENCE} AND l >= {least} THEN 'silence' ELSE 'max' END
+  FROM (SELECT *, kind <> 'data' OR paused AS idle, kind = 'data' AND NOT paused AND is_open AND ((s >= {SILENCE} AND l >= {least}) OR l >= {greatest}) AS closes
         FROM (SELECT f.user_id, e.i, f.total, f.is_open, f.paused, f.silent, f.n, f.length, f.seq, e.kind, f.length + e.len AS l,
                      CASE WHEN e.b THEN 0 WHEN NOT e.b THEN 1 + CASE WHEN e.a THEN 0 WHEN NOT e.a THEN f.silent + 1 ELSE f.silent END
                           WHEN e.a THEN 0 WHEN NOT e.a THEN f.silent + 1 ELSE f.silent END AS s
@@ -156,6 +156,31 @@ def segment_pause(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segment(events, "user_id", _ORDER, F.col("value"), _two_verdicts(), SILENCE, LEAST, GREATEST, kind, seeds)
 
 
+_CENTS = {"length": "round(value * 100)::BIGINT", "whole": "BIGINT", "least": "3000", "greatest": "20000"}
+_HOT = {"kind": "CASE WHEN event_id % 997 = 5 THEN 'pause' WHEN event_id % 499 = 7 THEN 'resume' ELSE 'data' END", **_TWO}
+
+
+def _hot(spark: SparkSession, sf_dir: str, speech, kind=None, seeds=None) -> DataFrame:
+    """All events under one key, with lengths in whole cents."""
+    events = table(spark, sf_dir, "events").withColumn("user_id", F.lit(0).cast("long"))
+    cents = F.round(F.col("value") * 100).cast("long")
+    return segment_hot.segment_hot(events, "user_id", _ORDER, cents, speech, SILENCE, 3000, 20000, kind, seeds)
+
+
+@query(_fold(key="0::BIGINT", **_CENTS))
+def segment_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hot(spark, sf_dir, F.col("event_type") != "error")
+
+
+@query(_fold(key="0::BIGINT", seed="40", **_HOT, **_CENTS))
+def segment_hot_pause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key with pauses, units of no, one or two frames, and numbers already used."""
+    k = F.col("event_id")
+    kind = F.when(k % 997 == 5, "pause").when(k % 499 == 7, "resume").otherwise("data")
+    seeds = spark.range(1).select(F.col("id").alias("user_id"), F.lit(40).cast("long").alias("max_seq"))
+    return _hot(spark, sf_dir, _two_verdicts(), kind, seeds)
+
+
 @query("SELECT event_id, event_id % 4 AS source_id FROM events WHERE event_id % 4 <= 1")
 def known_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.known_sources(table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4).alias("source_id")))
@@ -773,3 +798,59 @@ def process_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg_id = F.concat(F.lit("src0_"), F.col("user_id").cast("string"), F.lit("_"), F.col("part").cast("string"))
     segments = parts.select(seg_id.alias("seg_id"), F.lit(0).cast("smallint").alias("source_id"), samples.alias("samples"), "flags")
     return process_segments(segments, asr.transcriber(asr.CountingEngine), F.lit("2024-01-01 00:00:00").cast("timestamp")).select("seg_id", "reason", "action")
+
+
+# ---- all events under one key, in parallel
+
+_ALL = "WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def _one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", F.lit(0).alias("k"))
+
+
+@query("""
+WITH m AS (SELECT *, count(*) FILTER (event_type <> 'error') OVER (ORDER BY ts, event_id) AS island FROM events)
+SELECT event_id, count(*) FILTER (event_type = 'error') OVER (PARTITION BY island ORDER BY ts, event_id) AS run FROM m
+""")
+def runs_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.run_lengths(_one_key(spark, sf_dir), "k", _ORDER, F.col("event_type") == "error").select("event_id", "run")
+
+
+@query(f"""
+WITH s AS (SELECT event_id, event_type, coalesce(last_value(CASE event_type WHEN 'signup' THEN true WHEN 'error' THEN false END IGNORE NULLS) OVER w, false) AS is_on FROM events {_ALL})
+SELECT event_id FROM s WHERE is_on AND event_type NOT IN ('signup', 'error')
+""")
+def recording_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    return scan.while_on(_one_key(spark, sf_dir), "k", _ORDER, kind == "signup", kind == "error", False).select("event_id")
+
+
+@query(f"""
+WITH s AS (SELECT event_id, event_type = 'signup' AS change, coalesce(last_value(CASE event_type WHEN 'signup' THEN value END IGNORE NULLS) OVER w, -1) AS config, count(*) FILTER (event_type = 'signup') OVER w AS generation FROM events {_ALL})
+SELECT event_id, config, generation FROM s WHERE NOT change
+""")
+def reconfigured_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan.configured(_one_key(spark, sf_dir), "k", _ORDER, F.col("event_type") == "signup", F.col("value"), "double", -1.0)
+    return rows.select("event_id", "config", "generation")
+
+
+@query("""
+WITH s AS (SELECT event_id, length(event_type) AS height, event_type = 'error' AS is_on, lag(event_type = 'error') OVER (ORDER BY ts, event_id) AS before,
+  sum(length(event_type)) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(length(event_type)) OVER () AS total FROM events)
+SELECT event_id, (upto - height)::BIGINT AS "offset", total::BIGINT AS total, before AND NOT is_on AS falls FROM s WHERE before AND NOT is_on
+""")
+def offsets_at_falls_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _one_key(spark, sf_dir).withColumn("height", F.length("event_type"))
+    falls = scan.edges(rows, "k", _ORDER, F.col("event_type") == "error").select("event_id", F.lit(True).alias("falls"))
+    return scan.running_height(rows, "k", _ORDER, "height").join(falls, "event_id").select("event_id", "offset", "total", "falls")
+
+
+@query("""
+WITH d AS (SELECT event_id, ts, max(event_type = 'purchase' AND value > 150) OVER (ORDER BY ts, event_id ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS keep FROM events)
+SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS position FROM d WHERE keep
+""")
+def dilate_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames near speech, numbered anew."""
+    speech = (F.col("event_type") == "purchase") & (F.col("value") > 150)
+    return scan.dilate(_one_key(spark, sf_dir), "k", _ORDER, speech, 15, True).select("event_id", "position")
