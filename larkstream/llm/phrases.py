@@ -28,6 +28,7 @@ the bytes of the phrase. Extra columns do not matter; an empty table has no phra
 
 from __future__ import annotations
 
+import struct
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkstream.llm.common import small_batches, stored
+from larkstream.llm.common import drop_folder, small_batches, stored
 from larkstream.llm.perfect_hash import PerfectHash, mixed
 from larkstream.operators.order import global_rank
 
@@ -48,7 +49,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 class Sizes(NamedTuple):
     """What bounds memory; results do not depend on it."""
 
-    chunk: int = 1 << 18  # words of a chunk
+    chunk: int = 1 << 20  # words of a chunk
     width: int = 1 << 16  # places of a slice, 2^16 at most
     batch: int = 1 << 19  # coded words that a mapper sums up at once
     block: int = 1 << 20  # candidates of a perfect hash
@@ -106,7 +107,7 @@ def _chunks(docs: DataFrame, text: str, lang: str, sizes: Sizes) -> DataFrame:
                 if len(coder.codes) >= sizes.chunk:
                     made += 1
                     yield flushed(of)
-            while sum(len(c.codes) for c in coders.values()) > 4 * sizes.chunk:  # many languages, each with little
+            while sum(len(c.codes) for c in coders.values()) > 2 * sizes.chunk:  # many languages, each with little
                 made += 1
                 yield flushed(max(coders, key=lambda of: len(coders[of].codes)))
         for of in list(coders):
@@ -131,7 +132,7 @@ def _coded(chunks: DataFrame, ids: DataFrame) -> DataFrame:
                 lone = (codes >= 0) & (np.r_[-1, codes[:-1]] < 0) & (np.r_[codes[1:], -1] < 0)
                 codes = np.where(lone, -1, codes)
                 again = (codes < 0) & (np.r_[0, codes[:-1]] < 0)
-                yield _codes_batch(*[codes[~again]] * 3)
+                yield _codes_batch(codes[~again], None, None)
 
     return both.mapInArrow(run, _CODES)
 
@@ -141,8 +142,15 @@ _CODED = ["codes", "grams", "found"]
 _CODES = ", ".join(f"{c} binary" for c in _CODED)
 
 
-def _codes_batch(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([c.astype("<i4").tobytes()], pa.binary()) for c in columns], _CODED)
+def _codes_batch(*columns: np.ndarray | None) -> pa.RecordBatch:
+    """None: not kept; for grams that means that they are the codes."""
+    packed = [struct.pack("<q", 0) if c is None else struct.pack("<q", len(c)) + pa.compress(c.astype("<i4").tobytes(), "zstd", asbytes=True) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in packed], _CODED)
+
+
+def _unpacked(data: bytes) -> np.ndarray | None:
+    n = struct.unpack_from("<q", data)[0]
+    return np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd"), "<i4") if n else None
 
 
 def _keys(codes: np.ndarray, grams: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,8 +168,11 @@ def _read(batches: Iterator[pa.RecordBatch], batch: int) -> Iterator[list[np.nda
     held, n = [], 0
     for b in batches:
         for i in range(b.num_rows):
-            held.append([np.frombuffer(c[i].as_py(), "<i4") for c in b.columns])
-            n += len(held[-1][0]) + 1
+            codes, *others = [_unpacked(c[i].as_py()) for c in b.columns]
+            if codes is None:
+                continue
+            held.append([codes, *[codes if c is None else c for c in others]])
+            n += len(codes) + 1
             if n >= batch:
                 yield _merged(held)
                 held, n = [], 0
@@ -195,33 +206,38 @@ def _parts(places: np.ndarray, counts: np.ndarray, lane: int, width: int) -> Ite
 
 
 LANES = 8
+_Finish = Callable[[int, np.ndarray, np.ndarray], pa.RecordBatch | None]
 
 
-def tree_sum(parts: DataFrame, width: int) -> DataFrame:
-    """slice, at and n: the sums of all parts of each slice. Each lane of a slice is summed first, then its lanes: no task reads all parts of a slice."""
+def tree_sum(parts: DataFrame, width: int, finish: _Finish, schema: str) -> DataFrame:
+    """What `finish` makes of each slice: its number, places and their sums. Each lane of a slice is summed first, then its lanes: no task reads all parts of a slice."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, None
+    def lane_sum(s: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        row = [pa.array([s], pa.int64()), pa.array([0], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([n.astype("<i8").tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(row, ["slice", "lane", "at", "n"])
 
-        def made() -> pa.RecordBatch:
-            at = np.flatnonzero(total)
-            row = [pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([total[at].astype("<i8").tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(row, ["slice", "lane", "at", "n"])
+    def level(rows: DataFrame, keys: list[str], done: _Finish, kind: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, total = None, None
 
-        for b in batches:
-            for s, lane, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (s, lane) != now:
-                    if now:
-                        yield made()
-                    now, total = (s, lane), np.zeros(width, np.int64)
-                total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")  # places of a part are distinct
-        if now:
-            yield made()
+            def made() -> Iterator[pa.RecordBatch]:
+                at = np.flatnonzero(total)
+                if (out := done(now[0], at, total[at])) is not None:
+                    yield out
+
+            for b in batches:
+                for s, lane, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if (s, lane) != now:
+                        if now:
+                            yield from made()
+                        now, total = (s, lane), np.zeros(width, np.int64)
+                    total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")  # places of a part are distinct
+            if now:
+                yield from made()
 
-    def level(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _PARTS)
+        return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, kind)
 
-    return level(level(parts, "slice", "lane").withColumn("lane", F.lit(0)), "slice").select("slice", "at", "n")
+    return level(level(parts, ["slice", "lane"], lane_sum, _PARTS), ["slice"], finish, schema)
 
 
 # ---- candidates
@@ -238,15 +254,12 @@ def _screened(coded: DataFrame, k: int, counters: int, sizes: Sizes) -> DataFram
             at, n = np.unique(places(_keys(codes, grams, k)[1]), return_counts=True)
             yield from _parts(at, n, lane, sizes.width)
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                bits = np.zeros(sizes.width, bool)
-                bits[np.frombuffer(at, "<u2")[np.frombuffer(n, "<i8") >= LEAST]] = True
-                if bits.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["slice", "bits"])
+    def full(s: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
+        bits = np.zeros(sizes.width, bool)
+        bits[at[n >= LEAST]] = True
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["slice", "bits"]) if bits.any() else None
 
-    sums = tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS), sizes.width).mapInArrow(full, "slice long, bits binary")
+    sums = tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS), sizes.width, full, "slice long, bits binary")
     bits = np.zeros(counters // 8, np.uint8)
     for at, cut in zip(*(c.to_pylist() for c in sums.toArrow().columns), strict=True):  # sizes.counters bits at most
         bits[at * sizes.width // 8 : (at + 1) * sizes.width // 8] = np.frombuffer(cut, np.uint8)
@@ -305,8 +318,11 @@ def _loaded(blocks: DataFrame, group: list[int], bases: dict[int, int]):
     return blocks.sparkSession.sparkContext.broadcast([(bases[r["block"]], [bytes(x) for x in r["levels"]], bytes(r["keys"])) for r in rows])
 
 
-def _level(coded: DataFrame, k: int, counters: int, sizes: Sizes, kept: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _level(coded: DataFrame, k: int, counters: int, sizes: Sizes, kept: Callable[[DataFrame, str], DataFrame], dropped: Callable[[DataFrame], None]) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases of k words (id, head, word, tail, f), and the chunks with their ids as grams."""
+    table = coded
+    if k > 2:  # what was found for the level before
+        coded = table.select("codes", F.col("found").alias("grams"), "found")
     candidates = kept(_screened(coded, k, counters, sizes), "candidates")
     n = candidates.count()
     blocks = kept(_blocks(candidates, n, sizes.block), "blocks")
@@ -322,8 +338,10 @@ def _level(coded: DataFrame, k: int, counters: int, sizes: Sizes, kept: Callable
         found = kept(_counts(coded, k, tables, sizes), "counts")
         counted = found if not i else counted.unionByName(found)
         if k < LONGEST:
-            coded = kept(_recoded(coded, k, tables, found, not i, sizes), "coded")
-    return _phrases(blocks, bases, counted), coded.select("codes", F.col("found").alias("grams"), "found")
+            before, table = table, kept(_recoded(coded, k, tables, found, not i, i + sizes.at_once >= len(blocks_of), sizes), "coded")
+            dropped(before)
+            coded = table
+    return kept(_phrases(blocks, bases, counted), "phrases"), table
 
 
 def _opened(tables) -> list[tuple[int, PerfectHash]]:
@@ -343,17 +361,14 @@ def _counts(coded: DataFrame, k: int, tables, sizes: Sizes) -> DataFrame:
                 at = np.flatnonzero(n)
                 yield from _parts(at + base, n[at], lane, sizes.width)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                f = np.frombuffer(n, "<i8")
-                hit = f >= LEAST
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(at, "<u2")[hit].astype(np.int64) + s * sizes.width, pa.int64()), pa.array(f[hit], pa.int64())], ["id", "f"])
+    def rows(s: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        hit = n >= LEAST
+        return pa.RecordBatch.from_arrays([pa.array(at[hit] + s * sizes.width, pa.int64()), pa.array(n[hit], pa.int64())], ["id", "f"])
 
-    return tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS), sizes.width).mapInArrow(rows, "id long, f long")
+    return tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS), sizes.width, rows, "id long, f long")
 
 
-def _recoded(coded: DataFrame, k: int, tables, counted: DataFrame, first: bool, sizes: Sizes) -> DataFrame:
+def _recoded(coded: DataFrame, k: int, tables, counted: DataFrame, first: bool, last: bool, sizes: Sizes) -> DataFrame:
     """The chunks with the ids of frequent phrases of k words in these blocks as `found`, beside those found before."""
     known = np.sort(counted.select("id").toArrow()["id"].to_numpy())  # of sizes.at_once blocks
     held = coded.sparkSession.sparkContext.broadcast(np.append(known, -1))
@@ -369,7 +384,7 @@ def _recoded(coded: DataFrame, k: int, tables, counted: DataFrame, first: bool,
                 mine, places = slots[hit] + base, at[hit]
                 ok = np.isin(mine, ids_known)
                 ids[places[ok]] = mine[ok]
-            yield _codes_batch(codes, grams, ids)
+            yield _codes_batch(codes, None if last else grams, ids)
 
     return coded.mapInArrow(run, _CODES)
 
@@ -435,21 +450,32 @@ def _not_inside(phrases: DataFrame, longer: DataFrame | None) -> DataFrame:
 def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", sizes: Sizes = Sizes()) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's TOP phrases."""
 
+    spark, folders = docs.sparkSession, {}
+
     def kept(df: DataFrame, name: str) -> DataFrame:
-        return stored(df, name)[0]
+        held, path = stored(df, name)
+        folders[id(held)] = held, path
+        return held
+
+    def dropped(df: DataFrame) -> None:
+        drop_folder(spark, folders.pop(id(df))[1])
 
     chunks = kept(_chunks(docs, text, lang, sizes), "chunks")
     totals = kept(chunks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     listed = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
     frequent = listed.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).where(F.col("f") >= LEAST)
-    words = kept(global_rank(frequent, F.col("lang"), F.col("word")).select("lang", "word", "f", (F.col("rank") - 1).cast("int").alias("id")), "words")
+    words = kept(global_rank(frequent, -F.col("f"), F.col("lang"), F.col("word")).select("lang", "word", "f", (F.col("rank") - 1).cast("int").alias("id")), "words")
     n = totals.agg(F.sum("n")).first()[0] or 0
     counters = max(sizes.width, min(sizes.counters, 1 << max(0, n // 4 - 1).bit_length()))
     coded = kept(_coded(chunks, words), "coded")
+    dropped(chunks)
     levels = []
     for k in range(2, LONGEST + 1):
-        level, coded = _level(coded, k, counters, sizes, kept)
-        levels.append(kept(level, "phrases"))
+        if k > 2 and levels[-1].isEmpty():  # then no longer phrase is frequent
+            levels.append(levels[-1])
+            continue
+        level, coded = _level(coded, k, counters, sizes, kept, dropped)
+        levels.append(level)
     scored = _scored(words, levels, kept)
     parts = [_not_inside(s, longer).select("lang", "ids", "f", "cut") for s, longer in zip(scored, [*levels[1:], None], strict=True)]
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
