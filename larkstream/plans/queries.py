@@ -854,3 +854,24 @@ def dilate_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames near speech, numbered anew."""
     speech = (F.col("event_type") == "purchase") & (F.col("value") > 150)
     return scan.dilate(_one_key(spark, sf_dir), "k", _ORDER, speech, 15, True).select("event_id", "position")
+
+
+# ---- streams without an order
+
+
+@query(_FOLD)
+def stream_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of each user dealt over four micro-batches by chance, and put in order by their numbers."""
+    from larkstream.session import shared_folder
+    from larkstream.streaming.reorder import segment_unordered
+    from larkstream.streaming.segments import replay, run_to_end
+
+    folder = shared_folder(spark, "unordered")
+    numbered = scan.scan(scan.in_order(table(spark, sf_dir, "events"), "user_id", _ORDER), {"place": scan.Run(F.lit(1))})
+    rows = numbered.select(F.col("user_id").alias("key"), (F.col("place") - 1).alias("place"), F.lit("data").alias("kind"), F.col("value").alias("length"), F.array(F.col("event_type") != "error").alias("verdicts"))
+    ends = rows.groupBy("key").agg((F.max("place") + 1).alias("place")).select("key", "place", F.lit("eof").alias("kind"), F.lit(0.0).alias("length"), F.array().cast("array<boolean>").alias("verdicts"))
+    mixed = rows.unionByName(ends).withColumn("part", F.pmod(F.xxhash64("key", "place"), F.lit(4)))
+    for k in range(4):  # the later files hold what the earlier ones lack
+        mixed.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = replay(spark, f"{folder}/in", "key bigint, place bigint, kind string, length double, verdicts array<boolean>", 1)
+    return run_to_end(segment_unordered(stream, SILENCE, LEAST, GREATEST, 86_400_000), f"{folder}/out", f"{folder}/checkpoint").withColumnRenamed("key", "user_id")

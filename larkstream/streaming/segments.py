@@ -69,15 +69,23 @@ def segment_stream(units: DataFrame, silence_limit: int, least: float, greatest:
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession):
-    """Queries started within keep their state in RocksDB, which keyed state needs; the session's setting comes back after."""
-    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, provider)
+def rocksdb_state(spark: SparkSession, timers_only_with_data: bool = False):
+    """Queries started within keep their state in RocksDB, which keyed state needs; the session's settings come back after.
+
+    A query with timers in processing time goes on with batches without data for ever, which one that is to end
+    at the end of its data must not.
+    """
+    settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if timers_only_with_data:
+        settings["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def replay(spark: SparkSession, folder: str, schema: str, files_per_batch: int | None = 1) -> DataFrame:
@@ -91,7 +99,7 @@ def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
 
     A stopped or failed query goes on from the same checkpoint: what it had not committed is done again.
     """
-    with rocksdb_state(stream.sparkSession):
+    with rocksdb_state(stream.sparkSession, timers_only_with_data=True):
         query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
