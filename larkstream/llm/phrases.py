@@ -18,7 +18,7 @@ floor(2,000,000 * a / (l + r)), and one that lies inside a longer candidate four
 4. Cuts read the counts of their two parts by these ids, in equality joins.
 
 Arrays travel sparse, as places and counts within slices, so what moves grows with the text alone.
-The screen has a counter for every fourth word up to 2^30 counters (128 MB as bits); far above that, some 100 GB of
+The screen has a counter for every other word up to 2^30 counters (128 MB as bits); far above that, some 100 GB of
 text, it lets more candidates through, which then cost passes, not results.
 
 Null texts are empty, a null language is `und`, as is that word itself. Repeated rows count each. A phrase does
@@ -49,11 +49,12 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 class Sizes(NamedTuple):
     """What bounds memory; results do not depend on it."""
 
-    chunk: int = 1 << 20  # words of a chunk
+    chunk: int = 1 << 18  # words of a chunk
     width: int = 1 << 16  # places of a slice, 2^16 at most
     batch: int = 1 << 19  # coded words that a mapper sums up at once
     block: int = 1 << 20  # candidates of a perfect hash
     at_once: int = 4  # blocks that are broadcast together
+    held: int = 1 << 20  # distinct candidates that a mapper keeps before it hands them on
     counters: int = 1 << 30  # of the screen, at most
 
 
@@ -266,14 +267,22 @@ def _screened(coded: DataFrame, k: int, counters: int, sizes: Sizes) -> DataFram
     held = spark.sparkContext.broadcast(bits)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed(keys: np.ndarray, tails: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(keys), 1 << 16):
+                cut = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[cut], pa.int64()), pa.array(tails[cut], pa.int64())], ["key", "tail"])
+
+        seen, seen_tails = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for codes, grams in _read(batches, sizes.batch):
             _, keys, tails = _keys(codes, grams, k)
             at = places(keys)
             hit = (held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            distinct, first = np.unique(keys[hit], return_index=True)
-            for i in range(0, len(distinct), 1 << 16):
-                cut = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(distinct[cut], pa.int64()), pa.array(tails[hit][first[cut]], pa.int64())], ["key", "tail"])
+            seen, first = np.unique(np.concatenate([seen, keys[hit]]), return_index=True)
+            seen_tails = np.concatenate([seen_tails, tails[hit]])[first]
+            if len(seen) >= sizes.held:
+                yield from handed(seen, seen_tails)
+                seen, seen_tails = seen[:0], seen_tails[:0]
+        yield from handed(seen, seen_tails)
 
     return coded.select("codes", "grams").mapInArrow(pick, "key long, tail long").distinct()
 
@@ -466,7 +475,7 @@ def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", sizes:
     frequent = listed.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).where(F.col("f") >= LEAST)
     words = kept(global_rank(frequent, -F.col("f"), F.col("lang"), F.col("word")).select("lang", "word", "f", (F.col("rank") - 1).cast("int").alias("id")), "words")
     n = totals.agg(F.sum("n")).first()[0] or 0
-    counters = max(sizes.width, min(sizes.counters, 1 << max(0, n // 4 - 1).bit_length()))
+    counters = max(sizes.width, min(sizes.counters, 1 << max(0, n // 2 - 1).bit_length()))
     coded = kept(_coded(chunks, words), "coded")
     dropped(chunks)
     levels = []
