@@ -11,7 +11,7 @@ from larkstream.operators import frames, queue, views
 from larkstream.operators.order import global_rank
 from larkstream.plans.queries import _I16, _i16, _with_source, query, table
 from larkstream.session import shared_folder
-from larkstream.sources import files, transcript
+from larkstream.sources import files, transcript, wav
 
 # ---- chunks and frames
 
@@ -76,17 +76,36 @@ def clip_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- files
 
 
-@query(f"SELECT concat('src0_', lpad(vec_id::VARCHAR, 6, '0')) AS seg_id, 16000 AS rate, len(s)::BIGINT AS n, list_sum(s)::BIGINT AS total, len(s) / 16000.0::DOUBLE AS seconds FROM (SELECT vec_id, {_I16} AS s FROM embeddings)")
+_SAMPLES = f"SELECT concat('src0_', lpad(vec_id::VARCHAR, 6, '0')) AS seg_id, {_I16} AS s FROM embeddings"
+
+
+def _segment_files(spark: SparkSession, sf_dir: str):
+    """The vectors as segments, written through the sink, and the listing of its folder."""
+    folder = shared_folder(spark, "wavs")
+    wav.write_segments(table(spark, sf_dir, "embeddings").select(text.segment_name(F.lit(0), F.col("vec_id")).alias("seg_id"), _i16().alias("samples")), folder)
+    return folder, files.with_samples(files.segment_files(files.listing(spark, folder)))
+
+
+@query(f"SELECT seg_id, 16000 AS rate, len(s)::BIGINT AS n, list_sum(s)::BIGINT AS total, len(s) / 16000.0::DOUBLE AS seconds, len(s) / 16000.0::DOUBLE AS by_header FROM ({_SAMPLES})")
 def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments written as files, listed, and read again by header and by content."""
-    folder = shared_folder(spark, "wavs")
-    segments = table(spark, sf_dir, "embeddings").select(text.segment_name(F.lit(0), F.col("vec_id")).alias("seg_id"), _i16().alias("samples"))
-    files.make_folder(spark, folder)
-    files.write_wavs(segments, folder).count()
-    listed = files.segment_files(files.with_samples(files.listing(spark, folder))).select("seg_id")
+    folder, listed = _segment_files(spark, sf_dir)
     read = files.read_wav(spark, folder).where("error is null").withColumn("seg_id", text.stem(F.col("name")))
     total = F.aggregate("samples", F.lit(0).cast("long"), lambda s, x: s + x)
-    return read.join(listed, "seg_id").select("seg_id", "rate", F.size("samples").cast("long").alias("n"), total.alias("total"), audio.duration_sec(F.col("samples")).alias("seconds"))
+    heads = wav.headers(listed).select(text.stem(F.col("name")).alias("seg_id"), F.col("seconds").alias("by_header"))
+    return read.join(heads, "seg_id").select("seg_id", "rate", F.size("samples").cast("long").alias("n"), total.alias("total"), audio.duration_sec(F.col("samples")).alias("seconds"), "by_header")
+
+
+@query(f"""
+WITH x AS (SELECT seg_id, unnest(s) AS x, generate_subscripts(s, 1) - 1 AS i FROM ({_SAMPLES}) WHERE seg_id NOT LIKE '%7')
+SELECT seg_id, i // 10 * 10 AS first, count(*) AS n, sum(x)::BIGINT AS total FROM x GROUP BY ALL
+""")
+def wav_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of ten samples out of ranges of thirty; files that the listing leaves out are not opened."""
+    _, listed = _segment_files(spark, sf_dir)
+    read = wav.samples(listed.where("seg_id not like '%7'"), 10, 30)
+    total = F.aggregate("samples", F.lit(0).cast("long"), lambda s, x: s + x)
+    return read.select(text.stem(F.col("name")).alias("seg_id"), "first", F.size("samples").cast("long").alias("n"), total.alias("total"))
 
 
 _NAMES = "SELECT o_orderkey, concat('src', o_custkey % 3, '_', lpad(o_orderkey::VARCHAR, 6, '0'), CASE o_orderkey % 4 WHEN 0 THEN '.part' WHEN 1 THEN '.WAV' ELSE '.wav' END) AS name, o_orderkey % 90 AS length FROM orders"

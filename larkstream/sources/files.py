@@ -14,7 +14,7 @@ from larkstream.functions import text
 
 
 def listing(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    """Files of a folder: path, name, length; the contents are not read."""
+    """Files of a folder: path, name, length; the contents are not read. Spark leaves out files without a single byte."""
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
