@@ -134,8 +134,7 @@ class _Writer:
 
     def __init__(self, folder: str):
         self.folder, self.job = folder.rstrip("/"), uuid.uuid4().hex
-        system, root = store(self.folder)
-        system.create_dir(root, recursive=True)
+        store(self.folder)[0].create_dir(self._parts(), recursive=True)
 
     def _parts(self) -> str:
         """Where this job's tasks write: beside the segments, hidden from readers, on the same file system."""
@@ -144,7 +143,6 @@ class _Writer:
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = store(self.folder)
         attempt, files = uuid.uuid4().hex, []
-        system.create_dir(self._parts(), recursive=True)
         try:
             for b in iterator:
                 for seg_id, x in zip(b["seg_id"].to_pylist(), b["samples"], strict=True):
@@ -163,12 +161,20 @@ class _Writer:
         system, _ = store(self.folder)
         files = dict(f for m in messages if m for f in m.files)  # one segment, one file
         _each(lambda f: system.move(f[1], f[0]), list(files.items()))
-        self._sweep()
 
-    def _sweep(self) -> None:
-        """Deletes what this job has left: the files of tasks that were lost, and of twins."""
+    def _close(self) -> None:
+        """Deletes the job's folder with what tasks that were lost, twins and failed ones have left. A task that is still
+        running cannot write any more: files are opened in a folder that is there, and no task makes one."""
         system, _ = store(self.folder)
-        system.delete_dir_contents(self._parts(), missing_dir_ok=True)
+        for last in (False, True):
+            try:
+                system.delete_dir(self._parts())
+                return
+            except FileNotFoundError:
+                return
+            except OSError:  # a file came between listing and deletion
+                if last:
+                    raise
 
 
 def _each(act, things: list) -> None:
@@ -186,19 +192,22 @@ def _delete(system, path: str) -> None:
 class BatchWriter(_Writer, DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         self._publish(messages)
+        self._close()
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._sweep()
+        self._close()
 
 
 class StreamWriter(_Writer, DataSourceStreamArrowWriter):
     """A batch that is repeated after a crash writes the same segments under the same names."""
 
     def commit(self, messages: list[Written | None], batchId: int) -> None:
+        """The folder stays for the next batch, without what twins have left."""
         self._publish(messages)
+        store(self.folder)[0].delete_dir_contents(self._parts(), missing_dir_ok=True)
 
     def abort(self, messages: list[Written | None], batchId: int) -> None:
-        self._sweep()
+        self._close()  # the query ends
 
 
 class SegmentSink(DataSource):

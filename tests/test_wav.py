@@ -84,8 +84,6 @@ def test_twins_and_lost_tasks_leave_nothing(tmp_path):
     assert names(tmp_path) == ["s1.wav"]
     other = wav.BatchWriter(str(tmp_path))
     other.write(iter([batch(3)]))
-    other.abort([None])
-    assert names(tmp_path) == ["s1.wav"]
 
     def breaks():
         yield batch(4)
@@ -93,6 +91,10 @@ def test_twins_and_lost_tasks_leave_nothing(tmp_path):
 
     with pytest.raises(OSError):
         other.write(breaks())
+    assert sum("s4" in n for n in names(tmp_path)) == 0
+    other.abort([None])
+    with pytest.raises(OSError):  # a task that was killed but goes on for a while
+        other.write(iter([batch(5)]))
     assert names(tmp_path) == ["s1.wav"]
 
 
