@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkstream.functions import audio, text
-from larkstream.operators import frames, queue, views
+from larkstream.operators import frames, queue, scan, views
 from larkstream.operators.order import global_rank
 from larkstream.plans.queries import _I16, _i16, _with_source, query, table
 from larkstream.session import shared_folder
@@ -272,3 +272,57 @@ def detail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loopback_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select("c_custkey", text.loopback_on(k % 2 == 0, k % 5 == 0, F.when(k % 3 == 0, True)).alias("loopback"))
+
+
+@query(f"SELECT label::INTEGER AS source_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS chunk_seq, list_sum({_I16})::BIGINT AS total FROM embeddings")
+def chunk_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of a label as a source's chunks, put into a queue and streamed out of it."""
+    from larkstream.streaming import queue_source
+    from larkstream.streaming.segments import run_to_end
+
+    folder = shared_folder(spark, "queue")
+    vectors = table(spark, sf_dir, "embeddings").select("label", "vec_id", _i16().alias("samples"))
+    numbered = scan.scan(scan.in_order(vectors, "label", ["vec_id"]), {"place": scan.Run(F.lit(1))})
+    queue_source.enqueue(numbered.select(F.col("label").cast("smallint").alias("source_id"), (F.col("place") - 1).alias("chunk_seq"), "samples"), f"{folder}/queue", 50, 64)
+    read = run_to_end(queue_source.chunks(spark, f"{folder}/queue", 64, 1_000_000), f"{folder}/out", f"{folder}/checkpoint")
+    total = F.aggregate("samples", F.lit(0).cast("long"), lambda s, x: s + x)
+    return read.select(F.col("source_id").cast("int").alias("source_id"), "chunk_seq", total.alias("total"))
+
+
+@query("SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def live_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live view over micro-batches that come in no order, one of them twice."""
+    from larkstream.streaming.live import LatestTable
+
+    folder, events = shared_folder(spark, "live"), table(spark, sf_dir, "events").select("user_id", "value", "ts", "event_id")
+    for k in range(3):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    shown = LatestTable(f"{folder}/view", ["user_id"], "value", ["ts", "event_id"])
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        shown.merge(batch, batch_id)
+        if batch_id == 1:
+            shown.merge(batch, batch_id)
+
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return shown.read(spark).select("user_id", "value")
+
+
+@query("""
+SELECT count(*) FILTER (l.doc_id IS NULL) AS pending, coalesce(sum(n_chars) FILTER (l.doc_id IS NULL), 0)::DOUBLE / 1048576 AS pending_mb, sum(n_chars)::DOUBLE / 1048576 AS total_mb
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)
+""")
+def live_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue's statistics out of a stream of files and a stream of entries."""
+    from larkstream.streaming.live import live_queue_stats, queue_totals
+
+    folder = shared_folder(spark, "live")
+    docs, done = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seg_id"), F.col("n_chars").alias("length")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seg_id"))
+    for k in range(2):
+        docs.where(F.col("seg_id") % 2 == k).coalesce(1).write.mode("append").parquet(f"{folder}/files")
+        done.where(F.col("seg_id") % 2 != k).coalesce(1).write.mode("append").parquet(f"{folder}/entries")
+    read = lambda name, kind: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+    shown, marks = live_queue_stats(read("files", docs.schema), read("entries", done.schema), f"{folder}/view", f"{folder}/checkpoint")
+    marks.writeStream.foreachBatch(shown.merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return queue_totals(shown.read(spark))

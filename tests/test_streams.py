@@ -113,3 +113,92 @@ def test_gaps_are_given_up_and_silent_sources_flushed(spark, tmp_path):
         query.stop()
     whole["b"] = sorted([*whole["b"], (3, 1, 1.0, "tail")])
     assert by_key(got) == whole
+
+
+# ---- the queue of chunks
+
+
+def queue_rows(n, source, first=0, width=4):
+    return [(source, first + k, [(first + k) % 100] * width) for k in range(n)]
+
+
+def start_queue(spark, folder, out, checkpoint, files=2, act=None):
+    from larkstream.streaming.queue_source import chunks
+
+    write = chunks(spark, str(folder), 4, files).writeStream.option("checkpointLocation", str(checkpoint)).trigger(processingTime="200 milliseconds")
+    return (write.foreachBatch(act) if act else write.format("parquet").option("path", str(out))).start()
+
+
+def test_no_chunk_is_lost_or_doubled(spark, tmp_path):
+    """A queue that a query reads while it is filled, with a crash in the middle of a batch and restarts."""
+    import numpy as np
+
+    from larkstream.streaming import queue_source
+    from larkstream.streaming.segments import append_once
+
+    folder, out, checkpoint = tmp_path / "q", tmp_path / "out", tmp_path / "c"
+    spark_rows = queue_rows(23, 0) + queue_rows(9, 1)
+    assert queue_source.enqueue(spark.createDataFrame(spark_rows, "source_id short, chunk_seq long, samples array<short>"), str(folder), 5, 4) == 32
+    assert sorted(p.name for p in folder.glob("*.pcm"))[-1] == "1-00000000000000000005-4.pcm"
+    order, crashed = [], []
+
+    def act(batch, batch_id):
+        order.append({(r.source_id, r.chunk_seq) for r in batch.collect()})
+        append_once(batch, batch_id, str(out))
+        if batch_id == 1 and not crashed:
+            crashed.append(batch_id)
+            raise OSError("crash after the write, before the commit")
+
+    query = start_queue(spark, folder, out, checkpoint, act=act)
+    with pytest.raises(Exception, match="crash"):
+        query.awaitTermination(60)
+    queue_source.put(str(folder), 2, 0, np.repeat(np.arange(3), 4), 4)  # comes after the backlog
+    for k in range(2):
+        query = start_queue(spark, folder, out, checkpoint, act=act)
+        try:
+            end = time.time() + 60
+            while time.time() < end and len(set().union(*order)) < 35 + 6 * k:
+                time.sleep(0.2)
+            queue_source.put(str(folder), 0, 23, np.repeat(np.arange(23, 29), 4), 4)
+            while time.time() < end and len(set().union(*order)) < 41:
+                time.sleep(0.2)
+            time.sleep(1.5)
+        finally:
+            query.stop()
+    got = sorted((r.source_id, r.chunk_seq, list(r.samples)) for r in spark.read.parquet(str(out)).collect())
+    assert got == sorted(spark_rows + queue_rows(3, 2) + queue_rows(6, 0, 23))
+    assert order[1] == order[2]  # the batch that crashed, once more
+    assert not list(folder.glob("0-*-5.pcm"))  # read and committed
+
+
+# ---- live views
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_a_live_view_is_the_batch_view(spark, tmp_path, seed):
+    """After any split into batches, with batches repeated and a version that was never finished."""
+    from pyspark.sql import functions as F
+
+    from larkstream.operators import views
+    from larkstream.streaming.live import LatestTable
+
+    r = random.Random(seed)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, 1, 2, 3]), i) for i in range(60)]
+    table = LatestTable(str(tmp_path), ["k"], "v", ["i"], keep=2)
+    assert table.read(spark) is None
+    left, batch_id = rows[:], 0
+    r.shuffle(left)
+    while left:
+        n = r.randint(1, 25)
+        batch = spark.createDataFrame(left[:n], "k string, v int, i int")
+        if r.random() < 0.5:  # a crash: part of a version
+            (tmp_path / f"v={batch_id}").mkdir()
+            (tmp_path / f"v={batch_id}" / "part-junk.parquet").write_bytes(b"half")
+            assert batch_id not in table.versions(spark)
+        for _ in range(r.choice([1, 2])):
+            table.merge(batch, batch_id)
+        left, batch_id = left[n:], batch_id + 1
+    want = views.latest(spark.createDataFrame(rows, "k string, v int, i int"), ["k"], "v", ["i"]).select("k", "v")
+    assert sorted(map(repr, table.read(spark).select("k", "v").collect())) == sorted(map(repr, want.collect()))
+    assert len(table.versions(spark)) <= 2
+    assert table.read(spark).select(F.count("*")).first()[0] == 3
