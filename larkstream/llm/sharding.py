@@ -4,9 +4,9 @@ Pass 1 reads the corpus once for its narrow statistics: each record's `spread`,
 columns (but maps, which have no hash), and its size. Totals fix the number of buckets, so that a bucket
 holds about `bucket_bytes` however large the corpus is; a record's bucket is its spread modulo that number,
 so it depends on the record alone and not on how the scan is cut. Records that are equal in all columns
-share a spread: where they hold more than a quarter of a bucket, they are written down with their place
-in the scan and spread by that as well (they can't be told apart, so only their share of each bucket
-depends on the scan).
+are copies: they are counted, each gets its number among them, and the number is part of its spread, so copies lie
+as far apart as any records, however many there are. (Where columns of maps or variants make records that cannot
+be compared, copies are spread by their place in the scan.)
 
 Pass 2 scatters: an exchange by bucket moves each record once, into the shuffle files of its bucket. The
 records of a bucket are numbered in the order of their spread, and each goes to the place that the
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkstream.llm.common import cut, shared_folder, sized, text_bytes, written
+from larkstream.llm.common import BROADCAST_ROWS, cut, shared_folder, text_bytes, written
 
 GROUP = 1024  # buckets that are numbered together
 MOST_PARTITIONS = 50_000  # of pass 2; beyond that a partition takes several buckets
@@ -53,15 +53,35 @@ def scattered(docs: DataFrame, seed: int, bucket_bytes: int, text_col: str) -> t
         F.xxhash64(F.lit(seed), *hashed).alias("spread"),
     )
     by_spread = cut(rows.groupBy("spread").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")))
-    n, total, most = by_spread.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.max(F.when(F.col("n") > 1, F.col("bytes")))).first()
-    if (most or 0) <= bucket_bytes / 4:
+    n, total, alike = by_spread.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
+    if not alike:
         return rows, by_spread, n, total
-    heavy = by_spread.where((F.col("n") > 1) & (F.col("bytes") > bucket_bytes / 4)).select("spread")  # at most 4 a bucket
-    copies = rows.join(sized(heavy), "spread", "left_semi")
-    copies = written(copies.withColumn("spread", F.xxhash64("spread", F.monotonically_increasing_id())), "copies")
-    rows = rows.join(sized(heavy), "spread", "left_anti").unionByName(copies)
-    by_spread = by_spread.join(sized(heavy), "spread", "left_anti").unionByName(copies.groupBy("spread").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")))
-    return rows, by_spread, n, total
+    shared = by_spread.where("n > 1").select("spread")
+    if alike <= BROADCAST_ROWS:
+        twins, rest = rows.join(F.broadcast(shared), "spread", "left_semi"), rows.join(F.broadcast(shared), "spread", "left_anti")
+        by_rest = by_spread.join(F.broadcast(shared), "spread", "left_anti")
+    else:  # one shuffle of all records instead of two joins
+        twins, rest, by_rest = rows, None, None
+    copies = written(numbered_copies(twins) if len(hashed) == len(docs.columns) else twins.withColumn("spread", F.xxhash64("spread", F.monotonically_increasing_id())), "copies")
+    by_copy = copies.groupBy("spread").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    if rest is None:
+        return copies, by_copy, n, total
+    return rest.unionByName(copies), by_rest.unionByName(by_copy), n, total
+
+
+AT_ONCE = 1024  # copies that a task makes of a record
+
+
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """rows (record, size, text_crc32, spread) with the number of each among its equals in its spread.
+
+    Equal records are counted, which sums them up before they move, and made anew from one of them, AT_ONCE at a
+    time in different tasks.
+    """
+    counted = rows.groupBy("spread", "record").agg(F.first("size").alias("size"), F.first("text_crc32").alias("text_crc32"), F.count(F.lit(1)).alias("m"))
+    parts = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {AT_ONCE}"))).alias("part")).repartition("spread", "part")
+    number = F.explode(F.sequence(F.col("part") * AT_ONCE, F.least(F.col("m"), (F.col("part") + 1) * AT_ONCE) - 1)).alias("number")
+    return parts.select("record", "size", "text_crc32", "spread", number).select("record", "size", "text_crc32", F.when(F.col("number") == 0, F.col("spread")).otherwise(F.xxhash64("spread", "number")).alias("spread"))
 
 
 def permutations(spark: SparkSession, counts: DataFrame, buckets: int, seed: int) -> DataFrame:

@@ -410,3 +410,22 @@ def test_eleven_queries_are_registered():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_|pipeline$", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_copies_lie_apart(spark):
+    """Copies of a record are in one shard as often as chance says, and wherever the scan is cut."""
+    n, shards = 300, 6
+    rows = [(i, f"text {i} " + "x" * (i % 40)) for i in range(n) for _ in range(3)] + [(9999, "hot")] * 700
+    made = []
+    for parts in (3, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sharding.shuffle_into_shards(df, shards, bucket_bytes=2_000).selectExpr("record.doc_id", "record.text", "shard", "slot").collect()
+        assert sorted((r.doc_id, r.text) for r in got) == sorted(rows)
+        made.append(sorted(map(tuple, got)))
+    assert made[0] == made[1]
+    of = {}
+    for doc, _, shard, _ in made[0]:
+        of.setdefault(doc, []).append(shard)
+    apart = sum(len(set(s)) == 3 for k, s in of.items() if k < n) / n
+    assert abs(apart - 5 / 6 * 4 / 6) < 0.12  # three of six shards by chance
+    assert max(Counter(of[9999]).values()) < 2 * 700 / shards
