@@ -10,7 +10,8 @@ overlapping per kind); then what the method adds: ``address`` (the authority aft
 names a user or a numeric host) and ``account``: an identifier after a cue, over linking words and marks
 ("no.", "is", ":", ...), with at least four digits; after "iban" it must pass the mod-97 test; after
 "password" and the like and a colon or equals sign it may be any token that is no plain word; dates are
-none. Keys with a known beginning, web tokens of three parts and private key blocks need no cue. One
+none, but its digits may stand in groups of two to four; after words for keys it may have no digits, if it mixes small
+and large letters over sixteen characters. Keys with a known beginning, web tokens of three parts and private key blocks need no cue. One
 narrow map over the scan, no shuffle.
 
 Edge cases: null text is empty and has no spans; offsets are code points, ends exclusive; texts are
@@ -33,8 +34,9 @@ from larkstream.llm.common import small_batches
 KINDS = ("email", "ip", "card", "phone", "address", "account")
 BASE = 4
 #: Cues that announce an identifier, those that announce a secret, and beginnings of keys with the least length after them.
-CUES = ("access key", "access_key", "account", "acct", "api key", "api-key", "api_key", "apikey", "bearer", "customer id", "customer_id", "iban", "id card", "konto", "licence", "license", "member id", "national id", "passport", "patient id", "personal id", "social security", "ssn", "tax id", "user id", "user_id")
+CUES = ("aba", "access key", "access_key", "account", "acct", "api key", "api-key", "api_key", "apikey", "bearer", "customer id", "customer number", "customer_id", "employee id", "employee number", "employee_id", "iban", "id card", "konto", "licence", "license", "medical record", "member id", "mrn", "national id", "passport", "patient id", "personal id", "policy", "routing", "social security", "ssn", "staff id", "student id", "tax id", "user id", "user_id")
 SECRETS = ("client secret", "client_secret", "passphrase", "passwd", "password", "passwort", "pwd", "secret", "token")
+KEY_CUES = ("access key", "access_key", "api key", "api-key", "api_key", "apikey", "bearer", "client secret", "client_secret", "secret", "token")
 KEYS = {"AIza": 30, "AKIA": 16, "ASIA": 16, "ghp_": 20, "gho_": 20, "ghs_": 20, "ghu_": 20, "github_pat_": 20, "glpat-": 16, "rk_live_": 16, "sk_live_": 16, "sk_test_": 16, "sk-": 20, "xoxa-": 10, "xoxb-": 10, "xoxp-": 10, "npm_": 30, "SG.": 30}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -53,7 +55,9 @@ _DATE = re.compile(r"(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0
 _BLOCK = "-----BEGIN "
 _BLOCK_HEAD = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _BLOCK_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}(?![A-Za-z0-9])")
+_GROUPED = re.compile(r"[0-9]{2,4}(?:[\x20-][0-9]{2,4})+(?![A-Za-z0-9])")
+_SPACED_DATE = re.compile(r"(?:19|20)[0-9]{2}[\x20-][0-9]{2}[\x20-][0-9]{2}$|[0-9]{2}[\x20-][0-9]{2}[\x20-](?:19|20)[0-9]{2}$")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -88,7 +92,7 @@ def luhn(digits: str) -> bool:
 
 def iban_ok(text: str) -> bool:
     s = text.replace(" ", "")
-    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1  # small letters count as large ones
 
 
 class Finder:
@@ -100,6 +104,7 @@ class Finder:
     def spans(self, text: str) -> list[list[tuple[int, int]]]:
         """For each kind its spans by start."""
         found: list[list[tuple[int, int]]] = [[] for _ in KINDS]
+        self.ends = True  # whether a key block may still end in this text
         done = [0] * len(KINDS)  # where each kind's next span may start
         for last, (anchor, length, name) in self.anchors.iter(folded(text)):
             at = last + 1 - length
@@ -173,27 +178,37 @@ class Finder:
         lead = _LINK.match(text, after)
         if not lead:
             return after
+        marked = "=" in lead[0] or ":" in lead[0]
         if cue == "iban":
             m = _IBAN.match(text, lead.end())
+            while m and not iban_ok(m[0]) and " " in m[0]:  # words after it may look like its last groups
+                m = _IBAN.match(text, lead.end(), lead.end() + m[0].rindex(" "))
             ok = m and iban_ok(m[0])
         else:
-            m = _IDENTIFIER.match(text, lead.end())
-            ok = m and len(m[0]) >= 6 and sum(c in "0123456789" for c in m[0]) >= 4 and not _DATE.match(m[0])
-            if not ok and cue in SECRETS and ("=" in lead[0] or ":" in lead[0]):
+            m = _GROUPED.match(text, lead.end())
+            ok = m and sum(c in "0123456789" for c in m[0]) >= 7 and not _SPACED_DATE.match(m[0])
+            if not ok:
+                m = _IDENTIFIER.match(text, lead.end())
+                ok = m and len(m[0]) >= 6 and sum(c in "0123456789" for c in m[0]) >= 4 and not _DATE.match(m[0])
+            if not ok and m and cue in KEY_CUES:
+                ok = marked and len(m[0]) >= 16 and not m[0].islower() and not m[0].isupper() and not m[0].istitle() and any(c.islower() for c in m[0])
+            if not ok and cue in SECRETS:
                 m = _SECRET.match(text, lead.end())
                 ok = m and len(m[0]) >= 6 and not m[0].rstrip(".!?)").isalpha() and not m[0].startswith(("http:", "https:"))
+                ok = ok and (marked or lead[0].rstrip(" \t\"'(<[").lower().endswith((" is", " was", " ist")) and any(c.isalpha() for c in m[0]) and any(c in "0123456789" for c in m[0]))
         if not ok:
             return after
         out.append((m.start(), m.end()))
         return m.end()
 
-    @staticmethod
-    def key(text: str, at: int, name: str, out: list) -> int:
+    def key(self, text: str, at: int, name: str, out: list) -> int:
         if not text.startswith(name, at):  # keys begin in the given case
             return at
         if name == _BLOCK:
             head = _BLOCK_HEAD.match(text, at)
-            end = head and _BLOCK_END.search(text, head.end())
+            end = head and self.ends and _BLOCK_END.search(text, head.end())
+            if head and not end:
+                self.ends = False  # what has no end from here on has none later
             span = (at, end.end() if end else head.end()) if head else None
         elif name == "eyJ":
             m = _WEB_TOKEN.match(text, at)
