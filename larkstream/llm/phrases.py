@@ -50,7 +50,7 @@ class Sizes(NamedTuple):
     """What bounds memory; results do not depend on it."""
 
     chunk: int = 1 << 18  # words of a chunk
-    width: int = 1 << 16  # places of a slice, 2^16 at most
+    slices: int = 256  # of each array that is summed
     batch: int = 1 << 19  # coded words that a mapper sums up at once
     block: int = 1 << 20  # candidates of a perfect hash
     at_once: int = 4  # blocks that are broadcast together
@@ -197,7 +197,7 @@ def _parts(places: np.ndarray, counts: np.ndarray, lane: int, width: int) -> Ite
         of = places // width
         cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(places)]
         spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        at = (places % width).astype("<u2")
+        at = (places % width).astype("<u4")
         columns = [
             pa.array(of[cuts[:-1]], pa.int64()), pa.array([lane] * len(spans), pa.int32()),
             pa.array([at[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([counts[i:j].astype("<i8").tobytes() for i, j in spans], pa.binary()),
@@ -214,7 +214,7 @@ def tree_sum(parts: DataFrame, width: int, finish: _Finish, schema: str) -> Data
     """What `finish` makes of each slice: its number, places and their sums. Each lane of a slice is summed first, then its lanes: no task reads all parts of a slice."""
 
     def lane_sum(s: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        row = [pa.array([s], pa.int64()), pa.array([0], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([n.astype("<i8").tobytes()], pa.binary())]
+        row = [pa.array([s], pa.int64()), pa.array([0], pa.int32()), pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([n.astype("<i8").tobytes()], pa.binary())]
         return pa.RecordBatch.from_arrays(row, ["slice", "lane", "at", "n"])
 
     def level(rows: DataFrame, keys: list[str], done: _Finish, kind: str) -> DataFrame:
@@ -232,7 +232,7 @@ def tree_sum(parts: DataFrame, width: int, finish: _Finish, schema: str) -> Data
                         if now:
                             yield from made()
                         now, total = (s, lane), np.zeros(width, np.int64)
-                    total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")  # places of a part are distinct
+                    total[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<i8")  # places of a part are distinct
             if now:
                 yield from made()
 
@@ -244,26 +244,31 @@ def tree_sum(parts: DataFrame, width: int, finish: _Finish, schema: str) -> Data
 # ---- candidates
 
 
+def _width(places: int, sizes: Sizes) -> int:
+    """Places of a slice, a multiple of 8."""
+    return max(8, -(-places // (8 * sizes.slices)) * 8)
+
+
 def _screened(coded: DataFrame, k: int, counters: int, sizes: Sizes) -> DataFrame:
     """key and tail of phrases of k words that share a counter of LEAST or more."""
-    spark = coded.sparkSession
+    spark, width = coded.sparkSession, _width(counters, sizes)
     places = lambda keys: (mixed(keys, 77) & np.uint64(counters - 1)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lane = TaskContext.get().partitionId() % LANES
         for codes, grams in _read(batches, sizes.batch):
             at, n = np.unique(places(_keys(codes, grams, k)[1]), return_counts=True)
-            yield from _parts(at, n, lane, sizes.width)
+            yield from _parts(at, n, lane, width)
 
     def full(s: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
-        bits = np.zeros(sizes.width, bool)
+        bits = np.zeros(width, bool)
         bits[at[n >= LEAST]] = True
         return pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["slice", "bits"]) if bits.any() else None
 
-    sums = tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS), sizes.width, full, "slice long, bits binary")
+    sums = tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS), width, full, "slice long, bits binary")
     bits = np.zeros(counters // 8, np.uint8)
     for at, cut in zip(*(c.to_pylist() for c in sums.toArrow().columns), strict=True):  # sizes.counters bits at most
-        bits[at * sizes.width // 8 : (at + 1) * sizes.width // 8] = np.frombuffer(cut, np.uint8)
+        bits[at * width // 8 : (at + 1) * width // 8] = np.frombuffer(cut, np.uint8)
     held = spark.sparkContext.broadcast(bits)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +349,7 @@ def _level(coded: DataFrame, k: int, counters: int, sizes: Sizes, kept: Callable
     counted = coded.sparkSession.createDataFrame([], "id long, f long")
     for i in range(0, len(blocks_of), sizes.at_once):
         tables = _loaded(blocks, [block for block, _ in blocks_of[i : i + sizes.at_once]], bases)
-        found = kept(_counts(coded, k, tables, sizes), "counts")
+        found = kept(_counts(coded, k, tables, _width(base, sizes), sizes), "counts")
         counted = found if not i else counted.unionByName(found)
         if k < LONGEST:
             before, table = table, kept(_recoded(coded, k, tables, found, not i, i + sizes.at_once >= len(blocks_of), sizes), "coded")
@@ -357,7 +362,7 @@ def _opened(tables) -> list[tuple[int, PerfectHash]]:
     return [(base, PerfectHash.unpacked(levels, keys)) for base, levels, keys in tables.value]
 
 
-def _counts(coded: DataFrame, k: int, tables, sizes: Sizes) -> DataFrame:
+def _counts(coded: DataFrame, k: int, tables, width: int, sizes: Sizes) -> DataFrame:
     """id and f of the phrases in these blocks with at least LEAST occurrences."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,13 +373,13 @@ def _counts(coded: DataFrame, k: int, tables, sizes: Sizes) -> DataFrame:
                 slots = table.find(keys)
                 n = np.bincount(slots[slots >= 0], minlength=len(table.keys))
                 at = np.flatnonzero(n)
-                yield from _parts(at + base, n[at], lane, sizes.width)
+                yield from _parts(at + base, n[at], lane, width)
 
     def rows(s: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         hit = n >= LEAST
-        return pa.RecordBatch.from_arrays([pa.array(at[hit] + s * sizes.width, pa.int64()), pa.array(n[hit], pa.int64())], ["id", "f"])
+        return pa.RecordBatch.from_arrays([pa.array(at[hit] + s * width, pa.int64()), pa.array(n[hit], pa.int64())], ["id", "f"])
 
-    return tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS), sizes.width, rows, "id long, f long")
+    return tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS), width, rows, "id long, f long")
 
 
 def _recoded(coded: DataFrame, k: int, tables, counted: DataFrame, first: bool, last: bool, sizes: Sizes) -> DataFrame:
@@ -475,7 +480,7 @@ def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", sizes:
     frequent = listed.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).where(F.col("f") >= LEAST)
     words = kept(global_rank(frequent, -F.col("f"), F.col("lang"), F.col("word")).select("lang", "word", "f", (F.col("rank") - 1).cast("int").alias("id")), "words")
     n = totals.agg(F.sum("n")).first()[0] or 0
-    counters = max(sizes.width, min(sizes.counters, 1 << max(0, n // 2 - 1).bit_length()))
+    counters = max(1 << 10, min(sizes.counters, 1 << max(0, n // 2 - 1).bit_length()))
     coded = kept(_coded(chunks, words), "coded")
     dropped(chunks)
     levels = []

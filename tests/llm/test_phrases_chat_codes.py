@@ -52,7 +52,7 @@ def talk(seed, n):
     return [*rows, (None, "en"), ("", None), (" \t\n", "fr"), (" ".join(r.choices(words, k=30_000)), "en"), *[("same old same old same old", "en")] * 40]
 
 
-@pytest.mark.parametrize("sizes", [phrases.Sizes(), phrases.Sizes(300, 256, 900, 40, 2)])  # the latter: many chunks, slices, batches, blocks and passes
+@pytest.mark.parametrize("sizes", [phrases.Sizes(), phrases.Sizes(300, 50, 900, 40, 2, 64)])  # the latter: many chunks, slices, batches, blocks and passes
 def test_phrases_equal_brute_force(spark, sizes):
     rows = talk(3, 120)
     docs = spark.createDataFrame([(t, g, 1, "k", "w") for t, g in rows], "text string, lang string, n long, chunk string, words string").repartition(5)
