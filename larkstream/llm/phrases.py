@@ -266,7 +266,7 @@ def _screened(coded: DataFrame, k: int, counters: int, sizes: Sizes) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["slice", "bits"]) if bits.any() else None
 
     sums = tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS), width, full, "slice long, bits binary")
-    bits = np.zeros(counters // 8, np.uint8)
+    bits = np.zeros(-(-counters // width) * width // 8, np.uint8)
     for at, cut in zip(*(c.to_pylist() for c in sums.toArrow().columns), strict=True):  # sizes.counters bits at most
         bits[at * width // 8 : (at + 1) * width // 8] = np.frombuffer(cut, np.uint8)
     held = spark.sparkContext.broadcast(bits)
