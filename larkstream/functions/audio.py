@@ -74,6 +74,11 @@ def silence_frames(seconds: float) -> int:
     return -int(-(SAMPLE_RATE * seconds) // FRAME)
 
 
+def silence_frames_of(seconds: Column) -> Column:
+    """As `silence_frames`, of a column."""
+    return F.ceil(seconds * SAMPLE_RATE / FRAME).cast("int")
+
+
 def pad_frames(milliseconds: int) -> int:
     return (milliseconds + 19) // 20
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkstream.functions import audio
+
 GATE = 0.15
 
 
@@ -21,6 +23,12 @@ def gate_ratio(frames: DataFrame, key: str, speech: Column, gate: float = GATE)
     return counted.withColumn("ratio", F.col("n_speech") / F.col("n_frames")).withColumn("action", gate_action(F.col("ratio"), gate))
 
 
+def any_speech(frames: DataFrame, key: str, speech: Column) -> DataFrame:
+    """Per key: any_speech and seconds (of `key`'s rows as samples). One aggregation with map-side partial sums."""
+    seconds = F.count(F.lit(1)) / float(audio.SAMPLE_RATE)
+    return frames.groupBy(key).agg(F.coalesce(F.bool_or(speech), F.lit(False)).alias("any_speech"), seconds.alias("seconds"))
+
+
 def dilate(frames: DataFrame, key: str, order: list[str], speech: Column, pad: int) -> DataFrame:
     """frames with `keep`: whether a speech frame lies within `pad` frames. A key's frames are sorted in one task (they spill)."""
     near = Window.partitionBy(key).orderBy(*order).rowsBetween(-pad, pad)

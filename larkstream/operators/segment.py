@@ -120,9 +120,15 @@ class Cutter:
         return None
 
     def add(self, length: float, verdicts: Iterable[bool]) -> tuple[int, int, float, str] | None:
-        limit, least, greatest = self.limits
+        hush, spoke = 0, False
         for speech in verdicts:
-            self.silent = 0 if speech else self.silent + 1
+            hush, spoke = (0, True) if speech else (hush + 1, spoke)
+        return self.add_run(length, hush, spoke)
+
+    def add_run(self, length: float, hush: int, spoke: bool) -> tuple[int, int, float, str] | None:
+        """A unit whose last `hush` frames are silent, after one with speech if it `spoke`."""
+        limit, least, greatest = self.limits
+        self.silent = hush if spoke else self.silent + hush
         self.n, self.length = self.n + 1, self.length + length
         by_silence = self.silent >= limit and self.length >= least
         if not self.open:
@@ -157,21 +163,32 @@ def segment_runs(units: DataFrame, key: str, order: list[str], length: Column, s
     """As segment_fold, for keys of any length."""
     rows = _rows(units, key, order, length, speech, kind, seeds)
     by = [c for c in rows.columns if c not in ("_key", "_seed")]
-    rows = sorted_by_key(rows, by).select("_key", "_kind", "_len", "_verdicts", "_seed")
+    spoken = F.array_position(F.reverse("_verdicts"), True)  # from the end; 0 where there is none
+    hush = F.when(spoken > 0, spoken - 1).otherwise(F.size("_verdicts")).cast("int")
+    what = F.when(F.col("_kind") == "data", 0).when(F.col("_kind") == "pause", 1).when(F.col("_kind") == "resume", 2).when(F.col("_kind") == "eof", 3).otherwise(0)
+    rows = sorted_by_key(rows, by).select("_key", what.alias("_what"), "_len", hush.alias("_hush"), (spoken > 0).alias("_spoke"), "_seed")
     of = rows.schema["_key"].dataType.simpleString()
+    names = ("data", "pause", "resume", "eof")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, at, begun = Cutter(silence_limit, least, greatest), None, False
         key_type = None
         for batch in batches:
             key_type, out = batch.schema.field(0).type, []
-            for k, kind, n, verdicts, seed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            flat = [c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns[1:]]
+            for k, what, n, hush, spoke, seed in zip(batch.column(0).to_pylist(), *flat, strict=True):
                 if not begun or k != at:
                     if begun and (t := cutter.tail()):
                         out.append((at, *t))
                     cutter.begin(seed)
                     at, begun = k, True
-                if done := cutter.take(kind, n, verdicts):
+                if what:
+                    done = cutter.take(names[what], n, ())
+                elif not cutter.paused:
+                    done = cutter.add_run(n, hush, spoke)
+                else:
+                    continue
+                if done:
                     out.append((k, *done))
             if out:
                 yield _batch(out, key_type)

@@ -18,6 +18,19 @@ def last_n(df: DataFrame, arrival: list[str], n: int) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in arrival]).limit(n)
 
 
+def shown_logs(logs: DataFrame, verbose: bool, only_verbose: str = "verbose_only") -> DataFrame:
+    """Log lines that are shown: all, or those that are not for verbose listeners only."""
+    return logs if verbose else logs.where(~F.coalesce(F.col(only_verbose), F.lit(False)))
+
+
+def multiplexed(sources: dict[int, DataFrame], name: str = "source_id") -> DataFrame:
+    """The rows of all sources as one table, with the number of theirs; columns go by name, repeated rows stay."""
+    one, *more = [df.withColumn(name, F.lit(n)) for n, df in sources.items()]
+    for df in more:
+        one = one.unionByName(df)
+    return one
+
+
 def running_height(df: DataFrame, key: str, order: list[str], height: str) -> DataFrame:
     """df with the lines above each row (offset) and the total of its key."""
     w = Window.partitionBy(key)

@@ -462,7 +462,8 @@ def last_n_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, event_type FROM events WHERE event_type <> 'view'")
 def verbose_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where(F.col("event_type") != "view").select("event_id", "event_type")
+    logs = table(spark, sf_dir, "events").withColumn("verbose_only", F.col("event_type") == "view")
+    return views.shown_logs(logs, False).select("event_id", "event_type")
 
 
 @query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, max(ts) AS at FROM events GROUP BY ALL")
@@ -578,17 +579,19 @@ def _decoded(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
     return transcript.decoded(lines, "line", exact).select("event_id", "seg_id", F.col("source_id").cast("long").alias("source_id"), "duration_sec")
 
 
-@query("SELECT conv_id, turn, to_json({'seg_id': concat('src', turn % 2, '_', conv_id), 'source_id': turn % 2, 'text': text})::VARCHAR AS line FROM conversations")
+@query("SELECT to_json({'seg_id': concat('src', turn % 2, '_', conv_id), 'source_id': turn % 2, 'text': text, 'duration_sec': turn + 0.5::DOUBLE, 'timestamp': 'at ' || turn})::VARCHAR AS value FROM conversations")
 def jsonl_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = F.concat(F.lit("src"), (F.col("turn") % 2).cast("string"), F.lit("_"), F.col("conv_id").cast("string"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct(seg.alias("seg_id"), (F.col("turn") % 2).alias("source_id"), "text"), {"ignoreNullFields": "false"}).alias("line"))
+    turn = F.col("turn")
+    seg = F.concat(F.lit("src"), (turn % 2).cast("string"), F.lit("_"), F.col("conv_id").cast("string"))
+    entries = table(spark, sf_dir, "conversations").select(seg.alias("seg_id"), (turn % 2).alias("source_id"), "text", (turn + 0.5).alias("duration_sec"), F.concat(F.lit("at "), turn.cast("string")).alias("timestamp"))
+    return transcript.encode(entries)
 
 
 @query("SELECT event_id, value, 0 AS source_id FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, value, 1 AS source_id FROM events WHERE event_type = 'view'")
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    one = lambda kind, n: e.where(F.col("event_type") == kind).select("event_id", "value", F.lit(n).alias("source_id"))
-    return one("click", 0).unionByName(one("view", 1))
+    one = lambda kind: e.where(F.col("event_type") == kind).select("event_id", "value")
+    return views.multiplexed({0: one("click"), 1: one("view")})
 
 
 @query("SELECT event_id, event_type FROM events ORDER BY ts, event_id LIMIT 50 OFFSET 100")
@@ -875,3 +878,27 @@ def stream_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         mixed.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = replay(spark, f"{folder}/in", "key bigint, place bigint, kind string, length double, verdicts array<boolean>", 1)
     return run_to_end(segment_unordered(stream, SILENCE, LEAST, GREATEST, 86_400_000), f"{folder}/out", f"{folder}/checkpoint").withColumnRenamed("key", "user_id")
+
+
+@query("""
+WITH c AS (SELECT *, event_type = 'signup' AS change FROM events),
+s AS (SELECT *, coalesce(last_value(CASE WHEN change THEN value END IGNORE NULLS) OVER w, -1) AS config, count(*) FILTER (change) OVER w AS generation FROM c
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT event_id, config, generation FROM s WHERE NOT change
+""")
+def stream_reconfigured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings that change in a stream of three micro-batches."""
+    from larkstream.session import shared_folder
+    from larkstream.streaming.reconfigure import configured_stream
+    from larkstream.streaming.segments import replay, run_to_end
+
+    folder, events = shared_folder(spark, "configured"), table(spark, sf_dir, "events")
+    place = F.format_string("%s %020d", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "event_id")
+    rows = events.select(F.col("user_id").alias("key"), place.alias("ord"), F.col("event_id").alias("id"), (F.col("event_type") == "signup").alias("change"), F.col("value").alias("setting"), "ts")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    ends = [low + (high - low) * k / 3 for k in (1, 2)] if low else []
+    for k in range(3):
+        mine = rows.where((F.col("ts") >= F.lit(ends[k - 1])) if k and ends else F.lit(True)).where((F.col("ts") < F.lit(ends[k])) if ends and k < 2 else F.lit(bool(ends) or not k))
+        mine.drop("ts").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = replay(spark, f"{folder}/in", "key bigint, ord string, id bigint, change boolean, setting double", 1)
+    return run_to_end(configured_stream(stream, -1.0), f"{folder}/out", f"{folder}/checkpoint").select(F.col("id").alias("event_id"), "config", "generation")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkstream.functions import audio, text
-from larkstream.operators import frames, queue, scan, views
+from larkstream.operators import frames, gate, queue, scan, views
 from larkstream.operators.order import global_rank
 from larkstream.plans.queries import _I16, _i16, _with_source, query, table
 from larkstream.session import shared_folder
@@ -64,12 +64,12 @@ def frame_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, bool_or(event_type = 'purchase') AS any_speech, count(*) / 16000.0::DOUBLE AS seconds FROM events GROUP BY user_id")
 def any_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "purchase").alias("any_speech"), (F.count(F.lit(1)) / float(audio.SAMPLE_RATE)).alias("seconds"))
+    return gate.any_speech(table(spark, sf_dir, "events"), "user_id", F.col("event_type") == "purchase")
 
 
-@query(f"SELECT vec_id, len(embedding) / 16000.0::DOUBLE AS seconds, ceil(16000 * (label + 1) / 10.0 / 320)::INTEGER AS frames FROM embeddings")
+@query(f"SELECT vec_id, len(embedding) / 16000.0::DOUBLE AS seconds, ceil((label + 1) / 10.0::DOUBLE * 16000 / 320)::INTEGER AS frames FROM embeddings")
 def clip_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames_of = F.ceil(audio.SAMPLE_RATE * (F.col("label") + 1) / 10.0 / audio.FRAME).cast("int")
+    frames_of = audio.silence_frames_of((F.col("label") + 1) / 10.0)
     return table(spark, sf_dir, "embeddings").select("vec_id", audio.duration_sec(F.col("embedding")).alias("seconds"), frames_of.alias("frames"))
 
 

@@ -202,3 +202,33 @@ def test_a_live_view_is_the_batch_view(spark, tmp_path, seed):
     assert sorted(map(repr, table.read(spark).select("k", "v").collect())) == sorted(map(repr, want.collect()))
     assert len(table.versions(spark)) <= 2
     assert table.read(spark).select(F.count("*")).first()[0] == 3
+
+
+# ---- settings that change
+
+
+def test_changes_reach_every_key_and_cut(spark, tmp_path):
+    """Global changes handed to all keys, in two batches: rows as the batch form gives them, segments end at changes."""
+    from pyspark.sql import functions as F
+
+    from larkstream.operators import segment, views
+    from larkstream.streaming.reconfigure import closing_changes, configured_stream, for_every_key
+    from larkstream.streaming.segments import segment_stream
+
+    rows = [(k, 10 * i, f"{k}{i}", False, None, 2.0) for k in "ab" for i in range(12)]
+    changes = spark.createDataFrame([(35, 7.0), (72, None), (78, 9.0)], "ord long, setting double")
+    keys = spark.createDataFrame([("a",), ("b",), ("b",)], "key string")
+    controls = for_every_key(changes, keys).select("key", "ord", F.lit(None).cast("string").alias("id"), F.lit(True).alias("change"), "setting", F.lit(0.0).alias("length"))
+    assert controls.count() == 6
+    every = spark.createDataFrame(rows, "key string, ord long, id string, change boolean, setting double, length double").unionByName(controls)
+    for part in (every.where("ord < 60"), every.where("ord >= 60")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: replay(spark, str(tmp_path / "in"), every.schema.simpleString()[7:-1].replace(":", " "), 1)
+    got = run_to_end(configured_stream(read(), -1.0), str(tmp_path / "out"), str(tmp_path / "c"))
+    want = views.configured(every, "key", ["ord"], F.col("change"), F.col("setting"), F.lit(-1.0))
+    assert sorted(map(tuple, got.select("id", "config", "generation").collect())) == sorted(map(tuple, want.select("id", "config", "generation").collect()))
+    kind = closing_changes(F.lit("data"), F.col("change"))
+    units = read().select("key", "ord", "length", F.array(F.lit(True)).alias("verdicts"), kind.alias("kind"))
+    cut = run_to_end(segment_stream(units, *LIMITS), str(tmp_path / "out2"), str(tmp_path / "c2"))
+    whole = segment.segment(every, "key", ["ord"], F.col("length"), F.array(F.lit(True)), *LIMITS, closing_changes(F.lit("data"), F.col("change")))
+    assert by_key(map(tuple, cut.collect())) == {k: [s for s in v if s[0] < 3] for k, v in by_key(map(tuple, whole.collect())).items()}
