@@ -11,7 +11,8 @@ Suffixes that can't hold a window, because a word among the first ones is in no
 beforehand; this loses nothing. Items are looked up once for each distinct set of items that a text
 meets. Occurrences at consecutive places of a text are a stretch; the longest verbatim matches within
 each distinct stretch of a shard are found once, by chaining places of one item. So the work is linear
-in the text and in the distinct windows and items it meets, also where many items share a passage. No
+in the text and in the distinct windows and items it meets; a distinct stretch holds a place for each of its windows
+and each item that has it, so a passage of 500 words in 4,000 items takes some 130 MB while it is chained. No
 shuffle and no second reading of the corpus.
 
 Words are compared by 64-bit hashes, all of a window's words having to agree.

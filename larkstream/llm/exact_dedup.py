@@ -7,9 +7,10 @@
 3. Those candidates are counted exactly; the ones over the threshold are the winners, at most
    1/support rows by arithmetic, so broadcasting them is bounded whatever the corpus holds.
 4. Rows of winners are resolved map-side by the broadcast; the rest, whose groups are each below
-   `support` of the rows, go through one ordinary shuffle of ids and digests. Texts never move.
+   `support` of the rows, go through one ordinary shuffle of ids and digests, and of the records where
+   `carry` asks for them; otherwise texts do not move.
 
-Edge cases: null text counts as empty; a null id sorts after all others; of rows that agree in id and
+Edge cases: null text counts as empty; very long texts are hashed whole; a null id sorts after all others; of rows that agree in id and
 text exactly one stays; an empty table gives an empty result; extra input columns are ignored unless
 `carry` asks for them, and then sit in the struct `record`, so that no name can clash.
 """

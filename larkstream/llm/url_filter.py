@@ -11,8 +11,8 @@ fetches it. Token counts are added up by the only shuffle.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path and gets the default verdict;
 an empty path fits only rules without a path; longest fitting rule wins, the first given on a tie;
-repeated rows are judged each for itself; an empty table gives no rows; extra columns are
-ignored.
+very long URLs are cut into tokens whole; repeated rows are judged each for itself; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
