@@ -10,7 +10,8 @@ floor(2,000,000 * a / (l + r)), and one that lies inside a longer candidate four
 2. A phrase of k words is the id of its first k - 1 and the id of its last word, one 64-bit key without
    collisions. By Apriori it can only reach LEAST where its first and its last k - 1 words do. Among those,
    a screen of hashed counters (bincount of each batch, tree-summed) leaves what shares a counter of LEAST or
-   more; nothing frequent is lost.
+   more; nothing frequent is lost. Mappers hand on the distinct ones of what they have read, in slices, which are
+   united. That is at most a key for each word, though more of them pass as more phrases become frequent.
 3. The screened candidates get a minimal perfect hash in blocks of `Sizes.block` keys, made by tasks. Mappers find
    slots (the stored key decides), bincount them, and the arrays are tree-summed: exact counts by slot. An id
    is a block's first number plus the slot. A few blocks are broadcast at a time, a bounded size; more
@@ -271,25 +272,56 @@ def _screened(coded: DataFrame, k: int, counters: int, sizes: Sizes) -> DataFram
         bits[at * width // 8 : (at + 1) * width // 8] = np.frombuffer(cut, np.uint8)
     held = spark.sparkContext.broadcast(bits)
 
+    spread = np.uint64(max(sizes.slices, counters >> 20))
+    parts = "slice long, keys binary, tails binary"
+
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def handed(keys: np.ndarray, tails: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(keys), 1 << 16):
-                cut = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[cut], pa.int64()), pa.array(tails[cut], pa.int64())], ["key", "tail"])
+            of = (mixed(keys, 91) % spread).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            of, keys, tails = of[order], keys[order], tails[order]
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([of[a]], pa.int64()), pa.array([keys[a:b].tobytes()], pa.binary()), pa.array([tails[a:b].tobytes()], pa.binary())], ["slice", "keys", "tails"])
 
         seen, seen_tails = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for codes, grams in _read(batches, sizes.batch):
             _, keys, tails = _keys(codes, grams, k)
             at = places(keys)
             hit = (held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            seen, first = np.unique(np.concatenate([seen, keys[hit]]), return_index=True)
-            seen_tails = np.concatenate([seen_tails, tails[hit]])[first]
+            seen, seen_tails = _distinct([seen, keys[hit]], [seen_tails, tails[hit]])
             if len(seen) >= sizes.held:
                 yield from handed(seen, seen_tails)
                 seen, seen_tails = seen[:0], seen_tails[:0]
         yield from handed(seen, seen_tails)
 
-    return coded.select("codes", "grams").mapInArrow(pick, "key long, tail long").distinct()
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, tails = None, [], []
+        for b in batches:
+            for s, key, tail in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now is not None and s != now:
+                    yield _candidates(*_distinct(keys, tails))
+                    keys, tails = [], []
+                now = s
+                keys.append(np.frombuffer(key, np.int64))
+                tails.append(np.frombuffer(tail, np.int64))
+                if sum(map(len, keys)) > 2 * sizes.held + 2 * len(keys[0]):
+                    keys, tails = ([x] for x in _distinct(keys, tails))
+        if keys:
+            yield _candidates(*_distinct(keys, tails))
+
+    rows = coded.select("codes", "grams").mapInArrow(pick, parts).repartition("slice").sortWithinPartitions("slice")
+    return rows.mapInArrow(unite, "key long, tail long")
+
+
+def _distinct(keys: list[np.ndarray], tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the tail of each (a key has one)."""
+    found, first = np.unique(np.concatenate(keys), return_index=True)
+    return found, np.concatenate(tails)[first]
+
+
+def _candidates(keys: np.ndarray, tails: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tails, pa.int64())], ["key", "tail"])
 
 
 def _blocks(candidates: DataFrame, n: int, most: int) -> DataFrame:
