@@ -89,7 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Token counts, shards, mixtures, trained scores and the spans a method adds are beyond SQL; tests hold them against brute force."""
-    return {"op5_url_filter": OP5_SQL, "op7_near_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_phrases": OP11_SQL, "op12_chat_format": OP12_SQL, "op13_vector_codes": op13_sql()}
+    return {"op5_url_filter": OP5_SQL, "op7_near_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_phrases": OP11_SQL, "op12_chat_format": OP12_SQL, "op13_vector_codes": _op13_sql()}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -217,7 +217,7 @@ FROM sized GROUP BY conv_id
 """
 
 
-def op13_sql(rounds: int = 4) -> str:
+def _op13_sql(rounds: int = 4) -> str:
     """Plain Lloyd rounds, all parts against all entries; products of doubles are exact for components of this size."""
     near = "SELECT x.row, x.p, min((xx - 2 * list_dot_product(x.c, b.c) + cc)::BIGINT) AS d, arg_min(e, (xx - 2 * list_dot_product(x.c, b.c) + cc) * 1024 + e) AS e FROM x JOIN b{k} b USING (p) GROUP BY ALL"
     step = """a{k} AS MATERIALIZED (
