@@ -205,6 +205,20 @@ def test_names_are_found_by_their_rarest_gram(spark, monkeypatch):
     assert names.first_with_part(texts, devices.where("false"), (0, 0)).count() == 0
 
 
+def test_copies_of_a_name_are_indexed_once(spark, monkeypatch):
+    """Lists grow with the names that differ, not with their rows, and no n-gram is counted by a sort of them all."""
+    from larkstream.operators import names
+
+    ranked, rank = [], names.global_rank
+    monkeypatch.setattr(names, "global_rank", lambda df, *order, **how: ranked.append(df.count()) or rank(df, *order, **how))
+    devices = spark.range(3_000).select((F.col("id") + 5).alias("_pos"), F.when(F.col("id") % 2 == 0, "large ring").otherwise("LARGE Ring").alias("_name"))
+    devices = devices.unionByName(spark.createDataFrame([(None, "Hot Bolt"), (1, "hot bolt"), (5, "LARGE ring")], "_pos long, _name string"))
+    texts = spark.createDataFrame([("arge",), ("E RI",), ("t bo",), ("g",), ("",), ("ring large",)], "_part string")
+    got = {x._part: tuple(x._hit) for x in names.first_with_part(texts, devices, (0, 0)).collect()}
+    assert got == {"arge": (5, "LARGE ring"), "E RI": (5, "LARGE ring"), "t bo": (None, "Hot Bolt"), "g": (5, "LARGE ring"), "": (None, "Hot Bolt")}
+    assert max(ranked) <= 4
+
+
 def test_output_lookup_and_shown_choice(spark):
     outputs = spark.createDataFrame([(0, "Speakers"), (1, "HDMI 2")], "pos int, name string")
     want = {"default": (0, 1), "Default-Output": (0, 1), "0": (0, 4), "1": (0, 4), "2": (1, 4), "3": (None, 4), " 2": (1, 5), "hdmi": (1, 5), "x": (None, 5)}
