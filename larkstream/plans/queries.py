@@ -865,19 +865,18 @@ def dilate_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FOLD)
 def stream_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of each user dealt over four micro-batches by chance, and put in order by their numbers."""
-    from larkstream.session import shared_folder
+    from larkstream.session import cut, shared_folder
     from larkstream.streaming.reorder import segment_unordered
-    from larkstream.streaming.segments import replay, run_to_end
+    from larkstream.streaming.segments import fed
 
     folder = shared_folder(spark, "unordered")
     numbered = scan.scan(scan.in_order(table(spark, sf_dir, "events"), "user_id", _ORDER), {"place": scan.Run(F.lit(1))})
     rows = numbered.select(F.col("user_id").alias("key"), (F.col("place") - 1).alias("place"), F.lit("data").alias("kind"), F.col("value").alias("length"), F.array(F.col("event_type") != "error").alias("verdicts"))
     ends = rows.groupBy("key").agg((F.max("place") + 1).alias("place")).select("key", "place", F.lit("eof").alias("kind"), F.lit(0.0).alias("length"), F.array().cast("array<boolean>").alias("verdicts"))
     mixed = rows.unionByName(ends).withColumn("part", F.pmod(F.xxhash64("key", "place"), F.lit(4)))
-    for k in range(4):  # the later files hold what the earlier ones lack
-        mixed.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = replay(spark, f"{folder}/in", "key bigint, place bigint, kind string, length double, verdicts array<boolean>", 1)
-    return run_to_end(segment_unordered(stream, SILENCE, LEAST, GREATEST, 86_400_000), f"{folder}/out", f"{folder}/checkpoint").withColumnRenamed("key", "user_id")
+    mixed = cut(mixed)
+    parts = [mixed.where(F.col("part") == k).drop("part") for k in range(4)]  # the later ones hold what the earlier ones lack
+    return fed(spark, parts, lambda stream: segment_unordered(stream, SILENCE, LEAST, GREATEST, 86_400_000), folder).withColumnRenamed("key", "user_id")
 
 
 @query("""
@@ -890,15 +889,15 @@ def stream_reconfigured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings that change in a stream of three micro-batches."""
     from larkstream.session import shared_folder
     from larkstream.streaming.reconfigure import configured_stream
-    from larkstream.streaming.segments import replay, run_to_end
+    from larkstream.streaming.segments import fed
 
     folder, events = shared_folder(spark, "configured"), table(spark, sf_dir, "events")
     place = F.format_string("%s %020d", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "event_id")
     rows = events.select(F.col("user_id").alias("key"), place.alias("ord"), F.col("event_id").alias("id"), (F.col("event_type") == "signup").alias("change"), F.col("value").alias("setting"), "ts")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
     ends = [low + (high - low) * k / 3 for k in (1, 2)] if low else []
+    parts = []
     for k in range(3):
         mine = rows.where((F.col("ts") >= F.lit(ends[k - 1])) if k and ends else F.lit(True)).where((F.col("ts") < F.lit(ends[k])) if ends and k < 2 else F.lit(bool(ends) or not k))
-        mine.drop("ts").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = replay(spark, f"{folder}/in", "key bigint, ord string, id bigint, change boolean, setting double", 1)
-    return run_to_end(configured_stream(stream, -1.0), f"{folder}/out", f"{folder}/checkpoint").select(F.col("id").alias("event_id"), "config", "generation")
+        parts.append(mine.drop("ts"))
+    return fed(spark, parts, lambda stream: configured_stream(stream, -1.0), folder).select(F.col("id").alias("event_id"), "config", "generation")

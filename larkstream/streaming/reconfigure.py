@@ -13,9 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 MOST_KEYS = 100_000
@@ -30,17 +30,20 @@ class ConfiguredProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("config", "setting double, generation long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        setting, generation = self.state.get() if self.state.exists() else (self.at_first, 0)
-        held = pd.concat(list(rows)).sort_values(["ord", "change"], ascending=[True, False], kind="stable")  # a change counts for rows beside it
-        changes = held["change"].fillna(False).astype(bool)
-        given = held["setting"].where(changes)
-        held["config"] = given.ffill().fillna(setting).astype(float)
-        held["generation"] = changes.cumsum().astype("int64") + generation
-        if len(held):
-            self.state.update((float(held["config"].iloc[-1]), int(held["generation"].iloc[-1])))
-        held["key"] = key[0]
-        yield held.loc[~changes, ["key", "ord", "id", "config", "generation"]]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.state.get()
+        setting, generation = before or (self.at_first, 0)
+        made, out = Row("key", "ord", "id", "config", "generation"), []
+        for row in sorted(rows, key=lambda r: (r.ord is None, r.ord, not r.change)):  # a change counts for rows beside it
+            if not row.change:
+                out.append(made(key[0], row.ord, row.id, setting, generation))
+                continue
+            generation += 1
+            if row.setting is not None and row.setting == row.setting:
+                setting = row.setting
+        if before != (setting, generation):
+            self.state.update((float(setting), int(generation)))
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -48,10 +51,9 @@ class ConfiguredProcessor(StatefulProcessor):
 
 def configured_stream(rows: DataFrame, at_first: float) -> DataFrame:
     """rows (key, ord, id, change, setting) without the changes, with config and generation. A change without a setting keeps the one before. Start it within `segments.rocksdb_state`."""
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("key", "ord", "id")}
     given = rows.select("key", "ord", "id", F.coalesce("change", F.lit(False)).alias("change"), F.col("setting").cast("double").alias("setting"))
-    out = f"key {kinds['key']}, ord {kinds['ord']}, id {kinds['id']}, config double, generation long"
-    return given.groupBy("key").transformWithStateInPandas(ConfiguredProcessor(at_first), out, "append", "none")
+    out = T.StructType([*[T.StructField(c, given.schema[c].dataType) for c in ("key", "ord", "id")], *T.StructType.fromDDL("config double, generation long").fields])
+    return given.groupBy("key").transformWithState(ConfiguredProcessor(float(at_first)), out, "append", "none")
 
 
 def for_every_key(controls: DataFrame, keys: DataFrame) -> DataFrame:

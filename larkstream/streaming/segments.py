@@ -12,9 +12,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,6 +24,25 @@ STATE = "open boolean, silent int, n long, length double, seq long, paused boole
 OUT = ["seq", "n_units", "length", "reason"]
 
 
+def unit(row: Row) -> tuple[str, float, list[bool]]:
+    """kind, length and verdicts of a row, for `Cutter.take`: a length that is missing is 0, a missing verdict speech."""
+    length = 0.0 if row.length is None or row.length != row.length else float(row.length)
+    verdicts = () if row.verdicts is None else row.verdicts
+    return "data" if row.kind is None else row.kind, length, [v is None or bool(v) for v in verdicts]
+
+
+def segment_schema(units: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("key", units.schema["key"].dataType), *T.StructType.fromDDL("seq long, n_units long, length double, reason string").fields])
+
+
+def first_numbers(units: DataFrame, seeds: DataFrame | None) -> GroupedData | None:
+    """The greatest number already used by each key, one row a key, as the state that a stream begins with."""
+    if seeds is None:
+        return None
+    key, number = F.col(seeds.columns[0]).cast(units.schema["key"].dataType), F.col(seeds.columns[1]).cast("long")
+    return seeds.groupBy(key.alias("key")).agg(F.max(number).alias("max_seq")).where("max_seq is not null").groupBy("key")
+
+
 class SegmentProcessor(StatefulProcessor):
     """Input: key, ord (one sortable column), length, verdicts, kind."""
 
@@ -33,21 +52,19 @@ class SegmentProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("segment", STATE)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         """The greatest number that a source has already used."""
-        self.state.update((False, 0, 0, 0.0, int(initialState["max_seq"].max()), False))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        c = Cutter(*self.limits)
-        if self.state.exists():
-            c.open, c.silent, c.n, c.length, c.seq, c.paused = self.state.get()
-        out = []
-        held = pd.concat(list(rows)).sort_values("ord", kind="stable")
-        for kind, length, verdicts in zip(held["kind"], held["length"], held["verdicts"], strict=True):
-            if done := c.take(kind, 0.0 if pd.isna(length) else float(length), [True if v is None else bool(v) for v in (verdicts if verdicts is not None else ())]):
-                out.append((key[0], *done))
+        self.state.update((False, 0, 0, 0.0, int(initialState.max_seq), False))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        c, made, out = Cutter(*self.limits), Row("key", *OUT), []
+        if (held := self.state.get()) is not None:
+            c.open, c.silent, c.n, c.length, c.seq, c.paused = held
+        for row in sorted(rows, key=lambda r: (r.ord is None, r.ord)):
+            if done := c.take(*unit(row)):
+                out.append(made(key[0], *done))
         self.state.update((bool(c.open), int(c.silent), int(c.n), float(c.length), int(c.seq), bool(c.paused)))
-        yield pd.DataFrame(out, columns=["key", *OUT])
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -61,11 +78,8 @@ def segment_stream(units: DataFrame, silence_limit: int, least: float, greatest:
     """
     if "speech" in units.columns:
         units = units.withColumn("verdicts", F.array("speech")).drop("speech")
-    kind = units.schema["key"].dataType.simpleString()
-    first = seeds.select(F.col(seeds.columns[0]).cast(kind).alias("key"), F.col(seeds.columns[1]).cast("long").alias("max_seq")).groupBy("key") if seeds is not None else None
-    return units.select("key", "ord", "length", "verdicts", "kind").groupBy("key").transformWithStateInPandas(
-        SegmentProcessor(silence_limit, least, greatest), f"key {kind}, seq long, n_units long, length double, reason string", "append", "none", first
-    )
+    given = units.select("key", "ord", F.col("length").cast("double").alias("length"), "verdicts", "kind")
+    return given.groupBy("key").transformWithState(SegmentProcessor(silence_limit, least, greatest), segment_schema(units), "append", "none", first_numbers(units, seeds))
 
 
 @contextmanager
@@ -88,7 +102,7 @@ def rocksdb_state(spark: SparkSession, timers_only_with_data: bool = False):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def replay(spark: SparkSession, folder: str, schema: str, files_per_batch: int | None = 1) -> DataFrame:
+def replay(spark: SparkSession, folder: str, schema: str | T.StructType, files_per_batch: int | None = 1) -> DataFrame:
     """A recorded stream: Parquet files in order of their writing; without a number all new files are one batch."""
     reader = spark.readStream.schema(schema)
     return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(folder)
@@ -105,6 +119,17 @@ def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
+def fed(spark: SparkSession, parts: list[DataFrame], made: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """What a stream gives of parts that come one after another, each a micro-batch of as many files as tasks have written.
+
+    The query ends after each part and goes on from its checkpoint with the next.
+    """
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        found = run_to_end(made(replay(spark, f"{folder}/in", part.schema, None)), f"{folder}/out", f"{folder}/checkpoint")
+    return found
+
+
 def every(stream: DataFrame, seconds: float, act: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """A running query that hands what has arrived to `act` every so many seconds; stop() ends it between two batches."""
     with rocksdb_state(stream.sparkSession):
