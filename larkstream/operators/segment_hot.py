@@ -15,8 +15,8 @@ length and enough silent frames have been gathered since, whichever is earlier.
    whatever the size of a range, so they are a small share of the rows.
 3. With the cut that was made before it, each range emits its segments, again all at the same time.
 
-The largest task reads one range. A range's numbers (five for each row) are held in memory, so ranges should be
-some millions of rows; `greatest` must be finite, and lengths must not be negative (they count as 0).
+The largest task reads one range. A range's numbers are held in memory, so ranges have about RANGE_ROWS rows, whatever
+the session's number of partitions; `greatest` must be finite, and lengths must not be negative (they count as 0).
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ from pyspark.sql import types as T
 from larkstream.operators.scan import KEY, PART, Last, Run, breaks, in_order, scan
 
 
+RANGE_ROWS = 250_000
+
+
 class Chain:
     """The rows of one group (a key between two pauses) in one range, and where segments end."""
 
@@ -109,6 +112,8 @@ def segment_hot(units: DataFrame, key: str, order: list[str], samples: Column, s
     )
     spoken = F.array_position(F.reverse("_v"), True)  # from the end; 0 if there is none
     rows = rows.withColumn("_n", F.size("_v").cast("bigint")).withColumn("_speech", spoken > 0).withColumn("_hush", F.when(spoken > 0, spoken - 1).otherwise(F.col("_n")).cast("bigint")).drop("_v")
+    if partitions is None:  # a range is held in memory, so the number of ranges grows with the rows
+        partitions = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // RANGE_ROWS))
     ranged = in_order(rows, "_k", [f"_o{i}" for i in range(len(order))], partitions)
     if kind is None:
         ranged = ranged.withColumn("_run", F.lit(0).cast("bigint"))

@@ -132,3 +132,15 @@ def test_a_hot_key_is_shared_out(spark):
     df = spark.range(40_000).select(F.lit("hot").alias("k"), "id")
     sizes = [x["n"] for x in scan.in_order(df, "k", ["id"], 8).groupBy(scan.PART).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(sizes) == 8 and max(sizes) < 2 * median(sizes)
+
+
+def test_ranges_of_a_hot_key_keep_their_size(spark, monkeypatch):
+    """Their number grows with the rows, and the session's number of partitions is the least."""
+    rows = units(11, 600, True)
+    df = spark.createDataFrame(rows, "k string, i int, kind string, samples int, v array<boolean>")
+    asked, ordered = [], segment_hot.in_order
+    monkeypatch.setattr(segment_hot, "in_order", lambda d, k, by, n: asked.append(n) or ordered(d, k, by, n))
+    monkeypatch.setattr(segment_hot, "RANGE_ROWS", 50, raising=False)
+    got = segment_hot.segment_hot(df, "k", ["i"], F.col("samples"), F.col("v"), 4, 60, 400, F.col("kind"))
+    assert sorted(map(tuple, got.collect()), key=repr) == model(rows, (4, 60, 400), {})
+    assert asked == [12]
