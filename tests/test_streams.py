@@ -232,3 +232,28 @@ def test_changes_reach_every_key_and_cut(spark, tmp_path):
     cut = run_to_end(segment_stream(units, *LIMITS), str(tmp_path / "out2"), str(tmp_path / "c2"))
     whole = segment.segment(every, "key", ["ord"], F.col("length"), F.array(F.lit(True)), *LIMITS, closing_changes(F.lit("data"), F.col("change")))
     assert by_key(map(tuple, cut.collect())) == {k: [s for s in v if s[0] < 3] for k, v in by_key(map(tuple, whole.collect())).items()}
+
+
+# ---- parts that are fed one after another
+
+
+def test_parts_are_fed_as_many_files(spark, tmp_path):
+    """Each part is one micro-batch, whatever the number of its files, and parts come in their order."""
+    from pyspark.sql import functions as F
+
+    from larkstream.streaming.reconfigure import configured_stream
+    from larkstream.streaming.segments import fed
+
+    rows = [("ab"[i % 2], i, i, i % 7 == 0, float(i)) for i in range(60)]
+    every = spark.createDataFrame(rows, "key string, ord long, id long, change boolean, setting double")
+    parts = [every.where(F.col("ord").between(20 * k, 20 * k + 19)).repartition(5) for k in range(3)]
+    got = fed(spark, parts, lambda stream: configured_stream(stream, -1.0), str(tmp_path))
+    want, state = [], {"a": (-1.0, 0), "b": (-1.0, 0)}
+    for key, _, i, change, setting in rows:
+        if change:
+            state[key] = setting, state[key][1] + 1
+        else:
+            want.append((i, *state[key]))
+    assert sorted(map(tuple, got.select("id", "config", "generation").collect())) == want
+    assert len(list((tmp_path / "in").glob("part-*"))) == 15
+    assert len([p for p in (tmp_path / "checkpoint" / "commits").iterdir() if p.name.isdigit()]) == 3
