@@ -21,11 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, and its path; the caller drops the folder when it is read."""
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its path; the caller drops the folder when it is read. options: of the writer."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

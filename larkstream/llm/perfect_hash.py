@@ -1,8 +1,9 @@
 """Minimal perfect hashing of 64-bit keys in numpy: n keys to the slots 0 to n - 1, in some three bits a key.
 
 Level by level, keys are dealt over a bit array of twice their number; keys alone at their place set its bit
-and are done, the others go on to the next level. A key's slot is the rank of its bit. The table also keeps
-the keys in the order of their slots, so `find` tells keys from strangers exactly.
+and are done, the others go on to the next level. A key's slot is the rank of its bit, from the ranks of 64-bit words and
+the bits before it in its word, so a table takes little more memory than its keys. It keeps them in the order of their
+slots, so `find` tells keys from strangers exactly.
 """
 
 from __future__ import annotations
@@ -22,21 +23,21 @@ def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
 
 class PerfectHash:
     def __init__(self, levels: list[np.ndarray], keys: np.ndarray):
-        """levels: packed bits; keys: in the order of their slots."""
+        """levels: bits in 64-bit words, lowest first; keys: in the order of their slots."""
         self.levels, self.keys = levels, keys
-        self.bits = [np.unpackbits(b) for b in levels]
-        ends = np.cumsum([0, *[int(b.sum()) for b in self.bits]])
-        self.ranks = [np.cumsum(b, dtype=np.int64) - 1 + before for b, before in zip(self.bits, ends[:-1], strict=True)]
+        counts = [np.bitwise_count(words) for words in levels]
+        starts = np.cumsum([0, *[int(c.sum()) for c in counts]])
+        self.ranks = [np.cumsum(c, dtype=np.int64) - c + before for c, before in zip(counts, starts[:-1], strict=True)]
 
     @classmethod
     def of(cls, keys: np.ndarray) -> PerfectHash:
         """keys: distinct int64."""
         levels, slots, left = [], [], np.asarray(keys, np.int64)
         while len(left):
-            n = -(-2 * len(left) // 8) * 8
+            n = -(-2 * len(left) // 64) * 64
             at = (mixed(left, len(levels)) % np.uint64(n)).astype(np.int64)
             alone = np.bincount(at, minlength=n) == 1
-            levels.append(np.packbits(alone))
+            levels.append(np.packbits(alone, bitorder="little").view("<u8"))
             mine = alone[at]
             slots.append(left[mine][np.argsort(at[mine])])
             left = left[~mine]
@@ -46,12 +47,14 @@ class PerfectHash:
         """The slot of each key, -1 for those that are none of the table's."""
         out = np.full(len(keys), -1, np.int64)
         open_ = np.arange(len(keys))
-        for level, (bits, ranks) in enumerate(zip(self.bits, self.ranks, strict=True)):
+        for level, (words, ranks) in enumerate(zip(self.levels, self.ranks, strict=True)):
             if not len(open_):
                 break
-            at = (mixed(keys[open_], level) % np.uint64(len(bits))).astype(np.int64)
-            hit = bits[at] == 1
-            out[open_[hit]] = ranks[at[hit]]
+            at = mixed(keys[open_], level) % np.uint64(64 * len(words))
+            of, bit = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+            held = words[of]
+            hit = held & bit != 0
+            out[open_[hit]] = ranks[of[hit]] + np.bitwise_count(held[hit] & (bit[hit] - np.uint64(1)))
             open_ = open_[~hit]
         found = np.flatnonzero(out >= 0)
         wrong = found[self.keys[out[found]] != keys[found]]  # the stored key decides
@@ -63,4 +66,4 @@ class PerfectHash:
 
     @classmethod
     def unpacked(cls, levels: list[bytes], keys: bytes) -> PerfectHash:
-        return cls([np.frombuffer(b, np.uint8) for b in levels], np.frombuffer(keys, "<i8"))
+        return cls([np.frombuffer(b, "<u8") for b in levels], np.frombuffer(keys, "<i8"))

@@ -10,8 +10,10 @@ floor(2,000,000 * a / (l + r)), and one that lies inside a longer candidate four
 2. A phrase of k words is the id of its first k - 1 and the id of its last word, one 64-bit key without
    collisions. By Apriori it can only reach LEAST where its first and its last k - 1 words do. Among those,
    a screen of hashed counters (bincount of each batch, tree-summed) leaves what shares a counter of LEAST or
-   more; nothing frequent is lost. Mappers hand on the distinct ones of what they have read, in slices, which are
-   united. That is at most a key for each word, though more of them pass as more phrases become frequent.
+   more; nothing frequent is lost. Mappers hold at most `Sizes.folded` bits of it, of several counters each where it
+   has more. They hand on the distinct keys of what they have read, in the screen's slices, where they meet the whole
+   bits of their slice and are united. That is at most a key for each word, though more of them pass as more phrases
+   become frequent.
 3. The screened candidates get a minimal perfect hash in blocks of `Sizes.block` keys, made by tasks. Mappers find
    slots (the stored key decides), bincount them, and the arrays are tree-summed: exact counts by slot. An id
    is a block's first number plus the slot. A few blocks are broadcast at a time, a bounded size; more
@@ -22,6 +24,10 @@ Arrays travel sparse, as places and counts within slices, so what moves grows wi
 The screen has a counter for every other word up to 2^30 counters (128 MB as bits); far above that, some 100 GB of
 text, it lets more candidates through, which then cost passes, not results.
 
+A mapper's memory is that of `Sizes.batch` words, `Sizes.held` candidates, the folded screen and `Sizes.at_once` blocks (9
+bytes a candidate), some 170 MB with its libraries, at any size of the input; a slice has `Sizes.width` places at most, and
+tables with packed columns have row groups of 16 MB.
+
 Null texts are empty, a null language is `und`, as is that word itself. Repeated rows count each. A phrase does
 not cross a piece or a text; very long texts pass whole, in one chunk. Ties go as the order says, down to
 the bytes of the phrase. Extra columns do not matter; an empty table has no phrases.
@@ -52,11 +58,13 @@ class Sizes(NamedTuple):
 
     chunk: int = 1 << 18  # words of a chunk
     slices: int = 256  # of each array that is summed
-    batch: int = 1 << 19  # coded words that a mapper sums up at once
-    block: int = 1 << 20  # candidates of a perfect hash
-    at_once: int = 4  # blocks that are broadcast together
-    held: int = 1 << 20  # distinct candidates that a mapper keeps before it hands them on
+    batch: int = 1 << 18  # coded words that a mapper sums up at once
+    block: int = 1 << 19  # candidates of a perfect hash
+    at_once: int = 8  # blocks that are broadcast together
+    held: int = 1 << 19  # distinct candidates that a mapper keeps before it hands them on
     counters: int = 1 << 30  # of the screen, at most
+    folded: int = 1 << 27  # bits of the screen that a mapper holds
+    width: int = 1 << 19  # places of a slice
 
 
 #: Fixed values of the query contract: what ends a piece; words are separated by blanks and tabs.
@@ -68,6 +76,11 @@ def words_of(text: str) -> list[list[bytes]]:
     return [w for piece in text.encode().lower().translate(_ENDS).split(b"\n") if (w := piece.split())]
 
 
+_Kept, _Dropped = Callable[[DataFrame, str], DataFrame], Callable[[DataFrame], None]
+
+#: Rows with packed columns are large: Parquet's own sizes hold 100 of them before they are looked at, and row groups, which are read as one batch, to 128 MB.
+_ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
+
 # ---- chunks
 
 _CHUNKS = "chunk string, lang string, words array<string>, counts array<long>, codes binary"
@@ -158,11 +171,10 @@ def _unpacked(data: bytes) -> np.ndarray | None:
 def _keys(codes: np.ndarray, grams: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of phrases of k words that Apriori allows, their keys, and the ids of their last k - 1 words."""
     if len(codes) < k:
-        none = np.zeros(0, np.int64)
-        return none, none, none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     head, tail, last = grams[: len(codes) - k + 1], grams[1 : len(codes) - k + 2], codes[k - 1 :]
     at = np.flatnonzero((head >= 0) & (tail >= 0))
-    return at, head[at].astype(np.int64) << 32 | last[at].astype(np.int64), tail[at].astype(np.int64)
+    return at, head[at].astype(np.int64) << 32 | last[at].astype(np.int64), tail[at]
 
 
 def _read(batches: Iterator[pa.RecordBatch], batch: int) -> Iterator[list[np.ndarray]]:
@@ -245,14 +257,20 @@ def tree_sum(parts: DataFrame, width: int, finish: _Finish, schema: str) -> Data
 # ---- candidates
 
 
-def _width(places: int, sizes: Sizes) -> int:
-    """Places of a slice, a multiple of 8."""
-    return max(8, -(-places // (8 * sizes.slices)) * 8)
+def _width(places: int, sizes: Sizes, unit: int = 8) -> int:
+    """Places of a slice, a multiple of `unit`."""
+    return max(1, min(-(-places // (unit * sizes.slices)), sizes.width // unit)) * unit
 
 
-def _screened(coded: DataFrame, k: int, counters: int, sizes: Sizes) -> DataFrame:
-    """key and tail of phrases of k words that share a counter of LEAST or more."""
-    spark, width = coded.sparkSession, _width(counters, sizes)
+def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether these bits are set."""
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _screened(coded: DataFrame, k: int, counters: int, sizes: Sizes, kept: _Kept, dropped: _Dropped) -> DataFrame:
+    """key, tail and deal of phrases of k words that share a counter of LEAST or more."""
+    spark, fold = coded.sparkSession, max(1, counters // sizes.folded)  # both are powers of two
+    width = _width(counters, sizes, 8 * fold)
     places = lambda keys: (mixed(keys, 77) & np.uint64(counters - 1)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,31 +282,32 @@ def _screened(coded: DataFrame, k: int, counters: int, sizes: Sizes) -> DataFram
     def full(s: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
         bits = np.zeros(width, bool)
         bits[at[n >= LEAST]] = True
-        return pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["slice", "bits"]) if bits.any() else None
-
-    sums = tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS), width, full, "slice long, bits binary")
-    bits = np.zeros(-(-counters // width) * width // 8, np.uint8)
-    for at, cut in zip(*(c.to_pylist() for c in sums.toArrow().columns), strict=True):  # sizes.counters bits at most
-        bits[at * width // 8 : (at + 1) * width // 8] = np.frombuffer(cut, np.uint8)
+        packed = [np.packbits(x).tobytes() for x in (bits, bits.reshape(-1, fold).any(axis=1))]
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], ["slice", "bits", "folded"]) if bits.any() else None
+
+    screen = kept(tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS), width, full, "slice long, bits binary, folded binary"), "screen")
+    own = width // fold // 8  # bytes of a slice
+    bits = np.zeros(-(-counters // width) * own, np.uint8)
+    for at, cut in zip(*screen.select("slice", "folded").toArrow().columns, strict=True):  # sizes.folded bits at most
+        bits[at.as_py() * own : (at.as_py() + 1) * own] = np.frombuffer(cut.as_py(), np.uint8)
     held = spark.sparkContext.broadcast(bits)
 
-    spread = np.uint64(max(sizes.slices, counters >> 20))
-    parts = "slice long, keys binary, tails binary"
-
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def handed(keys: np.ndarray, tails: np.ndarray) -> Iterator[pa.RecordBatch]:
-            of = (mixed(keys, 91) % spread).astype(np.int64)
+            of = places(keys) // width
             order = np.argsort(of, kind="stable")
             of, keys, tails = of[order], keys[order], tails[order]
             cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([of[a]], pa.int64()), pa.array([keys[a:b].tobytes()], pa.binary()), pa.array([tails[a:b].tobytes()], pa.binary())], ["slice", "keys", "tails"])
+            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+            for i in range(0, len(spans), 512):
+                some = spans[i : i + 512]
+                columns = [pa.array([x[a:b].tobytes() for a, b in some], pa.binary()) for x in (keys, tails)]
+                yield pa.RecordBatch.from_arrays([pa.array([of[a] for a, _ in some], pa.int64()), *columns], ["slice", "keys", "tails"])
 
-        seen, seen_tails = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        seen, seen_tails = np.zeros(0, np.int64), np.zeros(0, np.int32)
         for codes, grams in _read(batches, sizes.batch):
             _, keys, tails = _keys(codes, grams, k)
-            at = places(keys)
-            hit = (held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            hit = _has(held.value, places(keys) // fold)
             seen, seen_tails = _distinct([seen, keys[hit]], [seen_tails, tails[hit]])
             if len(seen) >= sizes.held:
                 yield from handed(seen, seen_tails)
@@ -296,22 +315,37 @@ def _screened(coded: DataFrame, k: int, counters: int, sizes: Sizes) -> DataFram
         yield from handed(seen, seen_tails)
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, tails = None, [], []
+        now, keys, tails, whole = None, [], [], None
         for b in batches:
-            for s, key, tail in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if now is not None and s != now:
-                    yield _candidates(*_distinct(keys, tails))
-                    keys, tails = [], []
-                now = s
-                keys.append(np.frombuffer(key, np.int64))
-                tails.append(np.frombuffer(tail, np.int64))
-                if sum(map(len, keys)) > 2 * sizes.held + 2 * len(keys[0]):
+            for s, *packed in zip(*b.columns, strict=True):
+                s, key, tail, cut = (x.as_py() for x in (s, *packed))
+                if s != now:
+                    if keys:
+                        yield from _candidates(*_distinct(keys, tails))
+                    now, keys, tails, whole = s, [], [], None
+                if cut is not None:  # a slice's bits come before its keys
+                    whole = np.frombuffer(cut, np.uint8)
+                    continue
+                key, tail = np.frombuffer(key, np.int64), np.frombuffer(tail, np.int32)
+                if fold > 1:
+                    hit = _has(whole, places(key) - s * width)
+                    key, tail = key[hit], tail[hit]
+                keys.append(key)
+                tails.append(tail)
+                if sum(map(len, keys)) > sizes.held + 2 * len(keys[0]):
                     keys, tails = ([x] for x in _distinct(keys, tails))
         if keys:
-            yield _candidates(*_distinct(keys, tails))
+            yield from _candidates(*_distinct(keys, tails))
 
-    rows = coded.select("codes", "grams").mapInArrow(pick, parts).repartition("slice").sortWithinPartitions("slice")
-    return rows.mapInArrow(unite, "key long, tail long")
+    none = F.lit(None).cast("binary")
+    rows = coded.select("codes", "grams").mapInArrow(pick, "slice long, keys binary, tails binary").withColumn("bits", none)
+    if fold > 1:
+        rows = rows.unionByName(screen.select("slice", none.alias("keys"), none.alias("tails"), "bits"))
+    rows = rows.repartition("slice").sortWithinPartitions("slice", F.col("bits").isNull())
+    candidates = kept(rows.mapInArrow(unite, "key long, tail long, deal int"), "candidates")
+    held.destroy()
+    dropped(screen)
+    return candidates
 
 
 def _distinct(keys: list[np.ndarray], tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -320,14 +354,28 @@ def _distinct(keys: list[np.ndarray], tails: list[np.ndarray]) -> tuple[np.ndarr
     return found, np.concatenate(tails)[first]
 
 
-def _candidates(keys: np.ndarray, tails: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tails, pa.int64())], ["key", "tail"])
+_DEALS = 20  # bits of `deal`
+
 
+def _deal(keys: np.ndarray) -> np.ndarray:
+    return (mixed(keys, 61) >> np.uint64(64 - _DEALS)).astype(np.int64)
 
-def _blocks(candidates: DataFrame, n: int, most: int) -> DataFrame:
-    """block, levels, keys and tails: the perfect hash of each block, its keys and their tails in the order of slots."""
-    blocks = -(-n * 5 // (most * 4))  # dealt by hash, so they are planned a little under that many keys
-    rows = candidates.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+
+def _candidates(keys: np.ndarray, tails: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(keys), 1 << 16):
+        key = keys[i : i + (1 << 16)]
+        columns = [pa.array(key, pa.int64()), pa.array(tails[i : i + (1 << 16)].astype(np.int64), pa.int64()), pa.array(_deal(key).astype(np.int32), pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "tail", "deal"])
+
+
+def _planned(n: int, most: int) -> int:
+    """Blocks of n candidates; dealt by hash, so they are planned a little under `most` keys."""
+    return min(-(-n * 5 // (most * 4)), 1 << _DEALS)
+
+
+def _blocks(candidates: DataFrame, blocks: int) -> DataFrame:
+    """block, n, levels, keys and tails: the perfect hash of each block, its keys and their tails in the order of slots."""
+    rows = candidates.withColumn("block", F.shiftright(F.col("deal").cast("long") * blocks, _DEALS).cast("int"))
     rows = rows.repartition("block").sortWithinPartitions("block")
 
     def made(block: int, keys: list[np.ndarray], tails: list[np.ndarray]) -> pa.RecordBatch:
@@ -336,7 +384,8 @@ def _blocks(candidates: DataFrame, n: int, most: int) -> DataFrame:
         levels, stored_keys = table.packed()
         in_slots = np.zeros(len(key), np.int64)
         in_slots[table.find(key)] = tail
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([levels], pa.list_(pa.binary())), pa.array([stored_keys], pa.binary()), pa.array([in_slots.astype("<i8").tobytes()], pa.binary())], ["block", "levels", "keys", "tails"])
+        columns = [pa.array([block], pa.int32()), pa.array([len(key)], pa.int64()), pa.array([levels], pa.list_(pa.binary())), pa.array([stored_keys], pa.binary()), pa.array([in_slots.astype("<i8").tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "n", "levels", "keys", "tails"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, tails = None, [], []
@@ -355,24 +404,34 @@ def _blocks(candidates: DataFrame, n: int, most: int) -> DataFrame:
         if keys:
             yield made(now, keys, tails)
 
-    return rows.select("block", "key", "tail").mapInArrow(run, "block int, levels array<binary>, keys binary, tails binary")
+    return rows.select("block", "key", "tail").mapInArrow(run, "block int, n long, levels array<binary>, keys binary, tails binary")
+
 
+class _Table(NamedTuple):
+    """A block's perfect hash: its number, the id of its first slot, and what is packed."""
 
-def _loaded(blocks: DataFrame, group: list[int], bases: dict[int, int]):
-    """The tables of these blocks, some 9 MB each, for all tasks."""
-    rows = blocks.where(F.col("block").isin(group)).select("block", "levels", "keys").collect()
-    return blocks.sparkSession.sparkContext.broadcast([(bases[r["block"]], [bytes(x) for x in r["levels"]], bytes(r["keys"])) for r in rows])
+    block: int
+    base: int
+    levels: list[bytes]
+    keys: bytes
 
 
-def _level(coded: DataFrame, k: int, counters: int, sizes: Sizes, kept: Callable[[DataFrame, str], DataFrame], dropped: Callable[[DataFrame], None]) -> tuple[DataFrame, DataFrame]:
+def _loaded(blocks: DataFrame, n_blocks: int, group: list[int], bases: dict[int, int]):
+    """How many blocks there are, and the tables of these, some 5 MB each, for all tasks."""
+    rows = blocks.where(F.col("block").isin(group)).select("block", "levels", "keys").toArrow()
+    tables = [_Table(block, bases[block], levels, keys) for block, levels, keys in zip(*(c.to_pylist() for c in rows.columns), strict=True)]
+    return blocks.sparkSession.sparkContext.broadcast((n_blocks, tables))
+
+
+def _level(coded: DataFrame, k: int, counters: int, sizes: Sizes, kept: _Kept, dropped: _Dropped) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases of k words (id, head, word, tail, f), and the chunks with their ids as grams."""
     table = coded
     if k > 2:  # what was found for the level before
         coded = table.select("codes", F.col("found").alias("grams"), "found")
-    candidates = kept(_screened(coded, k, counters, sizes), "candidates")
-    n = candidates.count()
-    blocks = kept(_blocks(candidates, n, sizes.block), "blocks")
-    blocks_of = sorted((r["block"], r["n"]) for r in blocks.select("block", (F.length("keys") / 8).cast("long").alias("n")).collect())
+    candidates = _screened(coded, k, counters, sizes, kept, dropped)
+    n_blocks = _planned(candidates.count(), sizes.block)
+    blocks = kept(_blocks(candidates, n_blocks), "blocks")
+    blocks_of = sorted((r["block"], r["n"]) for r in blocks.select("block", "n").collect())
     bases, base = {}, 0
     for block, size in blocks_of:
         bases[block], base = base, base + size
@@ -380,30 +439,47 @@ def _level(coded: DataFrame, k: int, counters: int, sizes: Sizes, kept: Callable
         raise ValueError(f"{base} candidates of {k} words do not fit 31 bits")
     counted = coded.sparkSession.createDataFrame([], "id long, f long")
     for i in range(0, len(blocks_of), sizes.at_once):
-        tables = _loaded(blocks, [block for block, _ in blocks_of[i : i + sizes.at_once]], bases)
+        group = blocks_of[i : i + sizes.at_once]
+        tables = _loaded(blocks, n_blocks, [block for block, _ in group], bases)
         found = kept(_counts(coded, k, tables, _width(base, sizes), sizes), "counts")
         counted = found if not i else counted.unionByName(found)
         if k < LONGEST:
-            before, table = table, kept(_recoded(coded, k, tables, found, not i, i + sizes.at_once >= len(blocks_of), sizes), "coded")
+            first = bases[group[0][0]]
+            known = np.zeros(sum(n for _, n in group), bool)
+            known[found.select(F.col("id") - first).toArrow()[0].to_numpy()] = True
+            held = coded.sparkSession.sparkContext.broadcast((first, np.packbits(known)))
+            before, table = table, kept(_recoded(coded, k, tables, held, not i, i + sizes.at_once >= len(blocks_of), sizes), "coded")
             dropped(before)
             coded = table
+            held.destroy()
+        tables.destroy()
     return kept(_phrases(blocks, bases, counted), "phrases"), table
 
 
-def _opened(tables) -> list[tuple[int, PerfectHash]]:
-    return [(base, PerfectHash.unpacked(levels, keys)) for base, levels, keys in tables.value]
+def _finder(tables) -> Callable[[np.ndarray], Iterator[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """Which gives, for keys, each table's first id and size, which of the keys are its own, and their slots."""
+    n_blocks, packed = tables.value
+    opened = [(t.block, t.base, PerfectHash.unpacked(t.levels, t.keys)) for t in packed]
+
+    def find(keys: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        of = _deal(keys) * n_blocks >> _DEALS
+        for block, base, table in opened:
+            at = np.flatnonzero(of == block)
+            slots = table.find(keys[at])
+            own = slots >= 0
+            yield base, len(table.keys), at[own], slots[own]
+
+    return find
 
 
 def _counts(coded: DataFrame, k: int, tables, width: int, sizes: Sizes) -> DataFrame:
     """id and f of the phrases in these blocks with at least LEAST occurrences."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lane, opened = TaskContext.get().partitionId() % LANES, _opened(tables)
+        lane, find = TaskContext.get().partitionId() % LANES, _finder(tables)
         for codes, grams in _read(batches, sizes.batch):
-            keys = _keys(codes, grams, k)[1]
-            for base, table in opened:
-                slots = table.find(keys)
-                n = np.bincount(slots[slots >= 0], minlength=len(table.keys))
+            for base, size, _, slots in find(_keys(codes, grams, k)[1]):
+                n = np.bincount(slots, minlength=size)
                 at = np.flatnonzero(n)
                 yield from _parts(at + base, n[at], lane, width)
 
@@ -414,22 +490,20 @@ def _counts(coded: DataFrame, k: int, tables, width: int, sizes: Sizes) -> DataF
     return tree_sum(coded.select("codes", "grams").mapInArrow(count, _PARTS), width, rows, "id long, f long")
 
 
-def _recoded(coded: DataFrame, k: int, tables, counted: DataFrame, first: bool, last: bool, sizes: Sizes) -> DataFrame:
-    """The chunks with the ids of frequent phrases of k words in these blocks as `found`, beside those found before."""
-    known = np.sort(counted.select("id").toArrow()["id"].to_numpy())  # of sizes.at_once blocks
-    held = coded.sparkSession.sparkContext.broadcast(np.append(known, -1))
+def _recoded(coded: DataFrame, k: int, tables, known, first: bool, last: bool, sizes: Sizes) -> DataFrame:
+    """The chunks with the ids of frequent phrases of k words in these blocks as `found`, beside those found before.
+
+    known: the first id of these blocks, and a bit for each of their ids that is frequent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened, ids_known = _opened(tables), held.value[:-1]
+        find, (start, frequent) = _finder(tables), known.value
         for codes, grams, found in _read(batches, sizes.batch):
             at, keys, _ = _keys(codes, grams, k)
             ids = np.full(len(codes), -1, np.int32) if first else found.copy()
-            for base, table in opened:
-                slots = table.find(keys)
-                hit = slots >= 0
-                mine, places = slots[hit] + base, at[hit]
-                ok = np.isin(mine, ids_known)
-                ids[places[ok]] = mine[ok]
+            for base, _, own, slots in find(keys):
+                ok = _has(frequent, slots + (base - start))
+                ids[at[own[ok]]] = slots[ok] + base
             yield _codes_batch(codes, None if last else grams, ids)
 
     return coded.mapInArrow(run, _CODES)
@@ -468,7 +542,7 @@ def _read_slots(df: DataFrame, table: DataFrame, by: str, **columns: str) -> Dat
     return df.join(table.select(F.col("id").alias(by), *[F.col(c).alias(name) for name, c in columns.items()]), by)
 
 
-def _scored(words: DataFrame, levels: list[DataFrame], kept: Callable[[DataFrame, str], DataFrame]) -> list[DataFrame]:
+def _scored(words: DataFrame, levels: list[DataFrame], kept: _Kept) -> list[DataFrame]:
     """Each level's phrases with lang, ids (of their words) and cut."""
     two, three, four = levels
     e = _read_slots(_read_slots(two, words, "head", l="f", lang="lang"), words, "word", r="f")
@@ -499,7 +573,7 @@ def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", sizes:
     spark, folders = docs.sparkSession, {}
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        held, path = stored(df, name)
+        held, path = stored(df, name, _ROW_GROUPS)
         folders[id(held)] = held, path
         return held
 

@@ -3,14 +3,20 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from larkstream.llm import chat_format, phrases, vector_codes
+from larkstream.llm.common import drop_folder
 from larkstream.llm.perfect_hash import PerfectHash
 
 # ---- phrases
@@ -64,6 +70,36 @@ def test_no_phrases(spark):
     assert phrases.mine_phrases(spark.createDataFrame([("a b " * 20, "en")], "text string, lang string")).count() == 0
 
 
+def test_screen_is_held_folded(spark, monkeypatch):
+    sizes, held = phrases.Sizes(300, 50, 900, 40, 2, 64, folded=64, width=256), []
+    send = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, value: held.append(value) or send(sc, value))
+    rows = talk(5, 120)
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    assert sorted(map(tuple, phrases.mine_phrases(docs, sizes=sizes).collect())) == brute_phrases(rows)
+    screens = [x for x in held if isinstance(x, np.ndarray)]
+    assert len(screens) == 3 and all(8 * x.nbytes == sizes.folded for x in screens)  # of 1,024 counters and more
+
+
+def test_memory_of_tables_and_slices_is_bounded():
+    assert max(phrases._width(1 << e, phrases.Sizes()) for e in range(10, 31)) <= 1 << 19
+    levels, keys = PerfectHash.of(np.arange(1 << 17, dtype=np.int64)).packed()
+    tracemalloc.start()
+    table = PerfectHash.unpacked(levels, keys)
+    own = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(table.keys) == 1 << 17 and own < 1 << 17  # beside what was read: less than a byte a key
+
+
+def test_row_groups_of_large_rows(spark):
+    rows = spark.range(0, 40, 1, 1).select(F.expr("cast(concat_ws('', transform(sequence(1, 25000), x -> sha2(cast(x * 40 + id as string), 256))) as binary)").alias("codes"))
+    _, path = phrases.stored(rows, "large", phrases._ROW_GROUPS)
+    (part,) = Path(path.removeprefix("file:")).glob("part-*")
+    meta = pq.ParquetFile(part).metadata
+    assert meta.num_rows == 40 and max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 24 << 20  # of 64 MB
+    drop_folder(spark, path)
+
+
 @given(st.sets(st.integers(-(2**63), 2**63 - 1), max_size=300), st.lists(st.integers(-(2**63), 2**63 - 1), max_size=50))
 @settings(max_examples=60, deadline=None)
 def test_perfect_hash(keys, others):
