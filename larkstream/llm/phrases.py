@@ -25,7 +25,7 @@ The screen has a counter for every other word up to 2^30 counters (128 MB as bit
 text, it lets more candidates through, which then cost passes, not results.
 
 A mapper's memory is that of `Sizes.batch` words, `Sizes.held` candidates, the folded screen and `Sizes.at_once` blocks (9
-bytes a candidate), some 170 MB with its libraries, at any size of the input; a slice has `Sizes.width` places at most, and
+bytes a candidate), some 200 MB with its libraries, at any size of the input; a slice has `Sizes.width` places at most, and
 tables with packed columns have row groups of 16 MB.
 
 Null texts are empty, a null language is `und`, as is that word itself. Repeated rows count each. A phrase does
